@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import exact_dedup, line_dedup
+from flowlens.llm import exact_dedup, line_dedup, mixing, simhash
 from flowlens.llm.common import table
 
 
@@ -19,7 +19,22 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "source", "n_lines", "n_dropped", "text")
 
 
-QUERIES = {"op2_exact_dedup": op2_exact_dedup, "op10_line_dedup": op10_line_dedup}
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+QUERIES = {
+    "op2_exact_dedup": op2_exact_dedup,
+    "op3_mixing": op3_mixing,
+    "op7_simhash": op7_simhash,
+    "op10_line_dedup": op10_line_dedup,
+}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -29,6 +44,23 @@ ORACLES = {
         select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size,
                doc_id = max(doc_id) over w as kept, sha256(norm) as text_sha256
         from d window w as (partition by norm)""",
+    # the level of the targets: sources in order of (2 x size / weight), the first at which no later one is capped
+    "op3_mixing": r"""
+        with d as (select doc_id, source, md5('mix-' || coalesce(doc_id::varchar, '')) as key,
+                          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents),
+        s as (select source, sum(size)::bigint as source_size from d group by source),
+        w as (select *, [5, 2, 1][(row_number() over (order by source nulls last) - 1) % 3 + 1] as weight from s),
+        o as (select *, coalesce(sum(2 * source_size) over (order by 2.0 * source_size / weight, source rows between unbounded preceding and 1 preceding), 0) as capped,
+                     sum(weight) over (order by 2.0 * source_size / weight, source rows between current row and unbounded following) as open,
+                     sum(source_size) over () as total, row_number() over (order by 2.0 * source_size / weight, source) as rn from w),
+        l as (select arg_min((1.5 * total::double - capped::double) / open::double, rn) filter (2.0 * source_size / weight >= (1.5 * total - capped) / open) as level from o),
+        t as (select source, source_size, case when 2 * source_size < weight * level then (2 * source_size)::double else weight * level end as target from w, l),
+        b as (select *, round(target)::bigint as budget from t),
+        e as (select *, case when source_size > 0 then budget // source_size else 0 end as epochs from b),
+        p as (select d.*, e.source_size, e.target, e.epochs, e.budget - e.epochs * e.source_size as rest,
+                     sum(d.size) over (partition by d.source order by key rows between unbounded preceding and current row) - d.size as before
+              from d join e on d.source is not distinct from e.source)
+        select doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, rest - before)))::bigint as taken from p""",
     "op10_line_dedup": f"""
         with l as (select doc_id, source, unnest(string_split(text, chr(10))) as line,
                           generate_subscripts(string_split(text, chr(10)), 1) as pos from documents),
