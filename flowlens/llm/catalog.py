@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import exact_dedup, line_dedup, mixing, simhash
-from flowlens.llm.common import table
+from flowlens.llm import decontaminate, exact_dedup, line_dedup, mixing, simhash, warc
+from flowlens.llm.common import scratch_path, table
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +24,23 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    names = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), names, "contaminated")
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes every page to archives in the shared folder and reads them back."""
+    pages = table(spark, sf_dir, "pages")
+    manifest = warc.write_archives(pages, scratch_path(spark, "warc"))
+    found = warc.read_archives(spark, manifest)
+    kind = dict(pages.dtypes)["page_id"]
+    return found.select(
+        F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to")
+    )
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -32,7 +49,9 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_mixing": op3_mixing,
+    "op5_decontamination": op5_decontamination,
     "op7_simhash": op7_simhash,
+    "op8_warc": op8_warc,
     "op10_line_dedup": op10_line_dedup,
 }
 
@@ -61,6 +80,28 @@ ORACLES = {
                      sum(d.size) over (partition by d.source order by key rows between unbounded preceding and current row) - d.size as before
               from d join e on d.source is not distinct from e.source)
         select doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, rest - before)))::bigint as taken from p""",
+    "op5_decontamination": rf"""
+        with d as (select doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+        i as (select item_id::varchar as item, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+        p as (select distinct item, least(10, len(w)) as n, array_to_string(w[k:k + least(10, len(w)) - 1], ' ') as key
+              from (select *, unnest(range(1, greatest(1, len(w) - 9) + 1)) as k from i where len(w) > 0)),
+        s as (select doc_id, n, k, array_to_string(w[k:k + n - 1], ' ') as key
+              from (select d.*, n, unnest(range(1, len(w) - n + 2)) as k from d, (select distinct n from p))),
+        h as (select doc_id, s.n, k, item from s join p on s.n = p.n and s.key = p.key),
+        t as (select doc_id, count(distinct pos) as n_hit from (select doc_id, unnest(range(k, k + n)) as pos from h) group by doc_id),
+        m as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as names from (select distinct doc_id, item from h) group by doc_id)
+        select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+               sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+        from d left join t using (doc_id) left join m using (doc_id)""",
+    "op8_warc": """
+        with p as (select page_id, coalesce(html, '') as h from pages),
+        f as (select *, min(page_id) over (partition by h) as first, sha1(h) as x from p)
+        select page_id, strlen(h)::bigint as payload_bytes,
+               array_to_string(list_transform(range(0, 8), lambda i: list_aggregate(list_transform([15, 10, 5, 0], lambda s:
+                   substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(x, (5 * i + 1)::int, 5))::bigint >> s) & 31)::int, 1)), 'string_agg', '')), '') as payload_digest,
+               case when page_id = first then 'response' else 'revisit' end as record_type,
+               case when page_id = first then null else first end as refers_to
+        from f""",
     "op10_line_dedup": f"""
         with l as (select doc_id, source, unnest(string_split(text, chr(10))) as line,
                           generate_subscripts(string_split(text, chr(10)), 1) as pos from documents),
