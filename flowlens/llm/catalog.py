@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import decontaminate, exact_dedup, language_id, line_dedup, mixing, quality, simhash, toxicity, warc
+from flowlens.llm import decontaminate, exact_dedup, html_extract, labelled_pages, language_id, line_dedup, mixing, quality, simhash, toxicity, warc
 from flowlens.llm.common import scratch_path, table
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    potentials = html_extract.train(labelled_pages.labelled_pages(spark))
+    return html_extract.extract(table(spark, sf_dir, "pages"), potentials)
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -64,6 +69,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html_extract": op1_html_extract,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_mixing": op3_mixing,
     "op4_quality": op4_quality,
