@@ -109,6 +109,13 @@ def components(edges: DataFrame) -> DataFrame:
     return state.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(state.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def _classes(prints: DataFrame, bits: int) -> DataFrame:
+    """(fp, root): every distinct fingerprint of prints with the one that stands for its component."""
+    classes = written(prints.select("fp").distinct(), "simhash-classes")
+    roots = written(components(links(classes, bits)), "simhash-roots")
+    return classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
     """One row per row of docs: doc_id, fp (signed 64 bits), component_id (the smallest doc_id reachable).
 
@@ -117,20 +124,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     gives none; other columns of docs are not read.
     """
     prints = written(docs.select(F.col(id_col).alias("doc_id"), _fingerprints(F.col(text_col)).alias("fp")), "simhash")
-    classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
-    roots = written(components(links(classes, bits)), "simhash-roots")
-    rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    rooted = written(_classes(prints, bits).join(least, "fp"), "simhash-rooted")
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = written(rooted.join(named, "root").select("fp", "component_id"), "simhash-named")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
-    """docs without near-duplicates: of each component, the row whose id is the smallest.
+    """docs without near-duplicates: of each component one row stays, that with the smallest id.
 
-    Rows that are equal in id and text stay as one; without ids, a component stays as it is.
+    Null ids come last; of different texts with one id, that with the smallest hash stays; of rows that are equal in
+    both, one.
     """
-    found = near_duplicates(docs.select(id_col, text_col), id_col, text_col, bits)
-    drop = written(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__drop")).distinct(), "simhash-drop")
-    kept = docs.join(drop, F.col(id_col) == F.col("__drop"), "left_anti")
-    return kept
+    spot, mark = F.col(id_col), F.xxhash64(text_col)
+    prints = docs.select(spot.alias("id"), mark.alias("mark"), _fingerprints(F.col(text_col)).alias("fp"))
+    prints = written(prints.groupBy("id", "mark", "fp").count(), "simhash")
+    rooted = written(_classes(prints, bits), "simhash-rooted")
+    order = F.struct(F.col("id").isNull().alias("unknown"), "id", "mark")
+    best = prints.groupBy("fp").agg(F.min(order).alias("best")).join(rooted, "fp").groupBy("root").agg(F.min("best").alias("best"))
+    best = rooted.join(best, "root").select("fp", "best")
+    placed = written(prints.join(best, "fp").select("id", "mark", "count", (order == F.col("best")).alias("stays")), "simhash-placed")
+
+    def without(rows: DataFrame, gone: DataFrame, how: str) -> DataFrame:
+        gone = written(gone.select(F.col("id").alias("__id"), F.col("mark").alias("__mark")), "simhash-gone")
+        return rows.join(gone, spot.eqNullSafe(F.col("__id")) & (mark == F.col("__mark")), how)
+
+    kept = without(docs, placed.where("not stays"), "left_anti")
+    repeated = placed.where("stays and count > 1")
+    if repeated.isEmpty():
+        return kept
+    once = without(kept, repeated, "left_semi").withColumn("__mark", mark).dropDuplicates([id_col, "__mark"]).drop("__mark")
+    return without(kept, repeated, "left_anti").unionByName(once)
