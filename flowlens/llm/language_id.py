@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowlens.llm.common import held_out
+from flowlens.llm.common import held_out, written
 
 #: Bytes of context, and rows of each language (in expectation) that the trees are counted from.
 ORDER, SAMPLE_ROWS = 3, 600
@@ -57,7 +57,8 @@ def count_grams(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows they are follows from a hash of the id.
     """
     train = docs.where(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = train.groupBy(F.col(lang_col).alias("lang")).count()
+    # written, so that the join below knows its size: texts are shuffled only where there are very many languages
+    sizes = written(train.groupBy(F.col(lang_col).alias("lang")).count(), "languages")
     place = F.pmod(F.xxhash64(F.col(id_col), F.lit("language")), F.lit(1 << 30)) / F.lit(1 << 30)
     chosen = train.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), place.alias("place")).join(sizes, "lang")
     chosen = chosen.where(F.col("place") * F.col("count") < rows).select("lang", "text")
