@@ -3,8 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+FAMILIES = ["q_features"]
+
+for _family in FAMILIES:
+    _module = import_module(f"flowlens.plans.{_family}")
+    assert not QUERIES.keys() & _module.QUERIES.keys(), f"{_family} repeats a name"
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES
