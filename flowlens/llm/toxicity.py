@@ -78,20 +78,20 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def learn_lexicon(sample: DataFrame, max_terms: int = MAX_TERMS) -> dict[str, float]:
     """term -> weight, from (text, y): terms that are far likelier in toxic documents, beyond what chance explains.
 
-    Near copies would lend their words false support, so of documents that share the least hash of their words one
-    counts.
+    Near copies would lend their words false support, so of documents that share the least hash of their word pairs
+    one counts.
     """
-    sketch = F.array_min(F.transform(F.split(F.lower("text"), r"\s+"), lambda w: F.xxhash64(w)))
-    single = written(sample.withColumn("sketch", sketch).dropDuplicates(["sketch", "y"]).select("text", "y"), "toxic-sample")
+    pairs = F.transform("words", lambda w, i: F.xxhash64(w, F.get("words", i + 1)))
+    single = written(sample.withColumn("words", F.split(F.lower("text"), r"\s+")).withColumn("sketch", F.array_min(pairs)).dropDuplicates(["sketch", "y"]).select("text", "y"), "toxic-sample")
     sizes = {r["y"]: r["count"] for r in single.groupBy("y").count().collect()}  # two rows
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     lexicon = {f" {w} ": SEED_WEIGHT for w in SEED_TERMS}
     if not n_toxic or not n_clean:
         return lexicon
     counts = single.mapInPandas(_counts, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    # a term of chance is toxic as often as a document: so many toxic ones in a row must be rare among all candidates
+    # a term of chance is toxic as often as a document; so many toxic documents in a row happen to one term in 2000
     prior = n_toxic / (n_toxic + n_clean)
-    least = max(3, math.ceil(math.log(50_000) / -math.log(prior)))
+    least = max(3, math.ceil(math.log(2000) / -math.log(prior)))
     weight = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
     kept = counts.where(F.col("toxic") >= least).withColumn("weight", weight).where(F.col("weight") >= MIN_LOG_ODDS)
     found = kept.orderBy(F.desc("toxic"), "term").limit(max_terms).select("term", "weight").collect()
@@ -113,7 +113,11 @@ class Matcher:
         self.automaton.make_automaton()
 
     def weigh(self, text: str | None) -> tuple[float, int, int]:
-        """The weight found, the words it was found in, and all words; a word counts once, with its heaviest term."""
+        """The weight found, the places it was found in, and all words.
+
+        A place counts with its heaviest term. Repeats of a word count half as much as one more word, all together,
+        so that one line over and over doesn't outweigh different terms.
+        """
         tokens = fold(text)
         line = f" {' '.join(tokens)} "
         best: dict[int, float] = {}
@@ -127,7 +131,10 @@ class Matcher:
         for a, b in excused:
             for start in [s for s in best if a <= s < b]:
                 del best[start]
-        return sum(best.values()), len(best), len(tokens)
+        heaviest: dict[str, list[float]] = {}
+        for start, weight in best.items():
+            heaviest.setdefault(line[start + 1 : line.index(" ", start + 1)], []).append(weight)
+        return sum(max(w) * (1.5 if len(w) > 1 else 1.0) for w in heaviest.values()), len(best), len(tokens)
 
 
 def _features(total: float, n_words: int) -> tuple[float, float]:
@@ -177,10 +184,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     model = Model(learn_lexicon(sample))
     if sample.select("y").distinct().count() < 2:
         return model
-    found = sample.select("y", "weight", toxicity(model, F.col("text")).alias("f"))
+    # a lexicon looks too good on the rows it was learned from, so each half is weighed with that of the other
+    half = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2))
+    parts = [sample.where(half == k).select("y", "weight", toxicity(Model(learn_lexicon(sample.where(half != k))), F.col("text")).alias("f")) for k in (0, 1)]
+    found = parts[0].unionByName(parts[1])
     x = F.log1p("f.total"), F.when(F.col("f.n_words") > 0, F.log1p(1000 * F.col("f.total") / F.col("f.n_words"))).otherwise(F.lit(0.0))
     rows = found.select(F.col("y").cast("double").alias("label"), "weight", array_to_vector(F.array(*x)).alias("features"))
-    fit = LogisticRegression(weightCol="weight", regParam=1e-3, maxIter=50).fit(written(rows, "toxic-features"))
+    rows = written(rows, "toxic-features")
+    fit = LogisticRegression(weightCol="weight", regParam=1e-3, maxIter=50).fit(rows)
     return Model(model.lexicon, tuple(map(float, fit.coefficients.toArray())), float(fit.intercept))
 
 
