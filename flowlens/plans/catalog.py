@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-FAMILIES = ["q_features"]
+FAMILIES = ["q_features", "q_labels"]
 
 for _family in FAMILIES:
     _module = import_module(f"flowlens.plans.{_family}")
