@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(app: str = "flowlens", cores: int | str = 8, shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -22,3 +24,27 @@ def local_session(app: str = "flowlens", cores: int | str = 8, shuffle_partition
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that every executor and the driver can reach: the session's spark.checkpoint.dir.
+
+    Where the setting is absent, a local master gets a temporary folder (tests); a cluster gets an error, as a
+    machine's own folder would lose rows there.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    if not found:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        found = tempfile.mkdtemp(prefix="flowlens-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df computed once and kept in the shared folder, where it outlives executors; its lineage ends there."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
