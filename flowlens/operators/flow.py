@@ -185,34 +185,33 @@ def routes(edges: DataFrame, ends: DataFrame, hops: int) -> DataFrame:
 def lifo_pairs(events: DataFrame) -> DataFrame:
     """wallet, out_id, in_id, amount, wait_s over (wallet, event_id, ts, is_in, amount): outflows use the newest money.
 
-    A stack has no closed form as windows, so each wallet's events, in order, pass through a fold; a wallet's events
-    come in batches and only its unspent arrivals are held.
+    A stack has no closed form as windows. Events are dealt by wallet and sorted, and each partition is folded as it
+    streams by: what is held is the unspent arrivals of one wallet, however long its history.
     """
     import pandas as pd
 
-    def pair(key, batches):
-        stack: list[list] = []
+    def fold(batches):
+        wallet, stack = None, []
         for batch in batches:
             rows = []
-            for event, ts, is_in, amount in zip(batch["event_id"], batch["ts"], batch["is_in"], batch["amount"]):
+            for own, event, ts, is_in, amount in zip(batch["wallet"], batch["event_id"], batch["ts"], batch["is_in"], batch["amount"]):
+                if own != wallet:
+                    wallet, stack = own, []
                 if is_in:
                     stack.append([event, ts, amount])
                     continue
                 while amount > 0 and stack:
                     used = min(amount, stack[-1][2])
-                    rows.append((key[0], event, stack[-1][0], used, (ts - stack[-1][1]) // 1_000_000))
+                    rows.append((own, event, stack[-1][0], used, (ts - stack[-1][1]) // 1_000_000))
                     amount -= used
                     stack[-1][2] -= used
                     if not stack[-1][2]:
                         stack.pop()
             yield pd.DataFrame(rows, columns=["wallet", "out_id", "in_id", "amount", "wait_s"])
 
-    def whole(key, frame):
-        ordered = frame.sort_values(["ts", "is_in", "event_id"], ascending=[True, False, True])
-        return pd.concat(list(pair(key, [ordered])))
-
-    micros = events.withColumn("ts", F.unix_micros(F.col("ts").cast("timestamp"))).select("wallet", "event_id", "ts", "is_in", "amount")
-    return micros.groupBy("wallet").applyInPandas(whole, "wallet string, out_id long, in_id long, amount long, wait_s long")
+    micros = events.where("amount > 0").select("wallet", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), "is_in", "amount")
+    dealt = micros.repartition("wallet").sortWithinPartitions("wallet", "ts", F.col("is_in").desc(), "event_id")
+    return dealt.mapInPandas(fold, "wallet string, out_id long, in_id long, amount long, wait_s long")
 
 
 def fifo_pairs(events: DataFrame) -> DataFrame:
