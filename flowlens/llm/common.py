@@ -2,35 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowlens.session import shared_dir
+
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: For bytes.translate: A-Z to a-z, all else as it is.
 ASCII_LOWER = bytes.maketrans(_UPPER.encode(), _UPPER.lower().encode())
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor and the driver can reach: the session's spark.checkpoint.dir.
-
-    Where the setting is absent, a local master gets a temporary folder (tests); a cluster gets an error, as a
-    machine's own folder would lose rows there.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if not found:
-        if not context.master.startswith("local[") and context.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        found = tempfile.mkdtemp(prefix="flowlens-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

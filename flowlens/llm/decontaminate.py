@@ -163,13 +163,14 @@ def find_contamination(
     total = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
     n_blocks = max(1, math.ceil(total / block_bytes))
     nothing = F.struct(F.lit(0).cast("long").alias("n_words"), F.array().cast("array<bigint>").alias("spans"), F.array().cast("array<string>").alias("items"))
-    rows = docs.withColumn("__hits", nothing)
+    held = fresh(docs, "__hits")
+    rows = docs.withColumn(held, nothing)
     for k in range(n_blocks):
         block = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)) == k)
         sent = spark.sparkContext.broadcast({"key": uuid.uuid4().hex, "items": [tuple(r) for r in block.collect()]})
-        rows = rows.withColumn("__hits", _hits(sent, window)(F.col(text_col), F.col("__hits")))
+        rows = rows.withColumn(held, _hits(sent, window)(F.col(text_col), F.col(held)))
         if k + 1 < n_blocks:
             rows = written(rows, "hits")
-    spans = F.col("__hits.spans")
+    spans = F.col(f"{held}.spans")
     n_hit = F.aggregate(F.transform(spans, lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)), F.lit(0).cast("long"), lambda a, x: a + x)
-    return rows.select(*docs.columns, F.col("__hits.n_words").alias(names[0]), n_hit.alias(names[1]), spans.alias(names[2]), F.col("__hits.items").alias(names[3]), (n_hit > 0).alias(names[4]))
+    return rows.select(*docs.columns, F.col(f"{held}.n_words").alias(names[0]), n_hit.alias(names[1]), spans.alias(names[2]), F.col(f"{held}.items").alias(names[3]), (n_hit > 0).alias(names[4]))

@@ -22,5 +22,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, per_clas
     place = F.pmod(F.xxhash64("label_id", F.lit(label_col)), F.lit(1 << 30)) / F.lit(1 << 30)
     # bounded, so it may be broadcast: about 2 x per_class rows of three numbers
     chosen = F.broadcast(written(given.where(place < rate).withColumn("weight", 1 / rate), f"labels-{label_col}"))
-    text = F.coalesce(F.col(text_col), F.lit("")).alias("text")
-    return docs.join(chosen, F.col(id_col) == F.col("label_id")).select(F.col(id_col).alias("doc_id"), text, "y", "weight")
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return texts.join(chosen, F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "y", "weight")

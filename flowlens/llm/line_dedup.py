@@ -46,14 +46,15 @@ def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str =
     then has an empty text; an empty table gives no rows; names that clash with the three get a leading underscore.
     """
     lists = boilerplate_lines(docs, host_col, text_col, ratio, min_pages).groupBy("host").agg(F.collect_set("key").alias("keys"))
-    lists = written(lists, "line-lists").select(F.col("host").alias("__host"), F.col("keys").alias("__keys"))
+    host, keys, lines, kept = (fresh(docs, x) for x in ("__host", "__keys", "__lines", "__kept"))
+    lists = written(lists, "line-lists").select(F.col("host").alias(host), F.col("keys").alias(keys))
     n_lines, n_dropped, before = fresh(docs, "n_lines"), fresh(docs, "n_dropped"), fresh(docs, "text_before")
     text = F.col(text_col)
-    joined = docs.join(lists, F.col(host_col).eqNullSafe(F.col("__host")), "left")
-    lines = F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(text, "\n", -1))
-    kept = F.filter("__lines", lambda x: ~F.array_contains("__keys", line_key(F.btrim(x, F.lit(" \t\r\f")))))
-    cut = joined.withColumn("__lines", lines).withColumn("__kept", F.when(F.col("__keys").isNull(), F.col("__lines")).otherwise(kept))
-    cut = cut.withColumn(n_lines, F.size("__lines").cast("long")).withColumn(n_dropped, (F.size("__lines") - F.size("__kept")).cast("long"))
+    joined = docs.join(lists, F.col(host_col).eqNullSafe(F.col(host)), "left")
+    split = F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(text, "\n", -1))
+    stays = F.filter(lines, lambda x: ~F.array_contains(keys, line_key(F.btrim(x, F.lit(" \t\r\f")))))
+    cut = joined.withColumn(lines, split).withColumn(kept, F.when(F.col(keys).isNull(), F.col(lines)).otherwise(stays))
+    cut = cut.withColumn(n_lines, F.size(lines).cast("long")).withColumn(n_dropped, (F.size(lines) - F.size(kept)).cast("long"))
     dropped = F.col(n_dropped) > 0
     cut = cut.withColumn(before, F.when(dropped, text))
-    return cut.withColumn(text_col, F.when(dropped, F.array_join("__kept", "\n")).otherwise(text)).drop("__host", "__keys", "__lines", "__kept")
+    return cut.withColumn(text_col, F.when(dropped, F.array_join(kept, "\n")).otherwise(text)).drop(host, keys, lines, kept)

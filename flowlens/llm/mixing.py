@@ -94,10 +94,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
 
 def _taken(docs: DataFrame, plan: DataFrame, id_col: str, source_col: str, size: Column) -> DataFrame:
     names = [fresh(docs, x) for x in ("size", "source_size", "target", "taken")]
-    plan = plan.select(F.struct(*plan.columns).alias("__plan"))
-    rows = docs.withColumn(names[0], size).withColumn("__key", random_key(F.col(id_col)))
-    p, key, size = (lambda x: F.col(f"__plan.{x}")), F.col("__key"), F.col(names[0])
+    held, place = fresh(docs, "__plan"), fresh(docs, "__key")
+    plan = plan.select(F.struct(*plan.columns).alias(held))
+    rows = docs.withColumn(names[0], size).withColumn(place, random_key(F.col(id_col)))
+    p, key, size = (lambda x: F.col(f"{held}.{x}")), F.col(place), F.col(names[0])
     joined = rows.join(plan, F.col(source_col).eqNullSafe(p("source")), "left")
-    part = F.when(key < p("cut_key"), size).when(key == p("cut_key"), F.expr(f"(`{names[0]}` * __plan.part) div __plan.unit")).otherwise(F.lit(0))
+    shared = F.expr(f"(`{names[0]}` * `{held}`.part) div `{held}`.unit")
+    part = F.when(key < p("cut_key"), size).when(key == p("cut_key"), shared).otherwise(F.lit(0))
     taken = (p("epochs") * size + part).cast("long")
     return joined.select(*docs.columns, names[0], p("source_size").alias(names[1]), p("target").alias(names[2]), taken.alias(names[3]))

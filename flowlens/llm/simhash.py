@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowlens.llm.common import ASCII_LOWER, written
+from flowlens.llm.common import ASCII_LOWER, fresh, written
 
 WORDS, BITS = 4, 4
 #: First bit and width of each segment.
@@ -146,13 +146,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bi
     best = rooted.join(best, "root").select("fp", "best")
     placed = written(prints.join(best, "fp").select("id", "mark", "count", (order == F.col("best")).alias("stays")), "simhash-placed")
 
+    own_id, own_mark = fresh(docs, "__id"), fresh(docs, "__mark")
+
     def without(rows: DataFrame, gone: DataFrame, how: str) -> DataFrame:
-        gone = written(gone.select(F.col("id").alias("__id"), F.col("mark").alias("__mark")), "simhash-gone")
-        return rows.join(gone, spot.eqNullSafe(F.col("__id")) & (mark == F.col("__mark")), how)
+        gone = written(gone.select(F.col("id").alias(own_id), F.col("mark").alias(own_mark)), "simhash-gone")
+        return rows.join(gone, spot.eqNullSafe(F.col(own_id)) & (mark == F.col(own_mark)), how)
 
     kept = without(docs, placed.where("not stays"), "left_anti")
     repeated = placed.where("stays and count > 1")
     if repeated.isEmpty():
         return kept
-    once = without(kept, repeated, "left_semi").withColumn("__mark", mark).dropDuplicates([id_col, "__mark"]).drop("__mark")
+    once = without(kept, repeated, "left_semi").withColumn(own_mark, mark).dropDuplicates([id_col, own_mark]).drop(own_mark)
     return without(kept, repeated, "left_anti").unionByName(once)
