@@ -107,7 +107,8 @@ class Model:
         return np.hstack([cosines, np.ones((len(stats), 1))])
 
     def raw(self, stats: np.ndarray) -> np.ndarray:
-        return self.features(stats) @ self.coefficients
+        # rounded, as the last bits of a sum depend on how many rows are multiplied at once
+        return np.round(self.features(stats) @ self.coefficients, 9)
 
     def score(self, stats: np.ndarray) -> np.ndarray:
         return np.clip(np.interp(self.raw(stats), self.knots, self.chances), 0.0, 1.0)

@@ -81,7 +81,7 @@ class Archive:
 
         self.path = f"{root}/pages-{uuid.uuid4().hex}.warc.zst"
         store, path = _store(self.path)
-        self.sink = store.open_output_stream(path)
+        self.sink = store.open_output_stream(path, compression=None)  # else the suffix would have it compressed once more
         learned = train(samples)
         self.sink.write(struct.pack("<II", DICT_MAGIC, len(learned.as_bytes())) + learned.as_bytes())
         self.compress = zstandard.ZstdCompressor(level=3, dict_data=learned, write_content_size=True, write_checksum=True).compress
@@ -191,7 +191,7 @@ def _reader(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for path in batch["archive"]:
             store, local = _store(path)
-            with store.open_input_stream(local) as source:
+            with store.open_input_stream(local, compression=None) as source:
                 rows, size = [], 0
                 for headers, block in read_records(source):
                     rows.append(_parsed(headers, block))
