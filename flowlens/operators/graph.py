@@ -6,27 +6,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from flowlens.session import cut
+from flowlens.session import cut, written
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): each node of edges (a, b) with the least node it can reach.
 
     Every round a node's larger neighbours, then its smaller ones, move to its least neighbour, so paths halve and
-    rounds grow with the logarithm of the longest one. Minima combine before the shuffle; a hub's edges stay rows of a
-    join that AQE can split.
+    rounds grow with the logarithm of the longest one. Minima combine before the shuffle, and are written before they
+    meet the edges again: where they are few, Spark broadcasts them and a hub's edges stay where they are; else the
+    edges go to a join whose large keys AQE splits.
     """
 
     def hang(directed: DataFrame, above: bool) -> DataFrame:
         least = directed.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        least = written(least, "least")
         met = directed.join(least, "u")
         if above:
             return met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         return met.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(met.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
-    state, seen = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()), None
+    state, seen = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "components"), None
     while True:
-        state = cut(hang(hang(state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v"))), True), False))
+        state = written(hang(hang(state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v"))), True), False), "components")
         now = tuple(state.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == seen:
             return state.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(state.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,3 +49,34 @@ def cut(df: DataFrame) -> DataFrame:
     """df computed once and kept in the shared folder, where it outlives executors; its lineage ends there."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+_SCRATCH: list[str] = []
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; drop_scratch removes what is there."""
+    _SCRATCH.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _SCRATCH[-1]
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: a cut of the lineage that outlives executors.
+
+    What is read back has the size of its files as statistics, so Spark broadcasts it in later joins only when it
+    has been measured to be under spark.sql.autoBroadcastJoinThreshold.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Deletes the tables that this process has written to the shared folder, once nothing reads them any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    n = len(_SCRATCH)
+    while _SCRATCH:
+        path = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return n
