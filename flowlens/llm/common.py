@@ -1,36 +1,17 @@
-"""What several of the operators share: scratch tables, fold of ASCII case, the training split."""
+"""What several of the operators share: fold of ASCII case, the training split."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.session import shared_dir
+from flowlens.session import scratch_path, shared_dir, written  # noqa: F401
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: For bytes.translate: A-Z to a-z, all else as it is.
 ASCII_LOWER = bytes.maketrans(_UPPER.encode(), _UPPER.lower().encode())
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: a cut of the lineage that outlives executors.
-
-    What is read back has the size of its files as statistics, so Spark broadcasts it in later joins only when it
-    has been measured to be under spark.sql.autoBroadcastJoinThreshold.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def ascii_lower(text: Column) -> Column:
     """text with A-Z lower-cased and nothing else changed.
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowlens.llm.common import ASCII_LOWER, fresh, written
+from flowlens.operators.graph import components
 
 WORDS, BITS = 4, 4
 #: First bit and width of each segment.
@@ -81,34 +82,6 @@ def links(classes: DataFrame, bits: int = BITS) -> DataFrame:
     return a.join(b.hint("merge"), met).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root): every node of the edges (a, b) with the smallest node it can reach.
-
-    Alternating large and small stars: each round hangs a node's larger neighbours, then its smaller ones, on its
-    least neighbour, and halves paths; it ends when a round changes no edge. Minima are combined before the shuffle,
-    and the table is written each round, which cuts the lineage.
-    """
-
-    def star(directed: DataFrame, large: bool) -> DataFrame:
-        least = directed.groupBy("u").agg(F.min("v").alias("least")).withColumn("least", F.least("u", "least"))
-        out = directed.join(least, "u")
-        if large:
-            return out.where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v"))
-        moved = out.where("v <> least").select(F.col("v").alias("u"), F.col("least").alias("v"))
-        return moved.unionByName(out.select("u", F.col("least").alias("v"))).where("u <> v").distinct()
-
-    state = written(edges.select(F.col("b").alias("u"), F.col("a").alias("v")), "components")
-    seen = None
-    while True:
-        both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        state = written(star(star(both, True), False), "components")
-        now = tuple(state.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == seen:
-            break
-        seen = now
-    return state.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(state.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-
-
 def _classes(prints: DataFrame, bits: int) -> DataFrame:
     """(fp, root): every distinct fingerprint of prints with the one that stands for its component."""
     classes = written(prints.select("fp").distinct(), "simhash-classes")
