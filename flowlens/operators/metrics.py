@@ -176,6 +176,15 @@ def clopper_pearson(hits: Column, n: Column) -> Column:
     return F.pandas_udf(interval, T.StructType([T.StructField("low", T.DoubleType()), T.StructField("high", T.DoubleType())]))(hits, n)
 
 
+def upper_bound(hits: Column, n: Column, level: float = 0.95) -> Column:
+    """The exact one-sided upper bound of a share."""
+
+    def bound(h: pd.Series, k: pd.Series) -> pd.Series:
+        return pd.Series([stats.upper_bound(int(a), int(b), level) for a, b in zip(h, k)], dtype="float64")
+
+    return F.pandas_udf(bound, T.DoubleType())(hits, n)
+
+
 def fisher(a: Column, b: Column, c: Column, d: Column) -> Column:
     def p(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
         return pd.Series([stats.fisher_exact(*map(int, x)) for x in zip(a, b, c, d)], dtype="float64")
