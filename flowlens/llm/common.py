@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,20 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = bytes.maketrans(_UPPER.encode(), _UPPER.lower().encode())
 
 
+#: Rows and bytes of an Arrow batch of texts, which bound what a Python worker holds at once.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Has the session hand whole texts to Python in small batches; smaller ones that it has set stay."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        number, unit = re.fullmatch(r"(-?\d+)\s*([kmg]?)b?", spark.conf.get(key).lower()).groups()
+        now = int(number) << {"": 0, "k": 10, "m": 20, "g": 30}[unit]
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
+
+
 def ascii_lower(text: Column) -> Column:
     """text with A-Z lower-cased and nothing else changed.
 

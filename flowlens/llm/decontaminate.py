@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowlens.llm.common import fresh, written
+from flowlens.llm.common import fresh, small_batches, written
 
 WINDOW = 10
 #: Bytes of benchmark text that one pass searches for.
@@ -158,6 +158,7 @@ def find_contamination(
     table gives no rows; names that clash with the five get a leading underscore.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     names = [fresh(docs, x) for x in ("n_words", "n_hit", "spans", "items", "contaminated")]
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
     total = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]

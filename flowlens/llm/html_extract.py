@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowlens.llm.common import small_batches
+
 # HTML's void, inline, raw-text and self-closing elements, and words in class, id and role that tell.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set(
@@ -257,6 +259,7 @@ _READY: dict[str, Potentials] = {}
 
 
 def extracted(pots: Potentials, html: Column) -> Column:
+    small_batches(SparkSession.active())
     key, sent = uuid.uuid4().hex, SparkSession.active().sparkContext.broadcast(pots)
 
     def extract(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:

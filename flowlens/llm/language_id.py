@@ -15,11 +15,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowlens.llm.common import held_out, written
+from flowlens.llm.common import held_out, small_batches, written
 
 #: Bytes of context, and rows of each language (in expectation) that the trees are counted from.
 ORDER, SAMPLE_ROWS = 3, 600
@@ -56,6 +56,7 @@ def count_grams(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     The share of a language's rows that is read is set by a count of them, so the sample is bounded at any size; which
     rows they are follows from a hash of the id.
     """
+    small_batches(docs.sparkSession)
     train = docs.where(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     # written, so that the join below knows its size: texts are shuffled only where there are very many languages
     sizes = written(train.groupBy(F.col(lang_col).alias("lang")).count(), "languages")
@@ -181,8 +182,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 def language(trees: Trees, text: Column) -> Column:
     """struct(lang_pred, score) of a text column."""
-    from pyspark.sql import SparkSession
-
+    small_batches(SparkSession.active())
     key, sent = uuid.uuid4().hex, SparkSession.active().sparkContext.broadcast(trees)
 
     def predict(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

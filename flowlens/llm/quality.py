@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowlens.llm.common import held_out, written
+from flowlens.llm.common import held_out, small_batches, written
 from flowlens.llm.labelled import labelled_sample
 
 #: Labelled documents of each class that are learned from (in expectation), random features, kernel width, ridge.
@@ -158,6 +158,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     Without labelled rows every text scores 0.5; with rows of one class, that class's label.
     """
+    small_batches(docs.sparkSession)
     sample = labelled_sample(docs, labels, label_col, per_class, id_col, text_col)
     sample = written(sample.select(_statistics(F.col("text")).alias("stats"), "y", "weight"), "quality-sample")
     one = F.posexplode("stats").alias("i", "x")
@@ -198,6 +199,7 @@ def _calibrated(model: Model, sample: DataFrame) -> Model:
 
 
 def _model_udf(model: Model, kind: T.DataType, apply):
+    small_batches(SparkSession.active())
     key, sent = uuid.uuid4().hex, SparkSession.active().sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

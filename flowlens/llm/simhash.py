@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowlens.llm.common import ASCII_LOWER, fresh, written
+from flowlens.llm.common import ASCII_LOWER, fresh, small_batches, written
 from flowlens.operators.graph import components
 
 WORDS, BITS = 4, 4
@@ -96,6 +96,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component_id is null only where no id of the component is given; repeated rows give repeated rows; an empty table
     gives none; other columns of docs are not read.
     """
+    small_batches(docs.sparkSession)
     prints = written(docs.select(F.col(id_col).alias("doc_id"), _fingerprints(F.col(text_col)).alias("fp")), "simhash")
     least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     rooted = written(_classes(prints, bits).join(least, "fp"), "simhash-rooted")
@@ -110,6 +111,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bi
     Null ids come last; of different texts with one id, that with the smallest hash stays; of rows that are equal in
     both, one.
     """
+    small_batches(docs.sparkSession)
     spot, mark = F.col(id_col), F.xxhash64(text_col)
     prints = docs.select(spot.alias("id"), mark.alias("mark"), _fingerprints(F.col(text_col)).alias("fp"))
     prints = written(prints.groupBy("id", "mark", "fp").count(), "simhash")

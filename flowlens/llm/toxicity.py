@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowlens.llm.common import held_out, written
+from flowlens.llm.common import held_out, small_batches, written
 from flowlens.llm.labelled import labelled_sample
 
 #: Labelled documents of each class that are learned from, in expectation, and the most terms that are kept.
@@ -154,6 +154,7 @@ _FOUND = T.StructType([T.StructField("total", T.DoubleType()), T.StructField("n_
 
 def toxicity(model: Model, text: Column) -> Column:
     """struct(total, n_hits, n_words, score) of a text column."""
+    small_batches(SparkSession.active())
     key, sent = uuid.uuid4().hex, SparkSession.active().sparkContext.broadcast(model)
 
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

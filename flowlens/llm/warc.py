@@ -24,7 +24,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import written
+from flowlens.llm.common import small_batches, written
 
 #: Payloads of at least so many bytes are looked for among earlier ones.
 REVISIT_BYTES = 0
@@ -141,6 +141,7 @@ def write_archives(pages: DataFrame, root: str, id_col: str = "page_id", url_col
     is no candidate to refer to; rows that share the smallest id of their payload are all responses; an empty table
     writes no archive.
     """
+    small_batches(pages.sparkSession)
     page_id = F.col(id_col)
     rows = pages.select(page_id.alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     rows = rows.withColumn("key", F.sha2("html", 256))
