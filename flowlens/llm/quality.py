@@ -41,7 +41,10 @@ def _kinds() -> np.ndarray:
     return kind
 
 
-_KIND = np.eye(9)[_kinds()]
+_KIND = _kinds().astype(np.uint8)
+_IS = {name: np.isin(np.arange(256), list(chars)) for name, chars in {"last": b".,;:!?", "digit": b"0123456789"}.items()}
+_IS["sign"] = np.isin(_KIND, [_SENTENCE, _COMMA, _OTHER, _CONTROL])
+_IS["wide"] = _KIND == _WIDE
 N_STATISTICS = 30
 
 
@@ -54,16 +57,20 @@ def statistics(text: str | None) -> np.ndarray:
     words = raw.split()
     if not words:
         return out
-    counts = np.bincount(np.frombuffer(raw, dtype=np.uint8), minlength=256)
+    data = np.frombuffer(raw, dtype=np.uint8)
+    counts = np.bincount(data, minlength=256)
     n, n_words = len(raw), len(words)
-    share = counts @ _KIND / n
-    out[:9] = np.sqrt(share)
+    space = _KIND[data] == _SPACE
+    starts = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
+    ends = np.flatnonzero(~space & np.concatenate([space[1:], [True]]))
+    has = lambda name: np.logical_or.reduceat(_IS[name][data], starts)  # noqa: E731  of each word
+    out[:9] = np.sqrt(np.bincount(_KIND, weights=counts, minlength=9) / n)
     top = counts[33:127].copy()
     top[32:58] = top[64:90] = 0  # punctuation and digits only
     out[9] = np.sqrt(top.max() / n)
     letters = counts[65:91].sum() + counts[97:123].sum() + counts[128:].sum()
     out[10] = counts[65:91].sum() / max(1, letters)
-    sizes = np.fromiter(map(len, words), dtype=np.int64, count=n_words)
+    sizes = ends - starts + 1
     out[11], out[12], out[13] = np.log1p(sizes.mean()), np.log1p(sizes.std()), np.log1p(sizes.max())
     out[14] = (sizes <= 2).mean()
     freq = Counter(words)
@@ -81,12 +88,12 @@ def statistics(text: str | None) -> np.ndarray:
     out[22] = np.log1p(n / len(lines))
     out[23] = np.log1p(len(lines)) / 5
     out[24] = np.log1p(n_words) / 5
-    out[25] = sum(w[-1:] in b".,;:!?" for w in words) / n_words
-    out[26] = sum(not w.isalnum() and w.isascii() for w in words) / n_words
-    out[27] = sum(w[:1].isupper() for w in words) / n_words
+    out[25] = _IS["last"][data[ends]].mean()
+    out[26] = (has("sign") & ~has("wide")).mean()
+    out[27] = (_KIND[data[starts]] == _UPPER).mean()
     # compressed in pieces, so that a text of any length needs bounded memory and all of it counts alike
     out[28] = sum(len(zlib.compress(raw[k : k + 65536], 1)) for k in range(0, n, 65536)) / n
-    out[29] = sum(any(48 <= c < 58 for c in w) for w in words) / n_words
+    out[29] = has("digit").mean()
     return out
 
 
