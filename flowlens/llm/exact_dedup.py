@@ -18,7 +18,7 @@ from flowlens.llm.common import ascii_lower, written
 
 #: A text is hot from this many rows on, and from this share of all rows on; so at most 1 / HOT_SHARE texts are hot,
 #: which bounds what is broadcast. The rows of a hot text are spread over this many ranges.
-HOT_ROWS, HOT_SHARE, SPREAD = 64, 1e-4, 1024
+HOT_ROWS, HOT_SHARE, SPREAD = 64, 1e-5, 1024
 #: Characters of a text that a splitter has.
 LEAD = 16
 

@@ -94,7 +94,7 @@ class Tree(HTMLParser):
         if tag in ENDS:
             self._end(ENDS[tag], SCOPE[tag])
         node = self.open[-1][1]
-        if tag in ("html", "body") and tag == "html":
+        if tag == "html":
             return
         if tag in VOID:
             if tag in ("br", "hr"):

@@ -44,7 +44,7 @@ STANDS_FOR = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "
 _LOOK_ALIKE = str.maketrans(LOOK_ALIKE)
 _STANDS = str.maketrans(STANDS_FOR)
 #: Signs in front of a letter, in a word that has a letter before them as well or starts with them.
-_SIGNS = re.compile(r"(?<![0-9@$])[013457 8@$](?=[^\W\d_])|(?<=[^\W\d_])[013457 8@$]{1,3}(?=[^\W\d_])".replace(" ", ""))
+_SIGNS = re.compile(r"(?<![0-9@$])[0134578@$](?=[^\W\d_])|(?<=[^\W\d_])[0134578@$]{1,3}(?=[^\W\d_])")
 _TOKEN = re.compile(r"[^\W_]+")
 
 
