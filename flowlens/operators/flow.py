@@ -72,10 +72,10 @@ def trace(moves: DataFrame, origins: DataFrame, labels: DataFrame, rules: Rules
     picked = pick_asset(moves, origins)
     real = moves.where((F.col("from_addr") != F.col("to_addr")) & (F.col("amount") >= rules.dust))
     degree = real.groupBy("from_addr").agg(F.count_distinct("to_addr").alias("degree")).where(F.col("degree") >= rules.hub_degree)
-    hubs = degree.select(F.col("from_addr").alias("wallet"), F.lit(True).alias("hub"))
+    hubs = cut(degree.select(F.col("from_addr").alias("wallet"), F.lit(True).alias("hub")))
     first = real.join(F.broadcast(picked.withColumnRenamed("asset", "pick")), (F.col("from_addr") == F.col("origin")) & (F.col("asset") == F.col("pick")))
     columns = ["origin", "hop", "tx_hash", "block_time", "from_addr", "to_addr", "asset", "amount", "traced"]
-    level = first.withColumn("hop", F.lit(1)).withColumn("traced", F.col("amount")).select(columns)
+    level = cut(first.withColumn("hop", F.lit(1)).withColumn("traced", F.col("amount")).select(columns))
     totals = level.groupBy("origin").agg(F.sum("traced").alias("total"))
     known = labels.select(F.col("address").alias("wallet"), "entity")
     edges, holds, seen = level, None, None
@@ -89,7 +89,7 @@ def trace(moves: DataFrame, origins: DataFrame, labels: DataFrame, rules: Rules
             F.when(F.col("entity").isNotNull(), "labelled").when(F.col("wallet") == F.col("origin"), "origin")
             .when(F.col("received") * 100 < F.col("total") * rules.min_share, "small").when(F.col("hub"), "hub").when(F.lit(hop == rules.hops), "depth_limit")
         )
-        reached = reached.withColumn("reason", reason)
+        reached = cut(reached.withColumn("reason", reason))
         stopped = reached.where("reason is not null").select("origin", F.lit(hop).alias("hop"), "wallet", "received", "reason", F.col("received").alias("held"))
         holds = stopped if holds is None else holds.unionByName(stopped)
         if hop == rules.hops:

@@ -45,12 +45,6 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the shared folder, where it outlives executors; its lineage ends there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 _SCRATCH: list[str] = []
 
 
@@ -72,6 +66,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df computed once and written, for plans that read it several times or grow with every round."""
+    return written(df, "cut")
+
+
 def drop_scratch(spark: SparkSession) -> int:
     """Deletes the tables that this process has written to the shared folder, once nothing reads them any more."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
