@@ -8,6 +8,7 @@ from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import RobustScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -100,3 +101,21 @@ def novelty(rows: DataFrame, vector: str, sample_rows: int = 5000) -> DataFrame:
     low, high = F.col("q")[0], F.col("q")[1]
     clipped = F.least(F.greatest((F.col("raw") - low) / F.nullif(high - low, F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
     return raw.join(F.broadcast(ends)).withColumn("novelty", F.coalesce(F.round(clipped, 6), F.lit(0.0))).select(*rows.columns, "novelty")
+
+
+def reasons(model: GBTClassificationModel, rows: DataFrame, features: list[str], key: str, top: int = 3) -> DataFrame:
+    """key, rank, feature, effect: the features that move a row's score most from what it would be with their median.
+
+    Every row becomes one row a feature, with that feature at its median, so the model runs over them once.
+    """
+    filled = rows.select(key, *[F.coalesce(F.col(c).cast("double"), F.lit(-1.0)).alias(c) for c in features])
+    middle = F.broadcast(filled.agg(*[F.percentile_approx(c, 0.5).alias(f"__{c}") for c in features]))
+    names = F.explode(F.array(F.lit(""), *map(F.lit, features))).alias("__without")
+    wide = filled.select("*", names).join(middle)
+    wide = wide.select(key, "__without", *[F.when(F.col("__without") == c, F.col(f"__{c}")).otherwise(F.col(c)).alias(c) for c in features])
+    scored = score_trees(model, wide, features)
+    whole = F.max(F.when(F.col("__without") == "", F.col("p"))).over(W.partitionBy(key))
+    moved = scored.withColumn("effect", whole - F.col("p")).where("__without <> ''")
+    order = W.partitionBy(key).orderBy(F.abs("effect").desc(), "__without")
+    ranked = moved.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top)
+    return ranked.select(key, "rank", F.col("__without").alias("feature"), F.round("effect", 6).alias("effect"))

@@ -81,3 +81,22 @@ def risk_flows(found: DataFrame) -> DataFrame:
     """tx_hash, score, class: a payment's points, each code counted once with its most."""
     per = found.groupBy("tx_hash", "code").agg(F.max("points").alias("points"))
     return per.groupBy("tx_hash").agg(F.least(F.lit(SCORE_CAP), F.sum("points")).alias("score")).withColumn("class", class_of(F.col("score")))
+
+
+SEVERITY = {"sanctioned": "high", "mixer": "high", "bridge": "medium", "fan_in": "low"}
+
+
+def flags(edges: DataFrame, labels: DataFrame, merge_from: int = 3) -> DataFrame:
+    """origin, code, severity, wallet, amount, share, hops, n_tx: what a trace came to that is worth a look.
+
+    Contacts with labelled wallets of some categories, and wallets at which several traced senders meet.
+    """
+    totals = edges.where("hop = 1").groupBy("origin").agg(F.sum("traced").alias("total"))
+    per = edges.groupBy("origin", F.col("to_addr").alias("wallet")).agg(
+        F.sum("traced").alias("amount"), F.min("hop").cast("long").alias("hops"), F.count_distinct("tx_hash").alias("n_tx"), F.count_distinct("from_addr").alias("senders")
+    )
+    contact = per.join(labels.where(F.col("category").isin("sanctioned", "mixer", "bridge")).select(F.col("address").alias("wallet"), F.col("category").alias("code")), "wallet")
+    merged = per.where(F.col("senders") >= merge_from).withColumn("code", F.lit("fan_in"))
+    rows = contact.unionByName(merged).join(totals, "origin")
+    severity = F.create_map(*[F.lit(x) for kv in SEVERITY.items() for x in kv])[F.col("code")]
+    return rows.select("origin", "code", severity.alias("severity"), "wallet", "amount", F.round(F.col("amount") / F.col("total"), 6).alias("share"), "hops", "n_tx")

@@ -183,3 +183,76 @@ def test_replay_of_freezes(spark):
     df = spark.createDataFrame(rows, "address string, ts timestamp, seq long, added boolean")
     assert [(r.address, r.since) for r in views.replay(df).collect()] == [("a", START + timedelta(2))]
     assert [r.address for r in views.released(df).collect()] == ["b"]
+
+
+def test_betweenness_over_all_pivots(spark):
+    r = random.Random(3)
+    pairs = {tuple(r.sample("abcdefghij", 2)) for _ in range(22)}
+    out = {}
+    for a, b in pairs:
+        out.setdefault(a, set()).add(b)
+    nodes = sorted({v for p in pairs for v in p})
+
+    def paths(s, t):
+        level, seen = [[s]], {s}
+        while level:
+            found = [p for p in level if p[-1] == t]
+            if found:
+                return found
+            level = [[*p, n] for p in level for n in out.get(p[-1], ()) if n not in seen]
+            seen |= {p[-1] for p in level}
+        return []
+
+    expected = dict.fromkeys(nodes, 0.0)
+    for s in nodes:
+        for t in nodes:
+            if s != t and (found := paths(s, t)):
+                for p in found:
+                    for v in p[1:-1]:
+                        expected[v] += 1 / len(found)
+    got = graph.betweenness(spark.createDataFrame(list(pairs), "src string, dst string"), spark.createDataFrame([(v,) for v in nodes], "entity string"))
+    assert {row.entity: row.betweenness for row in got.collect()} == pytest.approx(expected, abs=1e-3)
+
+
+def test_trees_rank_and_give_reasons(spark):
+    from flowlens.operators import ml
+
+    r = random.Random(5)
+    rows = [(k, x := r.random(), r.random(), int(x > 0.6)) for k in range(300)]
+    df = spark.createDataFrame(rows, "k long, signal double, noise double, y int")
+    model = ml.fit_trees(df, ["signal", "noise"], trees=5)
+    scored = {row.k: row.p for row in ml.score_trees(model, df, ["signal", "noise"]).collect()}
+    assert sum((scored[k] > 0.5) == bool(y) for k, _, _, y in rows) > 285
+    assert ml.importance(model, ["signal", "noise"])[0][0] == "signal"
+    first = [row for row in ml.reasons(model, df.where("signal > 0.9"), ["signal", "noise"], "k").collect() if row["rank"] == 1]
+    assert len(first) == sum(x > 0.9 for _, x, _, _ in rows)
+
+
+def test_novelty_finds_the_odd_ones(spark):
+    from flowlens.operators import ml
+
+    r = random.Random(6)
+    rows = [(k, [r.gauss(0, 1) + (9 if k < 3 else 0) for _ in range(4)]) for k in range(200)]
+    got = {row.k: row.novelty for row in ml.novelty(spark.createDataFrame(rows, "k long, v array<double>"), "v").collect()}
+    assert min(got[k] for k in range(3)) > 0.95 and sum(v > 0.9 for v in got.values()) < 20
+
+
+def test_confusion_layout_and_chase(spark):
+    from flowlens.operators import evaluation
+
+    rows = spark.createDataFrame([(1, True), (1, False), (0, True), (0, False), (0, False)], "y int, hit boolean")
+    assert tuple(evaluation.confusion(rows, "hit").first()) == (1, 1, 1, 2)
+    steps = spark.createDataFrame([(f"n{k}", f"n{k + 1}") for k in range(13)] + [("x", "y"), ("y", "x")], "wallet string, next string")
+    got = {row.wallet: (row.end, row.length) for row in evaluation.chase(steps, 5).where("wallet like 'n%'").collect()}
+    assert got == {f"n{k}": ("n13", 13 - k) for k in range(13)}
+
+
+def test_scratch_tables_can_be_dropped(spark, tmp_path):
+    from flowlens import session
+
+    kept = session.written(spark.range(3), "drop-me")
+    assert kept.count() == 3
+    path = session._SCRATCH[-1]
+    assert session.drop_scratch(spark) > 0
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        spark.read.parquet(path).count()
