@@ -27,13 +27,10 @@ def allocate(events: DataFrame, keys: list[str], order: list[Column], span: str
     before = W.partitionBy(*keys).orderBy(span).rowsBetween(W.unboundedPreceding, -1)
     spans = spans.withColumn("s0", F.coalesce(F.sum("sum").over(before), F.lit(0)))
     spans = spans.withColumn("low0", F.least(F.lit(0), F.coalesce(F.min(F.col("s0") + F.col("min")).over(before), F.lit(0)))).drop("sum", "min")
-    joined = rows.join(spans, [*keys, span])
-    pool = lambda s, low: s - F.least("low0", low)
-    now = pool(F.col("s0") + F.col("s"), F.col("s0") + F.col("low"))
-    s_then = F.col("s0") + F.col("s") - F.col("d")
-    low_then = F.col("s0") + F.coalesce(F.lag("low").over(W.partitionBy(*keys, span).orderBy(*order)), F.lit(0))
-    then = pool(s_then, F.when(F.lag("low").over(W.partitionBy(*keys, span).orderBy(*order)).isNull(), F.col("low0")).otherwise(low_then))
-    return joined.withColumn("pool", now).withColumn("take", F.when(F.col("is_in"), F.lit(0)).otherwise(then - F.col("pool"))).drop("d", "s", "low", "s0", "low0")
+    pooled = rows.join(spans, [*keys, span]).withColumn("pool", F.col("s0") + F.col("s") - F.least("low0", F.col("s0") + F.col("low")))
+    before = F.lag("pool").over(W.partitionBy(*keys, span).orderBy(*order))
+    drained = F.coalesce(before, F.col("s0") - F.col("low0")) - F.col("pool")
+    return pooled.withColumn("take", F.when(F.col("is_in"), F.lit(0)).otherwise(drained)).drop("d", "s", "low", "s0", "low0")
 
 
 @dataclass(frozen=True)

@@ -89,12 +89,12 @@ def tier_of(source: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, ["none", "derived", "community", "tag", "curated"])), F.array_max(ranks) + 1)
 
 
-VASP = ["exchange", "swap"]
+PROVIDERS = ["exchange", "swap"]
 
 
 def seeds(labels: DataFrame) -> DataFrame:
     """Labels to start discovery from: of service providers, not derived, not deposit addresses."""
-    return labels.where(F.col("category").isin(VASP) & (F.col("tier") != "derived") & (F.col("kind") != "deposit"))
+    return labels.where(F.col("category").isin(PROVIDERS) & (F.col("tier") != "derived") & (F.col("kind") != "deposit"))
 
 
 def hidden(labels: DataFrame, keys: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowlens.operators.labels import CATEGORY_RANK, TIER_RANK, dedupe
+
 ASSETS = {"A": "USDT", "N": "USDC", "R": "COIN"}
 STABLE = ["USDT", "USDC"]
 
@@ -55,9 +57,6 @@ def utxo(spark: SparkSession, sf_dir: str) -> DataFrame:
 CATEGORIES = ["exchange", "swap", "sanctioned", "mixer", "bridge", "defi", "unknown"]
 TIERS = ["curated", "tag", "community", "derived"]
 KINDS = ["hot", "deposit", "cold"]
-#: Rank of a tier and of a category when labels of one address compete; higher wins.
-TIER_RANK = {"curated": 4, "tag": 3, "community": 2, "derived": 1}
-CATEGORY_RANK = {"sanctioned": 7, "mixer": 6, "exchange": 5, "bridge": 4, "swap": 3, "defi": 2, "unknown": 1}
 
 
 def _pick(values: list[str], at) -> F.Column:
@@ -87,8 +86,6 @@ def label_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One label an address: what remains of label_sources."""
-    from flowlens.operators.labels import dedupe
-
     return dedupe(label_sources(spark, sf_dir)).drop("chain")
 
 

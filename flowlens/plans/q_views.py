@@ -30,7 +30,7 @@ def dashboard_counts(spark, sf_dir):
 
 
 def top_exchanges(spark, sf_dir):
-    named = b.label_sources(spark, sf_dir).where(F.col("category").isin(labels.VASP))
+    named = b.label_sources(spark, sf_dir).where(F.col("category").isin(labels.PROVIDERS))
     return named.groupBy("entity").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "entity").limit(8)
 
 
