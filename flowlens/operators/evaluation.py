@@ -56,3 +56,36 @@ def chase(steps: DataFrame, rounds: int) -> DataFrame:
         at = at.join(far, "end", "left").select("wallet", F.coalesce(F.when(F.col("then") != F.col("wallet"), F.col("then")), F.col("end")).alias("end"), (F.col("length") + F.when(F.col("then") != F.col("wallet"), F.col("more")).otherwise(0)).alias("length"))
         at = at.withColumn("length", F.coalesce("length", F.lit(1)))
     return at
+
+
+def fold(wallets: DataFrame, per_column: int) -> DataFrame:
+    """origin, hop, wallet, amount, n: the largest wallets of each column, and all others of it as one row `more`."""
+    best = W.partitionBy("origin", "hop").orderBy(F.col("amount").desc(), "wallet")
+    name = F.when(F.row_number().over(best) <= per_column, F.col("wallet")).otherwise("more")
+    return wallets.select("origin", "hop", name.alias("wallet"), "amount").groupBy("origin", "hop", "wallet").agg(F.sum("amount").alias("amount"), F.count(F.lit(1)).alias("n"))
+
+
+def replay_steps(edges: DataFrame) -> DataFrame:
+    """origin, step, from_addr, to_addr, first_time, traced: a trace's arrows in the order in which they first appear."""
+    arrows = edges.groupBy("origin", "from_addr", "to_addr").agg(F.min("block_time").alias("first_time"), F.sum("traced").alias("traced"))
+    step = F.row_number().over(W.partitionBy("origin").orderBy("first_time", "from_addr", "to_addr")).cast("long")
+    return arrows.select("origin", step.alias("step"), "from_addr", "to_addr", "first_time", "traced")
+
+
+def days(events: DataFrame, key: str) -> DataFrame:
+    """key, day, n, n_in, gap_days, arrived_s over (key, ts, is_in): active days, the days since the one before, and
+    the seconds from the last arrival up to the day's first departure."""
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    own = W.partitionBy(key).orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, -1)
+    since = F.when(~F.col("is_in"), micros - F.last(F.when(F.col("is_in"), micros), ignorenulls=True).over(own))
+    per = events.withColumn("since", since).groupBy(key, F.to_date("ts").alias("day")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("is_in").alias("n_in"), F.floor(F.min_by("since", F.when(~F.col("is_in"), F.struct("ts", "event_id"))) / 1_000_000).cast("long").alias("arrived_s")
+    )
+    gap = F.datediff("day", F.lag("day").over(W.partitionBy(key).orderBy("day"))).cast("long")
+    return per.withColumn("gap_days", gap)
+
+
+def with_queued(ranked: DataFrame, queued: DataFrame, first: int) -> DataFrame:
+    """The first candidates of each origin and every queued entity (origin, entity) beyond them."""
+    late = ranked.where(F.col("rank") > first).join(queued, ["origin", "entity"], "left_semi")
+    return ranked.where(F.col("rank") <= first).unionByName(late)

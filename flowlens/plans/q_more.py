@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowlens.operators import edges, graph, ml, typologies, views
-from flowlens.operators import flow
+from flowlens.operators import edges, evaluation, flow, graph, ml, typologies, views
 from flowlens.plans import binding as b
 from flowlens.plans import q_flow, q_learn
 from flowlens.session import cut
@@ -67,7 +66,30 @@ def stream_sliding(spark, sf_dir):
     return views.latest(rows, ["user_id", "start"], [F.col("batch").desc()]).select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
-QUERIES = {f.__name__: f for f in (typology_flags, why_not_followed, blind_spots, case_heads, betweenness, gbt_reasons, stream_sessions, stream_sliding)}
+def _wallet_columns(spark, sf_dir):
+    edges = q_flow.traced(spark, sf_dir)[0]
+    return edges.groupBy("origin", F.col("hop").cast("long").alias("hop"), F.col("to_addr").alias("wallet")).agg(F.sum("traced").alias("amount"))
+
+
+def fold_graph(spark, sf_dir):
+    return evaluation.fold(_wallet_columns(spark, sf_dir), 4)
+
+
+def replay_steps(spark, sf_dir):
+    return evaluation.replay_steps(q_flow.traced(spark, sf_dir)[0])
+
+
+def timeline_days(spark, sf_dir):
+    return evaluation.days(b.wallet_events(spark, sf_dir), "wallet").withColumn("day", F.col("day").cast("string"))
+
+
+def nearest_with_queued(spark, sf_dir):
+    ranked = cut(q_flow.candidates(spark, sf_dir).select("origin", "entity", "rank"))
+    queued = ranked.where("rank % 3 = 0").select("origin", "entity")
+    return evaluation.with_queued(ranked, queued, 1)
+
+
+QUERIES = {f.__name__: f for f in (typology_flags, why_not_followed, blind_spots, case_heads, betweenness, gbt_reasons, stream_sessions, stream_sliding, fold_graph, replay_steps, timeline_days, nearest_with_queued)}
 
 ORACLES = {
     "typology_flags": b.sql("transfers labels", f"""{q_flow._ALL}, p as (select origin, to_addr as wallet, sum(traced)::bigint as amount, min(hop)::bigint as hops, count(distinct tx_hash) as n_tx, count(distinct from_addr) as senders from e group by all),
@@ -81,6 +103,16 @@ ORACLES = {
         where coalesce(y.v, 0) > coalesce(x.v, 0) and coalesce(x.origin, y.origin) in (select origin from top)"""),
     "case_heads": """select user_id, event_id, event_type, json_extract_string(props, '$.k')::bigint as k from events where user_id < 60 and user_id % 2 = 0
         qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1""",
+    "fold_graph": b.sql("transfers labels", f"""{q_flow._ALL}, w as (select origin, hop::bigint as hop, to_addr as wallet, sum(traced) as amount from e group by all),
+        k as (select *, row_number() over (partition by origin, hop order by amount desc, wallet) as i from w)
+        select origin, hop, case when i <= 4 then wallet else 'more' end as wallet, sum(amount)::bigint as amount, count(*) as n from k group by all"""),
+    "replay_steps": b.sql("transfers labels", f"""{q_flow._ALL}, aw as (select origin, from_addr, to_addr, min(block_time) as first_time, sum(traced)::bigint as traced from e group by all)
+        select origin, row_number() over (partition by origin order by first_time, from_addr, to_addr) as step, from_addr, to_addr, first_time, traced from aw"""),
+    "timeline_days": b.sql("wallet_events", """with s as (select *, case when not is_in then epoch_us(ts) - last_value(case when is_in then epoch_us(ts) end ignore nulls)
+            over (partition by wallet order by ts, event_id rows between unbounded preceding and 1 preceding) end as since from wallet_events),
+        d as (select wallet, ts::date as day, count(*) as n, count(*) filter (is_in) as n_in, floor(first(since order by ts, event_id) filter (not is_in) / 1000000)::bigint as arrived_s from s group by all)
+        select * replace (day::varchar as day), date_diff('day', lag(day) over (partition by wallet order by day), day) as gap_days from d"""),
+    "nearest_with_queued": b.sql("transfers labels", f"{q_flow._ALL}, {q_flow._CAND} select origin, entity, rank from cc where rank <= 1 or rank % 3 = 0"),
     "stream_sessions": """with g as (select user_id, ts, event_id, coalesce(ts - lag(ts) over (partition by user_id order by ts, event_id) >= interval 6 hour, true) as new from events),
         s as (select *, sum(new::int) over (partition by user_id order by ts, event_id) as k from g) select user_id, min(ts) as start, count(*) as n from s group by user_id, k""",
     "stream_sliding": """with w as (select user_id, time_bucket(interval 6 hour, ts) - to_hours(6 * k) as start from events, (select unnest([0, 1, 2, 3]) as k)) select user_id, start, count(*) as n from w group by all""",
