@@ -25,8 +25,8 @@ def active_entities(edges: DataFrame, least: int = 2) -> DataFrame:
 
 def member_stats(transfers: DataFrame, members: DataFrame) -> DataFrame:
     """For each member (column address): what it sent to and got from other members."""
-    inside = transfers.join(F.broadcast(members.select(F.col("address").alias("from_addr"))), "from_addr", "left_semi")
-    inside = inside.join(F.broadcast(members.select(F.col("address").alias("to_addr"))), "to_addr", "left_semi").where("from_addr <> to_addr")
+    inside = transfers.join(members.select(F.col("address").alias("from_addr")), "from_addr", "left_semi")
+    inside = inside.join(members.select(F.col("address").alias("to_addr")), "to_addr", "left_semi").where("from_addr <> to_addr")
     moves = inside.select(F.col("from_addr").alias("address"), "amount", F.lit(True).alias("sent")).unionByName(
         inside.select(F.col("to_addr").alias("address"), "amount", F.lit(False).alias("sent"))
     )

@@ -48,7 +48,7 @@ STABLE = ("USDT", "USDC")
 
 def pick_asset(moves: DataFrame, origins: DataFrame) -> DataFrame:
     """(origin, asset): the stablecoin that the origin paid most of, the first on ties; else the coin."""
-    sums = moves.join(F.broadcast(origins), F.col("from_addr") == F.col("origin")).groupBy("origin", "asset").agg(F.sum("amount").alias("paid"))
+    sums = moves.join(origins, F.col("from_addr") == F.col("origin")).groupBy("origin", "asset").agg(F.sum("amount").alias("paid"))
     rank = F.struct(F.col("asset").isin(*STABLE), "paid", (F.col("asset") == STABLE[0]))
     return sums.groupBy("origin").agg(F.max_by("asset", rank).alias("asset"))
 
@@ -65,12 +65,13 @@ def trace(moves: DataFrame, origins: DataFrame, labels: DataFrame, rules: Rules
     Each hop joins the frontier with payments once. A wallet that is labelled, small, a hub or the origin isn't
     followed; of one that is, at most fetch_limit payments from its first arrival on are read.
     """
-    origins = origins.select("origin")
-    picked = pick_asset(moves, origins)
+    # written, so that Spark knows whether they are few enough to be broadcast
+    origins = cut(origins.select("origin"))
+    picked = cut(pick_asset(moves, origins))
     real = moves.where((F.col("from_addr") != F.col("to_addr")) & (F.col("amount") >= rules.dust))
     degree = real.groupBy("from_addr").agg(F.count_distinct("to_addr").alias("degree")).where(F.col("degree") >= rules.hub_degree)
     hubs = cut(degree.select(F.col("from_addr").alias("wallet"), F.lit(True).alias("hub")))
-    first = real.join(F.broadcast(picked.withColumnRenamed("asset", "pick")), (F.col("from_addr") == F.col("origin")) & (F.col("asset") == F.col("pick")))
+    first = real.join(picked.withColumnRenamed("asset", "pick"), (F.col("from_addr") == F.col("origin")) & (F.col("asset") == F.col("pick")))
     columns = ["origin", "hop", "tx_hash", "block_time", "from_addr", "to_addr", "asset", "amount", "traced"]
     level = cut(first.withColumn("hop", F.lit(1)).withColumn("traced", F.col("amount")).select(columns))
     totals = level.groupBy("origin").agg(F.sum("traced").alias("total"))
@@ -81,7 +82,7 @@ def trace(moves: DataFrame, origins: DataFrame, labels: DataFrame, rules: Rules
         reached = reached.join(totals, "origin").join(known, "wallet", "left").join(hubs, "wallet", "left")
         if hidden is not None:
             gone = hidden.select("origin", "entity", F.lit(True).alias("gone"))
-            reached = reached.join(F.broadcast(gone), ["origin", "entity"], "left").withColumn("entity", F.when(F.col("gone").isNull(), F.col("entity")))
+            reached = reached.join(gone, ["origin", "entity"], "left").withColumn("entity", F.when(F.col("gone").isNull(), F.col("entity")))
         reason = (
             F.when(F.col("entity").isNotNull(), "labelled").when(F.col("wallet") == F.col("origin"), "origin")
             .when(F.col("received") * 100 < F.col("total") * rules.min_share, "small").when(F.col("hub"), "hub").when(F.lit(hop == rules.hops), "depth_limit")

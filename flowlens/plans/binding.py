@@ -66,7 +66,7 @@ def _pick(values: list[str], at) -> F.Column:
 def label_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """address, chain, entity, category, tier, kind, source, confidence: up to three sources name an address."""
     s, n, r = (table(spark, sf_dir, t) for t in ("supplier", "nation", "region"))
-    base = s.join(F.broadcast(n), s.s_nationkey == n.n_nationkey).join(F.broadcast(r), n.n_regionkey == r.r_regionkey)
+    base = s.join(n, s.s_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
     key = F.col("s_suppkey")
     first = base.select(
         F.concat(F.lit("W"), key).alias("address"), F.col("r_name").alias("chain"), F.col("n_name").alias("entity"),

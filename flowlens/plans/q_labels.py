@@ -65,7 +65,7 @@ def normalise_labels(spark, sf_dir):
     n, s = b.table(spark, sf_dir, "nation"), b.table(spark, sf_dir, "supplier")
     marks = F.element_at(F.array(*map(F.lit, ["", " Dep: 12", " Hot Wallet", " 14", " Cold-Vault"])), (F.col("s_suppkey") % 5 + 1).cast("int"))
     source = F.element_at(F.array(*map(F.lit, ["registry+crowd", "model", "crowd+model", "x+tagset"])), (F.col("s_suppkey") % 4 + 1).cast("int"))
-    rows = s.join(F.broadcast(n), s.s_nationkey == n.n_nationkey).select("s_suppkey", F.concat("n_name", marks).alias("label"), source.alias("source"))
+    rows = s.join(n, s.s_nationkey == n.n_nationkey).select("s_suppkey", F.concat("n_name", marks).alias("label"), source.alias("source"))
     return rows.select("s_suppkey", ops.canonical_entity(F.col("label"), ALIASES).alias("entity"), ops.infer_kind(F.col("label")).alias("kind"), ops.tier_of(F.col("source")).alias("tier"))
 
 
@@ -87,7 +87,7 @@ def label_search_page(spark, sf_dir):
 
 
 def tag_check(spark, sf_dir):
-    tags = b.table(spark, sf_dir, "customer").select(F.concat(F.lit("W"), "c_custkey").alias("address"), "c_nationkey").join(F.broadcast(b.table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    tags = b.table(spark, sf_dir, "customer").select(F.concat(F.lit("W"), "c_custkey").alias("address"), "c_nationkey").join(b.table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     return ops.tag_check(b.transfers(spark, sf_dir), b.labels(spark, sf_dir), tags.select("address", F.col("n_name").alias("tagged")))
 
 

@@ -37,7 +37,7 @@ def case_heads(spark, sf_dir):
     """The newest event of some users, with a field of its JSON: a case store's heads."""
     e = b.table(spark, sf_dir, "events")
     wanted = spark.range(0, 60, 2).withColumnRenamed("id", "user_id")
-    newest = views.latest(e.join(F.broadcast(wanted), "user_id", "left_semi"), ["user_id"], [F.col("ts").desc(), F.col("event_id").desc()])
+    newest = views.latest(e.join(wanted, "user_id", "left_semi"), ["user_id"], [F.col("ts").desc(), F.col("event_id").desc()])
     return newest.select("user_id", "event_id", "event_type", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 

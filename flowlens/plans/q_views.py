@@ -15,7 +15,7 @@ def _cases(spark, sf_dir):
     """Orders as cases: id, chain, outcome, priority, opened, value."""
     o, c, n = (b.table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
     r = b.table(spark, sf_dir, "region")
-    place = F.broadcast(n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey))
+    place = n.join(r, n.n_regionkey == r.r_regionkey)
     joined = o.join(c, o.o_custkey == c.c_custkey).join(place, c.c_nationkey == n.n_nationkey)
     return joined.select(
         F.col("o_orderkey").alias("case_id"), F.col("r_name").alias("chain"), F.col("n_name").alias("entity"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"),
