@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
-from pyspark.ml.feature import RobustScaler, VectorAssembler
+from pyspark.ml.feature import PCA, RobustScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowlens.operators.graph import components
+from flowlens.session import written
+
 
 def fit_trees(rows: DataFrame, features: list[str], label: str = "y", trees: int = 20, depth: int = 4, seed: int = 7) -> GBTClassificationModel:
     """Boosted trees with positives weighted up to the negatives; null features count as -1."""
@@ -103,6 +108,41 @@ def novelty(rows: DataFrame, vector: str, sample_rows: int = 5000) -> DataFrame:
     return raw.join(F.broadcast(ends)).withColumn("novelty", F.coalesce(F.round(clipped, 6), F.lit(0.0))).select(*rows.columns, "novelty")
 
 
+def projected(rows: DataFrame, key: str, vector: str, parts: int = 2) -> DataFrame:
+    """(key, c1 to c<parts>): the leading principal components of scaled vectors, each in units of its quartile range."""
+    found = rows.select(key, array_to_vector(F.col(vector).cast("array<double>")).alias("v0"))
+    steps = [RobustScaler(inputCol="v0", outputCol="v1", withCentering=True), PCA(k=parts, inputCol="v1", outputCol="v2"), RobustScaler(inputCol="v2", outputCol="v3", withCentering=True)]
+    for step in steps:
+        found = step.fit(found).transform(found)
+    return found.withColumn("at", vector_to_array("v3")).select(key, *[F.col("at")[k].alias(f"c{k + 1}") for k in range(parts)])
+
+
+def density_clusters(rows: DataFrame, key: str, at: list[str], width: float = 0.25, min_rows: int = 5, min_cluster: int = 25) -> DataFrame:
+    """(key, cluster, size): dense regions of the space that the columns `at` span, a row per row; noise is '-1', size 0.
+
+    Space is cut into cells. Cells of min_rows rows are dense and dense cells that touch are one cluster; a sparse cell
+    goes with the fullest dense cell that it touches, of equal ones the last; clusters below min_cluster rows are noise,
+    and so are rows with a null or NaN. Only cells meet each other, so a crowded cell costs what any other does.
+    """
+    whole = [F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in at]
+    cell = F.array(*[F.floor(v / width).cast("long") for v in whole])
+    placed = written(rows.select(key, F.when(~F.exists(cell, lambda x: x.isNull()), cell).alias("cell")), "placed")
+    cells = written(placed.where("cell is not null").groupBy("cell").agg(F.count(F.lit(1)).alias("n")), "cells")
+    shifts = [F.array(*[F.col("cell")[k] + F.lit(step) for k, step in enumerate(way)]) for way in product((-1, 0, 1), repeat=len(at))]
+    touching = cells.select("cell", "n", F.explode(F.array(*shifts)).alias("other"))
+    dense = F.col("n") >= min_rows
+    full = cells.where(dense).select(F.col("cell").alias("other"), F.col("n").alias("other_n"))
+    linked = touching.where(dense & (F.col("cell") < F.col("other"))).join(full, "other").select(F.col("cell").alias("a"), F.col("other").alias("b"))
+    roots = components(linked)
+    named = full.join(roots, F.col("other") == F.col("node"), "left").select("other", "other_n", F.coalesce("root", "other").alias("root"))
+    named = written(named, "dense")
+    aside = touching.where(~dense).join(named, "other").groupBy("cell", "n").agg(F.max_by("root", F.struct("other_n", "other")).alias("root"))
+    members = written(aside.unionByName(named.select(F.col("other").alias("cell"), F.col("other_n").alias("n"), "root")), "members")
+    sizes = members.groupBy("root").agg(F.sum("n").alias("size")).where(F.col("size") >= min_cluster)
+    known = written(members.join(sizes, "root").select("cell", F.array_join("root", ",").alias("cluster"), "size"), "clusters")
+    return placed.join(known, "cell", "left").select(key, F.coalesce("cluster", F.lit("-1")).alias("cluster"), F.coalesce("size", F.lit(0)).alias("size"))
+
+
 def reasons(model: GBTClassificationModel, rows: DataFrame, features: list[str], key: str, top: int = 3) -> DataFrame:
     """key, rank, feature, effect: the features that move a row's score most from what it would be with their median.
 

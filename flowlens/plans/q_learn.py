@@ -42,6 +42,11 @@ def novelty_score(spark, sf_dir):
     return ml.novelty(b.table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "embedding").select("vec_id", "novelty")
 
 
+def novelty_clusters(spark, sf_dir):
+    places = ml.projected(b.table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return ml.density_clusters(places, "vec_id", ["c1", "c2"])
+
+
 def _stream(spark, sf_dir, columns):
     schema = b.table(spark, sf_dir, "events").schema
     # a stream reads folders: the one file is picked by its name
@@ -79,7 +84,7 @@ def stream_freeze_state(spark, sf_dir):
     return newest.where("since is not null").select("address", F.col("since").cast("timestamp_ntz").alias("since"))
 
 
-QUERIES = {f.__name__: f for f in (gbt_score, gbt_importance, gbt_calibrated, novelty_score, stream_tumbling, stream_dedup, stream_freeze_state)}
+QUERIES = {f.__name__: f for f in (gbt_score, gbt_importance, gbt_calibrated, novelty_score, novelty_clusters, stream_tumbling, stream_dedup, stream_freeze_state)}
 
 ORACLES = {
     "stream_tumbling": "select time_bucket(interval 1 hour, ts) as start, event_type, count(*) as n, sum(round(value * 100)::bigint)::bigint as cents from events group by all",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from flowlens.functions import addresses, stats
 from flowlens.functions import text as words
-from flowlens.operators import flow, graph, metrics, typologies, views
+from flowlens.operators import flow, graph, metrics, ml, typologies, views
 
 START = datetime(2026, 1, 1)
 
@@ -256,3 +256,47 @@ def test_scratch_tables_can_be_dropped(spark, tmp_path):
     assert session.drop_scratch(spark) > 0
     with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
         spark.read.parquet(path).count()
+
+
+def dense_regions(points, width, min_rows, min_cluster):
+    """{id: (the first cell of its region or -1, rows there)}, by a walk over touching cells."""
+    spots = {k: tuple(math.floor(v / width) for v in at) for k, at in points.items() if None not in at and not any(map(math.isnan, at))}
+    n = {}
+    for c in spots.values():
+        n[c] = n.get(c, 0) + 1
+    touch = lambda c: [(c[0] + x, c[1] + y) for x in (-1, 0, 1) for y in (-1, 0, 1)]
+    region = {}
+    for c in sorted(c for c in n if n[c] >= min_rows):
+        todo = [] if c in region else [c]
+        while todo:
+            at = todo.pop()
+            region[at] = c
+            todo += [o for o in touch(at) if n.get(o, 0) >= min_rows and o not in region]
+    for c in [c for c in n if n[c] < min_rows]:
+        near = [(n[o], o) for o in touch(c) if n.get(o, 0) >= min_rows]
+        region[c] = region[max(near)[1]] if near else None
+    size = {}
+    for c, root in region.items():
+        size[root] = size.get(root, 0) + n[c]
+    out = {}
+    for k in points:
+        root = region.get(spots.get(k))
+        big = root is not None and size[root] >= min_cluster
+        out[k] = (",".join(map(str, root)), size[root]) if big else ("-1", 0)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_density_clusters_are_touching_cells(spark, seed):
+    r = random.Random(seed)
+    points = {k: (r.gauss(3 * (k % 3), 0.4), r.gauss(-2 * (k % 2), 0.4)) for k in range(300)}
+    points |= {300: (None, 1.0), 301: (math.nan, 1.0), 302: (90.0, 90.0)} | {k: (40.1, 40.1) for k in range(303, 333)}
+    df = spark.createDataFrame([(k, *at) for k, at in points.items()], "id long, x double, y double")
+    found = {row.id: (row.cluster, row["size"]) for row in ml.density_clusters(df, "id", ["x", "y"], 0.25, 4, 20).collect()}
+    expected = dense_regions(points, 0.25, 4, 20)
+    assert found == expected
+    assert found[302] == ("-1", 0) and found[303][1] == 30 and len(set(found.values())) > 2
+
+
+def test_density_clusters_of_nothing(spark):
+    assert ml.density_clusters(spark.createDataFrame([], "id long, x double"), "id", ["x"]).count() == 0
