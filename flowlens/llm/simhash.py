@@ -26,23 +26,33 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 CHUNK = 1 << 16
 
 
-def fingerprint(text: str | None, words: int = WORDS) -> int:
-    """The signed 64-bit SimHash of the text's word shingles, repeats included; 0 where there is no word."""
+def shingles(text: str | None, words: int) -> tuple[int, Iterator]:
+    """How many word shingles the text has, repeats included, and their 64-bit hashes in arrays of at most CHUNK."""
     import numpy as np
     import xxhash
 
     tokens = (text or "").encode("utf-8", "surrogatepass").translate(ASCII_LOWER).split()
     if not tokens:
-        return 0
+        return 0, iter(())
     joined, digest = b" ".join(tokens), xxhash.xxh64_intdigest
     starts = np.zeros(len(tokens) + 1, dtype=np.int64)
     np.cumsum([len(t) + 1 for t in tokens], out=starts[1:])
     n = max(1, len(tokens) - words + 1)
     span = min(words, len(tokens))
     first, last = starts[:n].tolist(), (starts[span : span + n] - 1).tolist()
+    parts = (np.array([digest(joined[a:b], 42) for a, b in zip(first[k : k + CHUNK], last[k : k + CHUNK])], dtype="<u8") for k in range(0, n, CHUNK))
+    return n, parts
+
+
+def fingerprint(text: str | None, words: int = WORDS) -> int:
+    """The signed 64-bit SimHash of the text's word shingles, repeats included; 0 where there is no word."""
+    import numpy as np
+
+    n, parts = shingles(text, words)
+    if not n:
+        return 0
     ones = np.zeros(64, dtype=np.int64)
-    for k in range(0, n, CHUNK):
-        hashes = np.array([digest(joined[a:b], 42) for a, b in zip(first[k : k + CHUNK], last[k : k + CHUNK])], dtype="<u8")
+    for hashes in parts:
         ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
 
@@ -116,6 +126,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bi
     prints = docs.select(spot.alias("id"), mark.alias("mark"), _fingerprints(F.col(text_col)).alias("fp"))
     prints = written(prints.groupBy("id", "mark", "fp").count(), "simhash")
     rooted = written(_classes(prints, bits), "simhash-rooted")
+    return least_of_each(docs, prints, rooted, id_col, text_col)
+
+
+def least_of_each(docs: DataFrame, prints: DataFrame, rooted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The row of docs with the smallest id of each root: prints has (id, mark, fp, count), rooted (fp, root)."""
+    spot, mark = F.col(id_col), F.xxhash64(text_col)
     order = F.struct(F.col("id").isNull().alias("unknown"), "id", "mark")
     best = prints.groupBy("fp").agg(F.min(order).alias("best")).join(rooted, "fp").groupBy("root").agg(F.min("best").alias("best"))
     best = rooted.join(best, "root").select("fp", "best")
