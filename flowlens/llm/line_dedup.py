@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from flowlens.llm.common import fresh, written
 
 #: Share of a host's pages above which a line is boilerplate, and the least number of pages that must contain it.
-RATIO, MIN_PAGES = 0.08, 5
+RATIO, MIN_PAGES = 0.01, 5
 
 
 def line_key(line: Column) -> Column:
