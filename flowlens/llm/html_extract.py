@@ -11,8 +11,9 @@ from __future__ import annotations
 import math
 import re
 import uuid
+from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
@@ -28,7 +29,9 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 INLINE = set(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
-UNSEEN = set("script style template noscript title svg math iframe object canvas audio video select textarea button option head".split())
+UNSEEN = set("script style template noscript title svg iframe object canvas audio video select textarea button option head".split())
+IN_HEAD = set("base basefont bgsound head html link meta noframes noscript script style template title".split())
+PARTS = set("address article aside body blockquote footer form h1 h2 h3 h4 h5 h6 header main nav ol p section table ul".split())
 ENDS_P = set(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split()
 )
@@ -72,15 +75,33 @@ class Node:
     stops: int = 0
 
 
+#: Unseen elements that a part of a page can't be in, and others that an end tag somewhere further on closes.
+NARROW = ("button", "option", "select", "textarea", "title")
+NESTED = ("object", "svg", "template")
+
+
 class Tree(HTMLParser):
-    """The block elements of a page, with ends of elements supplied where HTML lets authors leave them out."""
+    """The block elements of a page, with ends of elements supplied where authors leave them out.
+
+    Unseen elements leave no gap in the block around them. One whose end tag is missing ends at the next block element
+    or with the block it is in; head ends at body or at anything that head can't hold. All in math is part of its line.
+    """
 
     def __init__(self, html: str) -> None:
         super().__init__(convert_charrefs=True)
         self.root = Node("html", None)
         self.open: list[tuple[str, Node]] = [("html", self.root)]
+        self.at: dict[str, list[int]] = {}  # places in open of each tag
+        self.loose: list[int] = []  # places in open of unseen elements without an end
         self.nodes = [self.root]
-        self.links = self.unseen = 0
+        self.unseen = 0
+        # a comment without an end is none: its mark goes, and what follows stays
+        after = html.rfind("-->") + 3 if "-->" in html else 0
+        html = html[:after] + html[after:].replace("<!--", "")
+        # nor is a tag one that the page breaks off in
+        last = html.rfind(">") + 1
+        html = html[:last] + re.split(r"<[!?/a-zA-Z]", html[last:], maxsplit=1)[0]
+        self.html, self.tags, self.lines = html, {}, None
         self.feed(html)
         self.close()
         for node in reversed(self.nodes[1:]):  # children come after their parents
@@ -88,48 +109,83 @@ class Tree(HTMLParser):
             node.parent.linked += node.linked
             node.parent.stops += node.stops
 
-    def handle_starttag(self, tag: str, attrs: list) -> None:
+    def _ends(self, tag: str) -> bool:
+        """Whether the unseen element that starts here has an end tag of its own."""
+        if self.lines is None:
+            self.lines = [0, *(m.end() for m in re.finditer("\n", self.html))]
+        if tag not in self.tags:
+            self.tags[tag] = tuple([m.start() for m in re.finditer(rf"<{mark}{tag}(?![\w-])", self.html, re.I)] for mark in ("", "/"))
+        line, column = self.getpos()
+        here = self.lines[line - 1] + column
+        starts, ends = self.tags[tag]
+        end, other = bisect_left(ends, here), bisect_left(starts, here + 1)
+        return end < len(ends) and (tag in NESTED or other == len(starts) or ends[end] < starts[other])
+
+    def _make_room(self, tag: str) -> None:
+        """Closes what the element that starts can't be in."""
+        if self.at.get("head") and (tag == "body" or tag not in IN_HEAD and self.open[-1][0] in ("head", "title")):
+            self._cut(self.at["head"][-1])
+        if tag in PARTS:
+            self._end(NARROW, ())
+        if self.loose and tag not in INLINE and tag not in VOID and tag not in UNSEEN:
+            self._cut(self.loose[0])
         if tag in ENDS_P:
-            self._end({"p"}, {"button", "table", "td", "th"})
+            self._end(("p",), ("button", "table", "td", "th"))
         if tag in ENDS:
             self._end(ENDS[tag], SCOPE[tag])
-        node = self.open[-1][1]
-        if tag == "html":
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        self._make_room(tag)
+        if tag == "html" or tag == "body" and self.at.get("body"):
             return
+        node = self.open[-1][1]
         if tag in VOID:
-            if tag in ("br", "hr"):
+            if tag == "br":
                 self.handle_data("\n")
+            elif tag == "hr" and not self.unseen:
+                node.order.append([])
             return
-        if tag not in INLINE:
+        if tag not in INLINE and tag != "math" and not self.at.get("math"):
             values = dict(attrs)
             names = " ".join(values.get(k) or "" for k in ("class", "id", "role")).lower()
             cues = frozenset(_CUE[w] for w in re.split(r"[^a-z]+", names) if w in _CUE)
-            node.order.append(made := Node(tag, node, cues, values.get(MARK)))
+            made = Node(tag, node, cues, values.get(MARK))
+            if tag not in UNSEEN:
+                node.order.append(made)
             node.kids.append(made)
             self.nodes.append(made)
             node = made
+        if tag in UNSEEN:
+            self.unseen += 1
+            if tag != "head" and not self._ends(tag):
+                self.loose.append(len(self.open))
+        self.at.setdefault(tag, []).append(len(self.open))
         self.open.append((tag, node))
-        self.links += tag == "a"
-        self.unseen += tag in UNSEEN
 
     def handle_endtag(self, tag: str) -> None:
-        if tag not in ("html", "body"):
-            self._end({tag}, set() if tag in INLINE else {"td", "th", "table"} - {tag} if tag not in ("tr", "tbody", "thead", "tfoot", "table") else {"table"} - {tag})
+        if tag == "br":
+            self.handle_data("\n")
+        elif tag not in ("html", "body"):
+            self._end((tag,), () if tag in INLINE else {"td", "th", "table"} - {tag} if tag not in ("tr", "tbody", "thead", "tfoot", "table") else {"table"} - {tag})
 
-    def _end(self, tags: set[str], scope: set[str]) -> None:
+    def _end(self, tags: Iterable[str], scope: Iterable[str]) -> None:
         """Closes the innermost open element of tags, and all inside it, unless one of scope stands between."""
-        for k in range(len(self.open) - 1, 0, -1):
-            tag = self.open[k][0]
-            if tag in tags:
-                for gone, _ in self.open[k:]:
-                    self.links -= gone == "a"
-                    self.unseen -= gone in UNSEEN
-                del self.open[k:]
-                return
-            if tag in scope:
-                return
+        last = lambda names: max((self.at[t][-1] for t in names if self.at.get(t)), default=0)
+        if (k := last(tags)) > last(scope):
+            self._cut(k)
+
+    def _cut(self, k: int) -> None:
+        """Closes the open elements from the k-th on."""
+        for gone, _ in self.open[k:]:
+            self.at[gone].pop()
+            self.unseen -= gone in UNSEEN
+        del self.open[k:]
+        while self.loose and self.loose[-1] >= k:
+            self.loose.pop()
 
     def handle_data(self, data: str) -> None:
+        if self.unseen and self.open[-1][0] == "head" and data.strip():
+            self._cut(self.at["head"][-1])
         if self.unseen:
             return
         node = self.open[-1][1]
@@ -138,7 +194,7 @@ class Tree(HTMLParser):
         node.order[-1].append(data)
         bare = len(data) - data.count(" ")
         node.size += bare
-        node.linked += bare if self.links else 0
+        node.linked += bare if self.at.get("a") else 0
         node.stops += data.count(". ") + data.count(", ") + data.count(".\n") + (data.rstrip()[-1:] in (".", "!", "?", "…"))
 
 
@@ -276,8 +332,9 @@ def extract(pages: DataFrame, pots: Potentials, id_col: str = "page_id", url_col
     """One row per row of pages: page_id, url, text, n_chars.
 
     Defined cases: null, empty and text-free pages have an empty text; text outside any element belongs to the root;
-    ends that are missing are supplied; a page that breaks off keeps what came before; repeated rows repeat; an empty
-    table gives no rows; other columns of pages are not read.
+    ends that are missing are supplied (see Tree), so an article after an open head, button or the like is kept; a
+    page of any depth or length takes time in proportion to it; a page that breaks off keeps what came before;
+    repeated rows repeat; an empty table gives no rows; other columns of pages are not read.
     """
     found = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), extracted(pots, F.col(html_col)).alias("text"))
     return found.withColumn("n_chars", F.char_length("text").cast("long"))

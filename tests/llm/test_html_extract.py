@@ -1,5 +1,6 @@
 import itertools
 import math
+import time
 
 import pytest
 
@@ -73,3 +74,39 @@ def test_operator(spark, pots):
     got = H.extract(pages, pots).collect()
     assert len(got) == 4 and all(r.n_chars == len(r.text) for r in got) and {r.page_id: r.text for r in got}[None] == ""
     assert H.extract(pages.limit(0), pots).count() == 0
+
+
+STORY = "<h1>Big news</h1><p>First line, with <b>bold</b> text. It goes on and on for a while.<p>Second line. And another sentence here."
+
+
+@pytest.mark.parametrize("frame", ["<article>{}</article>", "<div class=article>{}</div>"])
+@pytest.mark.parametrize(
+    "before",
+    [
+        "<html><head><title>x</title><body>", "<html><head><title>x</title>", "<head><meta charset=utf-8><style>p{}</style><body>", "<head>",
+        "<body><button>Menu", "<body><div><button>Menu</div>", "<body><button>Menu<div>icon</div></button>", "<body><select><option>a<option>b",
+        "<body><video src=x>", "<body><audio>", "<body><canvas>", "<body><svg><path d=x>", "<body><object data=x>", "<body><noscript><img src=x>",
+        "<body><!-- no end ",
+    ],
+)
+def test_missing_ends_lose_no_article(pots, before, frame):
+    found = H.main_text(before + frame.format(STORY), pots)
+    assert "Big news\nFirst line, with bold text. It goes on and on for a while.\nSecond line. And another sentence here." in found and "icon" not in found
+
+
+def test_what_is_unseen_leaves_no_gap_and_math_stays(pots):
+    html = "<article><p>Energy is <math><mi>E</mi><mo>=</mo><mi>m</mi></math> in this text, and so it goes on. <script>x</script>More <svg><text>no</text></svg>here.</p><hr>End of it.</article>"
+    assert H.main_text(html, pots) == "Energy is E=m in this text, and so it goes on. More here.\nEnd of it."
+
+
+@pytest.mark.parametrize("page", ["<div>{}</div>", "<div>{}</b>", "<p><button><div>{}", "<table><tr><td>{}", "<ul><li>{}", "<object>{}", "<!--{}", "<?{}", "<a {}", "<![{}"])
+def test_time_grows_with_the_page(pots, page):
+    start, _, end = page.partition("{}")
+
+    def seconds(n):
+        began = time.process_time()
+        H.main_text(start * n + "text" + end * n, pots)
+        return time.process_time() - began
+
+    small = max(0.01, seconds(4000))
+    assert seconds(40_000) < 30 * small
