@@ -3,7 +3,8 @@
 A document becomes some thirty numbers (shares of kinds of characters, lengths, repetition, compressibility); random
 cosines of their standardised values approximate a Gaussian kernel. Each partition of the labelled sample sums its
 part of the normal equations, Spark adds the parts, and the driver solves one system whose size is the number of
-features. The scores of the sample, counted in narrow bins, give the isotonic steps that turn a score into a chance.
+features. Isotonic steps turn a score into a chance; a ridge looks too good on the rows it was fitted on, so the steps
+come from scores, counted in narrow bins, that each half of the sample gets from the ridge of the other half.
 """
 
 from __future__ import annotations
@@ -11,7 +12,8 @@ from __future__ import annotations
 import uuid
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -146,18 +148,26 @@ def _statistics(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def _normal_parts(model: Model):
     def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((FEATURES + 1, FEATURES + 2))
+        total = np.zeros((2, FEATURES + 1, FEATURES + 2))
         for batch in batches:
-            z = model.features(np.stack(batch["stats"].to_list()))
-            w = batch["weight"].to_numpy()[:, None]
-            total += (z * w).T @ np.hstack([z, batch["y"].to_numpy(dtype=float)[:, None]])
-        yield pd.DataFrame({"i": np.arange(len(total)), "part": list(total)})
+            for half, rows in batch.groupby("half"):
+                z = model.features(np.stack(rows["stats"].to_list()))
+                w = rows["weight"].to_numpy()[:, None]
+                total[half] += (z * w).T @ np.hstack([z, rows["y"].to_numpy(dtype=float)[:, None]])
+        for half in (0, 1):
+            yield pd.DataFrame({"half": half, "i": np.arange(FEATURES + 1), "part": list(total[half])})
 
     return parts
 
 
 def _added(parts: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"i": parts["i"].iloc[:1].to_numpy(), "part": [np.sum(np.stack(parts["part"].to_list()), axis=0)]})
+    return parts[["half", "i"]].iloc[:1].assign(part=[np.sum(np.stack(parts["part"].to_list()), axis=0)])
+
+
+def _ridge(sums: np.ndarray) -> np.ndarray:
+    """The coefficients that solve the normal equations; without rows, none count."""
+    weight = sums[-1, -2]
+    return np.linalg.solve(sums[:, :-1] + RIDGE * weight * np.eye(FEATURES + 1), sums[:, -1]) if weight else np.zeros(FEATURES + 1)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = PER_CLASS) -> Model:
@@ -167,7 +177,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     small_batches(docs.sparkSession)
     sample = labelled_sample(docs, labels, label_col, per_class, id_col, text_col)
-    sample = written(sample.select(_statistics(F.col("text")).alias("stats"), "y", "weight"), "quality-sample")
+    half = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).cast("int").alias("half")
+    sample = written(sample.select(half, _statistics(F.col("text")).alias("stats"), "y", "weight"), "quality-sample")
     one = F.posexplode("stats").alias("i", "x")
     moments = sample.select(one).groupBy("i").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd")).orderBy("i").collect()  # a row for each statistic
     if not moments:
@@ -183,21 +194,23 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         np.array([0.5]),
     )
     # the sample is bounded, so a few partitions hold it and few parts are added
-    parts = sample.coalesce(16).mapInPandas(_normal_parts(model), "i int, part array<double>")
-    rows = parts.groupBy("i").applyInPandas(_added, "i int, part array<double>").orderBy("i").collect()
+    parts = sample.coalesce(16).mapInPandas(_normal_parts(model), "half int, i int, part array<double>")
+    rows = parts.groupBy("half", "i").applyInPandas(_added, "half int, i int, part array<double>").orderBy("half", "i").collect()
     if not rows:
         return model
-    sums = np.array([r["part"] for r in rows])
-    weight = sums[-1, -2]
-    if weight == 0:
+    halves = np.array([r["part"] for r in rows]).reshape(2, FEATURES + 1, FEATURES + 2)
+    if not halves[:, -1, -2].any():
         return model
-    model.coefficients = np.linalg.solve(sums[:, :-1] + RIDGE * weight * np.eye(FEATURES + 1), sums[:, -1])
-    return _calibrated(model, sample)
+    model.coefficients = _ridge(halves.sum(axis=0))
+    # a half that has no rows leaves the other to be scored by the ridge of all
+    others = [_ridge(halves[1 - k]) if halves[:, -1, -2].all() else model.coefficients for k in (0, 1)]
+    return _calibrated(model, [(sample.where(F.col("half") == k), replace(model, coefficients=others[k])) for k in (0, 1)])
 
 
-def _calibrated(model: Model, sample: DataFrame) -> Model:
-    """The model with isotonic steps from the sample's scores in bins; a score far out falls into the outermost bin."""
-    binned = sample.select(_raw(model)(F.col("stats")).alias("raw"), "y", "weight")
+def _calibrated(model: Model, scored: list[tuple[DataFrame, Model]]) -> Model:
+    """The model with isotonic steps from samples, each scored by a model not fitted on it, in bins; a score far out
+    falls into the outermost bin."""
+    binned = reduce(DataFrame.unionByName, (rows.select(_raw(other)(F.col("stats")).alias("raw"), "y", "weight") for rows, other in scored))
     place = F.least(F.greatest(F.floor((F.col("raw") + 0.5) * (BINS / 2)), F.lit(0)), F.lit(BINS - 1)).alias("bin")
     bins = binned.groupBy(place).agg(F.sum(F.col("y") * F.col("weight")).alias("hits"), F.sum("weight").alias("n")).orderBy("bin").collect()  # at most BINS rows
     at = np.array([(r["bin"] + 0.5) * 2 / BINS - 0.5 for r in bins])

@@ -24,8 +24,8 @@ from pyspark.sql import types as T
 from flowlens.llm.common import held_out, small_batches, written
 from flowlens.llm.labelled import labelled_sample
 
-#: Labelled documents of each class that are learned from, in expectation, and the most terms that are kept.
-PER_CLASS, MAX_TERMS = 4000, 5000
+#: Labelled documents of each class that are learned from, in expectation.
+PER_CLASS = 4000
 #: Lengths of word beginnings that may be terms; a term must be this much likelier in toxic documents.
 STEMS, MIN_LOG_ODDS = (4, 5, 6, 7), math.log(30)
 THRESHOLD = 0.7
@@ -75,14 +75,15 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"term": keys, "toxic": [toxic[k] for k in keys], "clean": [clean[k] for k in keys]})
 
 
-def learn_lexicon(sample: DataFrame, max_terms: int = MAX_TERMS) -> dict[str, float]:
-    """term -> weight, from (text, y): terms that are far likelier in toxic documents, beyond what chance explains.
+def learn_lexicon(sample: DataFrame) -> dict[str, float]:
+    """term -> weight, from (doc_id, text, y): terms that are far likelier in toxic documents, beyond chance.
 
     Near copies would lend their words false support, so of documents that share the least hash of their word pairs
-    one counts.
+    the one with the smallest id counts. All terms that qualify are kept: each is in three toxic documents or more of
+    the sample, which bounds what is collected.
     """
     pairs = F.transform("words", lambda w, i: F.xxhash64(w, F.get("words", i + 1)))
-    single = written(sample.withColumn("words", F.split(F.lower("text"), r"\s+")).withColumn("sketch", F.array_min(pairs)).dropDuplicates(["sketch", "y"]).select("text", "y"), "toxic-sample")
+    single = written(sample.withColumn("words", F.split(F.lower("text"), r"\s+")).groupBy(F.array_min(pairs).alias("sketch"), "y").agg(F.min(F.struct("doc_id", "text")).alias("first")).select("first.text", "y"), "toxic-sample")
     sizes = {r["y"]: r["count"] for r in single.groupBy("y").count().collect()}  # two rows
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     lexicon = {f" {w} ": SEED_WEIGHT for w in SEED_TERMS}
@@ -94,8 +95,7 @@ def learn_lexicon(sample: DataFrame, max_terms: int = MAX_TERMS) -> dict[str, fl
     least = max(3, math.ceil(math.log(2000) / -math.log(prior)))
     weight = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
     kept = counts.where(F.col("toxic") >= least).withColumn("weight", weight).where(F.col("weight") >= MIN_LOG_ODDS)
-    found = kept.orderBy(F.desc("toxic"), "term").limit(max_terms).select("term", "weight").collect()
-    return lexicon | {r["term"]: float(r["weight"]) for r in found}
+    return lexicon | {r["term"]: float(r["weight"]) for r in kept.select("term", "weight").orderBy("term").collect()}
 
 
 class Matcher:
@@ -128,13 +128,16 @@ class Matcher:
                 best[start] = max(best.get(start, 0.0), weight)
             else:
                 excused.append((start, end))
-        for a, b in excused:
-            for start in [s for s in best if a <= s < b]:
-                del best[start]
+        excused.sort(reverse=True)
         heaviest: dict[str, list[float]] = {}
-        for start, weight in best.items():
-            heaviest.setdefault(line[start + 1 : line.index(" ", start + 1)], []).append(weight)
-        return sum(max(w) * (1.5 if len(w) > 1 else 1.0) for w in heaviest.values()), len(best), len(tokens)
+        n_hits = reach = 0
+        for start in sorted(best):
+            while excused and excused[-1][0] <= start:
+                reach = max(reach, excused.pop()[1])
+            if start >= reach:
+                n_hits += 1
+                heaviest.setdefault(line[start + 1 : line.index(" ", start + 1)], []).append(best[start])
+        return sum(max(w) * (1.5 if len(w) > 1 else 1.0) for w in heaviest.values()), n_hits, len(tokens)
 
 
 def _features(total: float, n_words: int) -> tuple[float, float]:
@@ -200,7 +203,8 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
     """One row per row of docs: doc_id, held_out, score, predicted, total, n_hits, n_words.
 
     Defined cases: null and empty texts have the score of a text without terms; a null id isn't held out; a term in
-    an excused phrase doesn't count; an empty table gives no rows; other columns of docs are not read.
+    an excused phrase doesn't count; a text of any length takes time in proportion to it, near enough; repeated rows
+    score alike; an empty table gives no rows; other columns of docs are not read.
     """
     found = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), toxicity(model, F.col(text_col)).alias("t"))
     return found.select("doc_id", "held_out", "t.score", (F.col("t.score") >= threshold).cast("int").alias("predicted"), "t.total", "t.n_hits", "t.n_words")

@@ -1,5 +1,5 @@
 import numpy as np
-from tests.llm.helpers import awkward, empty, prose
+from tests.llm.helpers import awkward, empty, held_out, prose
 
 from flowlens.llm import quality as Q
 
@@ -48,3 +48,37 @@ def test_awkward_rows_and_missing_labels(spark):
         assert Q.score_quality(empty(spark), model).count() == 0
     none = Q.train(docs, labels.limit(0))
     assert {r.score for r in Q.score_quality(docs, none).collect()} == {0.5}
+
+
+def test_steps_come_from_scores_of_the_other_half(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = Q.train(docs, labels)
+    sample = Q.labelled_sample(docs, labels, "quality", Q.PER_CLASS)
+    sample = sample.withColumn("half", Q.F.expr("pmod(xxhash64(doc_id, 'half'), 2)")).toPandas()
+    z = model.features(np.stack([Q.statistics(t) for t in sample["text"]]))
+    w, y, half = sample["weight"].to_numpy(), sample["y"].to_numpy(dtype=float), sample["half"].to_numpy()
+    hits, n = np.zeros(Q.BINS), np.zeros(Q.BINS)
+    for k in (0, 1):
+        fit, own = half != k, half == k
+        ridge = np.linalg.solve((z[fit] * w[fit, None]).T @ z[fit] + Q.RIDGE * w[fit].sum() * np.eye(z.shape[1]), (z[fit] * w[fit, None]).T @ y[fit])
+        place = np.clip(np.floor((np.round(z[own] @ ridge, 9) + 0.5) * (Q.BINS / 2)), 0, Q.BINS - 1).astype(int)
+        np.add.at(hits, place, (w * y)[own])
+        np.add.at(n, place, w[own])
+    used = np.flatnonzero(n)
+    knots, chances = Q.isotonic((used + 0.5) * 2 / Q.BINS - 0.5, hits[used], n[used])
+    grid = np.linspace(-0.5, 1.5, 200)
+    assert np.allclose(np.interp(grid, knots, chances), np.interp(grid, model.knots, model.chances), atol=0.02)
+
+
+def test_query_matches_brute_force(spark):
+    from flowlens.llm.catalog import QUERIES
+
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = Q.train(docs, labels)
+    found = {r.doc_id: r for r in QUERIES["op4_quality"](spark, SF).collect()}
+    rows = docs.collect()
+    scores = [float(np.interp(model.raw(Q.statistics(r.text)[None])[0], model.knots, model.chances)) for r in rows]
+    assert len(found) == len(rows)
+    for r, score in zip(rows, scores):
+        got = found[r.doc_id]
+        assert np.isclose(got.score, score, atol=1e-6) and got.predicted == int(got.score >= 0.5) and got.held_out == held_out(r.doc_id)
