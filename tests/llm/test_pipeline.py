@@ -6,10 +6,10 @@ from tests.llm.helpers import empty
 from tests.llm.test_decontaminate import brute as contaminated
 from tests.llm.test_line_dedup import brute as cut_lines
 from tests.llm.test_mixing import brute as mixed
-from tests.llm.test_simhash import groups
+from tests.llm.test_similar import brute as groups
 
 import corpus_pipeline
-from flowlens.llm import line_dedup, quality, simhash
+from flowlens.llm import line_dedup, quality
 
 SF = "/root/testdata/sf0.001"
 
@@ -28,7 +28,7 @@ def test_whole_pipeline_matches_brute_force(spark, tables):
     for r in docs:
         r["text"] = lines[r["doc_id"]][0][2]
     docs.sort(key=lambda r: r["doc_id"])
-    found = groups(docs, [simhash.fingerprint(r["text"]) for r in docs])
+    found = groups([r["text"] for r in docs])
     docs = [r for k, r in enumerate(docs) if found[k] == k]
     items = [(str(r.item_id), r.text) for r in tables["benchmark"].collect()]
     docs = [r for r in docs if contaminated(r["text"], items)[1] == 0]

@@ -104,3 +104,23 @@ def test_hot_copies(spark):
     rows = [(k, prose(80) if k % 3 else " ".join(f"w{k}x{j}" for j in range(30))) for k in range(300)]
     found = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.component_id for r in found if r.doc_id % 3} == {1} and np.unique([r.doc_id for r in found]).size == 300
+
+
+def test_dense_groups_and_hot_variants(spark, monkeypatch):
+    rng = random.Random(9)
+    prints = set()
+    for _ in range(3):
+        centre = rng.getrandbits(64)
+        prints |= {centre ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 4))) for _ in range(120)}
+    prints |= {rng.getrandbits(64) for _ in range(40)}
+    signed = sorted(p - (1 << 64) if p >> 63 else p for p in prints)
+    table = spark.createDataFrame([(p,) for p in signed], "fp long")
+    found = groups(signed, signed)
+    for hot in (2000, 4):
+        monkeypatch.setattr(simhash, "HOT", hot)
+        root = {r.fp: r.root for r in simhash._classes(table, 4).collect()}
+        assert len(root) == len(signed)
+        least = {}
+        for p in signed:
+            least.setdefault(root[p], p)
+        assert [least[root[p]] for p in signed] == [signed[g] for g in found]
