@@ -1,11 +1,11 @@
 """Exact dedup by a content sort, in DataFrame operations alone.
 
-Rows are range-partitioned by the leading characters of their normalised text, then by its hash, at splitters that Spark
-samples (so a splitter is a few bytes, however long the texts). Each partition is sorted externally with the whole text
-as the last key, and a window over that order compares each text with its neighbour in full. A text that holds a large
-share of the rows would fall into one range; such texts are found beforehand by a count of hashes (combined before
-its shuffle) and get a second sort key that spreads their rows over many ranges. Each range then leaves one row per
-hot text, and only those few rows meet again.
+Rows are range-partitioned by the leading characters of their normalised text, at splitters that Spark samples (so a
+splitter is a few bytes, however long the texts); where one lead is crowded, its texts are dealt over ranges by hash.
+Each partition is sorted externally by the whole text, and a window over that order compares each text with its
+neighbour in full. A text that holds a large share of the rows or of the bytes would fall into one range; such texts are
+found beforehand by a count of hashes (combined before its shuffle) and get a second sort key that spreads their rows
+over many ranges. Each range then leaves one row per hot text, and only those few rows meet again.
 """
 
 from __future__ import annotations
@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 
 from flowlens.llm.common import ascii_lower, written
 
-#: A text is hot from this many rows on, and from this share of all rows on; so at most 1 / HOT_SHARE texts are hot,
-#: which bounds what is broadcast. The rows of a hot text are spread over this many ranges.
+#: A text is hot from this many rows on, and from this share of all rows or all bytes on; so at most 2 / HOT_SHARE texts
+#: are hot, which bounds what is broadcast. The rows of a hot text are spread over this many ranges.
 HOT_ROWS, HOT_SHARE, SPREAD = 64, 1e-5, 1024
 #: Characters of a text that a splitter has.
-LEAD = 16
+LEAD = 32
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_rows: int = HOT_ROWS, spread: int = SPREAD) -> DataFrame:
@@ -33,14 +33,16 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     text = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("norm")).withColumn("h", F.xxhash64("norm"))
-    least = max(hot_rows, docs.count() * HOT_SHARE)
-    hot = F.broadcast(written(rows.groupBy("h").count().where(F.col("count") >= least).select("h", F.lit(True).alias("hot")), "exact-hot"))
+    n, n_bytes = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()
+    sizes = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("norm")).alias("bytes"))
+    often = (F.col("n") >= hot_rows) & ((F.col("n") >= n * HOT_SHARE) | (F.col("bytes") >= n_bytes * HOT_SHARE))
+    hot = F.broadcast(written(sizes.where(often).select("h", F.lit(True).alias("hot")), "exact-hot"))
     # ids alone spread a hot text; xxhash64 so that ids in steps spread as well
     salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(spread))).otherwise(F.lit(0)).cast("int")
     dealt = rows.join(hot, "h", "left").select("doc_id", "norm", "h", F.substring("norm", 1, LEAD).alias("lead"), F.coalesce("hot", F.lit(False)).alias("hot"), salt.alias("salt"))
     # the window asks for rows clustered by these and norm, which the range partitioning already gives
     ranged = dealt.repartitionByRange("lead", "h", "salt")
-    run = W.partitionBy("lead", "h", "salt", "norm")
+    run = W.partitionBy("lead", "norm", "h", "salt")
     latest = run.orderBy(F.col("doc_id").desc_nulls_last())
     local = ranged.select(
         "doc_id", "hot", "salt",
