@@ -3,8 +3,9 @@
 For each language, a variable-order byte context tree with escape probabilities (method C: a context seen n times with
 d distinct successors escapes with probability d / (n + d)) gives the exact code length of a text; the shortest wins.
 The statistics are counted by Spark over a bounded sample of labelled rows, and frozen: a context's costs are then
-fixed numbers, so the trees of all languages are flattened into tables by gram (context and byte), and a text is scored
-for all languages at once with array look-ups, longest contexts first.
+fixed numbers, so the trees of some languages at a time are flattened into tables by gram (context and byte), and a text
+is scored for them at once with array look-ups, longest contexts first. Tables of so many languages each keep what is
+sent to the executors in proportion to the number of languages.
 """
 
 from __future__ import annotations
@@ -21,8 +22,10 @@ from pyspark.sql import types as T
 
 from flowlens.llm.common import held_out, small_batches, written
 
-#: Bytes of context, and rows of each language (in expectation) that the trees are counted from.
-ORDER, SAMPLE_ROWS = 3, 600
+#: Bytes of context, and rows and bytes of each language (at most, in expectation) that the trees are counted from.
+ORDER, SAMPLE_ROWS, SAMPLE_BYTES = 3, 600, 4 << 20
+#: Languages that share tables.
+TOGETHER = 8
 #: Bytes scored at a time.
 CHUNK = 1 << 18
 UNKNOWN = "und"
@@ -51,18 +54,19 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def count_grams(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(lang, ord, gram, n) over about `rows` labelled rows of each language that aren't held out.
+    """(lang, ord, gram, n) over about `rows` labelled rows of each language that aren't held out, fewer if they are long.
 
-    The share of a language's rows that is read is set by a count of them, so the sample is bounded at any size; which
-    rows they are follows from a hash of the id.
+    The share of a language's rows that is read is set by a count of them and of their bytes, so the sample is bounded
+    at any size; which rows they are follows from a hash of the id.
     """
     small_batches(docs.sparkSession)
     train = docs.where(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     # written, so that the join below knows its size: texts are shuffled only where there are very many languages
-    sizes = written(train.groupBy(F.col(lang_col).alias("lang")).count(), "languages")
+    sizes = train.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("count"), F.sum(F.octet_length(text_col)).alias("bytes"))
+    sizes = written(sizes, "languages")
     place = F.pmod(F.xxhash64(F.col(id_col), F.lit("language")), F.lit(1 << 30)) / F.lit(1 << 30)
     chosen = train.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), place.alias("place")).join(sizes, "lang")
-    chosen = chosen.where(F.col("place") * F.col("count") < rows).select("lang", "text")
+    chosen = chosen.where((F.col("place") * F.col("count") < rows) & (F.col("place") * F.col("bytes") < SAMPLE_BYTES)).select("lang", "text")
     return chosen.mapInPandas(_counts, "lang string, ord int, gram long, n long").groupBy("lang", "ord", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -100,8 +104,8 @@ class Trees:
             shorter = made._lookup(order - 1, keys & np.uint64((1 << (8 * order)) - 1)) if order else np.full((len(keys), len(langs)), 8.0)
             made.keys.append(keys)
             made.contexts.append(contexts)
-            made.escapes.append(escape)
-            made.costs.append(np.where(seen > 0, direct, escape[owner] + shorter))
+            made.escapes.append(escape.astype(np.float32))
+            made.costs.append(np.where(seen > 0, direct, escape[owner] + shorter).astype(np.float32))
             made.slots.append(made._index(keys))
         return made
 
@@ -155,32 +159,48 @@ class Trees:
             gram = grams(data[start - before : start + CHUNK], ORDER)[before:]
             row, known = self._find(ORDER, gram)
             if len(gram) < len(self.keys[ORDER]):
-                total += self.costs[ORDER][row[known]].sum(axis=0)
+                total += self.costs[ORDER][row[known]].sum(axis=0, dtype=float)
             else:
                 total += np.bincount(row[known], minlength=len(self.keys[ORDER])) @ self.costs[ORDER]
             if not known.all():
-                total += self._lookup(ORDER, gram[~known]).sum(axis=0)
+                total += self._lookup(ORDER, gram[~known]).sum(axis=0, dtype=float)
         return total
 
+
+@dataclass
+class Forest:
+    """The trees of all languages, TOGETHER to a table."""
+
+    trees: list[Trees]
+
+    @property
+    def langs(self) -> list[str]:
+        return [lang for t in self.trees for lang in t.langs]
+
+    def code_lengths(self, text: str) -> np.ndarray:
+        return np.concatenate([t.code_lengths(text) for t in self.trees])
+
     def predict(self, text: str | None) -> tuple[str, float]:
         """The language and its probability beside the others, all likely alike beforehand; ties go to the first."""
-        if not self.langs or text is None or not any(map(str.isalpha, text)):
+        if not self.trees or text is None or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0
         bits = self.code_lengths(text)
         best = int(bits.argmin())
         return self.langs[best], float(1 / np.exp2(-np.minimum(bits - bits[best], 1000)).sum())
 
 
-_READY: dict[str, Trees] = {}
+_READY: dict[str, Forest] = {}
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS) -> Trees:
-    """Counts on the executors; what reaches the driver is bounded by the sample, whatever the size of docs."""
-    counts = count_grams(docs, id_col, text_col, lang_col, rows).toPandas()
-    return Trees.build(counts, sorted(counts["lang"].unique()))
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS) -> Forest:
+    """Counts on the executors; a table's languages at a time reach the driver, bounded by the sample at any size of docs."""
+    counts = written(count_grams(docs, id_col, text_col, lang_col, rows), "language-grams")
+    langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())  # a row for each language
+    parts = [langs[k : k + TOGETHER] for k in range(0, len(langs), TOGETHER)]
+    return Forest([Trees.build(counts.where(F.col("lang").isin(part)).toPandas(), part) for part in parts])
 
 
-def language(trees: Trees, text: Column) -> Column:
+def language(trees: Forest, text: Column) -> Column:
     """struct(lang_pred, score) of a text column."""
     small_batches(SparkSession.active())
     key, sent = uuid.uuid4().hex, SparkSession.active().sparkContext.broadcast(trees)
@@ -196,7 +216,7 @@ def language(trees: Trees, text: Column) -> Column:
     return F.pandas_udf(predict, kind)(text)
 
 
-def identify(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, trees: Forest, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, held_out, lang_pred, score.
 
     Defined cases: null text, and text without a letter, is `und` with score 0, and so is all text where nothing could

@@ -98,8 +98,22 @@ def test_awkward_rows(spark):
 
 
 def test_ties_and_nothing_learned(spark):
-    trees = L.Trees.build(counted({"b": ["same"], "a": ["same"]}), ["a", "b"])
+    trees = L.Forest([L.Trees.build(counted({"b": ["same"], "a": ["same"]}), ["a", "b"])])
     assert trees.predict("same") == ("a", 0.5) and trees.predict("12 34") == ("und", 0.0)
     none = L.train(empty(spark))
     assert none.langs == [] and none.predict("text") == ("und", 0.0)
     assert L.identify(empty(spark), none).count() == 0
+
+
+def test_many_languages_in_several_tables(spark):
+    """Languages of their own letters; each table has 8 of them, and what is sent grows with their number."""
+    texts = {f"l{k:02}": [" ".join(chr(0x4E00 + 40 * k + (j * i) % 37) + "a" for j in range(30)) for i in range(1, 40)] for k in range(20)}
+    rows = [(i, t, lang) for i, (t, lang) in enumerate((t, lang) for lang, ts in texts.items() for t in ts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    forest = L.train(docs)
+    assert forest.langs == sorted(texts) and [len(t.langs) for t in forest.trees] == [8, 8, 4]
+    found = {r.doc_id: r.lang_pred for r in L.identify(docs, forest).collect()}
+    assert all(found[i] == lang for i, _, lang in rows)
+    flat = L.Trees.build(counted({lang: [t for i, t, x in rows if x == lang and not held_out(i)] for lang in texts}), sorted(texts))
+    assert np.allclose(flat.code_lengths(rows[0][1]), forest.code_lengths(rows[0][1]), rtol=1e-4)
+    assert sum(c.nbytes for t in forest.trees for c in t.costs) < 0.5 * sum(c.nbytes for c in flat.costs)
