@@ -18,6 +18,7 @@ import re
 import struct
 import uuid
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pandas as pd
 from pyarrow import fs
@@ -46,13 +47,22 @@ def _uri(url: str) -> str:
     return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)
 
 
-def record(page_id: str, url: str | None, payload: bytes, refers_to: str | None, date: str = DATE) -> bytes:
+def _name(page_id: str | None) -> str:
+    """The URN of a page, with all that an id may hold escaped; rows without an id share one."""
+    return "<urn:x-no-page:>" if page_id is None else f"<urn:x-page:{quote(page_id, safe='')}>"
+
+
+def _id(name: str | None) -> str | None:
+    return unquote(name[len("<urn:x-page:") : -1]) if name is not None and name.startswith("<urn:x-page:") else None
+
+
+def record(page_id: str | None, url: str | None, payload: bytes, refers_to: str | None, date: str = DATE) -> bytes:
     """One WARC/1.1 record: a response, or a revisit that keeps the HTTP head and leaves out the payload."""
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = head if refers_to is not None else head + payload
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:x-page:{page_id}>", f"WARC-Date: {date}"]
+    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {_name(page_id)}", f"WARC-Date: {date}"]
     lines += [f"WARC-Target-URI: {_uri(url)}"] if url is not None else []
-    lines += [f"WARC-Refers-To: <urn:x-page:{refers_to}>", f"WARC-Profile: {PROFILE}"] if refers_to is not None else []
+    lines += [f"WARC-Refers-To: {_name(refers_to)}", f"WARC-Profile: {PROFILE}"] if refers_to is not None else []
     lines += [f"WARC-Payload-Digest: sha1:{digest(payload)}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -137,8 +147,8 @@ def _writer(root: str):
 def write_archives(pages: DataFrame, root: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
     """Writes the pages under root and returns the manifest: archive, records, bytes.
 
-    Defined cases: null html is an empty payload; a null url leaves its header out; a null id is written as `null` and
-    is no candidate to refer to; rows that share the smallest id of their payload are all responses; an empty table
+    Defined cases: null html is an empty payload; a null url leaves its header out; ids may hold any characters; a null
+    id is written as a name of its own and is no candidate to refer to; rows that share the smallest id of their payload are all responses; an empty table
     writes no archive.
     """
     small_batches(pages.sparkSession)
@@ -149,7 +159,7 @@ def write_archives(pages: DataFrame, root: str, id_col: str = "page_id", url_col
     firsts = written(firsts.where("n > 1").select("key", "first"), "warc-firsts")
     refers = F.when(F.col("id").isNull() | (F.col("first") < F.col("id")), F.col("first"))
     linked = rows.join(firsts, "key", "left").select(
-        F.coalesce(F.col("id").cast("string"), F.lit("null")).alias("page_id"), "url", "html", refers.cast("string").alias("refers_to")
+        F.col("id").cast("string").alias("page_id"), "url", "html", refers.cast("string").alias("refers_to")
     )
     return written(linked.mapInPandas(_writer(root), MANIFEST), "warc-manifest")
 
@@ -177,14 +187,13 @@ def read_records(source) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def _parsed(headers: dict[str, str], block: bytes) -> tuple:
-    ident = lambda name: headers[name][len("<urn:x-page:") : -1] if name in headers else None
     head, _, payload = block.partition(b"\r\n\r\n")
     size = int(re.search(rb"Content-Length: (\d+)", head)[1])
-    page = ident("WARC-Record-ID")
+    page = _id(headers["WARC-Record-ID"])
     own, kind = headers["WARC-Payload-Digest"].removeprefix("sha1:"), headers["WARC-Type"]
     if kind == "response" and (len(payload) != size or digest(payload) != own):
         raise ValueError(f"the payload of page {page} isn't what was archived")
-    return None if page == "null" else page, headers.get("WARC-Target-URI"), payload if kind == "response" else None, size, own, kind, ident("WARC-Refers-To")
+    return page, headers.get("WARC-Target-URI"), payload if kind == "response" else None, size, own, kind, _id(headers.get("WARC-Refers-To"))
 
 
 def _reader(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

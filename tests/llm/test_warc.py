@@ -82,3 +82,11 @@ def test_empty_table(spark):
 def test_damage_is_noticed():
     with pytest.raises(ValueError, match="isn't what was archived"):
         warc._parsed({"WARC-Record-ID": "<urn:x-page:1>", "WARC-Payload-Digest": "sha1:X", "WARC-Type": "response"}, b"HTTP/1.1 200 OK\r\nContent-Length: 1\r\n\r\na")
+
+
+def test_ids_of_any_characters(spark):
+    ids = ["null", "", "a\nWARC-Type: revisit", "x>y", "é %41", None, "\r\n\r\n"]
+    docs = spark.createDataFrame([(i, "u", f"page {k}") for k, i in enumerate(ids)] + [("zz", "u", "page 2")], "page_id string, url string, html string")
+    got = warc.read_archives(spark, warc.write_archives(docs, scratch_path(spark, "warc-test"))).collect()
+    assert sorted((r.page_id for r in got), key=str) == sorted([*ids, "zz"], key=str)
+    assert [(r.page_id, r.refers_to) for r in got if r.record_type == "revisit"] == [("zz", ids[2])]
