@@ -6,7 +6,7 @@ of similar length share tables: a block shift table tells how far to move on fro
 place; where it says 0, buckets by that block, then by leading bytes, give the few test strings to compare in full.
 
 The benchmark goes to the executors in blocks of bounded size, each by its own pass over the documents; the usual
-benchmark is one block.
+benchmark is one block. All passes but the last write what they find by the text's digest, and the last adds it.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark import Broadcast
@@ -163,15 +164,22 @@ def find_contamination(
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
     total = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
     n_blocks = max(1, math.ceil(total / block_bytes))
+    blocks = [items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)) == k) for k in range(n_blocks)]
+    search = lambda k: _hits(spark.sparkContext.broadcast({"key": uuid.uuid4().hex, "items": [tuple(r) for r in blocks[k].collect()]}), window)
     nothing = F.struct(F.lit(0).cast("long").alias("n_words"), F.array().cast("array<bigint>").alias("spans"), F.array().cast("array<string>").alias("items"))
-    held = fresh(docs, "__hits")
+    held, key = fresh(docs, "__hits"), fresh(docs, "__key")
     rows = docs.withColumn(held, nothing)
-    for k in range(n_blocks):
-        block = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)) == k)
-        sent = spark.sparkContext.broadcast({"key": uuid.uuid4().hex, "items": [tuple(r) for r in block.collect()]})
-        rows = rows.withColumn(held, _hits(sent, window)(F.col(text_col), F.col(held)))
-        if k + 1 < n_blocks:
-            rows = written(rows, "hits")
+    if n_blocks > 1:
+        digest = F.md5(F.col(text_col).cast("binary"))
+        found = [
+            written(docs.select(digest.alias(key), search(k)(F.col(text_col), nothing).alias("x")).where(F.size("x.spans") > 0).select(key, "x.spans", "x.items").distinct(), "hits")
+            for k in range(n_blocks - 1)
+        ]
+        both = reduce(DataFrame.unionByName, found).groupBy(key)
+        both = both.agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))  # a row a block
+        both = written(both.select(key, F.struct(F.lit(0).cast("long").alias("n_words"), "spans", "items").alias(held)), "hits")
+        rows = docs.withColumn(key, digest).join(both, key, "left").withColumn(held, F.coalesce(held, nothing)).drop(key)
+    rows = rows.withColumn(held, search(n_blocks - 1)(F.col(text_col), F.col(held)))
     spans = F.col(f"{held}.spans")
     n_hit = F.aggregate(F.transform(spans, lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)), F.lit(0).cast("long"), lambda a, x: a + x)
     return rows.select(*docs.columns, F.col(f"{held}.n_words").alias(names[0]), n_hit.alias(names[1]), spans.alias(names[2]), F.col(f"{held}.items").alias(names[3]), (n_hit > 0).alias(names[4]))
