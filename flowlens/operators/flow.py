@@ -36,85 +36,129 @@ def allocate(events: DataFrame, keys: list[str], order: list[Column], span: str
 @dataclass(frozen=True)
 class Rules:
     hops: int = 3
-    hub_degree: int = 60
+    #: A wallet that pays so many others since the money came (or that so many pay) is a hub.
+    hub_degree: int = 30
     #: A wallet is followed from this share of the money on, in percent.
     min_share: int = 1
     dust: int = 100
-    fetch_limit: int = 100
+    #: Wallets followed for one origin in one direction.
+    max_nodes: int = 40
+    #: Payments read of a followed wallet; None reads all. What lies behind a limit is held as `truncated`.
+    fetch_limit: int | None = None
 
 
 STABLE = ("USDT", "USDC")
 
 
-def pick_asset(moves: DataFrame, origins: DataFrame) -> DataFrame:
-    """(origin, asset): the stablecoin that the origin paid most of, the first on ties; else the coin."""
-    sums = moves.join(origins, F.col("from_addr") == F.col("origin")).groupBy("origin", "asset").agg(F.sum("amount").alias("paid"))
+def pick_asset(moves: DataFrame, origins: DataFrame, own: str = "from_addr") -> DataFrame:
+    """(origin, asset): the stablecoin that the origin paid most of (or got, by own), the first on ties; else the coin."""
+    sums = moves.join(origins, F.col(own) == F.col("origin")).groupBy("origin", "asset").agg(F.sum("amount").alias("paid"))
     rank = F.struct(F.col("asset").isin(*STABLE), "paid", (F.col("asset") == STABLE[0]))
     return sums.groupBy("origin").agg(F.max_by("asset", rank).alias("asset"))
 
 
-def trace(moves: DataFrame, origins: DataFrame, labels: DataFrame, rules: Rules = Rules(), hidden: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _busy(real: DataFrame, wallets: DataFrame, degree: int, whole: bool) -> DataFrame:
+    """(wallet, asset, busy_until): the last time up to which so many different others are still to come; for ever
+    where whole. Only the wallets asked for are looked at, and of each the latest `degree` others."""
+    last = real.join(wallets, (real.own == wallets.wallet) & (real.asset == wallets.asset), "left_semi").groupBy("own", "asset", "far").agg(F.max("at").alias("last"))
+    nth = F.row_number().over(W.partitionBy("own", "asset").orderBy(F.col("last").desc()))
+    per = last.withColumn("n", nth).where(F.col("n") <= degree).groupBy(F.col("own").alias("wallet"), "asset").agg(F.count(F.lit(1)).alias("n"), F.min("last").alias("busy_until"))
+    return per.where(F.col("n") == degree).select("wallet", "asset", F.lit((1 << 63) - 1).alias("busy_until") if whole else F.col("busy_until"))
+
+
+def trace(
+    moves: DataFrame, origins: DataFrame, labels: DataFrame, rules: Rules = Rules(), hidden: DataFrame | None = None, inbound: bool = False
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(edges, holds, seen) of following each origin's payments of its main asset, all origins and wallets of a hop at once.
 
     moves: tx_hash, block_time, from_addr, to_addr, asset, amount, one row a payment. labels: address, entity, ... .
-    hidden (origin, entity): labels that don't exist for an origin.
+    hidden (origin, entity): labels that don't exist for an origin. inbound: who funded the origin, back in time.
     edges: origin, hop, tx_hash, block_time, from_addr, to_addr, amount, traced.
     holds: origin, hop, wallet, received, reason (why it wasn't followed; `kept` for what stayed behind), held.
     seen: origin, hop, tx_hash, ...: the payments read for wallets that were followed.
 
-    Each hop joins the frontier with payments once. A wallet that is labelled, small, a hub or the origin isn't
-    followed; of one that is, at most fetch_limit payments from its first arrival on are read.
+    Each hop joins the frontier with payments once. A wallet that is labelled, the origin, at the last hop, small,
+    beyond the budget of wallets or a hub isn't followed, for the first of these reasons; the share that a wallet must
+    have bounds how many an origin follows. Hubs are looked for among the frontier only, and their payments not read.
     """
+    sign, (own, far) = (-1, ("to_addr", "from_addr")) if inbound else (1, ("from_addr", "to_addr"))
     # written, so that Spark knows whether they are few enough to be broadcast
     origins = cut(origins.select("origin"))
-    picked = cut(pick_asset(moves, origins))
-    real = moves.where((F.col("from_addr") != F.col("to_addr")) & (F.col("amount") >= rules.dust))
-    degree = real.groupBy("from_addr").agg(F.count_distinct("to_addr").alias("degree")).where(F.col("degree") >= rules.hub_degree)
-    hubs = cut(degree.select(F.col("from_addr").alias("wallet"), F.lit(True).alias("hub")))
-    first = real.join(picked.withColumnRenamed("asset", "pick"), (F.col("from_addr") == F.col("origin")) & (F.col("asset") == F.col("pick")))
-    columns = ["origin", "hop", "tx_hash", "block_time", "from_addr", "to_addr", "asset", "amount", "traced"]
+    picked = cut(pick_asset(moves, origins, own))
+    at = sign * F.unix_micros(F.col("block_time").cast("timestamp"))
+    real = moves.where((F.col("from_addr") != F.col("to_addr")) & (F.col("amount") >= rules.dust)).select("*", F.col(own).alias("own"), F.col(far).alias("far"), at.alias("at"))
+    first = real.join(picked.withColumnRenamed("asset", "pick"), (F.col("own") == F.col("origin")) & (F.col("asset") == F.col("pick")))
+    columns = ["origin", "hop", "tx_hash", "block_time", "from_addr", "to_addr", "asset", "amount", "traced", "own", "far", "at"]
     level = cut(first.withColumn("hop", F.lit(1)).withColumn("traced", F.col("amount")).select(columns))
-    totals = level.groupBy("origin").agg(F.sum("traced").alias("total"))
+    totals = cut(level.groupBy("origin").agg(F.sum("traced").alias("total")))
     known = labels.select(F.col("address").alias("wallet"), "entity")
-    edges, holds, seen = level, None, None
+    edges, holds, seen, followed = level, None, None, None
     for hop in range(1, rules.hops + 1):
-        reached = level.groupBy("origin", F.col("to_addr").alias("wallet"), "asset").agg(F.sum("traced").alias("received"), F.min("block_time").alias("since"))
-        reached = reached.join(totals, "origin").join(known, "wallet", "left").join(hubs, "wallet", "left")
+        reached = level.groupBy("origin", F.col("far").alias("wallet"), "asset").agg(F.sum("traced").alias("received"), F.min("at").alias("since"))
+        reached = reached.join(totals, "origin").join(known, "wallet", "left")
         if hidden is not None:
             gone = hidden.select("origin", "entity", F.lit(True).alias("gone"))
             reached = reached.join(gone, ["origin", "entity"], "left").withColumn("entity", F.when(F.col("gone").isNull(), F.col("entity")))
+        before = reached.withColumn("again", F.lit(False)) if followed is None else reached.join(followed.withColumn("again", F.lit(True)), ["origin", "wallet"], "left").na.fill(False, ["again"])
         reason = (
-            F.when(F.col("entity").isNotNull(), "labelled").when(F.col("wallet") == F.col("origin"), "origin")
-            .when(F.col("received") * 100 < F.col("total") * rules.min_share, "small").when(F.col("hub"), "hub").when(F.lit(hop == rules.hops), "depth_limit")
+            F.when(F.col("entity").isNotNull(), "labelled").when(F.col("wallet") == F.col("origin"), "origin").when(F.lit(hop == rules.hops), "depth_limit")
+            .when(~F.col("again") & (F.col("received") * 100 < F.col("total") * rules.min_share), "small")
         )
-        reached = cut(reached.withColumn("reason", reason))
+        reached = cut(before.withColumn("reason", reason))
+        if hop < rules.hops:
+            reached = cut(_chosen(reached, followed, _busy(real, reached.where("reason is null").select("wallet", "asset").distinct(), rules.hub_degree, inbound), rules))
         stopped = reached.where("reason is not null").select("origin", F.lit(hop).alias("hop"), "wallet", "received", "reason", F.col("received").alias("held"))
         holds = stopped if holds is None else holds.unionByName(stopped)
         if hop == rules.hops:
             break
         front = reached.where("reason is null").select("origin", "wallet", "asset", "since", "received")
-        out = real.join(front, (F.col("from_addr") == F.col("wallet")) & (real.asset == front.asset) & (F.col("block_time") >= F.col("since"))).drop(front.asset)
-        nth = F.row_number().over(W.partitionBy("origin", "wallet").orderBy("block_time", "tx_hash", "to_addr"))
-        out = out.withColumn("nth", nth).where(F.col("nth") <= rules.fetch_limit).drop("nth", "since", "received")
+        followed = front.select("origin", "wallet") if followed is None else cut(followed.unionByName(front.select("origin", "wallet")).distinct())
+        out = real.join(front, (F.col("own") == F.col("wallet")) & (real.asset == front.asset) & (F.col("at") >= F.col("since"))).drop(front.asset).drop("since", "received")
+        cut_off = None
+        if rules.fetch_limit is not None:
+            out = cut(out.withColumn("nth", F.row_number().over(W.partitionBy("origin", "wallet").orderBy("at", "tx_hash", "far"))).where(F.col("nth") <= rules.fetch_limit + 1))
+            cut_off = out.where(F.col("nth") > rules.fetch_limit).select("origin", "wallet", F.lit(True).alias("more"))
+            out = out.where(F.col("nth") <= rules.fetch_limit).drop("nth")
         used = edges.groupBy("origin", "tx_hash", "from_addr", "to_addr", "block_time").agg(F.sum("traced").alias("used"))
         out = out.join(used, ["origin", "tx_hash", "from_addr", "to_addr", "block_time"], "left").withColumn("available", F.col("amount") - F.coalesce("used", F.lit(0)))
-        arrivals = level.join(front.select("origin", "wallet"), (level.origin == front.origin) & (F.col("to_addr") == F.col("wallet"))).drop(front.origin)
-        common = ["origin", "wallet", "tx_hash", "block_time", "from_addr", "to_addr", "asset", "amount"]
+        arrivals = level.join(front.select("origin", "wallet"), (level.origin == front.origin) & (F.col("far") == F.col("wallet"))).drop(front.origin)
+        common = ["origin", "wallet", "tx_hash", "block_time", "from_addr", "to_addr", "asset", "amount", "own", "far", "at"]
         events = arrivals.select(*common, F.lit(True).alias("is_in"), F.col("traced").alias("moved")).unionByName(out.select(*common, F.lit(False).alias("is_in"), F.col("available").alias("moved")))
-        events = events.withColumnRenamed("amount", "full").withColumnRenamed("moved", "amount").withColumn("span", F.year("block_time"))
-        order = [F.col("block_time"), F.col("is_in").desc(), F.col("tx_hash"), F.when(F.col("is_in"), F.col("from_addr")).otherwise(F.col("to_addr")), F.col("amount")]
+        events = events.withColumnRenamed("amount", "full").withColumnRenamed("moved", "amount").withColumn("span", F.floor(F.col("at") / SPAN))
+        order = [F.col("at"), F.col("is_in").desc(), F.col("tx_hash"), F.when(F.col("is_in"), F.col("own")).otherwise(F.col("far")), F.col("amount")]
         drained = allocate(events, ["origin", "wallet"], order).where("not is_in")
         drained = drained.withColumn("hop", F.lit(hop + 1)).withColumnRenamed("take", "traced").drop("amount").withColumnRenamed("full", "amount")
+        # the next hop and the sums below read these several times; the cut also keeps the plan from doubling with every hop
+        drained = cut(drained.select(columns))
         read = drained.select("origin", "hop", "tx_hash", "block_time", "from_addr", "to_addr", "traced")
         seen = read if seen is None else seen.unionByName(read)
-        level = drained.where("traced > 0").select(columns)
-        spent = level.groupBy("origin", F.col("from_addr").alias("wallet")).agg(F.sum("traced").alias("spent"))
-        kept = front.join(spent, ["origin", "wallet"], "left").withColumn("held", F.col("received") - F.coalesce("spent", F.lit(0)))
-        holds = holds.unionByName(kept.select("origin", F.lit(hop).alias("hop"), "wallet", "received", F.lit("kept").alias("reason"), "held"))
-        # the next hop reads these several times; the cut also keeps the plan from doubling with every hop
-        level = cut(level)
+        level = drained.where("traced > 0")
+        spent = level.groupBy("origin", F.col("own").alias("wallet")).agg(F.sum("traced").alias("spent"))
+        kept = front.join(spent, ["origin", "wallet"], "left").withColumn("held", F.col("received") - F.coalesce("spent", F.lit(0))).withColumn("reason", F.lit("kept"))
+        if cut_off is not None:
+            kept = kept.join(cut_off, ["origin", "wallet"], "left").withColumn("reason", F.when(F.col("more"), "truncated").otherwise("kept"))
+        holds = holds.unionByName(kept.select("origin", F.lit(hop).alias("hop"), "wallet", "received", "reason", "held"))
         edges = edges.unionByName(level)
-    return edges, holds, seen
+    edges = edges.drop("own", "far", "at")
+    return edges, holds, seen if seen is not None else edges.where("false").select("origin", "hop", "tx_hash", "block_time", "from_addr", "to_addr", "traced")
+
+
+#: A span of time for prefix sums, in microseconds: a year.
+SPAN = 365 * 86400 * 1_000_000
+
+
+def _chosen(reached: DataFrame, followed: DataFrame | None, busy: DataFrame, rules: Rules) -> DataFrame:
+    """reached with the reasons `budget` and `hub`: wallets are taken by what they received until the budget is spent."""
+    rows = reached.join(busy, ["wallet", "asset"], "left").withColumn("hub", F.coalesce(F.col("busy_until") >= F.col("since"), F.lit(False)))
+    spent = F.lit(0)
+    if followed is not None:
+        rows, spent = rows.join(followed.groupBy("origin").agg(F.count(F.lit(1)).alias("n_before")), "origin", "left"), F.coalesce("n_before", F.lit(0))
+    asked = rows.where("reason is null")
+    taken = F.when(F.col("hub") | F.col("again"), 0).otherwise(1)
+    earlier = W.partitionBy("origin").orderBy(F.col("received").desc(), "wallet").rowsBetween(W.unboundedPreceding, -1)
+    over = ~F.col("again") & (F.coalesce(F.sum(taken).over(earlier), F.lit(0)) + spent >= rules.max_nodes)
+    asked = asked.withColumn("reason", F.when(over, "budget").when(F.col("hub"), "hub"))
+    return rows.where("reason is not null").unionByName(asked).select(reached.columns)
 
 
 TIER_WEIGHT = {"curated": 0.95, "tag": 0.85, "community": 0.75, "derived": 0.6}

@@ -10,7 +10,6 @@ from flowlens.plans import binding as b
 from flowlens.session import cut
 
 RULES = flow.Rules()
-FIRST, LAST = 101, 130
 
 
 def moves(spark, sf_dir):
@@ -19,17 +18,19 @@ def moves(spark, sf_dir):
 
 
 def trace_labels(spark, sf_dir):
-    return b.labels(spark, sf_dir).where("cast(substring(address, 2) as bigint) % 3 = 0")
+    """Labels at which a trace stops: those that say what an address is."""
+    return b.labels(spark, sf_dir).where("category <> 'unknown'")
 
 
-def origins(spark, sf_dir):
-    return spark.range(FIRST, LAST + 1).select(F.concat(F.lit("W"), "id").alias("origin"))
+def origins(paid):
+    """Every wallet that pays."""
+    return paid.select(F.col("from_addr").alias("origin")).distinct()
 
 
-def traced(spark, sf_dir, hops=RULES.hops, hidden=None):
+def traced(spark, sf_dir, hops=RULES.hops, hidden=None, inbound=False):
     """The trace of every origin; its payments and labels are read once."""
-    rules = flow.Rules(hops=hops)
-    return flow.trace(cut(moves(spark, sf_dir)), origins(spark, sf_dir), cut(trace_labels(spark, sf_dir)), rules, hidden)
+    paid = cut(moves(spark, sf_dir))
+    return flow.trace(paid, origins(paid), cut(trace_labels(spark, sf_dir)), flow.Rules(hops=hops), hidden, inbound)
 
 
 def fifo_allocation(spark, sf_dir):
@@ -38,7 +39,8 @@ def fifo_allocation(spark, sf_dir):
 
 
 def pick_asset(spark, sf_dir):
-    return flow.pick_asset(moves(spark, sf_dir), origins(spark, sf_dir))
+    paid = moves(spark, sf_dir)
+    return flow.pick_asset(paid, origins(paid))
 
 
 def top_recipient(spark, sf_dir):
@@ -59,6 +61,18 @@ def trace_3hop(spark, sf_dir):
     return _drawn(traced(spark, sf_dir)[0])
 
 
+def trace_inbound(spark, sf_dir):
+    """Who funded each wallet, and who funded those."""
+    return _drawn(traced(spark, sf_dir, 2, inbound=True)[0])
+
+
+def funders(spark, sf_dir):
+    """Where the search for each wallet's funders ended."""
+    holds = traced(spark, sf_dir, 1, inbound=True)[1]
+    total = W.partitionBy("origin")
+    return holds.select("origin", "wallet", "received", "reason", F.round(F.col("received") / F.sum("received").over(total), 6).alias("share"))
+
+
 def trace_stops(spark, sf_dir):
     holds = traced(spark, sf_dir)[1]
     return holds.select("origin", F.col("hop").cast("long").alias("hop"), "wallet", "received", "reason", "held")
@@ -141,53 +155,61 @@ def fifo_pairs(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        fifo_allocation, pick_asset, top_recipient, trace_1hop, trace_3hop, trace_stops, trace_summary, context_rows, where_funds_went, candidates, proximity_rank,
+        fifo_allocation, pick_asset, top_recipient, trace_1hop, trace_3hop, trace_inbound, funders, trace_stops, trace_summary, context_rows, where_funds_went, candidates, proximity_rank,
         outcome, request_wallets, counterfactual, path_asof, hop_rail, sweep_lifo, fifo_pairs,
     )
 }
 
-_MOVES = "m as (select tx_hash, block_time, from_addr, to_addr, asset, sum(amount)::bigint as amount from transfers group by all)"
-_PICK = f"""og as (select 'W' || range as origin from range({FIRST}, {LAST + 1})),
+_MOVES = "m as materialized (select tx_hash, block_time, from_addr, to_addr, asset, sum(amount)::bigint as amount from transfers group by all)"
+_PICK = """og as (select distinct from_addr as origin from m),
     ps as (select origin, asset, sum(amount) as paid from m join og on from_addr = origin group by all),
     pk as (select origin, asset from (select *, row_number() over (partition by origin order by asset <> 'COIN' desc, paid desc, asset = 'USDT' desc) as n from ps) where n = 1)"""
 
 
-def _trace(hops: int = RULES.hops, hidden: str | None = None, p: str = "") -> str:
+def _trace(hops: int = RULES.hops, hidden: str | None = None, p: str = "", inbound: bool = False) -> str:
     """The trace as common table expressions e1, r1, e2, ..., all edges e and holds h; p prefixes their names."""
     gone = f" and not exists (select 1 from {hidden} g where g.origin = r.origin and g.entity = l.entity)" if hidden else ""
+    own, far, sign = ("to_addr", "from_addr", "-") if inbound else ("from_addr", "to_addr", "")
+    cols = "tx_hash, block_time, from_addr, to_addr, own, far, asset, amount, tick"
+    over = "over (partition by origin, wallet order by tick, is_in desc, tx_hash, case when is_in then own else far end, moved"
+    pick = f"""{p}pk as (select origin, asset from (select *, row_number() over (partition by origin order by asset <> 'COIN' desc, paid desc, asset = 'USDT' desc) as n
+        from (select origin, asset, sum(amount) as paid from m join og on {own} = origin group by all)) where n = 1)"""
     out = [
-        f"{p}a as (select * from m where from_addr <> to_addr and amount >= {RULES.dust})",
-        f"{p}hub as (select from_addr as wallet from {p}a group by 1 having count(distinct to_addr) >= {RULES.hub_degree})",
-        f"{p}l as (select * from labels_rel where substr(address, 2)::bigint % 3 = 0)",
-        f"{p}e1 as (select origin, 1 as hop, tx_hash, block_time, from_addr, to_addr, {p}a.asset, amount, amount as traced from {p}a join pk on from_addr = origin and {p}a.asset = pk.asset)",
-        f"{p}t as (select origin, sum(traced)::bigint as total from {p}e1 group by 1)",
+        f"{p}a as materialized (select *, {own} as own, {far} as far, {sign}epoch_us(block_time) as tick from m where from_addr <> to_addr and amount >= {RULES.dust})",
+        f"""{p}hub as materialized (select own as wallet, asset, {"9223372036854775807" if inbound else "min(latest)"} as busy_until from (select *, row_number() over (partition by own, asset order by latest desc) as n
+            from (select own, asset, far, max(tick) as latest from {p}a group by all)) where n <= {RULES.hub_degree} group by own, asset having count(*) = {RULES.hub_degree})""",
+        f"{p}l as (select * from labels_rel where category <> 'unknown')",
+        pick,
+        f"{p}e1 as materialized (select origin, 1 as hop, {cols.replace('asset', f'{p}a.asset')}, amount as traced from {p}a join {p}pk on own = origin and {p}a.asset = {p}pk.asset)",
+        f"{p}t as materialized (select origin, sum(traced)::bigint as total from {p}e1 group by 1)",
+        f"{p}f0 as (select origin, origin as wallet from {p}t where false)",
     ]
     for h in range(1, hops + 1):
-        out.append(f"""{p}r{h} as (select r.*, case when l.entity is not null{gone} then 'labelled' when r.wallet = r.origin then 'origin' when received * 100 < total * {RULES.min_share} then 'small'
-                when hub.wallet is not null then 'hub' {"when true then 'depth_limit'" if h == hops else ""} end as reason
-            from (select origin, to_addr as wallet, asset, sum(traced)::bigint as received, min(block_time) as since from {p}e{h} group by all) r
-            join {p}t using (origin) left join {p}l l on l.address = r.wallet left join {p}hub hub on hub.wallet = r.wallet)""")
+        out.append(f"""{p}q{h} as (select r.*, f.wallet is not null as again, coalesce(busy_until >= since, false) as is_hub, case when l.entity is not null{gone} then 'labelled' when r.wallet = r.origin then 'origin'
+                {"when true then 'depth_limit'" if h == hops else ""} when f.wallet is null and received * 100 < total * {RULES.min_share} then 'small' end as pre
+            from (select origin, far as wallet, asset, sum(traced)::bigint as received, min(tick) as since from {p}e{h} group by all) r join {p}t using (origin)
+            left join {p}l l on l.address = r.wallet left join {p}hub hub on hub.wallet = r.wallet and hub.asset = r.asset left join {p}f{h - 1} f on f.origin = r.origin and f.wallet = r.wallet)""")
+        out.append(f"""{p}r{h} as materialized (select q.* exclude (pre), case when pre is not null then pre when not again and n_before + coalesce(sum(case when pre is null and not is_hub and not again then 1 else 0 end)
+                over (partition by q.origin order by received desc, wallet rows between unbounded preceding and 1 preceding), 0) >= {RULES.max_nodes} then 'budget' when is_hub then 'hub' end as reason
+            from (select q.*, coalesce(n, 0) as n_before from {p}q{h} q left join (select origin, count(*) as n from {p}f{h - 1} group by 1) b using (origin)) q)""")
         if h == hops:
             break
+        out.append(f"{p}f{h} as materialized (select origin, wallet from {p}f{h - 1} union select origin, wallet from {p}r{h} where reason is null)")
         used = " union all ".join(f"select * from {p}e{k}" for k in range(1, h + 1))
-        out.append(f"""{p}o{h} as (select x.*, amount - coalesce((select sum(traced) from ({used}) u where u.origin = x.origin and u.tx_hash = x.tx_hash and u.from_addr = x.from_addr
-                and u.to_addr = x.to_addr and u.block_time = x.block_time), 0) as available
-            from (select r.origin, r.wallet, a.*, row_number() over (partition by r.origin, r.wallet order by a.block_time, a.tx_hash, a.to_addr) as nth
-                  from {p}a a join {p}r{h} r on a.from_addr = r.wallet and a.asset = r.asset and a.block_time >= r.since where r.reason is null) x where nth <= {RULES.fetch_limit})""")
-        out.append(f"""{p}v{h} as (select e.origin, e.to_addr as wallet, e.tx_hash, e.block_time, e.from_addr, e.to_addr, e.asset, e.amount, true as is_in, e.traced as moved
-                from {p}e{h} e join {p}r{h} r on r.origin = e.origin and r.wallet = e.to_addr and r.reason is null
-            union all select origin, wallet, tx_hash, block_time, from_addr, to_addr, asset, amount, false, available from {p}o{h})""")
-        out.append(f"""{p}s{h} as (select *, sum(case when is_in then moved else -moved end) over w as s from {p}v{h}
-            window w as (partition by origin, wallet order by block_time, is_in desc, tx_hash, case when is_in then from_addr else to_addr end, moved rows unbounded preceding))""")
-        out.append(f"""{p}p{h} as (select *, s - least(0, min(s) over w) as pool from {p}s{h}
-            window w as (partition by origin, wallet order by block_time, is_in desc, tx_hash, case when is_in then from_addr else to_addr end, moved rows unbounded preceding))""")
-        out.append(f"""{p}d{h + 1} as (select * from (select *, (coalesce(lag(pool) over w, 0) - pool)::bigint as take from {p}p{h}
-            window w as (partition by origin, wallet order by block_time, is_in desc, tx_hash, case when is_in then from_addr else to_addr end, moved)) where not is_in)""")
-        out.append(f"{p}e{h + 1} as (select origin, {h + 1} as hop, tx_hash, block_time, from_addr, to_addr, asset, amount, take as traced from {p}d{h + 1} where take > 0)")
+        out.append(f"""{p}u{h} as (select origin, tx_hash, from_addr, to_addr, block_time, sum(traced) as used from ({used}) group by all)""")
+        out.append(f"""{p}o{h} as (select x.*, amount - coalesce(used, 0) as available
+            from (select r.origin, r.wallet, a.* from {p}a a join {p}r{h} r on a.own = r.wallet and a.asset = r.asset and a.tick >= r.since where r.reason is null) x left join {p}u{h} using (origin, tx_hash, from_addr, to_addr, block_time))""")
+        out.append(f"""{p}v{h} as (select e.origin, e.far as wallet, {", ".join(f"e.{c}" for c in cols.split(", "))}, true as is_in, e.traced as moved
+                from {p}e{h} e join {p}r{h} r on r.origin = e.origin and r.wallet = e.far and r.reason is null
+            union all select origin, wallet, {cols}, false, available from {p}o{h})""")
+        out.append(f"{p}s{h} as (select *, sum(case when is_in then moved else -moved end) {over} rows unbounded preceding) as s from {p}v{h})")
+        out.append(f"{p}p{h} as (select *, s - least(0, min(s) {over} rows unbounded preceding)) as pool from {p}s{h})")
+        out.append(f"{p}d{h + 1} as materialized (select * from (select *, (coalesce(lag(pool) {over}), 0) - pool)::bigint as take from {p}p{h}) where not is_in)")
+        out.append(f"{p}e{h + 1} as materialized (select origin, {h + 1} as hop, {cols}, take as traced from {p}d{h + 1} where take > 0)")
     out.append(f"{p}e as ({' union all '.join(f'select * from {p}e{k}' for k in range(1, hops + 1))})")
     holds = [f"select origin, {k} as hop, wallet, received, reason, received as held from {p}r{k} where reason is not null" for k in range(1, hops + 1)]
     holds += [
-        f"select r.origin, {k} as hop, r.wallet, received, 'kept' as reason, received - coalesce((select sum(traced) from {p}e{k + 1} x where x.origin = r.origin and x.from_addr = r.wallet), 0)::bigint as held from {p}r{k} r where reason is null"
+        f"select r.origin, {k} as hop, r.wallet, received, 'kept' as reason, received - coalesce(x.spent, 0)::bigint as held from {p}r{k} r left join (select origin, own as wallet, sum(traced) as spent from {p}e{k + 1} group by all) x using (origin, wallet) where reason is null"
         for k in range(1, hops)
     ]
     out.append(f"{p}h as ({' union all '.join(holds)})")
@@ -206,7 +228,8 @@ _ROUTE = """z0 as (select origin, target, hop, tx_hash, from_addr, to_addr, bloc
     for k in range(1, RULES.hops)
 )
 _Z = " union all ".join(f"select * from z{k}" for k in range(RULES.hops))
-_ALL = f"with {_MOVES}, {_PICK}, {_trace()}"
+_OG = "og as (select distinct from_addr as origin from m)"
+_ALL = f"with {_MOVES}, {_OG}, {_trace()}"
 _POOL = """with s as (select *, sum(case when is_in then amount else -amount end) over w as s from wallet_events window w as (partition by wallet order by ts, is_in desc, event_id rows unbounded preceding)),
     p as (select *, s - least(0, min(s) over w) as pool from s window w as (partition by wallet order by ts, is_in desc, event_id rows unbounded preceding))"""
 
@@ -216,7 +239,9 @@ ORACLES = {
     "pick_asset": b.sql("transfers", f"with {_MOVES}, {_PICK} select * from pk"),
     "top_recipient": b.sql("transfers", """with s as (select from_addr, to_addr, count(*) as n from transfers group by all)
         select from_addr, to_addr, n from (select *, row_number() over (partition by from_addr order by n desc, to_addr) as i from s) where i = 1"""),
-    "trace_1hop": b.sql("transfers labels", f"with {_MOVES}, {_PICK}, {_trace(1)} select origin, hop::bigint as hop, tx_hash, from_addr, to_addr, traced from e"),
+    "trace_1hop": b.sql("transfers labels", f"with {_MOVES}, {_OG}, {_trace(1)} select origin, hop::bigint as hop, tx_hash, from_addr, to_addr, traced from e"),
+    "trace_inbound": b.sql("transfers labels", f"with {_MOVES}, {_OG}, {_trace(2, inbound=True)} select origin, hop::bigint as hop, tx_hash, from_addr, to_addr, traced from e"),
+    "funders": b.sql("transfers labels", f"with {_MOVES}, {_OG}, {_trace(1, inbound=True)} select origin, wallet, received, reason, round(received / sum(received) over (partition by origin), 6) as share from h"),
     "trace_3hop": b.sql("transfers labels", f"{_ALL} select origin, hop::bigint as hop, tx_hash, from_addr, to_addr, traced from e"),
     "trace_stops": b.sql("transfers labels", f"{_ALL} select origin, hop::bigint as hop, wallet, received, reason, held from h"),
     "trace_summary": b.sql("transfers labels", f"""{_ALL}, d as (select * from d2 union all select * from d3),

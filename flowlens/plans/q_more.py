@@ -18,7 +18,7 @@ def typology_flags(spark, sf_dir):
 def why_not_followed(spark, sf_dir):
     """Each wallet's weightiest reason not to be followed, counted."""
     holds = q_flow.traced(spark, sf_dir)[1].where("reason <> 'kept'")
-    rank = F.array_position(F.array(*map(F.lit, ["labelled", "origin", "small", "hub", "depth_limit"])), F.col("reason"))
+    rank = F.array_position(F.array(*map(F.lit, ["labelled", "origin", "depth_limit", "small", "budget", "hub"])), F.col("reason"))
     best = holds.groupBy("origin", "wallet").agg(F.min_by("reason", rank).alias("reason"), F.sum("held").alias("held"))
     return best.groupBy("origin", "reason").agg(F.count(F.lit(1)).alias("n_wallets"), F.sum("held").alias("held"))
 
@@ -95,7 +95,7 @@ ORACLES = {
     "typology_flags": b.sql("transfers labels", f"""{q_flow._ALL}, p as (select origin, to_addr as wallet, sum(traced)::bigint as amount, min(hop)::bigint as hops, count(distinct tx_hash) as n_tx, count(distinct from_addr) as senders from e group by all),
         f as (select p.*, category as code from p join l on wallet = address where category in ('sanctioned', 'mixer', 'bridge') union all select p.*, 'fan_in' from p where senders >= 3)
         select origin, code, case code when 'bridge' then 'medium' when 'fan_in' then 'low' else 'high' end as severity, wallet, amount, round(amount / total, 6) as share, hops, n_tx from f join t using (origin)"""),
-    "why_not_followed": b.sql("transfers labels", f"""{q_flow._ALL}, w as (select origin, wallet, arg_min(reason, list_position(['labelled', 'origin', 'small', 'hub', 'depth_limit'], reason)) as reason, sum(held) as held
+    "why_not_followed": b.sql("transfers labels", f"""{q_flow._ALL}, w as (select origin, wallet, arg_min(reason, list_position(['labelled', 'origin', 'depth_limit', 'small', 'budget', 'hub'], reason)) as reason, sum(held) as held
             from h where reason <> 'kept' group by origin, wallet) select origin, reason, count(*) as n_wallets, sum(held)::bigint as held from w group by all"""),
     "blind_spots": b.sql("transfers labels", f"""{q_flow._ALL}, {q_flow._CAND}, top as (select origin, entity from cc where rank = 1), {q_flow._trace(hidden="top", p="q")},
         x as (select origin, reason, sum(held)::bigint as v from h group by all), y as (select origin, reason, sum(held)::bigint as v from qh group by all)
