@@ -61,17 +61,24 @@ def spread(edges: DataFrame, seeds: DataFrame, hops: int = 3, hub: int = 200, de
     return reached.withColumn("risk", F.pow(F.lit(decay), F.col("hops")))
 
 
-def khop(edges: DataFrame, seeds: DataFrame, hops: int = 2, cap: int = 1000) -> DataFrame:
-    """(entity, hop) within so many undirected steps; beyond the cap of a step, the neighbours with most value stay."""
+def khop(edges: DataFrame, seeds: DataFrame, hops: int = 2, cap: int = 1500) -> DataFrame:
+    """(entity, hop, capped) within so many undirected steps, seeds counted, and whether the cap left any out.
+
+    Where a step would pass the cap, the neighbours with most value stay; a top-k, so no task sorts them all.
+    """
     both = edges.select("src", "dst", "value").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "value"))
     reached = seeds.select("entity", F.lit(0).alias("hop"))
-    level = reached
+    level, n, capped = reached, seeds.count(), False
     for hop in range(1, hops + 1):
         new = level.join(both, F.col("entity") == F.col("src")).groupBy(F.col("dst").alias("entity")).agg(F.sum("value").alias("value"))
-        new = new.join(reached.select("entity"), "entity", "left_anti").orderBy(F.col("value").desc(), "entity").limit(cap)
-        level = cut(new.select("entity", F.lit(hop).alias("hop")))
+        room = max(0, cap - n)
+        found = cut(new.join(reached.select("entity"), "entity", "left_anti").orderBy(F.col("value").desc(), "entity").limit(room + 1))
+        size = found.count()
+        capped |= size > room
+        level = cut(found.orderBy(F.col("value").desc(), "entity").limit(room).select("entity", F.lit(hop).alias("hop")))
+        n += min(size, room)
         reached = reached.unionByName(level)
-    return reached
+    return reached.withColumn("capped", F.lit(capped))
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -112,7 +119,8 @@ def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataF
     """(entity, rank) after so many rounds over edge values; a dead end spreads its rank evenly."""
     nodes = cut(edges.select(F.col("src").alias("entity")).unionByName(edges.select(F.col("dst").alias("entity"))).distinct())
     n = nodes.count()
-    share = cut(edges.select("src", "dst", (F.col("value") / F.sum("value").over(W.partitionBy("src"))).alias("w")))
+    paid = cut(edges.groupBy("src").agg(F.sum("value").alias("paid")))  # combined before the shuffle, so a hub's edges stay apart
+    share = cut(edges.join(paid, "src").select("src", "dst", (F.col("value") / F.col("paid")).alias("w")))
     rank = nodes.withColumn("rank", F.lit(1.0 / n))
     for _ in range(rounds):
         got = share.join(rank, F.col("src") == F.col("entity")).groupBy(F.col("dst").alias("entity")).agg(F.sum(F.col("w") * F.col("rank")).alias("got"))
@@ -140,19 +148,25 @@ def core_numbers(edges: DataFrame) -> DataFrame:
         core = new.drop("fell")
 
 
-def betweenness(edges: DataFrame, pivots: DataFrame, depth: int = 10) -> DataFrame:
+def pivots_of(edges: DataFrame, most: int = 400) -> DataFrame:
+    """(entity): all vertices, or so many of them by a hash, a top-k."""
+    ends = edges.select(F.col("src").alias("entity")).unionByName(edges.select(F.col("dst").alias("entity"))).distinct()
+    return ends.orderBy(F.xxhash64("entity"), "entity").limit(most)
+
+
+def betweenness(edges: DataFrame, pivots: DataFrame) -> DataFrame:
     """(entity, betweenness): how many shortest paths from the pivots (column entity, a bounded sample) pass through,
     scaled to all entities and rounded to four digits.
 
-    All pivots walk at once, a level a round: forwards the numbers of shortest paths, backwards the shares that depend
-    on an entity. Paths beyond the depth don't count.
+    All pivots walk at once, a level a round until none is left: forwards the numbers of shortest paths, backwards the
+    shares that depend on an entity.
     """
     ways = cut(edges.where("src <> dst").select("src", "dst").distinct())
     n = ways.select(F.col("src").alias("v")).unionByName(ways.select(F.col("dst").alias("v"))).distinct().count()
     level = cut(pivots.select(F.col("entity").alias("pivot"), F.col("entity").alias("v"), F.lit(1.0).alias("paths")))
     levels, k = [level], level.count()
     seen = level.select("pivot", "v")
-    while len(levels) <= depth:
+    while True:
         step = level.join(ways, F.col("v") == F.col("src")).groupBy("pivot", F.col("dst").alias("v")).agg(F.sum("paths").alias("paths"))
         level = cut(step.join(seen, ["pivot", "v"], "left_anti"))
         if level.isEmpty():

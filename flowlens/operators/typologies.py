@@ -7,18 +7,30 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Different recipients within the window, and different senders, from which on a wallet is flagged.
+FAN_OUT, FAN_IN = 5, 5
+
+
 def fan_out(payments: DataFrame, hours: int = 24) -> DataFrame:
     """sender, most: the most different recipients within any window of so many hours, over (sender, ts, to_addr).
 
     A busy sender's history is cut into days of that length; a day's windows need that day and the one before, so
-    each payment goes to two parts and no task needs a whole history.
+    each payment goes to two parts and no task needs a whole history. A payment counts in the windows that end from
+    its time on until its recipient is paid again, or until it is out of the window: it comes, and goes, so how many
+    count at a time is a running sum, and no set is gathered.
     """
-    seconds = hours * 3600
+    width = hours * 3600 * 1_000_000
     at = F.unix_micros(F.col("ts").cast("timestamp"))
-    rows = payments.select("sender", "to_addr", at.alias("at")).withColumn("day", F.floor(F.col("at") / (seconds * 1_000_000)))
-    parts = rows.select("sender", "to_addr", "at", "day", F.explode(F.array(F.col("day"), F.col("day") + 1)).alias("part"))
-    window = W.partitionBy("sender", "part").orderBy("at").rangeBetween(-seconds * 1_000_000, 0)
-    counted = parts.withColumn("n", F.size(F.collect_set("to_addr").over(window))).where("day = part")
+    rows = payments.select("sender", "to_addr", at.alias("at")).distinct().withColumn("day", F.floor(F.col("at") / width))
+    parts = rows.select("sender", "to_addr", "at", F.explode(F.array(F.col("day"), F.col("day") + 1)).alias("part"))
+    again = F.lead("at").over(W.partitionBy("sender", "part", "to_addr").orderBy("at"))
+    gone = F.least(again, F.col("at") + width + 1).alias("gone")
+    spans = parts.select("sender", "part", "at", gone)
+    steps = spans.select("sender", "part", "at", F.lit(1).alias("d")).unionByName(spans.select("sender", "part", F.col("gone").alias("at"), F.lit(-1).alias("d")))
+    steps = steps.groupBy("sender", "part", "at").agg(F.sum("d").alias("d"))
+    counted = steps.withColumn("n", F.sum("d").over(W.partitionBy("sender", "part").orderBy("at").rowsBetween(W.unboundedPreceding, 0)))
+    # windows that end in the part itself: the day before is there only for what it still counts
+    counted = counted.where(F.floor(F.col("at") / width) == F.col("part"))
     return counted.groupBy("sender").agg(F.max("n").cast("long").alias("most"))
 
 
@@ -66,8 +78,8 @@ def class_of(score: Column) -> Column:
 
 
 def merge_indicators(found: DataFrame) -> DataFrame:
-    """One row per (wallet, code) of (wallet, code, points, is_pattern, tx_hash): most points, all transactions."""
-    return found.groupBy("wallet", "code").agg(F.max("points").alias("points"), F.max("is_pattern").alias("is_pattern"), F.array_join(F.array_sort(F.collect_set("tx_hash")), ",").alias("txs"))
+    """One row per (wallet, code) of (wallet, code, points, is_pattern, tx_hash): most points, how many transactions."""
+    return found.groupBy("wallet", "code").agg(F.max("points").alias("points"), F.max("is_pattern").alias("is_pattern"), F.count_distinct("tx_hash").alias("n_txs"))
 
 
 def risk_total(merged: DataFrame) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from flowlens.functions import text as words
 from flowlens.operators import discovery, flow, graph, labels
 from flowlens.plans import binding as b
-from flowlens.plans import q_flow, q_labels
+from flowlens.plans import q_flow, q_graph, q_labels
 from flowlens.session import cut
 from flowlens.sources import readers
 
@@ -25,11 +26,13 @@ def wallet_flows(spark, sf_dir):
         t.select(F.col("to_addr").alias("wallet"), F.lit("in").alias("direction"), F.col("from_addr").alias("far"), "amount", "block_time")
     )
     per = both.groupBy("wallet", "direction", "far").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("v"), F.min("block_time").alias("f"), F.max("block_time").alias("l"))
-    top = F.array_sort(F.collect_list(F.struct((-F.col("v")).alias("v"), "far")))
-    return per.groupBy("wallet", "direction").agg(
-        F.sum("n").alias("n_tx"), F.sum("v").alias("amount"), F.count(F.lit(1)).alias("n_far"), F.min("f").alias("first_ts"), F.max("l").alias("last_ts"),
-        F.array_join(F.transform(F.slice(top, 1, 5), lambda x: x.far), ",").alias("top"),
-    )
+    per = cut(per)
+    rank = F.row_number().over(W.partitionBy("wallet", "direction").orderBy(F.col("v").desc(), "far"))
+    best = per.withColumn("i", rank).where("i <= 5").groupBy("wallet", "direction").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "far"))), lambda x: x.far), ",").alias("top"))
+    sums = per.groupBy("wallet", "direction").agg(
+        F.sum("n").alias("n_tx"), F.sum("v").alias("amount"), F.count(F.lit(1)).alias("n_far"), F.min("f").alias("first_ts"), F.max("l").alias("last_ts")
+    )
+    return sums.join(best, ["wallet", "direction"])
 
 
 def bridge_crossings(spark, sf_dir):
@@ -44,11 +47,12 @@ def bridge_crossings(spark, sf_dir):
 
 
 def cluster_labels(spark, sf_dir):
-    """Labels that pass to addresses which signed together, in one week of transactions."""
-    week = b.utxo(spark, sf_dir).where("ts >= timestamp_ntz'1998-03-01' and ts < timestamp_ntz'1998-03-08'")
-    signed = week.select(F.element_at("inputs", 1).alias("a"), F.explode("inputs").alias("b")).where("a <> b").distinct()
-    owners = b.table(spark, sf_dir, "part").where("p_partkey % 4 = 0").select(F.concat(F.lit("A"), "p_partkey").alias("address"), F.col("p_brand").alias("entity"), F.lit(0.95).alias("weight"))
-    return discovery.inherit_labels(cut(signed), owners)
+    """Labels that pass to addresses which signed together; those of large parts have owners."""
+    signed = q_graph.weekly(spark, sf_dir).select(F.element_at("inputs", 1).alias("a"), F.explode("inputs").alias("b")).where("a <> b").distinct()
+    signed = cut(signed)
+    owners = b.table(spark, sf_dir, "part").where("p_size > 37").select(F.concat(F.lit("A"), "p_partkey").alias("part"), F.col("p_brand").alias("entity"), F.lit(0.95).alias("weight"))
+    seen = signed.select(F.col("a").alias("address")).unionByName(signed.select(F.col("b").alias("address"))).distinct()
+    return discovery.inherit_labels(signed, cut(seen.join(owners, F.substring_index("address", "@", 1) == F.col("part")).drop("part")))
 
 
 def _sweeps(spark, sf_dir):
@@ -111,7 +115,7 @@ def reach(spark, sf_dir):
     """How many wallets a wallet reaches in one step and in two, itself counted, and how line-like that is."""
     e = graph.undirected(q_flow.moves(spark, sf_dir).select(F.col("from_addr").alias("src"), F.col("to_addr").alias("dst")).distinct())
     both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    some = both.where("cast(substring(a, 2) as bigint) between 101 and 110")
+    some = cut(both.where("cast(substring(a, 2) as bigint) % 100 = 0"))  # the stated query set, against all wallets
     one = some.groupBy("a").agg((F.count(F.lit(1)) + 1).alias("reach_1"))
     two = some.alias("x").join(both.alias("y"), F.expr("x.b = y.a")).select(F.col("x.a").alias("a"), F.col("y.b").alias("b")).unionByName(some.select("a", "b")).where("a <> b").groupBy("a").agg((F.count_distinct("b") + 1).alias("reach_2"))
     return one.join(two, "a").select(F.col("a").alias("entity"), "reach_1", "reach_2", F.round(F.col("reach_2") / F.col("reach_1"), 6).alias("linearity"))
@@ -159,9 +163,9 @@ ORACLES = {
         c as (select *, case when got then least(traced, ((paid::hugeint * traced) // amount)::bigint) end as o from m)
         select tx_hash, case when got then 'followed' else 'unresolved' end as status, case when not hit then 'no_match' when not got then 'no_payout' end as reason,
                case when hit then 'b' end as to_chain, case when hit then w end as recipient, o as out, traced - o as fee from c""",
-    "cluster_labels": b.sql("utxo", """with g as (select inputs[1] as a, unnest(inputs) as b from utxo where ts >= '1998-03-01' and ts < '1998-03-08'), p as (select distinct a, b from g where a <> b),
-        y as (select a, b from p union all select b, a from p), r(node, root) as (select a, a from y union select y.b, r.root from r join y on y.a = r.node),
-        c as (select node, min(root) as root from r group by node), l as (select 'A' || p_partkey as address, p_brand as entity from part where p_partkey % 4 = 0),
+    "cluster_labels": b.sql("utxo", """with wk as (select *, '@' || strftime(date_trunc('week', ts), '%Y%m%d') as k from utxo), g as (select inputs[1] || k as a, unnest(inputs) || k as b from wk), p as materialized (select distinct a, b from g where a <> b),
+        y as materialized (select a, b from p union all select b, a from p), r(node, root) as (select a, a from y union select y.b, r.root from r join y on y.a = r.node),
+        c as (select node, min(root) as root from r group by node), l as materialized (select distinct y.a as address, p_brand as entity from y join part on split_part(y.a, '@', 1) = 'A' || p_partkey where p_size > 37),
         o as (select root, max(entity) as entity from c join l on node = address group by root having count(distinct entity) = 1)
         select node as address, entity, round(0.95 * 0.9, 4)::double as confidence from c join o using (root) where node not in (select address from l) and node in (select a from y where b in (select address from l))"""),
     "sweep_rule": b.sql("wallet_events", f"with {_FIFO} select * from sw"),
@@ -178,7 +182,7 @@ ORACLES = {
         + ", count(*) as n, count(*) filter (category in ('exchange', 'swap') and tier <> 'derived') as can_name from label_sources group by source"),
     "verdict_summary": "select " + ", ".join(f"count(*) filter (verdict = '{v}') as {v}" for v in ["agrees", "differs", "unlabelled", "no_payments"]) + f" from ({q_labels.ORACLES['tag_check']})",
     "reach": b.sql("transfers", """with u as (select distinct least(from_addr, to_addr) as a, greatest(from_addr, to_addr) as b from transfers where from_addr <> to_addr), y as (select a, b from u union all select b, a from u),
-        s as (select * from y where substr(a, 2)::bigint between 101 and 110), one as (select a, count(*) + 1 as reach_1 from s group by a),
+        s as (select * from y where substr(a, 2)::bigint % 100 = 0), one as (select a, count(*) + 1 as reach_1 from s group by a),
         two as (select a, count(distinct b) + 1 as reach_2 from (select s.a, y.b from s join y on s.b = y.a union all select a, b from s) where a <> b group by a)
         select a as entity, reach_1, reach_2, round(reach_2 / reach_1, 6) as linearity from one join two using (a)"""),
     "short_ids": """with c as (select c_custkey, c_name, c_mktsegment, case when c_custkey % 4 = 0 then '=' || c_name else c_name end as odd from customer)

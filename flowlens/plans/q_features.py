@@ -20,7 +20,7 @@ def active_entities(spark, sf_dir):
 
 
 def member_stats(spark, sf_dir):
-    members = spark.range(1, 101).select(F.concat(F.lit("W"), "id").alias("address"))
+    members = b.labels(spark, sf_dir).select("address")
     return edges.member_stats(b.transfers(spark, sf_dir), members)
 
 
@@ -45,7 +45,7 @@ def amount_features(spark, sf_dir):
 
 
 def tx_head_matrix(spark, sf_dir):
-    return features.transaction_head(tx_features(spark, sf_dir), _owners(spark, sf_dir).where("cast(substring(entity, 2) as bigint) % 3 <> 0"))
+    return features.transaction_head(tx_features(spark, sf_dir), _owners(spark, sf_dir))
 
 
 def _scripts(spark, sf_dir):
@@ -133,10 +133,10 @@ ORACLES = {
     "entity_edges": b.sql("transfers", _EDGES),
     "active_entities": b.sql("transfers", f"""with e as ({_EDGES}), o as (select src, count(*) as n from e group by 1), i as (select dst, count(*) as n from e group by 1)
         select coalesce(src, dst) as entity, coalesce(o.n, 0) as n_out, coalesce(i.n, 0) as n_in from o full join i on src = dst where coalesce(o.n, 0) + coalesce(i.n, 0) >= 30"""),
-    "member_stats": b.sql("transfers", """with m as (select 'W' || range as address from range(1, 101)),
-        t as (select * from transfers where from_addr <> to_addr and from_addr in (select address from m) and to_addr in (select address from m))
-        select address, (select count(*) from t where from_addr = address) as n_sent, (select count(*) from t where to_addr = address) as n_got,
-               coalesce((select sum(amount) from t where from_addr = address), 0)::bigint as sent, coalesce((select sum(amount) from t where to_addr = address), 0)::bigint as got from m"""),
+    "member_stats": b.sql("transfers labels", """with m as (select address from labels_rel),
+        t as (select * from transfers where from_addr <> to_addr and from_addr in (select address from m) and to_addr in (select address from m)),
+        o as (select from_addr as address, count(*) as n, sum(amount) as v from t group by 1), i as (select to_addr as address, count(*) as n, sum(amount) as v from t group by 1)
+        select m.address, coalesce(o.n, 0) as n_sent, coalesce(i.n, 0) as n_got, coalesce(o.v, 0)::bigint as sent, coalesce(i.v, 0)::bigint as got from m left join o using (address) left join i using (address)"""),
     "counterparty_hhi": b.sql("transfers labels", f"""with e as ({_EDGES}),
         o as (select src, count(*) as n, round(sum(value::hugeint * value)::double / sum(value)::double / sum(value)::double, 6) as hhi from e group by 1),
         i as (select dst, count(*) as n, sum(value)::bigint as v from e group by 1),
@@ -151,7 +151,7 @@ ORACLES = {
                round(avg(fee_ratio), 6) as fee_ratio_mean, round(avg(feerate_sat_vb), 6) as mean_feerate_sat_vb, round(avg(round_frac), 6) as round_number_frac,
                round(avg(structuring_frac), 6) as structuring_proximity, round(avg(n_outputs), 6) as mean_n_outputs, max(n_outputs) as max_n_outputs,
                round(avg(n_inputs), 6) as mean_n_inputs, max(n_inputs) as max_n_inputs from tx join o using (txid) group by entity"""),
-    "tx_head_matrix": b.sql("utxo", f"""with {_TX}, {_OWNERS}, j as (select tx.*, entity from tx left join (select * from o where o_custkey % 3 <> 0) using (txid))
+    "tx_head_matrix": b.sql("utxo", f"""with {_TX}, {_OWNERS}, j as (select tx.*, entity from tx left join o using (txid))
         select txid, value_out, n_inputs, n_outputs, fee_ratio, case when entity is null then 0 else count(*) over (partition by entity) end as parent_n_tx,
                case when entity is null then 0 else round(value_out / greatest(sum(value_out) over (partition by entity), 1), 6) end as value_share_of_entity,
                round(n_inputs / greatest(n_outputs, 1), 6) as in_out_ratio_tx from j"""),

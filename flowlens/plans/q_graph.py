@@ -8,38 +8,47 @@ from flowlens.operators import edges, flow, graph, typologies, utxo
 from flowlens.plans import binding as b
 from flowlens.session import cut
 
-WEEK = ("1998-03-01", "1998-03-08")
-
-
 def _edges(spark, sf_dir):
     return cut(edges.entity_edges(b.transfers(spark, sf_dir)))
 
 
-def _week(spark, sf_dir):
-    return b.utxo(spark, sf_dir).where(f"ts >= timestamp_ntz'{WEEK[0]}' and ts < timestamp_ntz'{WEEK[1]}'")
+def weekly(spark, sf_dir):
+    """Transactions of wallets that take new addresses every week, so that an address is one of a week."""
+    own = lambda x: F.concat(x, F.lit("@"), F.date_format(F.date_trunc("week", "ts"), "yyyyMMdd"))
+    return b.utxo(spark, sf_dir).withColumn("inputs", F.transform("inputs", own)).withColumn("outputs", F.transform("outputs", lambda x: F.struct(own(x.address).alias("address"), x.amount.alias("amount"))))
 
 
 def components_week(spark, sf_dir):
-    return graph.components(graph.co_spend_edges(_week(spark, sf_dir)))
+    """Wallets by their addresses of a week, for all weeks."""
+    return graph.components(graph.co_spend_edges(weekly(spark, sf_dir)))
 
 
 def campaigns(spark, sf_dir):
-    """Components among flagged addresses only, with their members."""
-    pairs = graph.co_spend_edges(_week(spark, sf_dir)).where("substring(a, -1) < '7' and substring(b, -1) < '7'")
-    return graph.components(pairs).groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("node")), ",").alias("members"))
+    """Components among flagged addresses only (those of small parts), with their sizes: one row a member."""
+    flagged = b.table(spark, sf_dir, "part").where("p_size <= 30").select(F.concat(F.lit("A"), "p_partkey").alias("part"))
+    pairs = graph.co_spend_edges(weekly(spark, sf_dir))
+    for end in ("a", "b"):
+        pairs = pairs.join(flagged, F.substring_index(end, "@", 1) == F.col("part"), "left_semi")
+    found = cut(graph.components(cut(pairs)))
+    return found.join(found.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "root").select("root", "n", "node")
 
 
-def _seeds(spark):
-    return spark.range(1, 4).select(F.concat(F.lit("W"), F.col("id") * 7 + 100).alias("entity"))
+def _seeds(edges):
+    """The watched wallets: those with an id divisible by 100."""
+    ends = edges.select(F.col("src").alias("entity")).unionByName(edges.select(F.col("dst").alias("entity")))
+    return ends.where("cast(substring(entity, 2) as bigint) % 100 = 0").distinct()
 
 
 def spread_hops(spark, sf_dir):
-    found = graph.spread(_edges(spark, sf_dir), _seeds(spark), hops=2, hub=490)
+    e = _edges(spark, sf_dir)
+    found = graph.spread(e, cut(_seeds(e)))
     return found.select("entity", "seed", F.col("hops").cast("long").alias("hops"), "direction", "parent", "risk")
 
 
 def khop(spark, sf_dir):
-    return graph.khop(_edges(spark, sf_dir), _seeds(spark), hops=2, cap=200).select("entity", F.col("hop").cast("long").alias("hop"))
+    e = _edges(spark, sf_dir)
+    found = graph.khop(e, cut(_seeds(e)), hops=2)
+    return found.select("entity", F.col("hop").cast("long").alias("hop"), "capped")
 
 
 def degree(spark, sf_dir):
@@ -116,10 +125,10 @@ def round_amounts(spark, sf_dir):
 
 
 def _indicators(spark, sf_dir):
+    """Every payment as one indicator of its sender."""
     codes = ["fan_out", "peel", "round", "mixer", "sanctioned"]
     at = F.col("amount") % 5
-    t = b.transfers(spark, sf_dir).where("amount % 11 = 0")
-    return t.select(
+    return b.transfers(spark, sf_dir).select(
         F.col("from_addr").alias("wallet"), b._pick(codes, at).alias("code"), (F.lit(3) + F.col("amount") % 13 + F.when(at >= 3, 20).otherwise(0)).cast("long").alias("points"),
         (at < 3).alias("is_pattern"), "tx_hash",
     )
@@ -137,20 +146,49 @@ def risk_flows(spark, sf_dir):
     return typologies.risk_flows(_indicators(spark, sf_dir))
 
 
+def fan_out_flags(spark, sf_dir):
+    """Wallets that pay five others or more within a day."""
+    return typologies.fan_out(_outflows(spark, sf_dir)).where(F.col("most") >= typologies.FAN_OUT)
+
+
+def fan_in_5(spark, sf_dir):
+    return typologies.fan_in(b.transfers(spark, sf_dir), typologies.FAN_IN)
+
+
+def rapid_flags(spark, sf_dir):
+    events = b.wallet_events(spark, sf_dir)
+    return typologies.rapid(flow.fifo_pairs(events), events)
+
+
+def peel_70(spark, sf_dir):
+    return typologies.peels(b.transfers(spark, sf_dir))
+
+
+def round_100(spark, sf_dir):
+    """Wallets whose stablecoin payments are often whole hundreds of units, counted in cents."""
+    return typologies.round_amounts(b.transfers(spark, sf_dir), 100 * 100)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         components_week, campaigns, spread_hops, khop, degree, clustering, pagerank, kcore, coinjoin_shape, utxo_shares, utxo_in, utxo_out,
-        fan_out_24h, fan_in, rapid_forwarding, peel_step, round_amounts, risk_merge, risk_total, risk_flows,
+        fan_out_24h, fan_in, rapid_forwarding, peel_step, round_amounts, risk_merge, risk_total, risk_flows, fan_out_flags, fan_in_5, rapid_flags, peel_70, round_100,
     )
 }
 
 _E = "e as (select from_addr as src, to_addr as dst, sum(amount)::bigint as value from transfers where from_addr <> to_addr group by all)"
-_STAR = f"""w as (select txid, list_distinct(list_concat(inputs, addresses)) as every, list_concat(inputs, addresses)[1] as a from utxo where ts >= '{WEEK[0]}' and ts < '{WEEK[1]}'),
-    p as (select distinct a, b from (select a, unnest(every) as b from w) where a <> b)"""
+_STAR = """wk as (select *, '@' || strftime(date_trunc('week', ts), '%Y%m%d') as k from utxo),
+    w as (select txid, list_distinct(list_transform(list_concat(inputs, addresses), lambda x: x || k)) as every, list_concat(inputs, addresses)[1] || k as a from wk),
+    p as materialized (select distinct a, b from (select a, unnest(every) as b from w) where a <> b)"""
 _REACH = "r(node, root) as (select a, a from {p} union select b, b from {p} union select x.b, r.root from r join (select a, b from {p} union all select b, a from {p}) x on x.a = r.node)"
-_SEEDS = "s as (select 'W' || (range * 7 + 100) as entity from range(1, 4))"
-_BOTH = "b as (select src, dst, 'down' as direction from e union all select dst, src, 'up' from e), hub as (select src as entity from b group by 1 having count(distinct dst) >= 490)"
+_SEEDS = "s as (select distinct entity from (select src as entity from e union all select dst from e) where substr(entity, 2)::bigint % 100 = 0)"
+_BOTH = "b as (select src, dst, 'down' as direction from e union all select dst, src, 'up' from e), hub as (select src as entity from b group by 1 having count(distinct dst) >= 200)"
+_SPREAD = ", ".join(
+    f"""l{k} as (select * exclude (n) from (select dst as entity, seed, {k} as hops, b.direction, src as parent, row_number() over (partition by dst order by seed, b.direction, src) as n
+        from l{k - 1} l join b on entity = src {"" if k == 1 else "and b.direction = l.direction"} where entity not in (select entity from hub) and dst not in ({" union all ".join(f"select entity from l{i}" for i in range(k))})) where n = 1)"""
+    for k in (1, 2, 3)
+)
 _PR = ["r0 as (select entity, 1.0::double / count(*) over () as rank from n)"] + [
     f"""g{k} as (select dst as entity, sum(w * rank) as got from sh join r{k - 1} on src = entity group by 1),
     r{k} as (select n.entity, (1 - 0.85) / (select count(*) from n) + 0.85 * (coalesce(got, 0) + (1 - (select sum(got) from g{k})) / (select count(*) from n)) as rank from n left join g{k} using (entity))"""
@@ -163,25 +201,23 @@ _CJ = """u as (select txid, inputs, addresses, list_transform(amounts, lambda x:
     kb as (select txid, v, n from (select *, row_number() over (partition by txid order by n desc, v desc) as i from k) where i = 1),
     cj as (select txid, v as equal_value, n as n_equal, len(inputs)::bigint as n_inputs, n >= 2 and n >= 0.25 * len(am) and len(inputs) >= n as is_coinjoin from u join kb using (txid))"""
 _IND = """i as (select from_addr as wallet, ['fan_out', 'peel', 'round', 'mixer', 'sanctioned'][amount % 5 + 1] as code, (3 + amount % 13 + case when amount % 5 >= 3 then 20 else 0 end)::bigint as points,
-        amount % 5 < 3 as is_pattern, tx_hash from transfers where amount % 11 = 0)"""
+        amount % 5 < 3 as is_pattern, tx_hash from transfers)"""
 _CLASS = "case when score >= 75 then 'severe' when score >= 50 then 'high' when score >= 25 then 'medium' else 'low' end"
 
 ORACLES = {
     "components_week": b.sql("utxo", f"with {_STAR}, {_REACH.format(p='p')} select node, min(root) as root from r group by node"),
-    "campaigns": b.sql("utxo", f"""with {_STAR}, f as (select * from p where right(a, 1) < '7' and right(b, 1) < '7'), {_REACH.format(p='f')},
-        c as (select node, min(root) as root from r group by node) select root, count(*) as n, string_agg(node, ',' order by node) as members from c group by root"""),
-    "spread_hops": b.sql("transfers", f"""with {_E}, {_SEEDS}, {_BOTH},
-        l0 as (select entity, entity as seed, 0 as hops, 'seed' as direction, null::varchar as parent from s),
-        l1 as (select * exclude (n) from (select dst as entity, seed, 1 as hops, b.direction, src as parent, row_number() over (partition by dst order by seed, b.direction, src) as n
-            from l0 join b on entity = src where entity not in (select entity from hub) and dst not in (select entity from l0)) where n = 1),
-        l2 as (select * exclude (n) from (select dst as entity, seed, 2 as hops, b.direction, src as parent, row_number() over (partition by dst order by seed, b.direction, src) as n
-            from l1 join b on entity = src and b.direction = l1.direction where entity not in (select entity from hub)
-            and dst not in (select entity from l0) and dst not in (select entity from l1)) where n = 1)
-        select entity, seed, hops::bigint as hops, direction, parent, pow(0.5, hops) as risk from (from l0 union all from l1 union all from l2)"""),
-    "khop": b.sql("transfers", f"""with {_E}, {_SEEDS}, b as (select src, dst, value from e union all select dst, src, value from e),
-        l1 as (select dst as entity, sum(value) as v from s join b on entity = src where dst not in (select entity from s) group by 1 order by v desc, 1 limit 200),
-        l2 as (select dst as entity, sum(value) as v from l1 join b on entity = src where dst not in (select entity from s) and dst not in (select entity from l1) group by 1 order by v desc, 1 limit 200)
-        select entity, 0::bigint as hop from s union all select entity, 1 from l1 union all select entity, 2 from l2"""),
+    "campaigns": b.sql("utxo", f"""with {_STAR}, fl as (select 'A' || p_partkey as part from part where p_size <= 30),
+        f as materialized (select * from p where split_part(a, '@', 1) in (select part from fl) and split_part(b, '@', 1) in (select part from fl)), {_REACH.format(p='f')},
+        c as (select node, min(root) as root from r group by node) select root, count(*) over (partition by root) as n, node from c"""),
+    "spread_hops": b.sql("transfers", f"""with {_E}, {_SEEDS}, {_BOTH}, l0 as (select entity, entity as seed, 0 as hops, 'seed' as direction, null::varchar as parent from s), {_SPREAD}
+        select entity, seed, hops::bigint as hops, direction, parent, pow(0.5, hops) as risk from ({" union all ".join(f"from l{k}" for k in range(4))})"""),
+    "khop": b.sql("transfers", f"""with {_E}, {_SEEDS}, b as (select src, dst, value from e union all select dst, src, value from e), n0 as (select count(*) as n from s),
+        c1 as (select dst as entity, sum(value) as v from s join b on entity = src where dst not in (select entity from s) group by 1),
+        l1 as materialized (select entity from (select *, row_number() over (order by v desc, entity) as i from c1), n0 where i <= 1500 - n), n1 as (select (select n from n0) + count(*) as n from l1),
+        c2 as (select dst as entity, sum(value) as v from l1 join b on entity = src where dst not in (select entity from s) and dst not in (select entity from l1) group by 1),
+        l2 as (select entity from (select *, row_number() over (order by v desc, entity) as i from c2), n1 where i <= 1500 - n),
+        x as (select (select count(*) from c1) + (select n from n0) > 1500 or (select count(*) from c2) + (select n from n1) > 1500 as capped)
+        select h.*, capped from (select entity, 0::bigint as hop from s union all select entity, 1 from l1 union all select entity, 2 from l2) h, x"""),
     "degree": b.sql("transfers", f"""with {_E} select entity, count(*) filter (o) as degree_out, count(*) filter (not o) as degree_in, coalesce(sum(value) filter (o), 0)::bigint as wdegree_out,
         coalesce(sum(value) filter (not o), 0)::bigint as wdegree_in from (select src as entity, value, true as o from e union all select dst, value, false from e) group by entity"""),
     "clustering": b.sql("transfers", f"""with {_E}, u as (select distinct least(src, dst) as a, greatest(src, dst) as b from e), n as (select a, b from u union all select b, a from u),
@@ -208,11 +244,19 @@ ORACLES = {
         p as (select wallet, count(*) as n_recipients, arg_max(to_addr, row(v, to_addr)) as main, round(max(v) / sum(v), 6) as main_share from s group by 1) select * from p where n_recipients >= 2 and main_share >= 0.1"""),
     "round_amounts": b.sql("transfers", """select from_addr as wallet, count(*) filter (amount % 50 = 0) as n_round, count(*) as n from transfers where asset <> 'COIN' group by 1
         having count(*) filter (amount % 50 = 0) >= 2 and count(*) filter (amount % 50 = 0) >= 0.02 * count(*)"""),
-    "risk_merge": b.sql("transfers", f"with {_IND} select wallet, code, max(points) as points, bool_or(is_pattern) as is_pattern, string_agg(distinct tx_hash, ',' order by tx_hash) as txs from i group by all"),
+    "risk_merge": b.sql("transfers", f"with {_IND} select wallet, code, max(points) as points, bool_or(is_pattern) as is_pattern, count(distinct tx_hash) as n_txs from i group by all"),
     "risk_total": b.sql("transfers", f"""with {_IND}, m as (select wallet, code, max(points) as points, bool_or(is_pattern) as p from i group by all),
         t as (select wallet, least(100, least(20, coalesce(sum(points) filter (p), 0)) + coalesce(sum(points) filter (not p), 0))::bigint as score from m group by 1) select wallet, score, {_CLASS} as class from t"""),
     "risk_flows": b.sql("transfers", f"""with {_IND}, m as (select tx_hash, code, max(points) as points from i group by all), t as (select tx_hash, least(100, sum(points))::bigint as score from m group by 1)
         select tx_hash, score, {_CLASS} as class from t"""),
+    "fan_out_flags": b.sql("wallet_events", """with o as (select wallet as sender, ts, far from wallet_events where not is_in),
+        c as (select x.sender, x.ts, count(distinct y.far) as n from o x join o y on x.sender = y.sender and y.ts between x.ts - interval 24 hour and x.ts group by all)
+        select sender, max(n) as most from c group by sender having max(n) >= 5"""),
+    "fan_in_5": b.sql("transfers", "select to_addr as wallet, count(distinct from_addr) as n_senders from transfers where from_addr <> to_addr group by 1 having count(distinct from_addr) >= 5"),
+    "peel_70": b.sql("transfers", """with s as (select from_addr as wallet, to_addr, sum(amount) as v from transfers where from_addr <> to_addr group by all),
+        p as (select wallet, count(*) as n_recipients, arg_max(to_addr, row(v, to_addr)) as main, round(max(v) / sum(v), 6) as main_share from s group by 1) select * from p where n_recipients >= 2 and main_share >= 0.7"""),
+    "round_100": b.sql("transfers", """select from_addr as wallet, count(*) filter (amount % 10000 = 0) as n_round, count(*) as n from transfers where asset <> 'COIN' group by 1
+        having count(*) filter (amount % 10000 = 0) >= 3 and count(*) filter (amount % 10000 = 0) >= 0.5 * count(*)"""),
     "rapid_forwarding": b.sql("wallet_events", """with i as (select wallet, event_id as in_id, ts as in_ts, sum(amount) over w - amount as a, sum(amount) over w as b from wallet_events where is_in and amount > 0
             window w as (partition by wallet order by ts, event_id rows unbounded preceding)),
         o as (select wallet, event_id as out_id, ts as out_ts, sum(amount) over w - amount as a, sum(amount) over w as b from wallet_events where not is_in and amount > 0
@@ -223,3 +267,4 @@ ORACLES = {
         g as (select wallet, sum(amount)::bigint as received from wallet_events where is_in group by 1)
         select wallet, forwarded, received, case when early = 0 then slow end as slowest_s, early = 0 and forwarded >= received * 0.5 and slow <= 86400 * 30 as rapid from g join u using (wallet)"""),
 }
+ORACLES["rapid_flags"] = ORACLES["rapid_forwarding"].replace("received * 0.5", "received * 0.9").replace("86400 * 30", "600")

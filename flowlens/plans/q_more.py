@@ -34,17 +34,14 @@ def blind_spots(spark, sf_dir):
 
 
 def case_heads(spark, sf_dir):
-    """The newest event of some users, with a field of its JSON: a case store's heads."""
-    e = b.table(spark, sf_dir, "events")
-    wanted = spark.range(0, 60, 2).withColumnRenamed("id", "user_id")
-    newest = views.latest(e.join(wanted, "user_id", "left_semi"), ["user_id"], [F.col("ts").desc(), F.col("event_id").desc()])
+    """The newest event of each user, with a field of its JSON: a case store's heads."""
+    newest = views.latest(b.table(spark, sf_dir, "events"), ["user_id"], [F.col("ts").desc(), F.col("event_id").desc()])
     return newest.select("user_id", "event_id", "event_type", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
 def betweenness(spark, sf_dir):
     e = cut(edges.entity_edges(b.transfers(spark, sf_dir)))
-    pivots = e.select(F.col("src").alias("entity")).distinct().orderBy(F.xxhash64("entity")).limit(20)
-    return graph.betweenness(e, pivots, depth=6)
+    return graph.betweenness(e, cut(graph.pivots_of(e)))
 
 
 def gbt_reasons(spark, sf_dir):
@@ -101,7 +98,7 @@ ORACLES = {
         x as (select origin, reason, sum(held)::bigint as v from h group by all), y as (select origin, reason, sum(held)::bigint as v from qh group by all)
         select coalesce(x.origin, y.origin) as origin, coalesce(x.reason, y.reason) as reason, coalesce(x.v, 0) as before, coalesce(y.v, 0) as after from x full join y on x.origin = y.origin and x.reason = y.reason
         where coalesce(y.v, 0) > coalesce(x.v, 0) and coalesce(x.origin, y.origin) in (select origin from top)"""),
-    "case_heads": """select user_id, event_id, event_type, json_extract_string(props, '$.k')::bigint as k from events where user_id < 60 and user_id % 2 = 0
+    "case_heads": """select user_id, event_id, event_type, json_extract_string(props, '$.k')::bigint as k from events
         qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1""",
     "fold_graph": b.sql("transfers labels", f"""{q_flow._ALL}, w as (select origin, hop::bigint as hop, to_addr as wallet, sum(traced) as amount from e group by all),
         k as (select *, row_number() over (partition by origin, hop order by amount desc, wallet) as i from w)

@@ -71,11 +71,21 @@ def cut(df: DataFrame) -> DataFrame:
     return written(df, "cut")
 
 
-def drop_scratch(spark: SparkSession) -> int:
-    """Deletes the tables that this process has written to the shared folder, once nothing reads them any more."""
+def scratch_count() -> int:
+    """How many scratch tables there are: where a call's own ones begin."""
+    return len(_SCRATCH)
+
+
+def drop_scratch(spark: SparkSession, begun: int = 0, keep: str | None = None) -> int:
+    """Deletes the tables that this process has written to the shared folder, once nothing reads them any more.
+
+    begun: only those written since so many. keep: tables of that name stay, as a result still reads them.
+    """
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    n = len(_SCRATCH)
-    while _SCRATCH:
-        path = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+    own = _SCRATCH[begun:]
+    stay = [p for p in own if keep is not None and p.rpartition("/")[2].rpartition("-")[0] == keep]
+    for name in set(own) - set(stay):
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
-    return n
+    _SCRATCH[begun:] = stay
+    return len(own) - len(stay)
