@@ -22,12 +22,15 @@ from pyspark.sql import types as T
 
 from flowlens.llm.common import ASCII_LOWER, fresh, small_batches, written
 from flowlens.operators.graph import components
+from flowlens.session import drop_scratch, scratch_count
 
 WORDS, BITS = 4, 4
 #: First bit and width of each segment.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Rows of a key from which on it is hot, and the parts that a hot key is split into.
 HOT, PARTS = 2000, 16
+#: Names of the tables that results read; all others are deleted before the result is returned.
+LEAST, GONE = "root-least", "simhash-gone"
 #: Shingles hashed at a time, so that a text of any length needs bounded memory.
 CHUNK = 1 << 16
 
@@ -182,7 +185,7 @@ def least_by_root(rooted: DataFrame) -> DataFrame:
     """
     rooted = written(rooted, "rooted")
     several = rooted.groupBy("root").agg(F.min("own").alias("all"), F.count(F.lit(1)).alias("n")).where("n > 1").select("root", "all")
-    return written(rooted.join(written(several, "root-minima"), "root", "left").select("fp", F.coalesce("all", "own").alias("least")), "root-least")
+    return written(rooted.join(written(several, "root-minima"), "root", "left").select("fp", F.coalesce("all", "own").alias("least")), LEAST)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
@@ -195,7 +198,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     small_batches(docs.sparkSession)
     prints = written(docs.select(F.col(id_col).alias("doc_id"), _fingerprints(F.col(text_col)).alias("fp")), "simhash")
     own = prints.groupBy("fp").agg(F.min("doc_id").alias("own"))
+    begun = scratch_count()
     named = least_by_root(_classes(prints, bits).join(own, "fp"))
+    drop_scratch(docs.sparkSession, begun, keep=LEAST)
     return prints.join(named, "fp").select("doc_id", "fp", F.col("least").alias("component_id"))
 
 
@@ -208,8 +213,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bi
     small_batches(docs.sparkSession)
     spot, mark = F.col(id_col), F.xxhash64(text_col)
     prints = docs.select(spot.alias("id"), mark.alias("mark"), _fingerprints(F.col(text_col)).alias("fp"))
+    begun = scratch_count()
     prints = written(prints.groupBy("id", "mark", "fp").count(), "simhash")
-    return least_of_each(docs, prints, _classes(prints, bits), id_col, text_col)
+    kept = least_of_each(docs, prints, _classes(prints, bits), id_col, text_col)
+    drop_scratch(docs.sparkSession, begun, keep=GONE)
+    return kept
 
 
 def least_of_each(docs: DataFrame, prints: DataFrame, rooted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -222,7 +230,7 @@ def least_of_each(docs: DataFrame, prints: DataFrame, rooted: DataFrame, id_col:
     own_id, own_mark = fresh(docs, "__id"), fresh(docs, "__mark")
 
     def without(rows: DataFrame, gone: DataFrame, how: str) -> DataFrame:
-        gone = written(gone.select(F.col("id").alias(own_id), F.col("mark").alias(own_mark)), "simhash-gone")
+        gone = written(gone.select(F.col("id").alias(own_id), F.col("mark").alias(own_mark)), GONE)
         return rows.join(gone, spot.eqNullSafe(F.col(own_id)) & (mark == F.col(own_mark)), how)
 
     kept = without(docs, placed.where("not stays"), "left_anti")

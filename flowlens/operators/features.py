@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from flowlens.operators.ordered import micros, previous, week_of
+
 #: One coin in its smallest units; sums just under a whole coin are structured, multiples of a hundredth are round.
 COIN, ROUND_UNIT, BAND = 100_000_000, 1_000_000, 80_000_000
 
@@ -85,10 +87,9 @@ def script_features(spends: DataFrame) -> DataFrame:
 
 def temporal_gaps(events: DataFrame) -> DataFrame:
     """Per entity, over (entity, ts, row_id): spans and gaps in whole seconds, burstiness, dormancy."""
-    order = W.partitionBy("entity").orderBy("ts", "row_id")
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    gap = F.floor((micros - F.lag(micros).over(order)) / 1_000_000).cast("long")
-    per = events.select("entity", "ts", gap.alias("gap")).groupBy("entity").agg(
+    rows = previous(events.select("entity", "ts", "row_id", week_of("ts").alias("span")), ["entity"], "span", ["ts", "row_id"], micros("ts"), "before")
+    gap = F.floor((micros("ts") - F.col("before")) / 1_000_000).cast("long")
+    per = rows.select("entity", "ts", gap.alias("gap")).groupBy("entity").agg(
         F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count(F.lit(1)).alias("n_tx_sent"),
         F.round(F.avg("gap"), 4).alias("gap_mean"), F.round(F.stddev_samp("gap"), 4).alias("gap_std"), F.max("gap").alias("gap_max"),
         F.median("gap").alias("gap_median"), F.round(F.avg((F.weekday("ts") >= 5).cast("int")), 6).alias("weekend_ratio"),

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from flowlens.operators.ordered import micros, running_sum, week_of
 from flowlens.session import cut
 
 
@@ -224,47 +225,73 @@ def routes(edges: DataFrame, ends: DataFrame, hops: int) -> DataFrame:
     return found.withColumnRenamed("hop", "step")
 
 
+def _ranges(rows: DataFrame, low: str, high: str) -> DataFrame:
+    """rows (wallet, amount, low, high) once for each range of money that [low, high) touches, as `range` of `width`.
+
+    A wallet's width is its mean amount, so its rows become twice as many at most.
+    """
+    width = rows.groupBy("wallet").agg(F.greatest(F.lit(1), F.floor(F.avg("amount"))).cast("long").alias("width"))
+    spread = F.sequence(F.expr(f"{low} div width"), F.expr(f"({high} - 1) div width"))
+    return rows.join(cut(width), "wallet").withColumn("range", F.explode(spread))
+
+
 def lifo_pairs(events: DataFrame) -> DataFrame:
     """wallet, out_id, in_id, amount, wait_s over (wallet, event_id, ts, is_in, amount): outflows use the newest money.
 
-    A stack has no closed form as windows. Events are dealt by wallet and sorted, and each partition is folded as it
-    streams by: what is held is the unspent arrivals of one wallet, however long its history.
+    With the pool as a level, an arrival lays money on levels and an outflow takes it from them; what it takes from a
+    level is what was last laid there. So levels are cut into ranges, which don't bear on each other, and a range's
+    history at its times of being empty, before which nothing is left. Each such part is folded by itself: no task
+    needs a busy wallet's history, but where one range never empties.
     """
     import pandas as pd
 
+    parts = ["wallet", "range", "part"]
+
     def fold(batches):
-        wallet, stack = None, []
+        group, stack = None, []
         for batch in batches:
             rows = []
-            for own, event, ts, is_in, amount in zip(batch["wallet"], batch["event_id"], batch["ts"], batch["is_in"], batch["amount"]):
-                if own != wallet:
-                    wallet, stack = own, []
+            for *own, event, ts, is_in, amount in zip(*(batch[c] for c in (*parts, "event_id", "ts", "is_in", "piece"))):
+                if own != group:
+                    group, stack = own, []
                 if is_in:
                     stack.append([event, ts, amount])
                     continue
                 while amount > 0 and stack:
                     used = min(amount, stack[-1][2])
-                    rows.append((own, event, stack[-1][0], used, (ts - stack[-1][1]) // 1_000_000))
+                    rows.append((own[0], event, stack[-1][0], used, (ts - stack[-1][1]) // 1_000_000))
                     amount -= used
                     stack[-1][2] -= used
                     if not stack[-1][2]:
                         stack.pop()
             yield pd.DataFrame(rows, columns=["wallet", "out_id", "in_id", "amount", "wait_s"])
 
-    micros = events.where("amount > 0").select("wallet", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), "is_in", "amount")
-    dealt = micros.repartition("wallet").sortWithinPartitions("wallet", "ts", F.col("is_in").desc(), "event_id")
-    return dealt.mapInPandas(fold, "wallet string, out_id long, in_id long, amount long, wait_s long")
+    order = [F.col("ts"), F.col("is_in").desc(), F.col("event_id")]
+    rows = events.where("amount > 0").select("wallet", "event_id", micros("ts").alias("ts"), "is_in", "amount", week_of("ts").alias("span"))
+    pooled = allocate(rows, ["wallet"], order)
+    levels = pooled.select("wallet", "event_id", "ts", "is_in", "span", "amount", F.when(F.col("is_in"), F.col("pool") - F.col("amount")).otherwise(F.col("pool")).alias("low"), F.when(F.col("is_in"), F.col("pool")).otherwise(F.col("pool") + F.col("take")).alias("high"))
+    ranged = _ranges(cut(levels.where("low < high")), "low", "high")
+    floor = F.col("range") * F.col("width")
+    piece = F.least("high", floor + F.col("width")) - F.greatest("low", floor)
+    ranged = cut(ranged.withColumn("piece", piece).withColumn("empties", (~F.col("is_in") & (F.col("low") <= floor)).cast("int")).select("wallet", "range", "span", "event_id", "ts", "is_in", "piece", "empties"))
+    told = running_sum(ranged, ["wallet", "range"], "span", order, F.col("empties"), "part").withColumn("part", F.col("part") - F.col("empties"))
+    dealt = told.repartition(*parts).sortWithinPartitions(*parts, *order)
+    pieces = dealt.mapInPandas(fold, "wallet string, out_id long, in_id long, amount long, wait_s long")
+    return pieces.groupBy("wallet", "out_id", "in_id").agg(F.sum("amount").alias("amount"), F.first("wait_s").alias("wait_s"))
 
 
 def fifo_pairs(events: DataFrame) -> DataFrame:
     """wallet, out_id, in_id, amount, wait_s: outflows use the oldest money, as an overlap join of running sums.
 
     Each arrival owns the interval of cumulative arrivals that it adds, each outflow that of cumulative outflows;
-    where two overlap, the one paid for the other.
+    where two overlap, the one paid for the other. Both axes are cut into ranges of money, so that only neighbours
+    meet, and a pair counts in the first range that both touch.
     """
-    order = lambda s: W.partitionBy("wallet").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, s)
-    side = lambda cond, name: events.where(cond).where("amount > 0").select("wallet", F.col("event_id").alias(f"{name}_id"), F.col("ts").alias(f"{name}_ts"), F.coalesce(F.sum("amount").over(order(-1)), F.lit(0)).alias(f"{name}_a"), F.sum("amount").over(order(0)).alias(f"{name}_b"))
-    met = side("is_in", "in").join(side("not is_in", "out"), "wallet").where("in_a < out_b and out_a < in_b")
-    seconds = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    wait = F.floor((seconds("out_ts") - seconds("in_ts")) / 1_000_000).cast("long")
-    return met.select("wallet", "out_id", "in_id", (F.least("in_b", "out_b") - F.greatest("in_a", "out_a")).alias("amount"), wait.alias("wait_s"))
+    rows = events.where("amount > 0").select("wallet", "event_id", "ts", "is_in", "amount", week_of("ts").alias("span"))
+    summed = running_sum(rows, ["wallet", "is_in"], "span", [F.col("ts"), F.col("event_id")], F.col("amount"), "high").withColumn("low", F.col("high") - F.col("amount"))
+    ranged = cut(_ranges(cut(summed), "low", "high").select("wallet", "range", "width", "event_id", "ts", "is_in", "low", "high"))
+    a, b = ranged.where("is_in").alias("a"), ranged.where("not is_in").alias("b")
+    first = F.col("a.range") == F.expr("greatest(a.low, b.low) div a.width")
+    met = a.join(b, (F.col("a.wallet") == F.col("b.wallet")) & (F.col("a.range") == F.col("b.range"))).where((F.col("a.low") < F.col("b.high")) & (F.col("b.low") < F.col("a.high")) & first)
+    wait = F.floor((micros(F.col("b.ts")) - micros(F.col("a.ts"))) / 1_000_000).cast("long")
+    return met.select("a.wallet", F.col("b.event_id").alias("out_id"), F.col("a.event_id").alias("in_id"), (F.least("a.high", "b.high") - F.greatest("a.low", "b.low")).alias("amount"), wait.alias("wait_s"))

@@ -38,7 +38,7 @@ def pr_auc(scored: DataFrame) -> DataFrame:
     return steps(scored).agg(F.round(F.sum(F.col("pos") * F.col("tp") / F.col("seen")) / F.sum("pos"), 8).alias("pr_auc"))
 
 
-def roc_auc(scored: DataFrame, by: str | None = None) -> DataFrame:
+def roc_auc(scored: DataFrame) -> DataFrame:
     """The chance that a positive scores above a negative, ties half."""
     up = steps(scored, descending=False)
     below = (F.col("seen") - F.col("tp")) - (F.col("n") - F.col("pos"))

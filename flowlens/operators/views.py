@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from flowlens.operators.ordered import micros, previous, week_of
+
 
 def latest(versions: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The newest row of each key: what an upsert leaves, over tables that are only appended to."""
@@ -45,10 +47,11 @@ def round_robin(rows: DataFrame, group: str, order: list[Column], quota: int) ->
 
 def timeline(events: DataFrame, key: str) -> DataFrame:
     """events (key, ts, seq, kind) with seconds since the one before and since the first."""
-    own = W.partitionBy(key).orderBy("ts", "seq")
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    since = lambda other: F.floor((micros - other) / 1_000_000).cast("long")
-    return events.select(key, "ts", "seq", "kind", since(F.lag(micros).over(own)).alias("after_s"), since(F.first(micros).over(own)).alias("since_first_s"))
+    rows = events.select(key, "ts", "seq", "kind", micros("ts").alias("at"), week_of("ts").alias("span"))
+    rows = previous(rows, [key], "span", ["ts", "seq"], F.col("at"), "before")
+    rows = rows.join(events.groupBy(key).agg(F.min(micros("ts")).alias("first")), key)
+    since = lambda other: F.floor((F.col("at") - F.col(other)) / 1_000_000).cast("long")
+    return rows.select(key, "ts", "seq", "kind", since("before").alias("after_s"), since("first").alias("since_first_s"))
 
 
 def interval_join(sweeps: DataFrame, payments: DataFrame, seconds: int) -> DataFrame:
@@ -71,10 +74,10 @@ def stations(served: DataFrame, least: int = 10, share: float = 0.95) -> DataFra
     return best.where((F.col("n_addresses") >= least) & (F.col("most") >= share * F.col("n_addresses"))).select("payer", "entity", "n_addresses")
 
 
-def chain_breaks(rows: DataFrame, log: str, seq: str, payload: Column, digest: str) -> DataFrame:
-    """log, seq of rows whose digest isn't that of the payload before them and their own."""
-    before = F.coalesce(F.lag(payload).over(W.partitionBy(log).orderBy(seq)), F.lit(""))
-    expected = F.sha2(F.concat(before, payload).cast("binary"), 256)
+def chain_breaks(rows: DataFrame, log: str, seq: str, payload: Column, digest: str, step: int = 10_000) -> DataFrame:
+    """log, seq of rows whose digest isn't that of the payload before them and their own; seq is a whole number."""
+    rows = previous(rows.withColumn("__span", F.expr(f"{seq} div {step}")), [log], "__span", [seq], payload, "__before")
+    expected = F.sha2(F.concat(F.coalesce("__before", F.lit("")), payload).cast("binary"), 256)
     return rows.withColumn("ok", F.col(digest) == expected).where("not ok").select(log, seq)
 
 
@@ -95,8 +98,8 @@ def deposit_features(events: DataFrame, pairs: DataFrame) -> DataFrame:
     )
     top = events.where(out).groupBy("wallet", "far").agg(F.sum("amount").alias("v")).groupBy("wallet").agg(F.round(F.max("v") / F.nullif(F.sum("v"), F.lit(0)), 6).alias("top_recipient_share"))
     used = pairs.groupBy("wallet").agg(F.sum("amount").alias("forwarded"), F.median("wait_s").alias("dwell_median_s"))
-    gap = F.unix_micros(F.col("ts").cast("timestamp")) - F.lag(F.unix_micros(F.col("ts").cast("timestamp"))).over(W.partitionBy("wallet").orderBy("ts", "event_id"))
-    sweeps = events.where(out).withColumn("gap", gap / 1_000_000).groupBy("wallet").agg(F.when(F.count("gap") >= 2, F.round(F.stddev_pop("gap") / F.nullif(F.avg("gap"), F.lit(0.0)), 4)).alias("sweep_gap_cv"))
+    paid = previous(events.where(out).withColumn("span", week_of("ts")), ["wallet"], "span", ["ts", "event_id"], micros("ts"), "before")
+    sweeps = paid.withColumn("gap", (micros("ts") - F.col("before")) / 1_000_000).groupBy("wallet").agg(F.when(F.count("gap") >= 2, F.round(F.stddev_pop("gap") / F.nullif(F.avg("gap"), F.lit(0.0)), 4)).alias("sweep_gap_cv"))
     joined = basic.join(top, "wallet", "left").join(used, "wallet", "left").join(sweeps, "wallet", "left")
     ratio = F.round(F.coalesce("forwarded", F.lit(0)) / F.nullif(F.col("got"), F.lit(0)), 6)
     return joined.select(

@@ -232,6 +232,13 @@ _OG = "og as (select distinct from_addr as origin from m)"
 _ALL = f"with {_MOVES}, {_OG}, {_trace()}"
 _POOL = """with s as (select *, sum(case when is_in then amount else -amount end) over w as s from wallet_events window w as (partition by wallet order by ts, is_in desc, event_id rows unbounded preceding)),
     p as (select *, s - least(0, min(s) over w) as pool from s window w as (partition by wallet order by ts, is_in desc, event_id rows unbounded preceding))"""
+#: An outflow takes from each level what was last laid there; levels are told apart at every end of an event's money.
+LIFO = f"""{_POOL.replace("from wallet_events", "from (select * from wallet_events where amount > 0)")}, lv as (select wallet, event_id, ts, is_in, least(pool, old) as low, greatest(pool, old) as high
+        from (select *, coalesce(lag(pool) over (partition by wallet order by ts, is_in desc, event_id), 0) as old from p) where pool <> old),
+    ls as (select wallet, x as a, lead(x) over (partition by wallet order by x) as b from (select wallet, low as x from lv union select wallet, high from lv)),
+    lx as (select lv.*, a, b from lv join ls on lv.wallet = ls.wallet and a >= low and b <= high),
+    lm as (select *, lag(event_id) over w as in_id, lag(ts) over w as in_ts from lx window w as (partition by wallet, a order by ts, is_in desc, event_id)),
+    lp as (select wallet, event_id as out_id, in_id, sum(b - a)::bigint as amount, floor((epoch_us(ts) - epoch_us(in_ts)) / 1000000)::bigint as wait_s from lm where not is_in group by wallet, event_id, in_id, ts, in_ts)"""
 
 ORACLES = {
     "fifo_allocation": b.sql("wallet_events", f"""{_POOL} select wallet, event_id, case when is_in then 0 else coalesce(lag(pool) over w, 0) - pool end::bigint as take, pool::bigint as pool
@@ -269,6 +276,7 @@ ORACLES = {
     "path_asof": b.sql("transfers labels", f"{_ALL}, ends as (select distinct origin, to_addr as target from e join l on to_addr = address), {_ROUTE}, z as ({_Z}) select origin, target, hop::bigint as step, tx_hash, from_addr, to_addr from z"),
     "hop_rail": b.sql("transfers labels", f"""{_ALL}, ends as (select distinct origin, to_addr as target from e join l on to_addr = address where hop = 2), {_ROUTE}, z as ({_Z})
         select origin, target, hop::bigint as step, tx_hash, (epoch_us(block_time) - lag(epoch_us(block_time)) over (partition by origin, target order by hop)) // 1000000 as after_s from z"""),
+    "sweep_lifo": b.sql("wallet_events", f"{LIFO} select * from lp"),
     "fifo_pairs": b.sql("wallet_events", """with i as (select wallet, event_id as in_id, ts as in_ts, sum(amount) over w - amount as a, sum(amount) over w as b from wallet_events where is_in and amount > 0
             window w as (partition by wallet order by ts, event_id rows unbounded preceding)),
         o as (select wallet, event_id as out_id, ts as out_ts, sum(amount) over w - amount as a, sum(amount) over w as b from wallet_events where not is_in and amount > 0

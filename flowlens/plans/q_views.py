@@ -9,6 +9,7 @@ from flowlens.functions import addresses as forms
 from flowlens.functions import text as words
 from flowlens.operators import flow, labels, views
 from flowlens.plans import binding as b
+from flowlens.plans import q_flow
 
 
 def _cases(spark, sf_dir):
@@ -25,8 +26,9 @@ def _cases(spark, sf_dir):
 
 def dashboard_counts(spark, sf_dir):
     """Counts along every dimension in one pass of grouping sets, with the median value."""
-    _cases(spark, sf_dir).createOrReplaceTempView("cases_rel")
-    return spark.sql("""select status, chain, priority, count(*) as n, sum(value) as value, median(value) as median_value from cases_rel group by grouping sets ((status), (chain), (priority), ())""")
+    sides = [F.col("status"), F.col("chain"), F.col("priority")]
+    per = _cases(spark, sf_dir).groupingSets([[sides[0]], [sides[1]], [sides[2]], []], *sides)
+    return per.agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value"), F.median("value").alias("median_value"))
 
 
 def top_exchanges(spark, sf_dir):
@@ -185,6 +187,16 @@ ORACLES = {
         select entity, route, value, row_number() over (order by case route when 'domestic' then 0 when 'direct' then 1 else 2 end, value desc, last desc, entity) as place from r qualify place <= 100""",
     "follow_ups": f"""with {_CASES}, d as (select case_id, date_diff('day', date '1998-08-01', opened::date + 30) as days_left from cases_rel where status = 'O')
         select case_id, days_left, case when days_left < 0 then 'overdue' else 'due' end as state from d where days_left between -60 and 7""",
+    "deposit_features": b.sql("wallet_events", f"""{q_flow.LIFO},
+        z as (select wallet, count(*) filter (is_in) as n_in, count(*) filter (not is_in) as n_out, sum(amount) filter (is_in) as got, count(distinct far) filter (is_in) as n_senders, count(distinct far) filter (not is_in) as n_recipients
+            from wallet_events group by 1),
+        tr as (select wallet, round(max(v) / nullif(sum(v), 0), 6) as top_recipient_share from (select wallet, far, sum(amount) as v from wallet_events where not is_in group by all) group by 1),
+        us as (select wallet, sum(amount) as forwarded, median(wait_s)::double as dwell_median_s from lp group by 1),
+        gp as (select wallet, (epoch_us(ts) - lag(epoch_us(ts)) over (partition by wallet order by ts, event_id)) / 1000000 as gap from wallet_events where not is_in),
+        cv as (select wallet, case when count(gap) >= 2 then round(stddev_pop(gap) / nullif(avg(gap), 0), 4) end as sweep_gap_cv from gp group by 1)
+        select wallet, n_in, n_out, n_senders, n_recipients, round(n_out / greatest(n_in, 1), 6) as out_per_in, round(coalesce(forwarded, 0) / nullif(got, 0), 6) as forward_ratio,
+               round(1 - round(coalesce(forwarded, 0) / nullif(got, 0), 6), 6) as left_share, top_recipient_share, dwell_median_s, sweep_gap_cv
+        from z left join tr using (wallet) left join us using (wallet) left join cv using (wallet)"""),
     "timeline": """select user_id, ts, event_id as seq, event_type as kind, (epoch_us(ts) - lag(epoch_us(ts)) over w) // 1000000 as after_s, (epoch_us(ts) - first_value(epoch_us(ts)) over w) // 1000000 as since_first_s
         from events window w as (partition by user_id order by ts, event_id)""",
     "linked_complaints": b.sql("transfers", """select to_addr as address, count(distinct split_part(tx_hash, '-', 1)) as n_cases, count(distinct from_addr) as n_suspects, min(block_time) as first_ts, sum(amount)::bigint as amount
