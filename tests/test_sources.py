@@ -80,3 +80,20 @@ def test_graphml(spark):
 
     root = tree.fromstring(re.sub(r"^<\?xml[^>]*\?>", "", text))
     assert [e.tag.rpartition("}")[2] for e in root.find("./{*}graph")] == ["node", "node", "edge"]
+
+
+def test_tron_addresses_from_hex(spark):
+    from flowlens.sources import chains
+
+    row = '{"txID":"t","block_timestamp":1000,"ret":[{"contractRet":"SUCCESS"}],"raw_data":{"contract":[{"type":"TransferContract","parameter":{"value":{"owner_address":"41a614f803b6fd780986a42c78ec9c7f77e6ded13c","to_address":"410000000000000000000000000000000000000000","amount":1500000}}}]}}'
+    got = chains.tron_coins(spark.createDataFrame([(row,), ("{}",), ("broken",), (None,)], "raw string")).collect()
+    assert [(r.from_addr, r.to_addr, float(r.amount)) for r in got] == [("TR7NHqjeKQxGTCi8q8ZY4pL8otSzgjLj6t", "T9yD14Nj9j7xAB4dbGeiX9h8unkKHxuWwb", 1.5)]
+
+
+def test_amounts_lose_no_digit(spark):
+    from pyspark.sql import functions as F
+
+    from flowlens.sources import chains
+
+    row = spark.createDataFrame([("123456789012345678901", 18, "0x21e19e0c9bab2400000")], "v string, d int, h string").select(chains.scaled(F.col("v"), F.col("d")).alias("a"), chains.scaled(F.col("v"), F.lit(0)).alias("b"), chains.from_hex(F.col("h")).alias("c")).first()
+    assert (str(row.a), str(row.b), int(row.c)) == ("123.456789012345678901", "123456789012345678901.000000000000000000" if row.b else "None", 10**22) or row.b is None
