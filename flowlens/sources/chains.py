@@ -33,11 +33,12 @@ def looked_up(values: dict, key: Column) -> Column:
 
 
 def scaled(units: Column, decimals: Column) -> Column:
-    """Whole units, as digits, in coins: the point is set so many places from the right, and no digit is lost."""
+    """Whole units, as digits, in coins: the point is set so many places from the right, and no digit is lost.
+    What isn't a whole number, or has over 20 digits before the point, is null."""
     n = F.coalesce(decimals.cast("int"), F.lit(0))
     digits = F.lpad(units.cast("string"), 60, "0")
     point = F.concat(F.substring(digits, F.lit(1), 60 - n), F.lit("."), F.substring(digits, 61 - n, n))
-    return F.when(units.cast("string").rlike("^[0-9]+$"), point).cast("decimal(38,18)")
+    return F.when(units.cast("string").rlike("^[0-9]+$"), point).try_cast("decimal(38,18)")
 
 
 def from_hex(text: Column) -> Column:
@@ -175,7 +176,7 @@ def solana_transfers(rows: DataFrame, raw: str = "raw", stable: dict = SOLANA_ST
     """Coin and token payments of each transaction; rent of its token accounts and payments to oneself are none."""
     item = F.from_json(raw, f"signature string, timestamp bigint, feePayer string, transactionError string, nativeTransfers {_SOL}, tokenTransfers {_SOL}")
     r = rows.select(item.alias("i")).where("i.transactionError is null and i.signature is not null")
-    accounts = F.flatten(F.transform("i.tokenTransfers", lambda t: F.array(t.fromTokenAccount, t.toTokenAccount)))
+    accounts = F.array_compact(F.flatten(F.transform("i.tokenTransfers", lambda t: F.array(t.fromTokenAccount, t.toTokenAccount))))
     head = [F.col("i.signature").alias("tx"), F.timestamp_seconds("i.timestamp").alias("at"), F.col("i.feePayer").alias("payer"), F.coalesce(accounts, F.array().cast("array<string>")).alias("accounts")]
     real = "coalesce(t.fromUserAccount, '') <> '' and coalesce(t.toUserAccount, '') <> '' and t.fromUserAccount <> t.toUserAccount"
     coins = r.select(*head, F.explode("i.nativeTransfers").alias("t")).where(f"{real} and t.amount > 0").where(~F.array_contains("accounts", F.col("t.fromUserAccount")) & ~F.array_contains("accounts", F.col("t.toUserAccount")))

@@ -96,4 +96,4 @@ def test_amounts_lose_no_digit(spark):
     from flowlens.sources import chains
 
     row = spark.createDataFrame([("123456789012345678901", 18, "0x21e19e0c9bab2400000")], "v string, d int, h string").select(chains.scaled(F.col("v"), F.col("d")).alias("a"), chains.scaled(F.col("v"), F.lit(0)).alias("b"), chains.from_hex(F.col("h")).alias("c")).first()
-    assert (str(row.a), str(row.b), int(row.c)) == ("123.456789012345678901", "123456789012345678901.000000000000000000" if row.b else "None", 10**22) or row.b is None
+    assert (str(row.a), row.b, int(row.c)) == ("123.456789012345678901", None, 10**22)
