@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -179,3 +181,11 @@ def transaction_head(tx: DataFrame, owners: DataFrame) -> DataFrame:
         F.when(known, F.round(F.col("value_out") / F.greatest(F.sum("value_out").over(own), F.lit(1)), 6)).otherwise(F.lit(0.0)).alias("value_share_of_entity"),
         F.round(F.col("n_inputs") / F.greatest("n_outputs", F.lit(1)), 6).alias("in_out_ratio_tx"),
     )
+
+
+def matrix(families: list[DataFrame], key: str = "entity") -> DataFrame:
+    """One row an entity with the columns of all families (each one row an entity); what a family lacks is null.
+
+    The families have one key, so the full joins share its partitioning.
+    """
+    return reduce(lambda a, b: a.join(b, key, "full"), families)
