@@ -76,16 +76,17 @@ def scratch_count() -> int:
     return len(_SCRATCH)
 
 
-def drop_scratch(spark: SparkSession, begun: int = 0, keep: str | None = None) -> int:
+def drop_scratch(spark: SparkSession, begun: int = 0, keep: str | None = None, until: int | None = None) -> int:
     """Deletes the tables that this process has written to the shared folder, once nothing reads them any more.
 
-    begun: only those written since so many. keep: tables of that name stay, as a result still reads them.
+    begun, until: only those written since so many, and before so many. keep: tables of that name stay, as a result
+    still reads them.
     """
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    own = _SCRATCH[begun:]
+    own = _SCRATCH[begun:until]
     stay = [p for p in own if keep is not None and p.rpartition("/")[2].rpartition("-")[0] == keep]
     for name in set(own) - set(stay):
         path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
-    _SCRATCH[begun:] = stay
+    _SCRATCH[begun:until] = stay
     return len(own) - len(stay)
