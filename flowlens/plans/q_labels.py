@@ -19,7 +19,7 @@ def label_conflicts(spark, sf_dir):
 
 
 def label_lookup(spark, sf_dir):
-    keys = b.table(spark, sf_dir, "customer").where("c_custkey <= 300").select(F.concat(F.lit("W"), "c_custkey").alias("address"), F.element_at(F.array(*map(F.lit, ["ASIA", "EUROPE", "AFRICA"])), (F.col("c_custkey") % 3 + 1).cast("int")).alias("chain"))
+    keys = b.table(spark, sf_dir, "customer").select(F.concat(F.lit("W"), "c_custkey").alias("address"), F.element_at(F.array(*map(F.lit, ["ASIA", "EUROPE", "AFRICA"])), (F.col("c_custkey") % 3 + 1).cast("int")).alias("chain"))
     rows = label_dedupe(spark, sf_dir)
     family = rows.where("chain = 'AMERICA'").withColumn("chain", F.lit(ops.FAMILY))
     return ops.lookup(keys, rows.unionByName(family))
@@ -56,9 +56,10 @@ def threat_apply(spark, sf_dir):
 
 def threat_stats(spark, sf_dir):
     """Counts by threat, by threat and segment, by threat and source, in one pass over grouping sets."""
-    _tags(spark, sf_dir).createOrReplaceTempView("threat_tags")
-    return spark.sql("""select threat, entity as segment, source, cast(grouping_id(threat, entity, source) as bigint) as level, count(*) as n from threat_tags
-                        where source = 'official' or entity is not null group by grouping sets ((threat), (threat, entity), (threat, source))""")
+    rows = _tags(spark, sf_dir).where("source = 'official' or entity is not null").withColumnRenamed("entity", "segment")
+    sides = [F.col("threat"), F.col("segment"), F.col("source")]
+    per = rows.groupingSets([[sides[0]], [sides[0], sides[1]], [sides[0], sides[2]]], *sides)
+    return per.agg(F.grouping_id("threat", "segment", "source").cast("long").alias("level"), F.count(F.lit(1)).alias("n"))
 
 
 def normalise_labels(spark, sf_dir):
@@ -112,7 +113,7 @@ ORACLES = {
     "label_dedupe": b.sql("label_sources", f"with {_BEST} select * from best"),
     "label_conflicts": b.sql("label_sources", "select * from label_sources where (address, chain) in (select (address, chain) from label_sources group by address, chain having count(distinct entity) = 1)"),
     "label_lookup": b.sql("label_sources", f"""with {_BEST}, l as (select * from best union all select address, 'FAMILY', entity, category, tier, kind, source, confidence from best where chain = 'AMERICA'),
-        k as (select 'W' || c_custkey as address, ['ASIA', 'EUROPE', 'AFRICA'][c_custkey % 3 + 1] as chain from customer where c_custkey <= 300)
+        k as (select 'W' || c_custkey as address, ['ASIA', 'EUROPE', 'AFRICA'][c_custkey % 3 + 1] as chain from customer)
         select k.address, k.chain, coalesce(a.entity, f.entity) as entity, case when a.address is null then f.category else a.category end as category, case when a.address is null then f.tier else a.tier end as tier
         from k left join l a on a.address = k.address and a.chain = k.chain left join l f on f.address = k.address and f.chain = 'FAMILY' and k.chain in ('EUROPE', 'ASIA')"""),
     "label_stats": b.sql("label_sources", " union all ".join(f"select '{c}' as dimension, {c} as value, count(*) as n from label_sources group by 2" for c in ["chain", "category", "tier", "kind", "source"])),
