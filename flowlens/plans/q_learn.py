@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from flowlens.operators import flow, metrics, ml, views
 from flowlens.plans import binding as b
-from flowlens.session import cut, shared_dir
+from flowlens.session import cut, scratch_path
 from flowlens.streaming import state
 
 FEATURES = ["n_in", "n_out", "n_senders", "n_recipients", "out_per_in", "forward_ratio", "top_recipient_share", "dwell_median_s", "sweep_gap_cv"]
@@ -57,7 +55,7 @@ def _stream(spark, sf_dir, columns):
 def _drained(stream, mode, name):
     """All that a stream yields over its files, by way of a table in the shared folder."""
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/stream-{name}-{uuid.uuid4().hex}"
+    base = scratch_path(spark, f"stream-{name}")
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
     query = query.foreachBatch(lambda batch, n: batch.withColumn("batch", F.lit(n)).write.mode("append").parquet(f"{base}/rows")).start()
     query.awaitTermination()

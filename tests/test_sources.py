@@ -97,3 +97,31 @@ def test_amounts_lose_no_digit(spark):
 
     row = spark.createDataFrame([("123456789012345678901", 18, "0x21e19e0c9bab2400000")], "v string, d int, h string").select(chains.scaled(F.col("v"), F.col("d")).alias("a"), chains.scaled(F.col("v"), F.lit(0)).alias("b"), chains.from_hex(F.col("h")).alias("c")).first()
     assert (str(row.a), row.b, int(row.c)) == ("123.456789012345678901", None, 10**22)
+
+
+def test_complaints_of_any_form(spark, tmp_path):
+    from flowlens.sources import intake
+
+    (tmp_path / "a.csv").write_text("﻿Case Ref;Wallet;Network\nF1;Taa;tron\n\n;Tbb;\n")
+    (tmp_path / "b.csv").write_text('0xaa,ethereum,"F,2"\n,,\n0xbb\n')
+    (tmp_path / "c.csv").write_text("address\tchain\nxx\tbtc\n")
+    got = sorted((r.file[-5:], r.row, r.address, r.chain, r.case_ref) for r in intake.complaints(spark, str(tmp_path)).collect())
+    assert got == [("a.csv", 2, "Taa", "tron", "F1"), ("a.csv", 4, "Tbb", None, None), ("b.csv", 1, "0xaa", "ethereum", "F,2"), ("b.csv", 3, "0xbb", None, None), ("c.csv", 2, "xx", "btc", None)]
+
+
+def test_seizures_checks_and_cases(spark, tmp_path):
+    from flowlens.sources import intake
+
+    tron = "TR7NHqjeKQxGTCi8q8ZY4pL8otSzgjLj6t"
+    (tmp_path / "o.csv").write_text(f"Order Type,Order Number,Order Date,Validity Date,Is Canceled,Assets\nASO,7,2024-01-01,2024-06-01,False,wallet {tron} and T1\nASO,8,2024-01-01,,TRUE,{tron}\n")
+    rows = intake.seizure_orders(spark, str(tmp_path / "o.csv"), "2025-01-01").collect()
+    assert [(r.address, r.chain, r.entity, r.evidence) for r in rows] == [(tron, "tron", "Seizure order 7", "ASO order 7 of 2024-01-01, valid until 2024-06-01 (lapsed)")]
+    folder = tmp_path / "checks"
+    folder.mkdir()
+    for k, verdict in enumerate(("agrees", "differs")):
+        (folder / f"{k}.csv").write_text(f"address,chain,verdict,owner\na,tron,{verdict},o{k}\n")
+    assert [tuple(r) for r in intake.tag_checks(spark, str(folder)).collect()] == [("a", "tron", "differs", "o1")]
+    (tmp_path / "r.json").write_text('{"c1": {"top_vasp": "Alpha"}, "c2": {"top_vasp": null}, "c3": {"top_vasp": "ALPHA"}}')
+    assert sorted(map(tuple, intake.recorded_cases(spark, str(tmp_path / "r.json")).collect())) == [("alpha", "c1"), ("alpha", "c3")]
+    labels = spark.createDataFrame([(tron, "bitcoin"), ("0x1985EA6E...2Fdb25c87", "base"), ("0x5aaeb6053f3e94c9b9a09f33669435e7ef1beaed", "base"), ("x", "cosmos")], "address string, chain string")
+    assert sorted((r.address[:3], r.chain) for r in intake.refiled(labels).collect()) == [("0x5", "base"), ("TR7", "tron"), ("x", "cosmos")]
