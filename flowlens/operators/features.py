@@ -99,7 +99,7 @@ def temporal_gaps(events: DataFrame) -> DataFrame:
     span = (F.unix_micros(F.col("last_ts").cast("timestamp")) - F.unix_micros(F.col("first_ts").cast("timestamp"))) / 1_000_000
     return per.select(
         "*", F.round(span / 86400, 6).alias("lifespan_days"),
-        F.round((F.col("gap_std") - F.col("gap_mean")) / F.greatest(F.col("gap_std") + F.col("gap_mean"), F.lit(1.0)), 4).alias("burstiness"),
+        (F.round((F.col("gap_std") - F.col("gap_mean")) / F.greatest(F.col("gap_std") + F.col("gap_mean"), F.lit(1.0)), 4) + F.lit(0.0)).alias("burstiness"),
         F.round(F.col("gap_max") / F.greatest(span, F.lit(1.0)), 6).alias("dormancy_ratio"),
     )
 

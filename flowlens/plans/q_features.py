@@ -164,7 +164,7 @@ ORACLES = {
     "temporal_gaps": b.sql("wallet_events", """with g as (select wallet as entity, ts, (epoch_us(ts) - lag(epoch_us(ts)) over (partition by wallet order by ts, event_id)) // 1000000 as gap from wallet_events),
         p as (select entity, min(ts) as first_ts, max(ts) as last_ts, count(*) as n_tx_sent, round(avg(gap), 4) as gap_mean, round(stddev_samp(gap), 4) as gap_std, max(gap) as gap_max,
                      median(gap)::double as gap_median, round(avg((isodow(ts) >= 6)::int), 6) as weekend_ratio, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000 as span from g group by entity)
-        select * exclude (span), round(span / 86400, 6) as lifespan_days, round((gap_std - gap_mean) / greatest(gap_std + gap_mean, 1), 4) as burstiness,
+        select * exclude (span), round(span / 86400, 6) as lifespan_days, round((gap_std - gap_mean) / greatest(gap_std + gap_mean, 1), 4) + 0 as burstiness,
                round(gap_max / greatest(span, 1), 6) as dormancy_ratio from p"""),
     "hourly_features": b.sql("wallet_events", """with h as (select wallet as entity, hour(ts) as hour, count(*) as n, sum(amount)::bigint as v from wallet_events group by all),
         r as (select *, sum(n) over w as all_n, sum(v) over w as all_v, row_number() over (partition by entity order by v, hour) as i, count(*) over w as k from h window w as (partition by entity))

@@ -101,6 +101,24 @@ def test_hubs_dust_and_small_shares_stop(spark):
     assert {(r.wallet, r.reason) for r in out[1].where("hop = 1").collect()} == {("H", "hub"), ("S", "small"), ("T", "kept")}
 
 
+def test_trace_of_funders_goes_back_in_time(spark):
+    rows = moves([(10, "S", "O", 600), (9, "P", "S", 500), (8, "Q", "S", 300), (11, "R", "S", 900), (12, "O", "Z", 100)])
+    edges, holds, _ = flow.trace(spark.createDataFrame(rows, MOVES), spark.createDataFrame([("O",)], "origin string"), spark.createDataFrame([], LABELS), flow.Rules(hops=2), inbound=True)
+    # what came to S after it paid O isn't what it paid with; the latest money before goes first
+    assert {(r.hop, r.from_addr, r.to_addr): r.traced for r in edges.collect()} == {(1, "S", "O"): 600, (2, "P", "S"): 500, (2, "Q", "S"): 100}
+    assert {(r.hop, r.wallet, r.reason): r.held for r in holds.collect()} == {(1, "S", "kept"): 0, (2, "P", "depth_limit"): 500, (2, "Q", "depth_limit"): 100}
+
+
+def test_a_limit_of_payments_and_of_wallets_is_told(spark):
+    rows = [(0, "O", "A", 1000), (1, "A", "b", 100), (2, "A", "c", 200), (3, "A", "d", 700)]
+    run = lambda rows, **rules: flow.trace(spark.createDataFrame(moves(rows), MOVES), spark.createDataFrame([("O",)], "origin string"), spark.createDataFrame([], LABELS), flow.Rules(**rules))
+    limited = run(rows, fetch_limit=2)[1].where("hop = 1").collect()
+    assert [(r.wallet, r.reason, r.held) for r in limited] == [("A", "truncated", 700)]
+    assert [(r.wallet, r.reason, r.held) for r in run(rows)[1].where("hop = 1").collect()] == [("A", "kept", 0)]
+    wide = [(0, "O", w, v) for w, v in (("A", 500), ("B", 400), ("C", 300))] + [(1, w, "z", 100) for w in "ABC"]
+    assert {(r.wallet, r.reason) for r in run(wide, max_nodes=2)[1].where("hop = 1").collect()} == {("A", "kept"), ("B", "kept"), ("C", "budget")}
+
+
 def test_core_numbers(spark):
     r = random.Random(2)
     pairs = {tuple(sorted(r.sample(range(30), 2))) for _ in range(90)}
