@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import decontaminate, exact_dedup, html_extract, labelled_pages, language_id, line_dedup, mixing, quality, simhash, toxicity, warc
-from flowlens.llm.common import scratch_path, table
+from flowlens.llm import byte_bpe, decontaminate, exact_dedup, html_extract, labelled_pages, language_id, line_dedup, mixing, prefix_trie, quality, simhash, token_alignment, toxicity, warc
+from flowlens.llm.common import scratch_path, table, written
 
 
 def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +69,29 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, language_id.train(docs))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens of the byte-level and of the piece vocabulary, over the same bytes."""
+    files = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    rows = token_alignment.align(table(spark, sf_dir, "documents"), *files)
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    found = token_alignment.weigh(rows.withColumn("groups_sha256", digest).drop("groups"))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids, and the text that they give back."""
+    file = public_tokenizers.path("byte_bpe_50k.json")
+    coded = byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), file).drop("text")
+    read = byte_bpe.decode(coded, file)
+    return read.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of conversations whose beginnings are those of their block's first."""
+    turns = written(prefix_trie.ordered_turns(table(spark, sf_dir, "conversations")), "ordered-turns")
+    return prefix_trie.trie(*prefix_trie.rebuilt(turns))
+
+
 QUERIES = {
     "op1_html_extract": op1_html_extract,
     "op2_exact_dedup": op2_exact_dedup,
@@ -79,6 +103,9 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_language_id": op9_language_id,
     "op10_line_dedup": op10_line_dedup,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_byte_bpe": op12_byte_bpe,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -142,4 +169,26 @@ ORACLES = {
         select d.doc_id, d.source, (case when coalesce(d.text, '') = '' then 0 else g.n end)::bigint as n_lines,
                coalesce(g.n_dropped, 0)::bigint as n_dropped, case when g.n_dropped > 0 then g.text else d.text end as text
         from documents d left join g on d.doc_id = g.doc_id""",
+    # a subtree's sums go over its nodes' owners; the digits' crc32 bit by bit: a byte comes in, then eight shifts (-1)
+    "op13_prefix_trie": """
+        with t as (select conv_id as c, coalesce(role, '') as role, coalesce(text, '') as text,
+                          row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as p
+                   from conversations where conv_id is not null),
+        i as (select c, xor(4294967295, list_reduce(flatten(list_transform(string_split(c::varchar, ''), lambda k: [ascii(k)::bigint, -1, -1, -1, -1, -1, -1, -1, -1])),
+                  lambda crc, k: case when k >= 0 then xor(crc, k) when crc & 1 = 1 then xor(crc >> 1, 3988292384) else crc >> 1 end, 4294967295::bigint)) % 6 as h,
+                     c - c % 100 as base from (select distinct c from t)),
+        b as (select c, count(*) as n from t group by c),
+        r as (select i.c, t.p as d, role, text from i join t on t.c = i.base and p <= h
+              union all select i.c, p - h + least(h, coalesce(n, 0)), role, text from i join t on t.c = i.c and p > h left join b on b.c = i.base),
+        m as (select c, d, length(text) as size, md5(list(sha256(length(role) || ':' || role || text)) over (partition by c order by d)::varchar) as key from r
+              union all select c, 0, 0, '' from i),
+        e as (select c, max(d) as last from m group by c),
+        g as (select d, key, min(c) as owner, count(*) as n, any_value(size) as size, max(last) = d as leaf,
+                     coalesce(string_agg(c::varchar, ',' order by c) filter (last = d), '') as ends from m join e using (c) group by d, key),
+        u as (select m.d, m.key, sum((g.n - 1) * g.size) as saved, count(*) filter (leaf) as leaves, count(*) filter (g.d = m.d + 1) as children
+              from g join m on m.c = g.owner and m.d <= g.d group by m.d, m.key),
+        a as (select g.d, g.key, q.owner as parent from g join m on m.c = g.owner and m.d = g.d - 1 join g q on q.d = m.d and q.key = m.key)
+        select owner as conv_id, g.d::bigint as depth, parent as parent_conv_id, n::bigint as n_convs, children::bigint as n_children,
+               leaves::bigint as n_leaves, saved::bigint as saved_tokens, sha256(ends) as ends_sha256
+        from g join u on u.d = g.d and u.key = g.key left join a on a.d = g.d and a.key = g.key""",
 }
