@@ -33,7 +33,7 @@ from flowlens.llm import byte_bpe
 from flowlens.llm.common import small_batches, written
 
 #: Bytes of texts whose links are summed together.
-BLOCK = 6 << 20
+BLOCK = 2 << 20
 _A, _B = 32, 0xFFFFFFFF
 
 
@@ -45,6 +45,13 @@ def pieces(path: str) -> tuple[sentencepiece.SentencePieceProcessor, list[bytes]
     return model, [bytes([int(p[3:5], 16)]) if byte else p.replace("▁", " ").encode() for p, byte in names]
 
 
+@functools.cache
+def tables(a_path: str, b_path: str) -> tuple[list[np.ndarray], list[str]]:
+    """The tokens' sizes in bytes of A and of B by id, and the ids as they are written."""
+    sizes = [np.array([len(t) for t in tokens]) for tokens in (byte_bpe.load(a_path).tokens, pieces(b_path)[1])]
+    return sizes, names_of(*map(len, sizes))
+
+
 class Marks:
     """A bitset over bytes, with the number of bits before each of its words."""
 
@@ -69,16 +76,14 @@ class Marks:
 
 
 def tokens_of(texts: list[str | None], a_path: str, b_path: str) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Ids by A and by B of each text, none where the tokens' bytes aren't the text's."""
-    encode, a_bytes = byte_bpe.encoded(a_path, special=False), byte_bpe.load(a_path).tokens
+    """Ids by A and by B of each text, none where B's bytes aren't the text's; A's always are."""
+    encode = byte_bpe.encoded(a_path, special=False)
     model, b_bytes = pieces(b_path)
     none, out = np.zeros(0, dtype=np.uint32), []
     for text, b in zip(texts, model.encode([t or "" for t in texts], num_threads=1)):
         whole = b" " + (text or "").encode()
-        packed = encode(" " + text) if text else b""
-        a = memoryview(packed).cast("I")
-        same = text and b"".join(map(b_bytes.__getitem__, b)) == whole and b"".join(map(a_bytes.__getitem__, a)) == whole
-        out.append((np.frombuffer(packed, dtype=np.uint32), np.array(b, dtype=np.uint32)) if same else (none, none))
+        same = text and b"".join(map(b_bytes.__getitem__, b)) == whole
+        out.append((np.frombuffer(encode(" " + text), dtype=np.uint32), np.array(b, dtype=np.uint32)) if same else (none, none))
     return out
 
 
@@ -100,12 +105,25 @@ def aligned(tokens: list[tuple[np.ndarray, np.ndarray]], a_sizes: np.ndarray, b_
     }
 
 
-def group_texts(found: dict, a_names: list[str], b_names: list[str]) -> list[str]:
-    """Of each text: `a1,a2|b1;a3|b2,b3`, the ids of its groups in order."""
-    a, b = [a_names[k] for k in found["a"]], [b_names[k] for k in found["b"]]
-    a_cut, b_cut = [0, *found["a_cut"].tolist()], [0, *found["b_cut"].tolist()]
-    groups = [",".join(a[i:j]) + "|" + ",".join(b[k:m]) for i, j, k, m in zip(a_cut, a_cut[1:], b_cut, b_cut[1:])]
-    return [";".join(groups[i:j]) for i, j in zip(found["n_groups"], found["n_groups"][1:])]
+def names_of(n_a: int, n_b: int) -> list[str]:
+    """Ids as they are written in groups: A's within and at the end of a group's part, then B's."""
+    return [f"{k}{end}" for n, ends in ((n_a, ",|"), (n_b, ",;")) for end in ends for k in range(n)]
+
+
+def group_texts(found: dict, n_a: int, n_b: int, names: list[str]) -> list[str]:
+    """Of each text: `a1,a2|b1;a3|b2,b3`, the ids of its groups in order.
+
+    Each token's place among the written ones is its own number and that of the other tokenizer's tokens before it.
+    """
+    a, b, a_cut, b_cut = found["a"], found["b"], found["a_cut"], found["b_cut"]
+    a_sizes, b_sizes = np.diff(a_cut, prepend=0), np.diff(b_cut, prepend=0)
+    codes = np.empty(len(a) + len(b), dtype=np.int64)
+    codes[np.arange(len(a)) + np.repeat(b_cut - b_sizes, a_sizes)] = a
+    codes[np.arange(len(b)) + np.repeat(a_cut, b_sizes)] = b + 2 * n_a
+    codes[a_cut - 1 + b_cut - b_sizes] += n_a
+    codes[b_cut - 1 + a_cut] += n_b
+    ends = found["a_last"] + found["b_last"]
+    return ["".join(map(names.__getitem__, codes[i:j].tolist()))[:-1] for i, j in zip(ends, ends[1:])]
 
 
 ROWS = (
@@ -144,9 +162,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, id: str = "doc_id", text: s
         ids = pa.concat_arrays([b.column(0) for b in held])
         if not len(ids):
             return
-        tables = [byte_bpe.load(a_path).tokens, pieces(b_path)[1]]
-        sizes = [np.array([len(t) for t in table]) for table in tables]
-        names = [[str(k) for k in range(len(table))] for table in tables]
+        sizes, names = tables(a_path, b_path)
         found = aligned(tokens_of([t for b in held for t in b.column(1).to_pylist()], a_path, b_path), *sizes)
         pairs, slot = np.unique(found["links"], return_inverse=True)
         bounds = found["n_links"]
@@ -157,7 +173,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, id: str = "doc_id", text: s
         name, n = uuid.uuid4().hex, len(ids)
         packed = [pa.array([x[i:j].tobytes() for i, j in zip(first, first[1:])], pa.binary()) for x in (slots, times)]
         whole = [np.diff(found[k]) for k in ("a_last", "b_last", "n_groups", "n_links")]
-        columns = [pa.array([name] * n), *map(pa.array, whole), pa.array(group_texts(found, *names)), *packed, pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.int64()))]
+        columns = [pa.array([name] * n), *map(pa.array, whole), pa.array(group_texts(found, *map(len, sizes), names)), *packed, pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.int64()))]
         full = pa.schema([pa.field(id, ids.type), *arrow])
         table = pa.Table.from_arrays([ids, *columns], schema=full)
         yield from table.to_batches(max_chunksize=1000)
