@@ -37,7 +37,7 @@ AHEAD = 3
 #: Code points of a text that are split into words at a time.
 WINDOW = 1 << 16
 #: Words longer than this are encoded anew each time; of the others a worker keeps the tokens of so many at most.
-SHORT, KEPT = 48, 400_000
+SHORT, KEPT = 48, 700_000
 #: The rank of a pair without a rule.
 NONE = 1 << 62
 
