@@ -35,10 +35,14 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now
 
 
-def co_spend_edges(utxo: DataFrame) -> DataFrame:
-    """Each transaction's addresses as a star around its first one, so n addresses give n - 1 edges."""
-    every = F.array_union("inputs", "outputs.address")
-    return utxo.select(F.element_at(every, 1).alias("a"), F.explode(every).alias("b")).where("a <> b").distinct()
+def co_spend_edges(utxo: DataFrame, mixes: DataFrame | None = None) -> DataFrame:
+    """Each transaction's inputs as a star around its first one, so n addresses give n - 1 edges.
+
+    Whoever spends from several addresses owns them all; what a transaction pays to tells nothing of that. mixes (txid):
+    transactions of several owners, which are left out.
+    """
+    alone = utxo if mixes is None else utxo.join(mixes.select("txid"), "txid", "left_anti")
+    return alone.select(F.get("inputs", F.lit(0)).alias("a"), F.explode("inputs").alias("b")).where("a <> b").distinct()
 
 
 def spread(edges: DataFrame, seeds: DataFrame, hops: int = 3, hub: int = 200, decay: float = 0.5) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowlens.operators import edges, flow, graph, typologies, utxo
+from flowlens.operators import edges, flow, graph, owners, typologies, utxo
 from flowlens.plans import binding as b
 from flowlens.session import cut
 
@@ -18,15 +18,45 @@ def weekly(spark, sf_dir):
     return b.utxo(spark, sf_dir).withColumn("inputs", F.transform("inputs", own)).withColumn("outputs", F.transform("outputs", lambda x: F.struct(own(x.address).alias("address"), x.amount.alias("amount"))))
 
 
+def _mixes(rows):
+    return utxo.coinjoins(rows).where("is_coinjoin")
+
+
 def components_week(spark, sf_dir):
-    """Wallets by their addresses of a week, for all weeks."""
-    return graph.components(graph.co_spend_edges(weekly(spark, sf_dir)))
+    """Wallets by the addresses of a week that they spend together, for all weeks."""
+    rows = weekly(spark, sf_dir)
+    return graph.components(graph.co_spend_edges(rows, _mixes(rows)))
+
+
+def scripted(spark, sf_dir):
+    """The weekly addresses in the forms of four script types, each wallet's of one type."""
+    rows = weekly(spark, sf_dir)
+    kind = lambda x: F.element_at(F.array(*map(F.lit, SCRIPTS)), (F.crc32(F.regexp_extract(x, r"(\d+)@", 1).cast("binary")) % len(SCRIPTS) + 1).cast("int"))
+    form = lambda x: F.concat(kind(x), x)
+    outputs = F.transform("outputs", lambda x: F.struct(form(x.address).alias("address"), x.amount.alias("amount")))
+    return rows.withColumn("inputs", F.transform("inputs", form)).withColumn("outputs", outputs)
+
+
+SCRIPTS = ["1", "3", "bc1q", "bc1p"]
+
+
+def resolve_entities(spark, sf_dir):
+    """Owners of all addresses, by spending together and by change."""
+    rows = cut(scripted(spark, sf_dir))
+    return owners.resolve(rows, cut(_mixes(rows)))
+
+
+def owner_merges(spark, sf_dir):
+    """Each merge of two addresses, told by its rule."""
+    rows = cut(scripted(spark, sf_dir))
+    return owners.merges(rows, cut(_mixes(rows)))
 
 
 def campaigns(spark, sf_dir):
     """Components among flagged addresses only (those of small parts), with their sizes: one row a member."""
     flagged = b.table(spark, sf_dir, "part").where("p_size <= 30").select(F.concat(F.lit("A"), "p_partkey").alias("part"))
-    pairs = graph.co_spend_edges(weekly(spark, sf_dir))
+    rows = weekly(spark, sf_dir)
+    pairs = graph.co_spend_edges(rows, _mixes(rows))
     for end in ("a", "b"):
         pairs = pairs.join(flagged, F.substring_index(end, "@", 1) == F.col("part"), "left_semi")
     found = cut(graph.components(cut(pairs)))
@@ -172,15 +202,32 @@ def round_100(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        components_week, campaigns, spread_hops, khop, degree, clustering, pagerank, kcore, coinjoin_shape, utxo_shares, utxo_in, utxo_out,
+        components_week, campaigns, resolve_entities, owner_merges, spread_hops, khop, degree, clustering, pagerank, kcore, coinjoin_shape, utxo_shares, utxo_in, utxo_out,
         fan_out_24h, fan_in, rapid_forwarding, peel_step, round_amounts, risk_merge, risk_total, risk_flows, fan_out_flags, fan_in_5, rapid_flags, peel_70, round_100,
     )
 }
 
 _E = "e as (select from_addr as src, to_addr as dst, sum(amount)::bigint as value from transfers where from_addr <> to_addr group by all)"
-_STAR = """wk as (select *, '@' || strftime(date_trunc('week', ts), '%Y%m%d') as k from utxo),
-    w as (select txid, list_distinct(list_transform(list_concat(inputs, addresses), lambda x: x || k)) as every, list_concat(inputs, addresses)[1] || k as a from wk),
-    p as materialized (select distinct a, b from (select a, unnest(every) as b from w) where a <> b)"""
+_MIX = """mb as (select txid, v, count(*) as n from (select txid, unnest(amounts) as v from utxo) group by all),
+    mx as (select distinct utxo.txid from utxo join mb using (txid) where n >= 3 and n >= 0.5 * len(amounts) and len(list_distinct(inputs)) >= n
+           and not exists (select 1 from mb o where o.txid = utxo.txid and (o.n, o.v) > (mb.n, mb.v)))"""
+_STAR = f"""{_MIX}, wk as (select *, '@' || strftime(date_trunc('week', ts), '%Y%m%d') as k from utxo where txid not in (from mx)),
+    p as materialized (select distinct a, b from (select inputs[1] || k as a, unnest(inputs) || k as b from wk) where a <> b)"""
+_CRC = """list_reduce(flatten(list_transform(string_split(regexp_extract(x, '(\\d+)@', 1), ''), lambda c: [ascii(c)::bigint, -1, -1, -1, -1, -1, -1, -1, -1])),
+    lambda crc, c: case when c >= 0 then xor(crc, c) when crc & 1 = 1 then xor(crc >> 1, 3988292384) else crc >> 1 end, 4294967295::bigint)"""
+# the script of an address by its first letters, the owner's first sight of an output, stars around the first input
+_OWN = f"""{_MIX}, ad as materialized (select x, ['1', '3', 'bc1q', 'bc1p'][xor(4294967295, {_CRC}) % 4 + 1] as kind from (
+        select distinct unnest(list_concat(inputs, addresses)) || '@' || strftime(date_trunc('week', ts), '%Y%m%d') as x from utxo)),
+    si as (select u.txid, u.ts, j, ad.kind || ad.x as address, ad.kind from (select txid, ts, unnest(inputs) as z, generate_subscripts(inputs, 1) as j from utxo) u
+           join ad on ad.x = z || '@' || strftime(date_trunc('week', ts), '%Y%m%d')),
+    so as materialized (select u.txid, u.ts, n, ad.kind || ad.x as address, ad.kind from (select txid, ts, len(addresses) as n, unnest(addresses) as z from utxo) u
+           join ad on ad.x = z || '@' || strftime(date_trunc('week', ts), '%Y%m%d')),
+    hd as (select txid, address as a, kind from si where j = 1 and txid not in (from mx)),
+    fs as (select address, arg_min(txid, row(ts, txid)) as txid from so group by address),
+    ch as (select so.txid, count(*) as n, min(so.address) as b from so join hd using (txid) join fs on fs.address = so.address and fs.txid = so.txid
+           where so.n between 2 and 6 and so.kind = hd.kind group by so.txid),
+    mg as materialized (select distinct txid, a, address as b, 'co_spend' as rule from si join hd using (txid) where address <> a
+        union all select txid, a, b, 'change' from ch join hd using (txid) where n = 1 and a <> b)"""
 _REACH = "r(node, root) as (select a, a from {p} union select b, b from {p} union select x.b, r.root from r join (select a, b from {p} union all select b, a from {p}) x on x.a = r.node)"
 _SEEDS = "s as (select distinct entity from (select src as entity from e union all select dst from e) where substr(entity, 2)::bigint % 100 = 0)"
 _BOTH = "b as (select src, dst, 'down' as direction from e union all select dst, src, 'up' from e), hub as (select src as entity from b group by 1 having count(distinct dst) >= 200)"
@@ -205,6 +252,10 @@ _IND = """i as (select from_addr as wallet, ['fan_out', 'peel', 'round', 'mixer'
 _CLASS = "case when score >= 75 then 'severe' when score >= 50 then 'high' when score >= 25 then 'medium' else 'low' end"
 
 ORACLES = {
+    "owner_merges": b.sql("utxo", f"with {_OWN} select * from mg"),
+    "resolve_entities": b.sql("utxo", f"""with {_OWN}, ed as materialized (select distinct a, b from mg), {_REACH.format(p='ed')},
+        c as (select node, min(root) as root from r group by node), al as (select address from si union select address from so),
+        f as (select address, coalesce(root, address) as entity from al left join c on node = address) select address, entity, count(*) over (partition by entity) as n from f"""),
     "components_week": b.sql("utxo", f"with {_STAR}, {_REACH.format(p='p')} select node, min(root) as root from r group by node"),
     "campaigns": b.sql("utxo", f"""with {_STAR}, fl as (select 'A' || p_partkey as part from part where p_size <= 30),
         f as materialized (select * from p where split_part(a, '@', 1) in (select part from fl) and split_part(b, '@', 1) in (select part from fl)), {_REACH.format(p='f')},
