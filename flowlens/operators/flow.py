@@ -67,10 +67,61 @@ def _busy(real: DataFrame, wallets: DataFrame, degree: int, whole: bool) -> Data
     return per.where(F.col("n") == degree).select("wallet", "asset", F.lit((1 << 63) - 1).alias("busy_until") if whole else F.col("busy_until"))
 
 
+@dataclass(frozen=True)
+class Bridges:
+    """How money leaves a chain at one wallet and comes out at another.
+
+    wallets (wallet): the labelled wallets of bridges. matches (tx_hash, wallet, to_chain, payout_tx, recipient): of
+    deposits to them, where they were paid out; to_chain is null for a chain that isn't read. Wallets of all chains are
+    in one table of payments, told apart by their names (`chain:address` away from the origins' chain).
+    """
+
+    wallets: DataFrame
+    matches: DataFrame
+
+
 def trace(
     moves: DataFrame, origins: DataFrame, labels: DataFrame, rules: Rules = Rules(), hidden: DataFrame | None = None, inbound: bool = False
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(edges, holds, seen) of following each origin's payments of its main asset, all origins and wallets of a hop at once.
+    """(edges, holds, seen) of following each origin's payments; trace_across without bridges."""
+    return trace_across(moves, origins, labels, rules, hidden, inbound)[:3]
+
+
+def _one_asset(level: DataFrame, before: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """level with `odd`, and (origin, wallet, one): of a wallet one asset is followed, that of the largest payment that
+    reaches it first (of the later name on ties)."""
+    first = level.groupBy("origin", F.col("far").alias("wallet")).agg(F.max_by("asset", F.struct("traced", "asset")).alias("one"))
+    chosen = cut(first if before is None else before.unionByName(first.join(before, ["origin", "wallet"], "left_anti")))
+    rows = level.join(chosen.withColumnRenamed("wallet", "far"), ["origin", "far"])
+    return cut(rows.withColumn("odd", F.col("asset") != F.col("one")).drop("one")), chosen
+
+
+def _legs(level: DataFrame, reached: DataFrame, totals: DataFrame, paid: DataFrame, bridges: Bridges, rules: Rules, last: bool) -> DataFrame:
+    """level's deposits at bridges with status, reason and, where known, what came out: to_addr, paid, paid_asset, paid_at, out.
+
+    For the first reason that holds a deposit isn't followed: it is a small part of the money, has no match, went to a
+    chain that isn't read, came at the last hop, has no payout, or was paid out in another asset; stablecoins are one
+    money. Of the payout goes on the part that the traced money is of the deposit, never more than that.
+    """
+    stopped = reached.where("reason = 'labelled'").select("origin", F.col("wallet").alias("far")).distinct()
+    at = stopped.join(bridges.wallets.select(F.col("wallet").alias("far")), "far")
+    matches = bridges.matches.withColumnRenamed("wallet", "far").withColumn("matched", F.lit(True))
+    rows = level.join(at, ["origin", "far"]).join(totals, "origin").join(matches, ["tx_hash", "far"], "left")
+    rows = rows.join(paid, (F.col("payout_tx") == F.col("out_tx")) & (F.col("recipient") == F.col("out_addr")), "left")
+    same = (F.col("asset") == F.col("paid_asset")) | (F.col("asset").isin(*STABLE) & F.col("paid_asset").isin(*STABLE))
+    reason = (
+        F.when(F.col("traced") * 100 < F.col("total") * rules.min_share, "small").when(F.col("matched").isNull(), "no_match").when(F.col("to_chain").isNull(), "other_chain")
+        .when(F.lit(last), "depth_limit").when(F.col("paid").isNull(), "no_payout").when(~same, "asset_changed")
+    )
+    status = F.when(reason.isNull(), "followed").when(reason.isin("small", "no_match"), "unresolved").otherwise("not_traced")
+    out = F.least("traced", F.expr("cast((cast(paid as decimal(38,0)) * traced) div amount as bigint)"))
+    return rows.withColumns({"status": status, "reason": reason, "out": F.when(reason.isNull(), out)})
+
+
+def trace_across(
+    moves: DataFrame, origins: DataFrame, labels: DataFrame, rules: Rules = Rules(), hidden: DataFrame | None = None, inbound: bool = False, bridges: Bridges | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]:
+    """(edges, holds, seen, legs) of following each origin's payments of its main asset, all origins and wallets of a hop at once.
 
     moves: tx_hash, block_time, from_addr, to_addr, asset, amount, one row a payment. labels: address, entity, ... .
     hidden (origin, entity): labels that don't exist for an origin. inbound: who funded the origin, back in time.
@@ -78,6 +129,10 @@ def trace(
     holds: origin, hop, wallet, received, reason (why it wasn't followed; `kept` for what stayed behind), held.
     seen: origin, hop, tx_hash, ...: the payments read for wallets that were followed.
 
+    legs (with bridges): origin, hop, tx_hash, from_addr, bridge, traced, status, reason, to_chain, recipient, out. A followed
+    leg is an edge of the next hop, from the bridge to the recipient, of the payout's asset and time; the bridge holds
+    the rest as `bridge_fee`. A wallet that gets several assets goes on in one, and holds the others as `asset_changed`.
+
     Each hop joins the frontier with payments once. A wallet that is labelled, the origin, at the last hop, small,
     beyond the budget of wallets or a hub isn't followed, for the first of these reasons; the share that a wallet must
     have bounds how many an origin follows. Hubs are looked for among the frontier only, and their payments not read.
@@ -93,8 +148,20 @@ def trace(
     level = cut(first.withColumn("hop", F.lit(1)).withColumn("traced", F.col("amount")).select(columns))
     totals = cut(level.groupBy("origin").agg(F.sum("traced").alias("total")))
     known = labels.select(F.col("address").alias("wallet"), "entity")
-    edges, holds, seen, followed = level, None, None, None
+    edges, holds, seen, followed, legs, chosen, paid = level, None, None, None, None, None, None
+    if bridges is not None:
+        # what a recipient got in a payout: of its first stablecoin, else of its first asset
+        sums = moves.join(bridges.matches.select(F.col("payout_tx").alias("tx_hash"), F.col("recipient").alias("to_addr")).distinct(), ["tx_hash", "to_addr"])
+        sums = sums.where("from_addr <> to_addr and amount > 0").groupBy(F.col("tx_hash").alias("out_tx"), F.col("to_addr").alias("out_addr"), "asset").agg(F.sum("amount").alias("paid"), F.min("block_time").alias("time"))
+        best = F.min_by(F.struct("paid", "asset", "time"), F.struct(~F.col("asset").isin(*STABLE), "asset")).alias("p")
+        paid = cut(sums.groupBy("out_tx", "out_addr").agg(best).select("out_tx", "out_addr", "p.paid", F.col("p.asset").alias("paid_asset"), F.col("p.time").alias("paid_at")))
     for hop in range(1, rules.hops + 1):
+        if bridges is not None:
+            level, chosen = _one_asset(level, chosen)
+            odd = level.where("odd").groupBy("origin", F.col("far").alias("wallet")).agg(F.sum("traced").alias("received"))
+            odd = odd.select("origin", F.lit(hop).alias("hop"), "wallet", "received", F.lit("asset_changed").alias("reason"), F.col("received").alias("held"))
+            holds = odd if holds is None else holds.unionByName(odd)
+            level = level.where("not odd").drop("odd")
         reached = level.groupBy("origin", F.col("far").alias("wallet"), "asset").agg(F.sum("traced").alias("received"), F.min("at").alias("since"))
         reached = reached.join(totals, "origin").join(known, "wallet", "left")
         if hidden is not None:
@@ -109,6 +176,21 @@ def trace(
         if hop < rules.hops:
             reached = cut(_chosen(reached, followed, _busy(real, reached.where("reason is null").select("wallet", "asset").distinct(), rules.hub_degree, inbound), rules))
         stopped = reached.where("reason is not null").select("origin", F.lit(hop).alias("hop"), "wallet", "received", "reason", F.col("received").alias("held"))
+        crossed = None
+        if bridges is not None:
+            now = cut(_legs(level, reached, totals, paid, bridges, rules, hop == rules.hops))
+            told = now.select("origin", "hop", "tx_hash", "from_addr", F.col("far").alias("bridge"), "traced", "status", "reason", "to_chain", "recipient", "out")
+            legs = told if legs is None else legs.unionByName(told)
+            gone = now.where("status = 'followed'").groupBy("origin", F.col("far").alias("wallet")).agg(F.sum("traced").alias("gone"), F.sum("out").alias("passed"))
+            stopped = stopped.join(gone, ["origin", "wallet"], "left").withColumn("held", F.col("held") - F.coalesce("gone", F.lit(0))).drop("gone", "passed")
+            fees = gone.select("origin", F.lit(hop).alias("hop"), "wallet", F.col("gone").alias("received"), F.lit("bridge_fee").alias("reason"), (F.col("gone") - F.col("passed")).alias("held"))
+            stopped = stopped.unionByName(fees)
+            away = now.where("status = 'followed' and out > 0").select(
+                "origin", F.lit(hop + 1).alias("hop"), F.col("payout_tx").alias("tx_hash"), F.col("paid_at").alias("block_time"), F.col("far").alias("from_addr"), F.col("recipient").alias("to_addr"),
+                F.col("paid_asset").alias("asset"), F.col("paid").alias("amount"), F.col("out").alias("traced"), F.col("far").alias("own"), F.col("recipient").alias("far"),
+                F.unix_micros(F.col("paid_at").cast("timestamp")).alias("at"),
+            )
+            crossed = away.select(columns)
         holds = stopped if holds is None else holds.unionByName(stopped)
         if hop == rules.hops:
             break
@@ -139,9 +221,11 @@ def trace(
         if cut_off is not None:
             kept = kept.join(cut_off, ["origin", "wallet"], "left").withColumn("reason", F.when(F.col("more"), "truncated").otherwise("kept"))
         holds = holds.unionByName(kept.select("origin", F.lit(hop).alias("hop"), "wallet", "received", "reason", "held"))
+        level = level if crossed is None else level.unionByName(crossed)
         edges = edges.unionByName(level)
     edges = edges.drop("own", "far", "at")
-    return edges, holds, seen if seen is not None else edges.where("false").select("origin", "hop", "tx_hash", "block_time", "from_addr", "to_addr", "traced")
+    none = edges.where("false").select("origin", "hop", "tx_hash", "block_time", "from_addr", "to_addr", "traced")
+    return edges, holds, seen if seen is not None else none, legs
 
 
 #: A span of time for prefix sums, in microseconds: a year.

@@ -33,6 +33,48 @@ def traced(spark, sf_dir, hops=RULES.hops, hidden=None, inbound=False):
     return flow.trace(paid, origins(paid), cut(trace_labels(spark, sf_dir)), flow.Rules(hops=hops), hidden, inbound)
 
 
+def two_chains(spark, sf_dir):
+    """(payments, labels, bridges): the later lines of each order move on chain b, whose wallets are `b:...`; money sent to a
+    bridge's wallet comes out at the sender's own address there, less a fee. Some deposits have no match, no payout,
+    another asset, or a chain that isn't read."""
+    named = trace_labels(spark, sf_dir)
+    sent = moves(spark, sf_dir)
+    away = lambda c: F.when(F.split("tx_hash", "-")[1].cast("int") >= 5, F.concat(F.lit("b:"), c)).otherwise(F.col(c))
+    sent = sent.withColumns({c: away(c) for c in ("from_addr", "to_addr")})
+    wallets = named.where("category = 'bridge'").select(F.col("address").alias("wallet"))
+    number = F.substring(F.split("tx_hash", "-")[0], 2, 20).cast("long")
+    deposits = sent.join(wallets, F.col("to_addr") == F.col("wallet")).withColumn("k", number).withColumn("payout_tx", F.concat(F.lit("P"), "tx_hash")).withColumn("recipient", F.concat(F.lit("b:"), "from_addr"))
+    matches = deposits.where("k % 5 <> 0").select("tx_hash", "wallet", F.when(F.col("k") % 11 != 0, "b").alias("to_chain"), "payout_tx", "recipient").distinct()
+    asset = F.when((F.col("asset") == "COIN") != (F.col("k") % 13 == 0), "COIN").otherwise("USDC")
+    payouts = deposits.where("k % 7 <> 0").select(
+        F.col("payout_tx").alias("tx_hash"), F.date_add("block_time", 1).cast(sent.schema["block_time"].dataType).alias("block_time"), F.lit("b:pool").alias("from_addr"), F.col("recipient").alias("to_addr"),
+        asset.alias("asset"), F.expr("amount - amount div 1000 - 1").alias("amount"),
+    )
+    there = named.where("kind <> 'deposit'").withColumn("address", F.concat(F.lit("b:"), "address"))
+    return sent.unionByName(payouts), named.unionByName(there), flow.Bridges(cut(wallets), cut(matches))
+
+
+def across(spark, sf_dir):
+    """The trace of every wallet that pays on the first chain, over bridges."""
+    paid, named, bridges = two_chains(spark, sf_dir)
+    paid = cut(paid)
+    return flow.trace_across(paid, origins(paid.where("from_addr not like 'b:%'")), cut(named), bridges=bridges)
+
+
+def trace_crossings(spark, sf_dir):
+    return across(spark, sf_dir)[0].select("origin", F.col("hop").cast("long").alias("hop"), "tx_hash", "from_addr", "to_addr", "asset", "traced")
+
+
+def crossing_legs(spark, sf_dir):
+    """Each deposit at a bridge that a trace came to: what became of it."""
+    return across(spark, sf_dir)[3].withColumn("hop", F.col("hop").cast("long"))
+
+
+def crossing_holds(spark, sf_dir):
+    """Where the money of each trace is in the end, on either chain: held sums to what the origin paid."""
+    return across(spark, sf_dir)[1].select("origin", F.col("hop").cast("long").alias("hop"), "wallet", "received", "reason", "held")
+
+
 def fifo_allocation(spark, sf_dir):
     events = b.wallet_events(spark, sf_dir).withColumn("span", F.date_trunc("week", "ts"))
     return flow.allocate(events, ["wallet"], [F.col("ts"), F.col("is_in").desc(), F.col("event_id")]).select("wallet", "event_id", "take", "pool")
@@ -155,7 +197,7 @@ def fifo_pairs(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        fifo_allocation, pick_asset, top_recipient, trace_1hop, trace_3hop, trace_inbound, funders, trace_stops, trace_summary, context_rows, where_funds_went, candidates, proximity_rank,
+        fifo_allocation, pick_asset, top_recipient, trace_1hop, trace_3hop, trace_crossings, crossing_legs, crossing_holds, trace_inbound, funders, trace_stops, trace_summary, context_rows, where_funds_went, candidates, proximity_rank,
         outcome, request_wallets, counterfactual, path_asof, hop_rail, sweep_lifo, fifo_pairs,
     )
 }
@@ -166,8 +208,12 @@ _PICK = """og as (select distinct from_addr as origin from m),
     pk as (select origin, asset from (select *, row_number() over (partition by origin order by asset <> 'COIN' desc, paid desc, asset = 'USDT' desc) as n from ps) where n = 1)"""
 
 
-def _trace(hops: int = RULES.hops, hidden: str | None = None, p: str = "", inbound: bool = False) -> str:
-    """The trace as common table expressions e1, r1, e2, ..., all edges e and holds h; p prefixes their names."""
+def _trace(hops: int = RULES.hops, hidden: str | None = None, p: str = "", inbound: bool = False, across: bool = False) -> str:
+    """The trace as common table expressions e1, r1, e2, ..., all edges e and holds h; p prefixes their names.
+
+    across: over bridges (bw, mt), with w1, w2, ... for all edges that come to a hop and legs x1, x2, ...
+    """
+    w = "w" if across else "e"
     gone = f" and not exists (select 1 from {hidden} g where g.origin = r.origin and g.entity = l.entity)" if hidden else ""
     own, far, sign = ("to_addr", "from_addr", "-") if inbound else ("from_addr", "to_addr", "")
     cols = "tx_hash, block_time, from_addr, to_addr, own, far, asset, amount, tick"
@@ -178,13 +224,20 @@ def _trace(hops: int = RULES.hops, hidden: str | None = None, p: str = "", inbou
         f"{p}a as materialized (select *, {own} as own, {far} as far, {sign}epoch_us(block_time) as tick from m where from_addr <> to_addr and amount >= {RULES.dust})",
         f"""{p}hub as materialized (select own as wallet, asset, {"9223372036854775807" if inbound else "min(latest)"} as busy_until from (select *, row_number() over (partition by own, asset order by latest desc) as n
             from (select own, asset, far, max(tick) as latest from {p}a group by all)) where n <= {RULES.hub_degree} group by own, asset having count(*) = {RULES.hub_degree})""",
-        f"{p}l as (select * from labels_rel where category <> 'unknown')",
+        f"{p}l as (select * from labels_rel where category <> 'unknown'" + (" union all select 'b:' || address, * exclude (address) from labels_rel where category <> 'unknown' and kind <> 'deposit')" if across else ")"),
         pick,
-        f"{p}e1 as materialized (select origin, 1 as hop, {cols.replace('asset', f'{p}a.asset')}, amount as traced from {p}a join {p}pk on own = origin and {p}a.asset = {p}pk.asset)",
-        f"{p}t as materialized (select origin, sum(traced)::bigint as total from {p}e1 group by 1)",
+        f"{p}{w}1 as materialized (select origin, 1 as hop, {cols.replace('asset', f'{p}a.asset')}, amount as traced from {p}a join {p}pk on own = origin and {p}a.asset = {p}pk.asset)",
+        f"{p}t as materialized (select origin, sum(traced)::bigint as total from {p}{w}1 group by 1)",
         f"{p}f0 as (select origin, origin as wallet from {p}t where false)",
     ]
+    if across:
+        out.append(f"""pay as materialized (select * from (select tx_hash as out_tx, to_addr as out_addr, asset as paid_asset, sum(amount)::bigint as paid, min(block_time) as paid_at,
+            row_number() over (partition by tx_hash, to_addr order by asset = 'COIN', asset) as n from m where from_addr <> to_addr and tx_hash in (select payout_tx from mt) group by tx_hash, to_addr, asset) where n = 1)""")
+        out.append("c0 as (select origin, origin as wallet, origin as one from t where false)")
     for h in range(1, hops + 1):
+        if across:
+            out.append(f"""c{h} as materialized (select * from c{h - 1} union all select origin, far, arg_max(asset, row(traced, asset)) from w{h} where not exists (select 1 from c{h - 1} c where c.origin = w{h}.origin and c.wallet = far) group by origin, far)""")
+            out.append(f"e{h} as materialized (select w{h}.* from w{h} join c{h} c on c.origin = w{h}.origin and c.wallet = far where asset = one)")
         out.append(f"""{p}q{h} as (select r.*, f.wallet is not null as again, coalesce(busy_until >= since, false) as is_hub, case when l.entity is not null{gone} then 'labelled' when r.wallet = r.origin then 'origin'
                 {"when true then 'depth_limit'" if h == hops else ""} when f.wallet is null and received * 100 < total * {RULES.min_share} then 'small' end as pre
             from (select origin, far as wallet, asset, sum(traced)::bigint as received, min(tick) as since from {p}e{h} group by all) r join {p}t using (origin)
@@ -192,10 +245,18 @@ def _trace(hops: int = RULES.hops, hidden: str | None = None, p: str = "", inbou
         out.append(f"""{p}r{h} as materialized (select q.* exclude (pre), case when pre is not null then pre when not again and n_before + coalesce(sum(case when pre is null and not is_hub and not again then 1 else 0 end)
                 over (partition by q.origin order by received desc, wallet rows between unbounded preceding and 1 preceding), 0) >= {RULES.max_nodes} then 'budget' when is_hub then 'hub' end as reason
             from (select q.*, coalesce(n, 0) as n_before from {p}q{h} q left join (select origin, count(*) as n from {p}f{h - 1} group by 1) b using (origin)) q)""")
+        if across:
+            out.append(f"""x{h} as materialized (select y.*, case when reason is null then 'followed' when reason in ('small', 'no_match') then 'unresolved' else 'not_traced' end as status,
+                    case when reason is null then least(traced, ((paid::hugeint * traced) // amount)::bigint) end as out
+                from (select e.*, payout_tx, to_chain, recipient, paid, paid_asset, paid_at, case when traced * 100 < total * {RULES.min_share} then 'small' when payout_tx is null then 'no_match' when to_chain is null then 'other_chain'
+                        {"when true then 'depth_limit'" if h == hops else ""} when paid is null then 'no_payout' when asset <> paid_asset and 'COIN' in (asset, paid_asset) then 'asset_changed' end as reason
+                    from e{h} e join (select distinct origin, wallet from r{h} where reason = 'labelled') r on r.origin = e.origin and r.wallet = e.far join bw on bw.wallet = e.far join t on t.origin = e.origin
+                    left join mt on mt.tx_hash = e.tx_hash and mt.wallet = e.far left join pay on out_tx = payout_tx and out_addr = recipient) y)""")
+            out.append(f"g{h} as (select origin, far as wallet, sum(traced)::bigint as gone, sum(out)::bigint as passed from x{h} where status = 'followed' group by all)")
         if h == hops:
             break
         out.append(f"{p}f{h} as materialized (select origin, wallet from {p}f{h - 1} union select origin, wallet from {p}r{h} where reason is null)")
-        used = " union all ".join(f"select * from {p}e{k}" for k in range(1, h + 1))
+        used = " union all ".join(f"select * from {p}{w}{k}" for k in range(1, h + 1))
         out.append(f"""{p}u{h} as (select origin, tx_hash, from_addr, to_addr, block_time, sum(traced) as used from ({used}) group by all)""")
         out.append(f"""{p}o{h} as (select x.*, amount - coalesce(used, 0) as available
             from (select r.origin, r.wallet, a.* from {p}a a join {p}r{h} r on a.own = r.wallet and a.asset = r.asset and a.tick >= r.since where r.reason is null) x left join {p}u{h} using (origin, tx_hash, from_addr, to_addr, block_time))""")
@@ -205,11 +266,16 @@ def _trace(hops: int = RULES.hops, hidden: str | None = None, p: str = "", inbou
         out.append(f"{p}s{h} as (select *, sum(case when is_in then moved else -moved end) {over} rows unbounded preceding) as s from {p}v{h})")
         out.append(f"{p}p{h} as (select *, s - least(0, min(s) {over} rows unbounded preceding)) as pool from {p}s{h})")
         out.append(f"{p}d{h + 1} as materialized (select * from (select *, (coalesce(lag(pool) {over}), 0) - pool)::bigint as take from {p}p{h}) where not is_in)")
-        out.append(f"{p}e{h + 1} as materialized (select origin, {h + 1} as hop, {cols}, take as traced from {p}d{h + 1} where take > 0)")
-    out.append(f"{p}e as ({' union all '.join(f'select * from {p}e{k}' for k in range(1, hops + 1))})")
+        away = f" union all select origin, {h + 1}, payout_tx, paid_at, far, recipient, far, recipient, paid_asset, paid, epoch_us(paid_at), out from x{h} where out > 0" if across else ""
+        out.append(f"{p}{w}{h + 1} as materialized (select origin, {h + 1} as hop, {cols}, take as traced from {p}d{h + 1} where take > 0{away})")
+    out.append(f"{p}e as ({' union all '.join(f'select * from {p}{w}{k}' for k in range(1, hops + 1))})")
     holds = [f"select origin, {k} as hop, wallet, received, reason, received as held from {p}r{k} where reason is not null" for k in range(1, hops + 1)]
+    if across:
+        holds = [f"""select origin, {k} as hop, wallet, received, reason, received - coalesce(gone, 0) as held from r{k} left join g{k} using (origin, wallet) where reason is not null
+            union all select origin, {k}, wallet, gone, 'bridge_fee', gone - passed from g{k} union all select w{k}.origin, {k}, far, sum(traced)::bigint, 'asset_changed', sum(traced)::bigint
+            from w{k} join c{k} c on c.origin = w{k}.origin and c.wallet = far where asset <> one group by all""" for k in range(1, hops + 1)]
     holds += [
-        f"select r.origin, {k} as hop, r.wallet, received, 'kept' as reason, received - coalesce(x.spent, 0)::bigint as held from {p}r{k} r left join (select origin, own as wallet, sum(traced) as spent from {p}e{k + 1} group by all) x using (origin, wallet) where reason is null"
+        f"select r.origin, {k} as hop, r.wallet, received, 'kept' as reason, received - coalesce(x.spent, 0)::bigint as held from {p}r{k} r left join (select origin, own as wallet, sum(traced) as spent from {p}{w}{k + 1} group by all) x using (origin, wallet) where reason is null"
         for k in range(1, hops)
     ]
     out.append(f"{p}h as ({' union all '.join(holds)})")
@@ -230,6 +296,17 @@ _ROUTE = """z0 as (select origin, target, hop, tx_hash, from_addr, to_addr, bloc
 _Z = " union all ".join(f"select * from z{k}" for k in range(RULES.hops))
 _OG = "og as (select distinct from_addr as origin from m)"
 _ALL = f"with {_MOVES}, {_OG}, {_trace()}"
+#: Payments of two chains, the bridges' wallets bw and their matches mt; origins are those of the first chain.
+_CHAINS = f"""m0 as (select * from ({_MOVES.split("(", 1)[1][:-1]})),
+    m1 as (select tx_hash, block_time, case when split_part(tx_hash, '-', 2)::int >= 5 then 'b:' else '' end || from_addr as from_addr,
+        case when split_part(tx_hash, '-', 2)::int >= 5 then 'b:' else '' end || to_addr as to_addr, asset, amount from m0),
+    bw as (select address as wallet from labels_rel where category = 'bridge'),
+    dp as (select m1.*, wallet, substr(split_part(tx_hash, '-', 1), 2)::bigint as k from m1 join bw on to_addr = wallet),
+    mt as materialized (select distinct tx_hash, wallet, case when k % 11 <> 0 then 'b' end as to_chain, 'P' || tx_hash as payout_tx, 'b:' || from_addr as recipient from dp where k % 5 <> 0),
+    m as materialized (select * from m1 union all select 'P' || tx_hash, block_time + interval 1 day, 'b:pool', 'b:' || from_addr, case when (asset = 'COIN') <> (k % 13 = 0) then 'COIN' else 'USDC' end,
+        amount - amount // 1000 - 1 from dp where k % 7 <> 0),
+    og as (select distinct from_addr as origin from m where from_addr not like 'b:%')"""
+_ACROSS = f"with {_CHAINS}, {_trace(across=True)}"
 _POOL = """with s as (select *, sum(case when is_in then amount else -amount end) over w as s from wallet_events window w as (partition by wallet order by ts, is_in desc, event_id rows unbounded preceding)),
     p as (select *, s - least(0, min(s) over w) as pool from s window w as (partition by wallet order by ts, is_in desc, event_id rows unbounded preceding))"""
 #: An outflow takes from each level what was last laid there; levels are told apart at every end of an event's money.
@@ -250,6 +327,10 @@ ORACLES = {
     "trace_inbound": b.sql("transfers labels", f"with {_MOVES}, {_OG}, {_trace(2, inbound=True)} select origin, hop::bigint as hop, tx_hash, from_addr, to_addr, traced from e"),
     "funders": b.sql("transfers labels", f"with {_MOVES}, {_OG}, {_trace(1, inbound=True)} select origin, wallet, received, reason, round(received / sum(received) over (partition by origin), 6) as share from h"),
     "trace_3hop": b.sql("transfers labels", f"{_ALL} select origin, hop::bigint as hop, tx_hash, from_addr, to_addr, traced from e"),
+    "trace_crossings": b.sql("transfers labels", f"{_ACROSS} select origin, hop::bigint as hop, tx_hash, from_addr, to_addr, asset, traced from e"),
+    "crossing_holds": b.sql("transfers labels", f"{_ACROSS} select origin, hop::bigint as hop, wallet, received, reason, held from h"),
+    "crossing_legs": b.sql("transfers labels", _ACROSS + " " + " union all ".join(
+        f"select origin, {k}::bigint as hop, tx_hash, from_addr, far as bridge, traced, status, reason, to_chain, recipient, out from x{k}" for k in range(1, RULES.hops + 1))),
     "trace_stops": b.sql("transfers labels", f"{_ALL} select origin, hop::bigint as hop, wallet, received, reason, held from h"),
     "trace_summary": b.sql("transfers labels", f"""{_ALL}, d as (select * from d2 union all select * from d3),
         q as (select origin, count(*) as n_edges, count(distinct to_addr) as n_wallets, max(hop)::bigint as deepest from e group by origin),
