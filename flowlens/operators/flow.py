@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from flowlens.operators.ordered import micros, running_sum, week_of
+from flowlens.operators.utxo import SINKS
 from flowlens.session import cut
 
 
@@ -87,6 +88,14 @@ def trace(
     return trace_across(moves, origins, labels, rules, hidden, inbound)[:3]
 
 
+def _sunk(level: DataFrame, hop: int) -> tuple[DataFrame, DataFrame]:
+    """level without what goes into sinks, and that as holds at the sender."""
+    kind = F.split("far", ":")[0]
+    sink = F.col("far").contains(":") & kind.isin(*SINKS)
+    held = level.where(sink).groupBy("origin", F.col("own").alias("wallet"), kind.alias("reason")).agg(F.sum("traced").alias("held"))
+    return level.where(~sink), held.select("origin", F.lit(hop).alias("hop"), "wallet", F.col("held").alias("received"), "reason", "held")
+
+
 def _one_asset(level: DataFrame, before: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """level with `odd`, and (origin, wallet, one): of a wallet one asset is followed, that of the largest payment that
     reaches it first (of the later name on ties)."""
@@ -118,8 +127,29 @@ def _legs(level: DataFrame, reached: DataFrame, totals: DataFrame, paid: DataFra
     return rows.withColumns({"status": status, "reason": reason, "out": F.when(reason.isNull(), out)})
 
 
+def _together(events: DataFrame) -> DataFrame:
+    """events with `take`, where a wallet's payments of one transaction are served together, the fee with them.
+
+    If the money doesn't cover all of them, each gets its part in proportion, in whole units: rounded down, and the units
+    left over go one each to the largest remainders (by far address on ties), so none is lost and none gets too much.
+    """
+    keys = ["origin", "wallet", "tx_hash", "at"]
+    groups = events.where("not is_in").groupBy(*keys, "span").agg(F.sum("amount").alias("amount"), F.lit(False).alias("is_in"))
+    arrived = events.where("is_in").select(*keys, "span", "amount", "is_in")
+    order = [F.col("at"), F.col("is_in").desc(), F.col("tx_hash"), F.col("amount")]
+    given = allocate(arrived.unionByName(groups), ["origin", "wallet"], order).where("not is_in and take > 0").select(*keys, F.col("take").alias("give"), F.col("amount").alias("want"))
+    rows = events.where("not is_in").join(given, keys, "left").na.fill({"give": 0, "want": 1})
+    rows = rows.withColumn("part", F.expr("cast((cast(give as decimal(38,0)) * amount) div want as bigint)"))
+    # give * amount mod want, without the wide product where the part is known
+    rows = rows.withColumn("rest", F.expr("cast(cast(give as decimal(38,0)) * amount - cast(part as decimal(38,0)) * want as decimal(38,0))"))
+    whole = W.partitionBy(*keys)
+    nth = F.row_number().over(whole.orderBy(F.col("rest").desc(), "far"))
+    return rows.withColumn("left", F.col("give") - F.sum("part").over(whole)).withColumn("take", F.col("part") + (nth <= F.col("left")).cast("long"))
+
+
 def trace_across(
-    moves: DataFrame, origins: DataFrame, labels: DataFrame, rules: Rules = Rules(), hidden: DataFrame | None = None, inbound: bool = False, bridges: Bridges | None = None
+    moves: DataFrame, origins: DataFrame, labels: DataFrame, rules: Rules = Rules(), hidden: DataFrame | None = None, inbound: bool = False, bridges: Bridges | None = None,
+    own_moves: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]:
     """(edges, holds, seen, legs) of following each origin's payments of its main asset, all origins and wallets of a hop at once.
 
@@ -133,6 +163,10 @@ def trace_across(
     leg is an edge of the next hop, from the bridge to the recipient, of the payout's asset and time; the bridge holds
     the rest as `bridge_fee`. A wallet that gets several assets goes on in one, and holds the others as `asset_changed`.
 
+    own_moves: on a chain whose transactions have many parties, what the origins paid themselves (utxo.flows with own), while
+    moves has all funders' payments, sinks and fees. A transaction's payments are served together there. What goes into
+    a sink is held at the sender, with the sink's kind as the reason, and so is its part of fees.
+
     Each hop joins the frontier with payments once. A wallet that is labelled, the origin, at the last hop, small,
     beyond the budget of wallets or a hub isn't followed, for the first of these reasons; the share that a wallet must
     have bounds how many an origin follows. Hubs are looked for among the frontier only, and their payments not read.
@@ -140,15 +174,24 @@ def trace_across(
     sign, (own, far) = (-1, ("to_addr", "from_addr")) if inbound else (1, ("from_addr", "to_addr"))
     # written, so that Spark knows whether they are few enough to be broadcast
     origins = cut(origins.select("origin"))
-    picked = cut(pick_asset(moves, origins, own))
+    many = own_moves is not None
+    picked = cut(pick_asset(own_moves if many else moves, origins, own))
     at = sign * F.unix_micros(F.col("block_time").cast("timestamp"))
-    real = moves.where((F.col("from_addr") != F.col("to_addr")) & (F.col("amount") >= rules.dust)).select("*", F.col(own).alias("own"), F.col(far).alias("far"), at.alias("at"))
-    first = real.join(picked.withColumnRenamed("asset", "pick"), (F.col("own") == F.col("origin")) & (F.col("asset") == F.col("pick")))
+    usable = lambda rows: rows.where((F.col("from_addr") != F.col("to_addr")) & (F.col("amount") >= rules.dust)).select("*", F.col(own).alias("own"), F.col(far).alias("far"), at.alias("at"))
+    fee = F.col("to_addr").startswith("fee:")
+    real, mine = usable(moves.where(~fee)) if many else usable(moves), usable(own_moves.where(~fee)) if many else None
+    fees = moves.where(fee).select("*", F.col(own).alias("own"), F.col(far).alias("far"), at.alias("at")) if many else None
+    first = (mine if many else real).join(picked.withColumnRenamed("asset", "pick"), (F.col("own") == F.col("origin")) & (F.col("asset") == F.col("pick")))
     columns = ["origin", "hop", "tx_hash", "block_time", "from_addr", "to_addr", "asset", "amount", "traced", "own", "far", "at"]
     level = cut(first.withColumn("hop", F.lit(1)).withColumn("traced", F.col("amount")).select(columns))
     totals = cut(level.groupBy("origin").agg(F.sum("traced").alias("total")))
     known = labels.select(F.col("address").alias("wallet"), "entity")
     edges, holds, seen, followed, legs, chosen, paid = level, None, None, None, None, None, None
+    #: what payments have been used for, sinks and fees too
+    spent_on = level
+    if many:
+        level, holds = _sunk(level, 0)
+        edges = level
     if bridges is not None:
         # what a recipient got in a payout: of its first stablecoin, else of its first asset
         sums = moves.join(bridges.matches.select(F.col("payout_tx").alias("tx_hash"), F.col("recipient").alias("to_addr")).distinct(), ["tx_hash", "to_addr"])
@@ -202,27 +245,35 @@ def trace_across(
             out = cut(out.withColumn("nth", F.row_number().over(W.partitionBy("origin", "wallet").orderBy("at", "tx_hash", "far"))).where(F.col("nth") <= rules.fetch_limit + 1))
             cut_off = out.where(F.col("nth") > rules.fetch_limit).select("origin", "wallet", F.lit(True).alias("more"))
             out = out.where(F.col("nth") <= rules.fetch_limit).drop("nth")
-        used = edges.groupBy("origin", "tx_hash", "from_addr", "to_addr", "block_time").agg(F.sum("traced").alias("used"))
+        if many:
+            paying = out.select("origin", "wallet", "asset", "tx_hash", "at").distinct()
+            out = out.unionByName(fees.drop("asset").join(paying.withColumnRenamed("wallet", "own"), ["own", "tx_hash", "at"]).withColumn("wallet", F.col("own")))
+        used = spent_on.groupBy("origin", "tx_hash", "from_addr", "to_addr", "block_time").agg(F.sum("traced").alias("used"))
         out = out.join(used, ["origin", "tx_hash", "from_addr", "to_addr", "block_time"], "left").withColumn("available", F.col("amount") - F.coalesce("used", F.lit(0)))
         arrivals = level.join(front.select("origin", "wallet"), (level.origin == front.origin) & (F.col("far") == F.col("wallet"))).drop(front.origin)
         common = ["origin", "wallet", "tx_hash", "block_time", "from_addr", "to_addr", "asset", "amount", "own", "far", "at"]
         events = arrivals.select(*common, F.lit(True).alias("is_in"), F.col("traced").alias("moved")).unionByName(out.select(*common, F.lit(False).alias("is_in"), F.col("available").alias("moved")))
         events = events.withColumnRenamed("amount", "full").withColumnRenamed("moved", "amount").withColumn("span", F.floor(F.col("at") / SPAN))
         order = [F.col("at"), F.col("is_in").desc(), F.col("tx_hash"), F.when(F.col("is_in"), F.col("own")).otherwise(F.col("far")), F.col("amount")]
-        drained = allocate(events, ["origin", "wallet"], order).where("not is_in")
+        drained = _together(events) if many else allocate(events, ["origin", "wallet"], order).where("not is_in")
         drained = drained.withColumn("hop", F.lit(hop + 1)).withColumnRenamed("take", "traced").drop("amount").withColumnRenamed("full", "amount")
         # the next hop and the sums below read these several times; the cut also keeps the plan from doubling with every hop
         drained = cut(drained.select(columns))
-        read = drained.select("origin", "hop", "tx_hash", "block_time", "from_addr", "to_addr", "traced")
+        read = (drained.where(~fee) if many else drained).select("origin", "hop", "tx_hash", "block_time", "from_addr", "to_addr", "traced")
         seen = read if seen is None else seen.unionByName(read)
         level = drained.where("traced > 0")
         spent = level.groupBy("origin", F.col("own").alias("wallet")).agg(F.sum("traced").alias("spent"))
+        if many:
+            spent_on = spent_on.unionByName(level)
+            level, sunk = _sunk(level, hop)
+            holds = holds.unionByName(sunk)
         kept = front.join(spent, ["origin", "wallet"], "left").withColumn("held", F.col("received") - F.coalesce("spent", F.lit(0))).withColumn("reason", F.lit("kept"))
         if cut_off is not None:
             kept = kept.join(cut_off, ["origin", "wallet"], "left").withColumn("reason", F.when(F.col("more"), "truncated").otherwise("kept"))
         holds = holds.unionByName(kept.select("origin", F.lit(hop).alias("hop"), "wallet", "received", "reason", "held"))
         level = level if crossed is None else level.unionByName(crossed)
         edges = edges.unionByName(level)
+        spent_on = spent_on if many else edges
     edges = edges.drop("own", "far", "at")
     none = edges.where("false").select("origin", "hop", "tx_hash", "block_time", "from_addr", "to_addr", "traced")
     return edges, holds, seen if seen is not None else none, legs

@@ -48,3 +48,43 @@ def payments(utxo: DataFrame, joined: DataFrame) -> DataFrame:
     kind = F.when(F.col("is_coinjoin"), "coinjoin").when(F.size(ends) == 0, "self").when((F.size("inputs") == 1) & (F.size(ends) == 1), "certain").when(F.size("inputs") == 1, "split").otherwise("pooled")
     one = lambda a: F.when(F.size(a) == 1, F.get(a, F.lit(0)))
     return rows.select("txid", F.when(kind != "coinjoin", one(F.col("inputs"))).alias("funder"), F.when(kind != "coinjoin", one(ends)).alias("to_addr"), kind.alias("certainty"))
+
+
+#: So many funding addresses aren't one person's ordinary payment.
+POOL_INPUTS = 5
+#: What stands for a wallet where money can't be followed on: `coinjoin:<txid>`, and so on.
+SINKS = ("coinjoin", "pooled", "no-address", "fee")
+
+
+def flows(inputs: DataFrame, outputs: DataFrame, mixes: DataFrame, own: bool = False) -> DataFrame:
+    """tx_hash, from_addr, to_addr, amount: what each funder sent in each transaction, in whole units, and its fee.
+
+    inputs, outputs: txid, address (may be null), amount, a row each. A funder's part of an output is by what it put in,
+    rounded down, and its fee is the rest of that, so both add up to it. What comes back to it isn't sent. Its payments
+    are told apart if it is the only funder or only one address is paid; else all go to one sink: `coinjoin:<txid>` for
+    mixes (txid), `pooled:<txid>` for others. Outputs without an address go to `no-address:<txid>`, fees to
+    `fee:<txid>`. own: for funders that are traced themselves, whose payments are told apart with fewer than POOL_INPUTS
+    funders, unless equal outputs are as many as two and no more than the funders: the shape of a joint transaction.
+    """
+    total = inputs.groupBy("txid").agg(F.sum("amount").alias("total"), F.count_distinct("address").alias("funders"))
+    put = inputs.where("address is not null").groupBy("txid", F.col("address").alias("from_addr")).agg(F.sum("amount").alias("put")).where("put > 0")
+    equal = outputs.where("address is not null").groupBy("txid", "amount").agg(F.count(F.lit(1)).alias("n")).groupBy("txid").agg(F.max("n").alias("equal"))
+    tx = total.join(equal, "txid", "left").join(mixes.select("txid", F.lit(True).alias("mix")), "txid", "left")
+    paid = outputs.groupBy("txid", F.col("address").alias("to")).agg(F.sum("amount").alias("paid"))
+    met = put.join(tx, "txid").join(paid, "txid").withColumn("share", F.expr("cast((cast(paid as decimal(38,0)) * put) div total as bigint)"))
+    sent = (F.col("share") > 0) & ~F.col("to").eqNullSafe(F.col("from_addr"))
+    each = met.groupBy("txid", "from_addr").agg(
+        F.count_if(sent).alias("n"), F.sum(F.when(sent, F.col("share"))).alias("amount"), (F.max("put") - F.sum("share")).alias("fee"), F.max("funders").alias("funders"),
+        F.max("equal").alias("equal"), F.max("mix").alias("mix"),
+    ).where("n > 0")
+    certain = (F.col("funders") == 1) | (F.col("n") == 1)
+    if own:
+        joint = (F.coalesce("equal", F.lit(0)) >= 2) & (F.col("funders") >= F.col("equal"))
+        certain = certain | ((F.col("funders") < POOL_INPUTS) & ~joint)
+    each = each.withColumn("sink", F.when(F.col("mix"), "coinjoin").when(~certain, "pooled"))
+    at = lambda name: F.concat(name, F.lit(":"), F.col("txid"))
+    told = met.where(sent).join(each.where("sink is null").select("txid", "from_addr"), ["txid", "from_addr"])
+    rows = told.select("txid", "from_addr", F.coalesce("to", at(F.lit("no-address"))).alias("to_addr"), F.col("share").alias("amount"))
+    rows = rows.unionByName(each.where("sink is not null").select("txid", "from_addr", at(F.col("sink")).alias("to_addr"), "amount"))
+    rows = rows.unionByName(each.where("fee > 0").select("txid", "from_addr", at(F.lit("fee")).alias("to_addr"), F.col("fee").alias("amount")))
+    return rows.withColumnRenamed("txid", "tx_hash")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from flowlens.operators import flow
+from flowlens.operators import flow, utxo
 from flowlens.plans import binding as b
 from flowlens.session import cut
 
@@ -75,6 +75,60 @@ def crossing_holds(spark, sf_dir):
     return across(spark, sf_dir)[1].select("origin", F.col("hop").cast("long").alias("hop"), "wallet", "received", "reason", "held")
 
 
+def many_parties(spark, sf_dir):
+    """(inputs, outputs, mixes, times) of orders as transactions: every fourth has several funders, the third line is change,
+    some outputs have equal amounts, some have no address."""
+    rows = b.table(spark, sf_dir, "lineitem").join(b.table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    price = b.cents(F.col("l_extendedprice"))
+    txid, several = F.concat(F.lit("X"), "l_orderkey").alias("txid"), F.col("l_orderkey") % 4 == 0
+    wallet = lambda of: F.concat(F.lit("W"), of)
+    funder = F.when(F.col("l_partkey") % 31 != 0, wallet(F.when(several, F.col("l_suppkey")).otherwise(F.col("o_custkey"))))
+    payee = F.when(F.col("l_linenumber") == 3, wallet(F.col("o_custkey"))).when(F.col("l_partkey") % 29 != 0, wallet(F.when(several, F.col("l_partkey") % 100).otherwise(F.col("l_suppkey"))))
+    inputs = rows.select(txid, funder.alias("address"), (price + b.cents(F.col("l_extendedprice") * F.col("l_tax"))).alias("amount"))
+    outputs = rows.select(txid, payee.alias("address"), F.when(F.col("l_orderkey") % 9 == 0, F.expr("cast(round(l_extendedprice * 100) as bigint) div 1000000 * 1000000")).otherwise(price).alias("amount"))
+    orders = b.table(spark, sf_dir, "orders").select(F.concat(F.lit("X"), "o_orderkey").alias("tx_hash"), F.col("o_orderdate").alias("block_time"), "o_orderkey")
+    return inputs, outputs, orders.where("o_orderkey % 17 = 0").select(F.col("tx_hash").alias("txid")), orders.drop("o_orderkey")
+
+
+def party_flows(spark, sf_dir, own=False):
+    """What each funder of a transaction sent in it."""
+    inputs, outputs, mixes, times = many_parties(spark, sf_dir)
+    return utxo.flows(inputs, outputs, mixes, own).join(times, "tx_hash").withColumn("asset", F.lit("BTC"))
+
+
+def parties(spark, sf_dir):
+    """The trace of every funder through transactions of many parties."""
+    own = cut(party_flows(spark, sf_dir, True))
+    return flow.trace_across(cut(party_flows(spark, sf_dir)), origins(own), cut(trace_labels(spark, sf_dir)), own_moves=own)
+
+
+def trace_utxo(spark, sf_dir):
+    return _drawn(parties(spark, sf_dir)[0])
+
+
+def utxo_holds(spark, sf_dir):
+    """Where the money of each trace is in the end, fees and sinks too: held sums to what the origin sent, to the unit."""
+    return parties(spark, sf_dir)[1].select("origin", F.col("hop").cast("long").alias("hop"), "wallet", "received", "reason", "held")
+
+
+def mix_flags(spark, sf_dir):
+    """Wallets at which traced money went into a mix: its share of all that the origin sent."""
+    holds = parties(spark, sf_dir)[1]
+    total = W.partitionBy("origin")
+    rows = holds.withColumn("total", F.sum("held").over(total)).where("reason = 'coinjoin'")
+    return rows.groupBy("origin", "wallet").agg(F.sum("held").alias("amount"), F.min("hop").cast("long").alias("hop"), F.round(F.sum("held") / F.max("total"), 6).alias("share"))
+
+
+def spendable(spark, sf_dir):
+    """Wallets that passed on all they could of what they got: it less the fees that they paid."""
+    edges, holds, _, _ = parties(spark, sf_dir)
+    got = edges.groupBy("origin", F.col("to_addr").alias("wallet")).agg(F.sum("traced").alias("received"))
+    sent = edges.groupBy("origin", F.col("from_addr").alias("wallet")).agg(F.sum("traced").alias("passed"))
+    fees = holds.where("reason = 'fee'").groupBy("origin", "wallet").agg(F.sum("held").alias("fee"))
+    rows = got.join(sent, ["origin", "wallet"]).join(fees, ["origin", "wallet"], "left").na.fill({"fee": 0})
+    return rows.where("wallet <> origin").select("origin", "wallet", "received", "passed", "fee", (F.col("passed") == F.col("received") - F.col("fee")).alias("passed_all"))
+
+
 def fifo_allocation(spark, sf_dir):
     events = b.wallet_events(spark, sf_dir).withColumn("span", F.date_trunc("week", "ts"))
     return flow.allocate(events, ["wallet"], [F.col("ts"), F.col("is_in").desc(), F.col("event_id")]).select("wallet", "event_id", "take", "pool")
@@ -197,7 +251,7 @@ def fifo_pairs(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        fifo_allocation, pick_asset, top_recipient, trace_1hop, trace_3hop, trace_crossings, crossing_legs, crossing_holds, trace_inbound, funders, trace_stops, trace_summary, context_rows, where_funds_went, candidates, proximity_rank,
+        fifo_allocation, pick_asset, top_recipient, trace_1hop, trace_3hop, trace_crossings, crossing_legs, crossing_holds, party_flows, trace_utxo, utxo_holds, mix_flags, spendable, trace_inbound, funders, trace_stops, trace_summary, context_rows, where_funds_went, candidates, proximity_rank,
         outcome, request_wallets, counterfactual, path_asof, hop_rail, sweep_lifo, fifo_pairs,
     )
 }
@@ -208,12 +262,15 @@ _PICK = """og as (select distinct from_addr as origin from m),
     pk as (select origin, asset from (select *, row_number() over (partition by origin order by asset <> 'COIN' desc, paid desc, asset = 'USDT' desc) as n from ps) where n = 1)"""
 
 
-def _trace(hops: int = RULES.hops, hidden: str | None = None, p: str = "", inbound: bool = False, across: bool = False) -> str:
+def _trace(hops: int = RULES.hops, hidden: str | None = None, p: str = "", inbound: bool = False, across: bool = False, many: bool = False) -> str:
     """The trace as common table expressions e1, r1, e2, ..., all edges e and holds h; p prefixes their names.
 
     across: over bridges (bw, mt), with w1, w2, ... for all edges that come to a hop and legs x1, x2, ...
+    many: transactions of many parties; mo is what origins paid, and w1, w2, ... have sinks and fees as well.
     """
-    w = "w" if across else "e"
+    w = "w" if across or many else "e"
+    no_fee = " and to_addr not like 'fee:%'" if many else ""
+    sink = "regexp_matches(far, '^(coinjoin|pooled|no-address|fee):')"
     gone = f" and not exists (select 1 from {hidden} g where g.origin = r.origin and g.entity = l.entity)" if hidden else ""
     own, far, sign = ("to_addr", "from_addr", "-") if inbound else ("from_addr", "to_addr", "")
     cols = "tx_hash, block_time, from_addr, to_addr, own, far, asset, amount, tick"
@@ -221,12 +278,12 @@ def _trace(hops: int = RULES.hops, hidden: str | None = None, p: str = "", inbou
     pick = f"""{p}pk as (select origin, asset from (select *, row_number() over (partition by origin order by asset <> 'COIN' desc, paid desc, asset = 'USDT' desc) as n
         from (select origin, asset, sum(amount) as paid from m join og on {own} = origin group by all)) where n = 1)"""
     out = [
-        f"{p}a as materialized (select *, {own} as own, {far} as far, {sign}epoch_us(block_time) as tick from m where from_addr <> to_addr and amount >= {RULES.dust})",
+        f"{p}a as materialized (select *, {own} as own, {far} as far, {sign}epoch_us(block_time) as tick from m where from_addr <> to_addr and amount >= {RULES.dust}{no_fee})",
         f"""{p}hub as materialized (select own as wallet, asset, {"9223372036854775807" if inbound else "min(latest)"} as busy_until from (select *, row_number() over (partition by own, asset order by latest desc) as n
             from (select own, asset, far, max(tick) as latest from {p}a group by all)) where n <= {RULES.hub_degree} group by own, asset having count(*) = {RULES.hub_degree})""",
         f"{p}l as (select * from labels_rel where category <> 'unknown'" + (" union all select 'b:' || address, * exclude (address) from labels_rel where category <> 'unknown' and kind <> 'deposit')" if across else ")"),
         pick,
-        f"{p}{w}1 as materialized (select origin, 1 as hop, {cols.replace('asset', f'{p}a.asset')}, amount as traced from {p}a join {p}pk on own = origin and {p}a.asset = {p}pk.asset)",
+        f"{p}{w}1 as materialized (select origin, 1 as hop, {cols.replace('asset', f'{p}a.asset')}, amount as traced from {"(select *, from_addr as own, to_addr as far, epoch_us(block_time) as tick from mo where from_addr <> to_addr and amount >= " + str(RULES.dust) + no_fee + ") a" if many else p + "a"} join {p}pk on own = origin and {p}a.asset = {p}pk.asset)",
         f"{p}t as materialized (select origin, sum(traced)::bigint as total from {p}{w}1 group by 1)",
         f"{p}f0 as (select origin, origin as wallet from {p}t where false)",
     ]
@@ -235,6 +292,8 @@ def _trace(hops: int = RULES.hops, hidden: str | None = None, p: str = "", inbou
             row_number() over (partition by tx_hash, to_addr order by asset = 'COIN', asset) as n from m where from_addr <> to_addr and tx_hash in (select payout_tx from mt) group by tx_hash, to_addr, asset) where n = 1)""")
         out.append("c0 as (select origin, origin as wallet, origin as one from t where false)")
     for h in range(1, hops + 1):
+        if many:
+            out.append(f"e{h} as materialized (select * from w{h} where not {sink})")
         if across:
             out.append(f"""c{h} as materialized (select * from c{h - 1} union all select origin, far, arg_max(asset, row(traced, asset)) from w{h} where not exists (select 1 from c{h - 1} c where c.origin = w{h}.origin and c.wallet = far) group by origin, far)""")
             out.append(f"e{h} as materialized (select w{h}.* from w{h} join c{h} c on c.origin = w{h}.origin and c.wallet = far where asset = one)")
@@ -260,6 +319,21 @@ def _trace(hops: int = RULES.hops, hidden: str | None = None, p: str = "", inbou
         out.append(f"""{p}u{h} as (select origin, tx_hash, from_addr, to_addr, block_time, sum(traced) as used from ({used}) group by all)""")
         out.append(f"""{p}o{h} as (select x.*, amount - coalesce(used, 0) as available
             from (select r.origin, r.wallet, a.* from {p}a a join {p}r{h} r on a.own = r.wallet and a.asset = r.asset and a.tick >= r.since where r.reason is null) x left join {p}u{h} using (origin, tx_hash, from_addr, to_addr, block_time))""")
+        if many:
+            out.append(f"""i{h} as materialized (select * from o{h} union all select distinct x.origin, x.wallet, m.*, m.from_addr, m.to_addr, x.tick, m.amount - coalesce(used, 0)
+                from (select distinct origin, wallet, tx_hash, tick from o{h}) x join m on m.tx_hash = x.tx_hash and m.from_addr = x.wallet and to_addr like 'fee:%'
+                left join u{h} u on u.origin = x.origin and u.tx_hash = m.tx_hash and u.from_addr = m.from_addr and u.to_addr = m.to_addr)""")
+            out.append(f"""v{h} as (select e.origin, e.far as wallet, e.tx_hash, e.tick, true as is_in, e.traced as moved from e{h} e join r{h} r on r.origin = e.origin and r.wallet = e.far and r.reason is null
+                union all select origin, wallet, tx_hash, tick, false, sum(available)::bigint from i{h} group by origin, wallet, tx_hash, tick)""")
+            by = "over (partition by origin, wallet order by tick, is_in desc, tx_hash, moved"
+            out.append(f"s{h} as (select *, sum(case when is_in then moved else -moved end) {by} rows unbounded preceding) as s from v{h})")
+            out.append(f"p{h} as (select *, s - least(0, min(s) {by} rows unbounded preceding)) as pool from s{h})")
+            out.append(f"y{h} as (select * from (select *, (coalesce(lag(pool) {by}), 0) - pool)::bigint as give from p{h}) where not is_in)")
+            out.append(f"""z{h} as (select i.*, give, moved, case when moved = 0 then 0 else (give::hugeint * available) // moved end::bigint as part from i{h} i join y{h} y using (origin, wallet, tx_hash, tick))""")
+            rest = "row_number() over (partition by origin, wallet, tx_hash order by give::hugeint * available - part::hugeint * moved desc, far)"
+            out.append(f"d{h + 1} as materialized (select *, part + case when {rest} <= give - sum(part) over (partition by origin, wallet, tx_hash) then 1 else 0 end as take from z{h})")
+            out.append(f"w{h + 1} as materialized (select origin, {h + 1} as hop, {cols}, take::bigint as traced from d{h + 1} where take > 0)")
+            continue
         out.append(f"""{p}v{h} as (select e.origin, e.far as wallet, {", ".join(f"e.{c}" for c in cols.split(", "))}, true as is_in, e.traced as moved
                 from {p}e{h} e join {p}r{h} r on r.origin = e.origin and r.wallet = e.far and r.reason is null
             union all select origin, wallet, {cols}, false, available from {p}o{h})""")
@@ -268,12 +342,15 @@ def _trace(hops: int = RULES.hops, hidden: str | None = None, p: str = "", inbou
         out.append(f"{p}d{h + 1} as materialized (select * from (select *, (coalesce(lag(pool) {over}), 0) - pool)::bigint as take from {p}p{h}) where not is_in)")
         away = f" union all select origin, {h + 1}, payout_tx, paid_at, far, recipient, far, recipient, paid_asset, paid, epoch_us(paid_at), out from x{h} where out > 0" if across else ""
         out.append(f"{p}{w}{h + 1} as materialized (select origin, {h + 1} as hop, {cols}, take as traced from {p}d{h + 1} where take > 0{away})")
-    out.append(f"{p}e as ({' union all '.join(f'select * from {p}{w}{k}' for k in range(1, hops + 1))})")
+    whole = f" where not {sink}" if many else ""
+    out.append(f"{p}e as (select * from ({' union all '.join(f'select * from {p}{w}{k}' for k in range(1, hops + 1))}){whole})")
     holds = [f"select origin, {k} as hop, wallet, received, reason, received as held from {p}r{k} where reason is not null" for k in range(1, hops + 1)]
     if across:
         holds = [f"""select origin, {k} as hop, wallet, received, reason, received - coalesce(gone, 0) as held from r{k} left join g{k} using (origin, wallet) where reason is not null
             union all select origin, {k}, wallet, gone, 'bridge_fee', gone - passed from g{k} union all select w{k}.origin, {k}, far, sum(traced)::bigint, 'asset_changed', sum(traced)::bigint
             from w{k} join c{k} c on c.origin = w{k}.origin and c.wallet = far where asset <> one group by all""" for k in range(1, hops + 1)]
+    if many:
+        holds += [f"select origin, {k - 1}, own, sum(traced)::bigint, split_part(far, ':', 1), sum(traced)::bigint from w{k} where {sink} group by all" for k in range(1, hops + 1)]
     holds += [
         f"select r.origin, {k} as hop, r.wallet, received, 'kept' as reason, received - coalesce(x.spent, 0)::bigint as held from {p}r{k} r left join (select origin, own as wallet, sum(traced) as spent from {p}{w}{k + 1} group by all) x using (origin, wallet) where reason is null"
         for k in range(1, hops)
@@ -296,6 +373,24 @@ _ROUTE = """z0 as (select origin, target, hop, tx_hash, from_addr, to_addr, bloc
 _Z = " union all ".join(f"select * from z{k}" for k in range(RULES.hops))
 _OG = "og as (select distinct from_addr as origin from m)"
 _ALL = f"with {_MOVES}, {_OG}, {_trace()}"
+_PARTIES = """uj as (select *, 'X' || l_orderkey as txid, round(l_extendedprice * 100)::bigint as price from lineitem join orders on l_orderkey = o_orderkey),
+    ui as (select txid, case when l_partkey % 31 <> 0 then 'W' || case when l_orderkey % 4 = 0 then l_suppkey else o_custkey end end as address, price + round(l_extendedprice * l_tax * 100)::bigint as amount from uj),
+    uo as (select txid, case when l_linenumber = 3 then 'W' || o_custkey when l_partkey % 29 <> 0 then 'W' || case when l_orderkey % 4 = 0 then l_partkey % 100 else l_suppkey end end as address,
+        case when l_orderkey % 9 = 0 then price // 1000000 * 1000000 else price end as amount from uj),
+    ux as (select txid, sum(amount)::bigint as total, count(distinct address) as funders from ui group by txid),
+    uq as (select txid, max(n) as equal from (select txid, amount, count(*) as n from uo where address is not null group by all) group by txid),
+    um as (select i.txid, i.address as from_addr, o.address as dest, put, total, funders, coalesce(equal, 0) as equal, (paid::hugeint * put // total)::bigint as share
+        from (select txid, address, sum(amount)::bigint as put from ui where address is not null group by all) i join ux using (txid) left join uq using (txid)
+        join (select txid, address, sum(amount)::bigint as paid from uo group by all) o on o.txid = i.txid)""" + "".join(
+    f""", {name} as materialized (with g as (select txid, from_addr, max(put) - sum(share)::bigint as fee, sum(share) filter (share > 0 and dest is distinct from from_addr)::bigint as amount,
+            case when substr(txid, 2)::bigint % 17 = 0 then 'coinjoin' when not (max(funders) = 1 or count(*) filter (share > 0 and dest is distinct from from_addr) = 1 {extra}) then 'pooled' end as kind
+            from um group by txid, from_addr having count(*) filter (share > 0 and dest is distinct from from_addr) > 0),
+        f as (select txid, from_addr, coalesce(dest, 'no-address:' || txid) as to_addr, share as amount from um join g using (txid, from_addr) where kind is null and share > 0 and dest is distinct from from_addr
+            union all select txid, from_addr, kind || ':' || txid, amount from g where kind is not null union all select txid, from_addr, 'fee:' || txid, fee from g where fee > 0)
+        select txid as tx_hash, o_orderdate as block_time, from_addr, to_addr, 'BTC' as asset, amount from f join orders on txid = 'X' || o_orderkey)"""
+    for name, extra in (("m", ""), ("mo", "or (max(funders) < 5 and not (max(equal) >= 2 and max(funders) >= max(equal)))"))
+) + ", og as (select distinct from_addr as origin from mo)"
+_MANY = f"with {_PARTIES}, {_trace(many=True)}"
 #: Payments of two chains, the bridges' wallets bw and their matches mt; origins are those of the first chain.
 _CHAINS = f"""m0 as (select * from ({_MOVES.split("(", 1)[1][:-1]})),
     m1 as (select tx_hash, block_time, case when split_part(tx_hash, '-', 2)::int >= 5 then 'b:' else '' end || from_addr as from_addr,
@@ -328,6 +423,14 @@ ORACLES = {
     "funders": b.sql("transfers labels", f"with {_MOVES}, {_OG}, {_trace(1, inbound=True)} select origin, wallet, received, reason, round(received / sum(received) over (partition by origin), 6) as share from h"),
     "trace_3hop": b.sql("transfers labels", f"{_ALL} select origin, hop::bigint as hop, tx_hash, from_addr, to_addr, traced from e"),
     "trace_crossings": b.sql("transfers labels", f"{_ACROSS} select origin, hop::bigint as hop, tx_hash, from_addr, to_addr, asset, traced from e"),
+    "party_flows": b.sql("labels", f"with {_PARTIES} select * from m"),
+    "trace_utxo": b.sql("labels", f"{_MANY} select origin, hop::bigint as hop, tx_hash, from_addr, to_addr, traced from e"),
+    "utxo_holds": b.sql("labels", f"{_MANY} select origin, hop::bigint as hop, wallet, received, reason, held from h"),
+    "mix_flags": b.sql("labels", f"""{_MANY} select origin, wallet, sum(held)::bigint as amount, min(hop)::bigint as hop, round(sum(held) / max(al), 6) as share
+        from (select *, sum(held) over (partition by origin) as al from h) where reason = 'coinjoin' group by all"""),
+    "spendable": b.sql("labels", f"""{_MANY}, i as (select origin, to_addr as wallet, sum(traced)::bigint as received from e group by all), o as (select origin, from_addr as wallet, sum(traced)::bigint as passed from e group by all),
+        k as (select origin, wallet, sum(held)::bigint as fee from h where reason = 'fee' group by all)
+        select origin, wallet, received, passed, coalesce(fee, 0) as fee, passed = received - coalesce(fee, 0) as passed_all from i join o using (origin, wallet) left join k using (origin, wallet) where wallet <> origin"""),
     "crossing_holds": b.sql("transfers labels", f"{_ACROSS} select origin, hop::bigint as hop, wallet, received, reason, held from h"),
     "crossing_legs": b.sql("transfers labels", _ACROSS + " " + " union all ".join(
         f"select origin, {k}::bigint as hop, tx_hash, from_addr, far as bridge, traced, status, reason, to_chain, recipient, out from x{k}" for k in range(1, RULES.hops + 1))),
