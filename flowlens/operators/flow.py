@@ -297,7 +297,8 @@ def _chosen(reached: DataFrame, followed: DataFrame | None, busy: DataFrame, rul
     return rows.where("reason is not null").unionByName(asked).select(reached.columns)
 
 
-TIER_WEIGHT = {"curated": 0.95, "tag": 0.85, "community": 0.75, "derived": 0.6}
+# How far a label is trusted, by its tier.
+TIER_WEIGHT = {"published_por": 0.95, "curated": 0.85, "explorer_tag": 0.75, "derived": 0.6}
 DECAY, FULL_SHARE, NAMED_FROM, ALERT_SHARE = 0.85, 0.25, 0.60, 0.01
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-TIER_RANK = {"curated": 4, "tag": 3, "community": 2, "derived": 1}
+TIER_RANK = {"published_por": 4, "curated": 3, "explorer_tag": 2, "derived": 1}
 CATEGORY_RANK = {"sanctioned": 7, "mixer": 6, "exchange": 5, "bridge": 4, "swap": 3, "defi": 2, "unknown": 1}
 
 
@@ -86,7 +86,7 @@ def infer_kind(label: Column) -> Column:
 def tier_of(source: Column) -> Column:
     """The best tier among the `+`-joined parts of a source."""
     ranks = F.transform(F.split(source, r"\+"), lambda p: F.when(p.contains("registry"), 4).when(p.contains("tag"), 3).when(p.contains("crowd"), 2).when(p.contains("model"), 1).otherwise(0))
-    return F.element_at(F.array(*map(F.lit, ["none", "derived", "community", "tag", "curated"])), F.array_max(ranks) + 1)
+    return F.element_at(F.array(*map(F.lit, ["none", "derived", "explorer_tag", "curated", "published_por"])), F.array_max(ranks) + 1)
 
 
 PROVIDERS = ["exchange", "swap"]

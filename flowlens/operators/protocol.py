@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from flowlens.operators import metrics
+from flowlens.operators.labels import canonical_entity
 
 SEED = 26182
 GRID = (0.30, 0.40, 0.50, 0.55, 0.60, 0.65, 0.70, 0.75, 0.80)
@@ -136,10 +137,24 @@ def bar_grid(claimed: DataFrame, grid: tuple[float, ...] = GRID) -> DataFrame:
     return per.join(F.broadcast(total)).select("bar", "answered", "right", F.round(F.col("answered") / F.col("all"), 6).alias("coverage"), F.round(1 - F.col("right") / F.col("answered"), 6).alias("risk"))
 
 
-def gate(scored: DataFrame, bar: float, fold: str, most: float) -> DataFrame:
-    """fold, flagged, wrong, passes: may a model speak? Its flags at the bar, by fold, and whether few enough are wrong."""
-    per = scored.where(F.col("score") >= bar).groupBy(fold).agg(F.count(F.lit(1)).alias("flagged"), F.sum(1 - F.col("y")).alias("wrong"))
-    return per.withColumn("passes", F.col("wrong") <= F.col("flagged") * most)
+#: So many flags are needed before a model may speak.
+LEAST_FLAGGED = 30
+
+
+def gate(scored: DataFrame, bar: float, fold: str, reference: float, least: int = LEAST_FLAGGED) -> DataFrame:
+    """May a model speak? fold (null for all together), held_out, positives, flagged, wrong, error, found, upper, enough, passes.
+
+    scored: held-out scores (y, score). It passes with so many flags at the bar, of which wrong ones are no more than the
+    reference even at the upper end: the exact one-sided 95 % bound of their share.
+    """
+    flag, wrong = F.col("score") >= bar, (F.col("score") >= bar) & (F.col("y") == 0)
+    per = scored.rollup(fold).agg(F.count(F.lit(1)).alias("held_out"), F.sum("y").alias("positives"), F.count_if(flag).alias("flagged"), F.count_if(wrong).alias("wrong"), F.grouping(fold).alias("whole"))
+    rates = per.withColumns({
+        "error": F.round(F.try_divide("wrong", "flagged"), 6), "found": F.round(F.try_divide(F.col("flagged") - F.col("wrong"), "positives"), 6),
+        "upper": F.when(F.col("flagged") > 0, metrics.upper_bound(F.col("wrong"), F.greatest("flagged", F.lit(1)))), "enough": F.col("flagged") >= least,
+    })
+    passes = F.col("enough") & F.coalesce(F.col("upper") <= reference, F.lit(False))
+    return rates.withColumn("passes", passes).select(F.when(F.col("whole") == 0, F.col(fold)).alias(fold), "held_out", "positives", "flagged", "wrong", "error", "found", "upper", "enough", "passes")
 
 
 def leaks(rows: DataFrame, split: str, keys: list[str]) -> DataFrame:
@@ -162,14 +177,23 @@ def due(entries: DataFrame, now: Column, every_s: int) -> DataFrame:
     return waited.withColumn("never", F.col("checked").isNull())
 
 
-def checked_tags(labels: DataFrame, checks: DataFrame) -> DataFrame:
-    """labels after checks (address, verdict, owner) of them: one that differs takes its owner's name at half the
-    confidence, one that agrees a tenth more up to 95; others stay."""
-    rows = labels.join(checks, "address", "left")
-    wrong, right = F.col("verdict") == "differs", F.col("verdict") == "agrees"
-    name = F.when(wrong, F.col("owner")).otherwise(F.col("entity"))
-    sure = F.when(wrong, F.floor(F.col("confidence") / 2)).when(right, F.least(F.lit(95), F.floor(F.col("confidence") * 11 / 10))).otherwise(F.col("confidence")).cast("long")
-    return rows.select("address", name.alias("entity"), F.when(wrong, F.col("entity")).alias("was"), sure.alias("confidence"), F.coalesce("verdict", F.lit("unchecked")).alias("verdict"))
+#: Verdicts of a check that let a tag name its wallet.
+LOADED = ("confirmed", "used")
+
+
+def checked_tags(labels: DataFrame, checks: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
+    """labels (address, label, entity, category, source) with verdict: what deposit tags (`<owner> Dep: ...`) become.
+
+    A tag is unresolved where its label is filed as an entity of another name. If the check (address, verdict) of its
+    address is one of LOADED, it is named after its owner (by its usual name, with aliases), as an exchange, by the
+    checked tag. All else stays; verdict is null where nothing was unresolved, and `unchecked` without a check.
+    """
+    owner = F.when(F.instr("label", " Dep:") > 0, F.trim(F.substring_index("label", " Dep:", 1)))
+    open_ = F.coalesce((owner != "") & (F.col("category") == "entity") & (F.lower(owner) != F.lower("entity")), F.lit(False))
+    rows = labels.join(checks.select("address", F.col("verdict").alias("told")), "address", "left").withColumn("verdict", F.when(open_, F.coalesce("told", F.lit("unchecked"))))
+    loaded = F.coalesce(F.col("verdict").isin(*LOADED), F.lit(False))
+    pick = lambda new, old: F.when(loaded, new).otherwise(F.col(old)).alias(old)
+    return rows.select("address", "label", pick(canonical_entity(owner, aliases) if aliases else owner, "entity"), pick(F.lit("exchange"), "category"), pick(F.lit("checked tag"), "source"), "verdict", loaded.alias("loaded"))
 
 
 def digest_rows(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:

@@ -55,7 +55,7 @@ def utxo(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CATEGORIES = ["exchange", "swap", "sanctioned", "mixer", "bridge", "defi", "unknown"]
-TIERS = ["curated", "tag", "community", "derived"]
+TIERS = ["published_por", "curated", "explorer_tag", "derived"]
 KINDS = ["hot", "deposit", "cold"]
 
 

@@ -137,7 +137,7 @@ ORACLES = {
     "wallet_risk": b.sql("transfers labels", f"""{_RISK}, ow as (select address as wallet, category || '_self' as code from l where category in ('sanctioned', 'mixer') union all select wallet, 'frozen_self' from fz),
         al as (select wallet, code, {_PTS} as points, false as is_pattern from ow union all select origin, code, points, is_pattern from fd), am as (select wallet, code, max(points) as points, bool_or(is_pattern) as is_pattern from al group by all),
         sc as (select wallet, {_SCORE} as score from am group by wallet) select wallet, score, {q_graph._CLASS} as class from sc"""),
-    "self_candidates": b.sql("transfers labels", f"with {q_flow._MOVES}, {q_flow._OG} select origin, entity, (case tier when 'curated' then 0.95 when 'tag' then 0.85 when 'community' then 0.75 else 0.6 end)::double as confidence from og join labels_rel on origin = address where category in ('exchange', 'swap')"),
+    "self_candidates": b.sql("transfers labels", f"with {q_flow._MOVES}, {q_flow._OG} select origin, entity, (case tier when 'published_por' then 0.95 when 'curated' then 0.85 when 'explorer_tag' then 0.75 else 0.6 end)::double as confidence from og join labels_rel on origin = address where category in ('exchange', 'swap')"),
     "where_it_stopped": b.sql("transfers labels", f"{q_flow._ALL}, {_STOP} select * from st"),
     "abstain": b.sql("transfers labels", f"""{q_flow._ALL}, {q_flow._CAND}, {_OUT}, {_STOP}, no as (select origin from o where outcome = 'INSUFFICIENT_EVIDENCE'),
         bs as (select origin, arg_max(entity, row(confidence, -rank)) as be, arg_max(share, row(confidence, -rank)) as bsh, arg_max(confidence, row(confidence, -rank)) as bc from cc group by 1),
@@ -149,7 +149,7 @@ ORACLES = {
                 when 'budget' then 'Follow more wallets.' when 'truncated' then 'Read more payments.' when 'origin' then 'Trace again from a later date.' end, 'Look for more payments.') as step from j"""),
     "counter_verdicts": b.sql("transfers labels", f"""{q_flow._ALL}, {q_flow._CAND}, top as materialized (select origin, entity from cc where rank = 1), {q_flow._trace(hidden="top", p="q")},
         xn as (select qe.origin, entity, min(hop)::int as hops, sum(traced)::bigint as received,
-            sum((case tier when 'curated' then 0.95 when 'tag' then 0.85 when 'community' then 0.75 else 0.6 end)::double * pow(0.85, hop - 1) * traced) as strength from qe join l on qe.to_addr = l.address where category in ('exchange', 'swap') group by qe.origin, entity),
+            sum((case tier when 'published_por' then 0.95 when 'curated' then 0.85 when 'explorer_tag' then 0.75 else 0.6 end)::double * pow(0.85, hop - 1) * traced) as strength from qe join l on qe.to_addr = l.address where category in ('exchange', 'swap') group by qe.origin, entity),
         xc as (select origin, entity, round(strength / received * least(1, received / total / 0.25), 4) as confidence from xn join qt using (origin)),
         nw as (select origin, max(confidence) as now from xc x where confidence >= 0.6 and not exists (select 1 from top where top.origin = x.origin and top.entity = x.entity) group by origin)
         select c.origin, c.entity, case when now is null then 'gone' when now >= c.confidence then 'holds' else 'weaker' end as verdict from cc c join top on top.origin = c.origin and top.entity = c.entity left join nw on nw.origin = c.origin"""),

@@ -360,7 +360,7 @@ def _trace(hops: int = RULES.hops, hidden: str | None = None, p: str = "", inbou
 
 
 _CAND = """cn as (select e.origin, entity, min(hop)::int as hops, sum(traced)::bigint as received,
-        sum((case tier when 'curated' then 0.95 when 'tag' then 0.85 when 'community' then 0.75 else 0.6 end)::double * pow(0.85, hop - 1) * traced) as strength, min(block_time) as first_time
+        sum((case tier when 'published_por' then 0.95 when 'curated' then 0.85 when 'explorer_tag' then 0.75 else 0.6 end)::double * pow(0.85, hop - 1) * traced) as strength, min(block_time) as first_time
         from e join l on e.to_addr = l.address where category in ('exchange', 'swap') group by e.origin, entity),
     cc as (select origin, entity, hops, received, round(received / total, 6) as share, round(strength / received * least(1, received / total / 0.25), 4) as confidence, first_time,
         row_number() over (partition by origin order by hops, received desc, first_time, entity) as rank from cn join t using (origin))"""

@@ -133,7 +133,7 @@ ORACLES = {
                    else array_to_string(list_transform(string_split(slug, ' '), lambda w: upper(w[1]) || w[2:]), ' ') end as entity,
                case when regexp_matches(lower(label), 'deposit|dep:') then 'deposit' when regexp_matches(lower(label), 'cold|vault') then 'cold'
                     when regexp_matches(lower(label), 'hot|withdraw') then 'hot' when lower(label) like '%reserve%' then 'reserve' else 'unknown' end as kind,
-               case when source like '%registry%' then 'curated' when source like '%tag%' then 'tag' when source like '%crowd%' then 'community' else 'derived' end as tier from g""",
+               case when source like '%registry%' then 'published_por' when source like '%tag%' then 'curated' when source like '%crowd%' then 'explorer_tag' else 'derived' end as tier from g""",
     "seeds": b.sql("label_sources", "select address, chain, entity, source from label_sources where category in ('exchange', 'swap') and tier <> 'derived' and kind <> 'deposit'"),
     "hidden_labels": b.sql("label_sources transfers", "select * from label_sources where address not in (select to_addr from transfers where from_addr = 'W1')"),
     "without_tier": b.sql("label_sources", "select * from label_sources where tier <> 'derived'"),

@@ -18,7 +18,7 @@ def sample_customers(spark, sf_dir):
 def draw_strata(spark, sf_dir):
     """Labels of three kinds, thirty of each by lot."""
     rows = b.labels(spark, sf_dir).select("address", "entity", "category", "tier")
-    kinds = {"ring": F.col("entity").rlike("^U"), "service": F.col("category").isin("exchange", "swap"), "crowd": F.col("tier") == "tag"}
+    kinds = {"ring": F.col("entity").rlike("^U"), "service": F.col("category").isin("exchange", "swap"), "crowd": F.col("tier") == "curated"}
     return protocol.strata(rows, kinds, "address", 30)
 
 
@@ -61,14 +61,14 @@ def prior_blocks(spark, sf_dir):
 def _claims(spark, sf_dir):
     paid = cut(q_flow.moves(spark, sf_dir))
     names = cut(q_flow.trace_labels(spark, sf_dir))
-    fewer = cut(names.where("tier <> 'curated'"))
+    fewer = cut(names.where("tier <> 'published_por'"))
     full = flow.candidates(flow.trace(paid, q_flow.origins(paid), names, flow.Rules(hops=1))[0], names)
     hidden = flow.candidates(flow.trace(paid, q_flow.origins(paid), fewer)[0], fewer)
     return cut(protocol.claims(full, hidden))
 
 
 def hidden_claims(spark, sf_dir):
-    """What traces claim without the curated labels, and whether the whole labels agree."""
+    """What traces claim without the labels that owners published, and whether the whole labels agree."""
     return _claims(spark, sf_dir).select("origin", "entity", "rank", F.col("hops").cast("long").alias("hops"), "share", "confidence", "correct")
 
 
@@ -77,7 +77,7 @@ def abstain_grid(spark, sf_dir):
 
 
 def model_gate(spark, sf_dir):
-    return protocol.gate(b.scored(spark, sf_dir), 0.6, "grp", 0.4)
+    return protocol.gate(b.scored(spark, sf_dir), 0.6, "grp", 0.4).drop("upper")
 
 
 def split_leaks(spark, sf_dir):
@@ -95,9 +95,26 @@ def watch_due(spark, sf_dir):
     return protocol.due(e, F.lit("2024-02-15").cast("timestamp"), 2 * 86400)
 
 
+VERDICTS = {"agrees": "confirmed", "unlabelled": "used", "differs": "contradicted", "no_payments": "unused"}
+
+
 def checked_labels(spark, sf_dir):
-    checks = q_labels.tag_check(spark, sf_dir).select("address", "verdict", F.col("tagged").alias("owner"))
-    return protocol.checked_tags(b.labels(spark, sf_dir), checks)
+    """Customers' deposit tags, filed under another name or the same, after the checks of their payments."""
+    verdict = F.create_map(*[F.lit(x) for kv in VERDICTS.items() for x in kv])[F.col("verdict")]
+    checks = q_labels.tag_check(spark, sf_dir).where("cast(substring(address, 2) as bigint) % 7 <> 0").select("address", verdict.alias("verdict"))
+    rows = b.table(spark, sf_dir, "customer").join(b.table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    filed = F.when(F.col("c_custkey") % 5 == 0, F.lower("n_name")).otherwise(F.col("c_mktsegment"))
+    label = F.when(F.col("c_custkey") % 6 != 0, F.concat("n_name", F.lit(" Dep: "), "c_name")).otherwise(F.col("c_name"))
+    labels = rows.select(
+        F.concat(F.lit("W"), "c_custkey").alias("address"), label.alias("label"), filed.alias("entity"), F.when(F.col("c_custkey") % 4 == 0, "exchange").otherwise("entity").alias("category"),
+        F.lit("explorer").alias("source"),
+    )
+    return protocol.checked_tags(labels, checks)
+
+
+def tag_counts(spark, sf_dir):
+    """How many unresolved tags have each verdict."""
+    return checked_labels(spark, sf_dir).where("verdict is not null").groupBy("verdict").agg(F.count(F.lit(1)).alias("n"), F.count_if("loaded").alias("loaded"))
 
 
 def findings_digest(spark, sf_dir):
@@ -118,7 +135,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         sample_customers, draw_strata, model_dataset, hidden_group, loeo_folds, metrics_at_bar, metrics_by_group, queue_orderings, class_thresholds, prior_blocks, hidden_claims, abstain_grid,
-        model_gate, split_leaks, holders, watch_due, checked_labels, findings_digest, verify_findings,
+        model_gate, split_leaks, holders, watch_due, checked_labels, tag_counts, findings_digest, verify_findings,
     )
 }
 
@@ -140,14 +157,25 @@ def _block(name: str, prior: float) -> str:
         (select count(*) as n, round(avg(s), 8) as ms, round(avg(y), 8) as my from (select y, {moved} as s from scored) group by least(floor(s * 10), 9))) as ece from (select y, {moved} as s from scored)"""
 
 
-_FEWER = q_flow._trace(p="q").replace("ql as (select * from labels_rel where category <> 'unknown')", "ql as (select * from labels_rel where category <> 'unknown' and tier <> 'curated')")
+_FEWER = q_flow._trace(p="q").replace("ql as (select * from labels_rel where category <> 'unknown')", "ql as (select * from labels_rel where category <> 'unknown' and tier <> 'published_por')")
 _QCAND = q_flow._CAND.replace("cn as", "qcn as").replace("cc as", "qcc as").replace("from e join l on e.to_addr", "from qe e join ql l on e.to_addr").replace("from cn join t using", "from qcn join qt using")
 _CLAIMS = f"""with {q_flow._MOVES}, {q_flow._OG}, {q_flow._trace(1)}, {q_flow._CAND}, {_FEWER}, {_QCAND},
     cl as materialized (select q.origin, q.entity, q.rank, q.hops::bigint as hops, q.share, q.confidence, exists (select 1 from cc where cc.origin = q.origin and cc.entity = q.entity and cc.hops = 1) as correct from qcc q)"""
 
+_TAG_CHECK = q_labels.ORACLES["tag_check"]
+_CHECKED = f"""with tk as (select address, case verdict when 'agrees' then 'confirmed' when 'unlabelled' then 'used' when 'differs' then 'contradicted' else 'unused' end as told from ({_TAG_CHECK})
+        where substr(address, 2)::bigint % 7 <> 0),
+    tl as (select 'W' || c_custkey as address, case when c_custkey % 6 <> 0 then n_name || ' Dep: ' || c_name else c_name end as label, case when c_custkey % 5 = 0 then lower(n_name) else c_mktsegment end as entity,
+        case when c_custkey % 4 = 0 then 'exchange' else 'entity' end as category, n_name as owner, c_custkey % 6 <> 0 and c_custkey % 4 <> 0 and c_custkey % 5 <> 0 and n_name <> c_mktsegment as unresolved
+        from customer join nation on c_nationkey = n_nationkey),
+    tv as (select tl.*, case when unresolved then coalesce(told, 'unchecked') end as verdict from tl left join tk using (address)),
+    ct as (select address, label, case when verdict in ('confirmed', 'used') then owner else entity end as entity,
+        case when verdict in ('confirmed', 'used') then 'exchange' else category end as category, case when verdict in ('confirmed', 'used') then 'checked tag' else 'explorer' end as source,
+        verdict, coalesce(verdict in ('confirmed', 'used'), false) as loaded from tv)"""
+
 ORACLES = {
     "sample_customers": f"select c_custkey, c_nationkey from customer qualify row_number() over (partition by c_nationkey order by {_LOT.format('c_custkey')}) <= 40",
-    "draw_strata": b.sql("labels", f"""select *, case when regexp_matches(entity, '^U') then 'ring' when category in ('exchange', 'swap') then 'service' when tier = 'tag' then 'crowd' end as stratum from (select address, entity, category, tier from labels_rel)
+    "draw_strata": b.sql("labels", f"""select *, case when regexp_matches(entity, '^U') then 'ring' when category in ('exchange', 'swap') then 'service' when tier = 'curated' then 'crowd' end as stratum from (select address, entity, category, tier from labels_rel)
         where stratum is not null qualify row_number() over (partition by stratum order by {_LOT.format('address')}) <= 30"""),
     "model_dataset": b.sql("transfers labels", f"""with p as (select address, entity as grp from labels_rel where kind = 'deposit' and category = 'exchange'),
         o as (select from_addr as address, min(grp) as grp from transfers join p on to_addr = p.address group by 1 having count(distinct grp) = 1),
@@ -162,13 +190,17 @@ ORACLES = {
     "hidden_claims": b.sql("transfers labels", f"{_CLAIMS} select * from cl"),
     "abstain_grid": b.sql("transfers labels", f"""{_CLAIMS}, g as (select unnest([{', '.join(f'{t}::double' for t in protocol.GRID)}]) as bar), ba as (select bar, origin, arg_min(correct, rank) as ok from g join cl on confidence >= bar group by all)
         select bar, count(*) as answered, count(*) filter (ok) as right, round(count(*) / (select count(distinct origin) from cl), 6) as coverage, round(1 - count(*) filter (ok) / count(*), 6) as risk from ba group by bar"""),
-    "model_gate": b.sql("scored", "select grp, count(*) as flagged, sum(1 - y)::bigint as wrong, sum(1 - y) <= count(*) * 0.4 as passes from scored where score >= 0.6 group by grp"),
+    # the upper bound is no higher than .4 exactly if so few wrong ones would come by chance in 1 of 20 draws at .4
+    "model_gate": b.sql("scored", """with g as (select grp, count(*) as held_out, sum(y)::bigint as positives, count(*) filter (score >= 0.6) as flagged, count(*) filter (score >= 0.6 and y = 0) as wrong from scored group by rollup (grp)),
+        k as (select g.*, list_sum(list_transform(range(0, wrong + 1), lambda i: exp(lgamma(flagged + 1) - lgamma(i + 1) - lgamma(flagged - i + 1) + i * ln(0.4::double) + (flagged - i) * ln(0.6::double)))) as tail from g)
+        select grp, held_out, positives, flagged, wrong, round(wrong / nullif(flagged, 0), 6) as error, round((flagged - wrong) / nullif(positives, 0), 6) as found, flagged >= 30 as enough,
+               flagged >= 30 and tail <= 0.05 as passes from k"""),
     "split_leaks": "select * from (values ('grp', 0::bigint), ('idx', 0::bigint)) t(key, n)",
     "holders": b.sql("transfers labels", f"""{q_flow._ALL}, g as (select origin, to_addr as wallet, sum(traced) as received from e where to_addr not in (select address from l) group by all), s as (select origin, from_addr as wallet, sum(traced) as passed from e group by all)
         select origin, wallet, received::bigint as received, greatest(0, received - coalesce(passed, 0))::bigint as held, coalesce(passed, 0)::bigint as passed from g left join s using (origin, wallet)"""),
     "watch_due": "select *, checked is null as never from (select user_id as id, max(ts) filter (event_type <> 'error') as checked from events group by 1) where checked is null or timestamp '2024-02-15' - checked >= interval 2 day",
-    "checked_labels": b.sql("labels", f"""select l.address, case when verdict = 'differs' then tagged else entity end as entity, case when verdict = 'differs' then entity end as was,
-        (case verdict when 'differs' then confidence // 2 when 'agrees' then least(95, confidence * 11 // 10) else confidence end)::bigint as confidence, coalesce(verdict, 'unchecked') as verdict from labels_rel l left join ({q_labels.ORACLES["tag_check"]}) k on k.address = l.address"""),
+    "checked_labels": b.sql("transfers labels", f"{_CHECKED} select * from ct"),
+    "tag_counts": b.sql("transfers labels", f"{_CHECKED} select verdict, count(*) as n, count(*) filter (loaded) as loaded from ct where verdict is not null group by verdict"),
     "findings_digest": "select o_orderkey, sha256('o_custkey=' || o_custkey || ';o_orderstatus=' || o_orderstatus || ';o_totalprice=' || printf('%.6f', o_totalprice)) as sha256 from orders",
     "verify_findings": """select o_orderkey, case when o_totalprice <= 20000 then 'missing' when o_orderstatus = 'P' then 'new' when o_totalprice > 200000 then 'changed' else 'same' end as "check" from orders where o_orderstatus <> 'P' or o_totalprice > 20000""",
 }

@@ -36,7 +36,7 @@ def csv_text(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     return read.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) if c in read.columns else F.lit("").alias(c) for c in columns])
 
 
-def label_csv(spark: SparkSession, path: str, tier: str = "community") -> DataFrame:
+def label_csv(spark: SparkSession, path: str, tier: str = "explorer_tag") -> DataFrame:
     """Labels of a folder of CSVs, one for each chain; files that start with `_` aren't labels."""
     rows = csv_text(spark, path, ["address", "network", "entity", "label", "category", "source", "confidence"])
     chain = chain_name(F.col("network"))

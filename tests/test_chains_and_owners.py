@@ -42,7 +42,7 @@ def bridged(spark):
     there = {"good": "b", "elsewhere": None, "unpaid": "b", "coin": "b", "split": "b", "usdt": "b", "small": "b"}
     matches = [(f"d-{f}", "bridge", to, f"p-{f}", "b:me") for f, to in there.items()]
     df = lambda rows, schema: spark.createDataFrame(rows, schema)
-    labels = df([("bridge", "Bridge", "bridge", "tag", "hot"), ("b:exchange", "Ex", "exchange", "tag", "hot")], LABELS)
+    labels = df([("bridge", "Bridge", "bridge", "explorer_tag", "hot"), ("b:exchange", "Ex", "exchange", "explorer_tag", "hot")], LABELS)
     bridges = flow.Bridges(df([("bridge",)], "wallet string"), df(matches, "tx_hash string, wallet string, to_chain string, payout_tx string, recipient string"))
     return flow.trace_across(df(moves, MOVES), df([("a",)], "origin string"), labels, bridges=bridges), sum(sizes)
 
@@ -162,7 +162,7 @@ def test_traces_of_many_parties_lose_nothing(spark):
     sides = [spark.createDataFrame(rows, "txid string, address string, amount long") for rows in (inputs, outputs)]
     at = spark.createDataFrame(times, "tx_hash string, block_time timestamp")
     moves, own = (utxo.flows(*sides, spark.createDataFrame(mixes, "txid string"), mine).join(at, "tx_hash").withColumn("asset", F.lit("BTC")) for mine in (False, True))
-    labels = spark.createDataFrame([("w3", "Ex", "exchange", "tag", "hot")], LABELS)
+    labels = spark.createDataFrame([("w3", "Ex", "exchange", "explorer_tag", "hot")], LABELS)
     edges, holds, _, _ = flow.trace_across(moves, own.select(F.col("from_addr").alias("origin")).distinct(), labels, flow.Rules(dust=1), own_moves=own)
     start = Counter()
     for tx, me, to, v in plain_flows(inputs, outputs, mixes, True):
