@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowlens.operators import flow, metrics, ml, views
+from flowlens.operators import attributions, flow, metrics, ml, views
 from flowlens.plans import binding as b
 from flowlens.session import cut, scratch_path
 from flowlens.streaming import state
@@ -29,6 +29,21 @@ def gbt_importance(spark, sf_dir):
     return spark.createDataFrame([(f, round(v, 6)) for f, v in ml.importance(model, FEATURES)], "feature string, share double")
 
 
+def _shaped(spark, sf_dir):
+    rows = _wallets(spark, sf_dir)
+    return cut(attributions.tree_shap(ml.fit_trees(rows, FEATURES), rows, FEATURES, "wallet"))
+
+
+def tree_shap(spark, sf_dir):
+    """What each feature adds to each wallet's margin, exactly."""
+    found = attributions.effects_by_feature(_shaped(spark, sf_dir), FEATURES, "wallet")
+    return found.select("wallet", "feature", F.round("effect", 9).alias("effect"), "place")
+
+
+def shap_importance(spark, sf_dir):
+    return attributions.global_importance(_shaped(spark, sf_dir), FEATURES).withColumn("share", F.round("share", 6))
+
+
 def gbt_calibrated(spark, sf_dir):
     """Scores of held-out wallets as Venn-Abers intervals over the others."""
     scored = gbt_score(spark, sf_dir).select("wallet", "y", F.col("p").alias("score"))
@@ -82,7 +97,7 @@ def stream_freeze_state(spark, sf_dir):
     return newest.where("since is not null").select("address", F.col("since").cast("timestamp_ntz").alias("since"))
 
 
-QUERIES = {f.__name__: f for f in (gbt_score, gbt_importance, gbt_calibrated, novelty_score, novelty_clusters, stream_tumbling, stream_dedup, stream_freeze_state)}
+QUERIES = {f.__name__: f for f in (gbt_score, gbt_importance, tree_shap, shap_importance, gbt_calibrated, novelty_score, novelty_clusters, stream_tumbling, stream_dedup, stream_freeze_state)}
 
 ORACLES = {
     "stream_tumbling": "select time_bucket(interval 1 hour, ts) as start, event_type, count(*) as n, sum(round(value * 100)::bigint)::bigint as cents from events group by all",
