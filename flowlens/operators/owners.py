@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from flowlens.operators import graph
@@ -41,3 +42,32 @@ def resolve(utxo: DataFrame, mixes: DataFrame, change: bool = True, script: Colu
     roots = graph.components(edges).withColumnRenamed("node", "address")
     found = cut(every.join(roots, "address", "left").select("address", F.coalesce("root", "address").alias("entity")))
     return found.join(found.groupBy("entity").agg(F.count(F.lit(1)).alias("n")), "entity").select("address", "entity", "n")
+
+
+def touching(owned: DataFrame, utxo: DataFrame) -> DataFrame:
+    """entity, address, txid, ts, value, kind: each address's transactions that it spends in, or is paid by. value is all that
+    the transaction pays."""
+    value = F.aggregate("outputs", F.lit(0).cast("long"), lambda a, x: a + x.amount).alias("value")
+    ends = lambda addresses, kind: utxo.select("txid", "ts", value, F.explode(F.array_distinct(addresses)).alias("address"), F.lit(kind).alias("kind"))
+    return ends("inputs", "spends").unionByName(ends("outputs.address", "pays")).join(owned.select("address", "entity"), "address")
+
+
+def expand(owned: DataFrame, utxo: DataFrame, max_addresses: int = 60, max_txs: int = 60) -> tuple[DataFrame, DataFrame]:
+    """(owners, links): what lies beneath each owner, within stated limits.
+
+    owners: entity, n_addresses, n_transactions (all), addresses and transactions (those shown: the first addresses by
+    name, the first transactions by time and id), truncated. links: entity, address, txid, kind, among those shown. The
+    ranks stop at the limits, so an owner of many addresses sends only so many rows of each task.
+    """
+    rows = cut(touching(owned, utxo))
+    names = owned.withColumn("n", F.row_number().over(W.partitionBy("entity").orderBy("address"))).where(F.col("n") <= max_addresses)
+    met = rows.select("entity", "txid", "ts", "value").distinct()
+    first = cut(met.withColumn("n", F.row_number().over(W.partitionBy("entity").orderBy("ts", "txid"))).where(F.col("n") <= max_txs))
+    shown = cut(names.select("entity", "address", "n"))
+    totals = owned.groupBy("entity").agg(F.count(F.lit(1)).alias("n_addresses")).join(met.groupBy("entity").agg(F.count(F.lit(1)).alias("n_transactions")), "entity", "left").na.fill(0)
+    listed = lambda df, what: df.groupBy("entity").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", what))), lambda x: x[what]), ",").alias(what))
+    owners = totals.join(listed(shown, "address"), "entity").join(listed(first, "txid"), "entity", "left")
+    cut_off = (F.col("n_addresses") > max_addresses) | (F.col("n_transactions") > max_txs)
+    links = rows.join(shown.select("entity", "address"), ["entity", "address"], "left_semi").join(first.select("entity", "txid"), ["entity", "txid"], "left_semi")
+    owners = owners.select("entity", "n_addresses", "n_transactions", F.col("address").alias("addresses"), F.coalesce("txid", F.lit("")).alias("transactions"), cut_off.alias("truncated"))
+    return owners, links.select("entity", "address", "txid", "kind")

@@ -52,6 +52,20 @@ def owner_merges(spark, sf_dir):
     return owners.merges(rows, cut(_mixes(rows)))
 
 
+def _expanded(spark, sf_dir):
+    rows = cut(scripted(spark, sf_dir))
+    return owners.expand(cut(owners.resolve(rows, cut(_mixes(rows)))), rows, max_addresses=4, max_txs=3)
+
+
+def expand_entity(spark, sf_dir):
+    """Every owner's first addresses and transactions, with totals of what isn't shown."""
+    return _expanded(spark, sf_dir)[0]
+
+
+def entity_links(spark, sf_dir):
+    return _expanded(spark, sf_dir)[1]
+
+
 def campaigns(spark, sf_dir):
     """Components among flagged addresses only (those of small parts), with their sizes: one row a member."""
     flagged = b.table(spark, sf_dir, "part").where("p_size <= 30").select(F.concat(F.lit("A"), "p_partkey").alias("part"))
@@ -202,7 +216,7 @@ def round_100(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        components_week, campaigns, resolve_entities, owner_merges, spread_hops, khop, degree, clustering, pagerank, kcore, coinjoin_shape, utxo_shares, utxo_in, utxo_out,
+        components_week, campaigns, resolve_entities, owner_merges, expand_entity, entity_links, spread_hops, khop, degree, clustering, pagerank, kcore, coinjoin_shape, utxo_shares, utxo_in, utxo_out,
         fan_out_24h, fan_in, rapid_forwarding, peel_step, round_amounts, risk_merge, risk_total, risk_flows, fan_out_flags, fan_in_5, rapid_flags, peel_70, round_100,
     )
 }
@@ -251,7 +265,18 @@ _IND = """i as (select from_addr as wallet, ['fan_out', 'peel', 'round', 'mixer'
         amount % 5 < 3 as is_pattern, tx_hash from transfers)"""
 _CLASS = "case when score >= 75 then 'severe' when score >= 50 then 'high' when score >= 25 then 'medium' else 'low' end"
 
+_OWNED = f"""with {_OWN}, ed as materialized (select distinct a, b from mg), {_REACH.format(p='ed')},
+    c as (select node, min(root) as root from r group by node), al as (select address from si union select address from so),
+    ow as materialized (select address, coalesce(root, address) as entity, row_number() over (partition by coalesce(root, address) order by address) as k from al left join c on node = address),
+    tv as (select txid, sum(amount)::bigint as value from (select txid, unnest(amounts) as amount from utxo) group by txid),
+    th as materialized (select distinct entity, si.address, si.txid, ts, 'spends' as kind from si join ow using (address) union all select distinct entity, so.address, so.txid, ts, 'pays' from so join ow using (address)),
+    ft as materialized (select *, row_number() over (partition by entity order by ts, txid) as k, count(*) over (partition by entity) as n from (select distinct entity, txid, ts from th))"""
+
 ORACLES = {
+    "expand_entity": b.sql("utxo", f"""{_OWNED} select entity, n_addresses, coalesce(n, 0) as n_transactions, addresses, coalesce(txs, '') as transactions, n_addresses > 4 or coalesce(n, 0) > 3 as truncated
+        from (select entity, count(*) as n_addresses, string_agg(address, ',' order by k) filter (k <= 4) as addresses from ow group by entity)
+        left join (select entity, max(n) as n, string_agg(txid, ',' order by k) filter (k <= 3) as txs from ft group by entity) using (entity)"""),
+    "entity_links": b.sql("utxo", f"{_OWNED} select th.entity, th.address, th.txid, kind from th join ow on ow.address = th.address and ow.k <= 4 join ft on ft.entity = th.entity and ft.txid = th.txid and ft.k <= 3"),
     "owner_merges": b.sql("utxo", f"with {_OWN} select * from mg"),
     "resolve_entities": b.sql("utxo", f"""with {_OWN}, ed as materialized (select distinct a, b from mg), {_REACH.format(p='ed')},
         c as (select node, min(root) as root from r group by node), al as (select address from si union select address from so),

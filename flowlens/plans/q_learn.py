@@ -72,7 +72,7 @@ def _drained(stream, mode, name):
     spark = stream.sparkSession
     base = scratch_path(spark, f"stream-{name}")
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
-    query = query.foreachBatch(lambda batch, n: batch.withColumn("batch", F.lit(n)).write.mode("append").parquet(f"{base}/rows")).start()
+    query = query.foreachBatch(state.by_batch(f"{base}/rows")).start()
     query.awaitTermination()
     return spark.read.parquet(f"{base}/rows")
 
@@ -89,6 +89,12 @@ def stream_dedup(spark, sf_dir):
     return _drained(state.claim_once(stream, "400 days"), "append", "dedup").select("nonce")
 
 
+def stream_watch(spark, sf_dir):
+    """When users, looked at by each of their events, fall due again after a day; errors end the watch."""
+    stream = _stream(spark, sf_dir, [F.concat(F.lit("U"), "user_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") != "error").alias("watched")])
+    return _drained(state.watch(stream, 86400), "append", "watch").select("id", F.col("due").cast("timestamp_ntz").alias("due"))
+
+
 def stream_freeze_state(spark, sf_dir):
     stream = _stream(spark, sf_dir, [F.concat(F.lit("U"), "user_id").alias("address"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), "event_type"])
     stream = stream.where("event_type in ('signup', 'error')").select("address", "ts", "seq", (F.col("event_type") == "signup").alias("added"))
@@ -97,11 +103,13 @@ def stream_freeze_state(spark, sf_dir):
     return newest.where("since is not null").select("address", F.col("since").cast("timestamp_ntz").alias("since"))
 
 
-QUERIES = {f.__name__: f for f in (gbt_score, gbt_importance, tree_shap, shap_importance, gbt_calibrated, novelty_score, novelty_clusters, stream_tumbling, stream_dedup, stream_freeze_state)}
+QUERIES = {f.__name__: f for f in (gbt_score, gbt_importance, tree_shap, shap_importance, gbt_calibrated, novelty_score, novelty_clusters, stream_tumbling, stream_dedup, stream_watch, stream_freeze_state)}
 
 ORACLES = {
     "stream_tumbling": "select time_bucket(interval 1 hour, ts) as start, event_type, count(*) as n, sum(round(value * 100)::bigint)::bigint as cents from events group by all",
     "stream_dedup": "select distinct 'n' || (event_id // 3) as nonce from events",
+    "stream_watch": """with e as (select 'U' || user_id as id, ts, event_type <> 'error' as watched, lead(ts) over (partition by user_id order by ts, event_id) as next, max(ts) over () as latest from events)
+        select id, ts + interval 1 day as due from e where watched and coalesce(next, latest - interval 10 minute) >= ts + interval 1 day""",
     "stream_freeze_state": """with f as (select 'U' || user_id as address, ts, event_id as seq, event_type = 'signup' as added from events where event_type in ('signup', 'error'))
         select address, min(ts) as since from f where added and not exists (select 1 from f g where g.address = f.address and not g.added and row(g.ts, g.seq) > row(f.ts, f.seq)) group by address""",
 }

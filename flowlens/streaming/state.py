@@ -62,6 +62,52 @@ def frozen(events: DataFrame) -> DataFrame:
     return events.groupBy("address").applyInPandasWithState(follow, FROZEN, FROZEN_STATE, "update", GroupStateTimeout.NoTimeout)
 
 
+DUE = "id string, due timestamp"
+DUE_STATE = "last timestamp"
+
+
+def watch(entries: DataFrame, every_s: int, late: str = "10 minutes") -> DataFrame:
+    """(id, due): when watched entries fall due, over (id, ts, watched): looked at, or no longer watched.
+
+    An entry is due so long after it was last looked at, each time once, unless it isn't watched any more by then. Within
+    a batch that is told by the next event; after it, by a timer of the entry's own, which fires when the watermark
+    passes. So the result doesn't depend on how events fall into batches.
+    """
+    wait = pd.Timedelta(seconds=every_s)
+
+    def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = pd.Timestamp(state.get[0]) if state.exists else None
+        found = []
+        if state.hasTimedOut:
+            found, last = [last + wait], None
+        else:
+            rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
+            for ts, watched in zip(rows["ts"], rows["watched"]):
+                if last is not None and ts >= last + wait:
+                    found.append(last + wait)
+                last = ts if watched else None
+        if last is None:
+            if state.exists:
+                state.remove()
+        elif (last + wait).value // 1_000_000 <= state.getCurrentWatermarkMs():
+            found.append(last + wait)
+            if state.exists:
+                state.remove()
+        else:
+            state.update((last.to_pydatetime(),))
+            state.setTimeoutTimestamp((last + wait).value // 1_000_000)
+        yield pd.DataFrame({"id": [key[0]] * len(found), "due": pd.Series(found, dtype="datetime64[ns]")})
+
+    timed = entries.withWatermark("ts", late)
+    return timed.groupBy("id").applyInPandasWithState(follow, DUE, DUE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def by_batch(path: str):
+    """A foreachBatch sink whose rows have the column batch: each batch is a folder that a repeated batch replaces, so a
+    stream that fails and starts again leaves every row once."""
+    return lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/batch={n}")
+
+
 def upsert_latest(batch: DataFrame, path: str, keys: list[str], order: list) -> None:
     """A foreachBatch sink: appends a batch's newest row of each key; views.latest over the path reads the table."""
     views.latest(batch, keys, order).write.mode("append").parquet(path)
