@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowlens.operators import attributions, flow, metrics, ml, views
+from flowlens.operators import attributions, crossfit, flow, metrics, ml, views
 from flowlens.plans import binding as b
 from flowlens.session import cut, scratch_path
 from flowlens.streaming import state
@@ -44,6 +44,13 @@ def shap_importance(spark, sf_dir):
     return attributions.global_importance(_shaped(spark, sf_dir), FEATURES).withColumn("share", F.round("share", 6))
 
 
+def crossfit_scores(spark, sf_dir):
+    """Every wallet's score by a model that hasn't seen its fold, all folds trained together."""
+    rows = _wallets(spark, sf_dir).withColumn("fold", (F.crc32(F.col("wallet").cast("binary")) % 5).cast("string"))
+    found = crossfit.crossfit(rows.select("wallet", "fold", "y", *FEATURES), FEATURES, crossfit.Settings(trees=15))
+    return found.select("wallet", "fold", F.col("y").cast("int").alias("y"), F.round("p", 6).alias("p"))
+
+
 def gbt_calibrated(spark, sf_dir):
     """Scores of held-out wallets as Venn-Abers intervals over the others."""
     scored = gbt_score(spark, sf_dir).select("wallet", "y", F.col("p").alias("score"))
@@ -103,7 +110,7 @@ def stream_freeze_state(spark, sf_dir):
     return newest.where("since is not null").select("address", F.col("since").cast("timestamp_ntz").alias("since"))
 
 
-QUERIES = {f.__name__: f for f in (gbt_score, gbt_importance, tree_shap, shap_importance, gbt_calibrated, novelty_score, novelty_clusters, stream_tumbling, stream_dedup, stream_watch, stream_freeze_state)}
+QUERIES = {f.__name__: f for f in (gbt_score, gbt_importance, tree_shap, shap_importance, crossfit_scores, gbt_calibrated, novelty_score, novelty_clusters, stream_tumbling, stream_dedup, stream_watch, stream_freeze_state)}
 
 ORACLES = {
     "stream_tumbling": "select time_bucket(interval 1 hour, ts) as start, event_type, count(*) as n, sum(round(value * 100)::bigint)::bigint as cents from events group by all",
