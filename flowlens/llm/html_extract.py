@@ -71,6 +71,7 @@ class Node:
     order: list[Node | list[str]] = field(default_factory=list)
     kids: list[Node] = field(default_factory=list)
     size: int = 0
+    own: int = 0
     linked: int = 0
     stops: int = 0
 
@@ -136,6 +137,8 @@ class Tree(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self._make_room(tag)
+        if tag == "html":
+            self.root.mark = dict(attrs).get(MARK, self.root.mark)
         if tag == "html" or tag == "body" and self.at.get("body"):
             return
         node = self.open[-1][1]
@@ -194,6 +197,7 @@ class Tree(HTMLParser):
         node.order[-1].append(data)
         bare = len(data) - data.count(" ")
         node.size += bare
+        node.own += bare
         node.linked += bare if self.at.get("a") else 0
         node.stops += data.count(". ") + data.count(", ") + data.count(".\n") + (data.rstrip()[-1:] in (".", "!", "?", "…"))
 
@@ -206,6 +210,8 @@ def evidence(node: Node) -> list[str]:
     seen.append("links=" + ("none" if not node.size else str(min(3, int(4 * node.linked / node.size)))))
     seen.append("stops=" + ("none" if not node.size else str(min(3, int(math.log2(1 + 200 * node.stops / node.size))))))
     seen.append(f"leaf={not node.kids}")
+    if node.own and node.kids:
+        seen.append(f"own={min(5, int(math.log2(1 + node.own) / 2))}")
     return seen
 
 
@@ -267,12 +273,22 @@ def marginals(tree: Tree, pots: Potentials) -> dict[int, float]:
     return chance
 
 
+def _likeliest(tree: Tree, chance: dict[int, float]) -> float:
+    """Just below the best chance of an element with text that isn't in a menu, form or the like, where none has one half."""
+    outside = {id(tree.root): True}
+    for node in tree.nodes[1:]:
+        outside[id(node)] = outside[id(node.parent)] and node.tag not in APART and not node.cues - {"main"}
+    best = max((chance[id(n)] for n in tree.nodes if n.own and outside[id(n)]), default=1.0)
+    return best * (1 - 1e-6)
+
+
 def main_text(html: str | None, pots: Potentials) -> str:
     """Blocks of content, one a line, white space in each as one space."""
     if not html:
         return ""
     tree = Tree(html)
     chance = marginals(tree, pots)
+    least = 0.5 if any(chance[id(n)] > 0.5 and n.own for n in tree.nodes) else _likeliest(tree, chance)
     blocks, waiting = [], [iter(tree.root.order)]
     owners = [tree.root]
     while waiting:
@@ -283,7 +299,7 @@ def main_text(html: str | None, pots: Potentials) -> str:
         elif isinstance(item, Node):
             waiting.append(iter(item.order))
             owners.append(item)
-        elif chance[id(owners[-1])] > 0.5 and (text := _SPACE.sub(" ", "".join(item)).strip()):
+        elif chance[id(owners[-1])] > least and (text := _SPACE.sub(" ", "".join(item)).strip()):
             blocks.append(text)
     return "\n".join(blocks)
 
@@ -331,7 +347,9 @@ def extracted(pots: Potentials, html: Column) -> Column:
 def extract(pages: DataFrame, pots: Potentials, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per row of pages: page_id, url, text, n_chars.
 
-    Defined cases: null, empty and text-free pages have an empty text; text outside any element belongs to the root;
+    Defined cases: null, empty and text-free pages have an empty text; text outside any element belongs to the root; where
+    no element has a chance of one half, the likeliest ones outside menus, forms and the like are kept; an open style
+    swallows the page, as it does in browsers;
     ends that are missing are supplied (see Tree), so an article after an open head, button or the like is kept; a
     page of any depth or length takes time in proportion to it; a page that breaks off keeps what came before;
     repeated rows repeat; an empty table gives no rows; other columns of pages are not read.

@@ -1,16 +1,18 @@
 """Labelled pages to train the extraction of main text on, made from parts that pages of many kinds share.
 
 Each page is drawn from a seed: a frame for the article, menus, headers, adverts, notices, forms, sidebars, reader
-comments and footers in several styles, around prose of made-up words. data-content marks what is content.
+comments and footers in several styles, around prose of made-up words. Some pages have no frame: their article lies
+right in the body, in a table's cell or in center, or is text without any element. data-content marks what is content.
 """
 
 from __future__ import annotations
 
 import random
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-PAGES, SEED = 1500, 5
+PAGES, FRAMELESS, SEED = 1500, 500, 5
 _SYLLABLES = "ba co de fi ga lu mo ne pi ro sa ti vu wen dar lis tor mel an es".split()
 
 
@@ -129,6 +131,33 @@ def labelled_page(seed: int) -> str:
     return f"<!DOCTYPE html><html>{head}<body>{''.join(before)}{middle}{''.join(after)}</body></html>"
 
 
-def labelled_pages(spark: SparkSession, pages: int = PAGES, seed: int = SEED) -> DataFrame:
-    """(html): labelled pages, the same for the same seed."""
-    return spark.createDataFrame([(labelled_page(seed * 1_000_003 + k),) for k in range(pages)], "html string")
+def _apart(part: str) -> str:
+    """A part of a page, marked as no content."""
+    return part if re.match(r"<[^>]*data-content", part) else re.sub(r"^<(\w+)", r'<\1 data-content="0"', part)
+
+
+def frameless_page(seed: int) -> str:
+    """A page without an element of its own for the article."""
+    r = random.Random(seed)
+    kind = r.randrange(6)
+    paragraphs = [_prose(r, r.choice((3, 8, 20, 40, 80))) for _ in range(r.randint(1, 6))]
+    parts = "".join(f"<p>{t}" + "</p>" * (r.random() < 0.85) for t in paragraphs)
+    if r.random() < 0.5:
+        parts = f"<h1>{_prose(r, r.randint(2, 8))}</h1>" + parts
+    lines = r.choice(("<br><br>", "<br>", "<p>")).join(paragraphs)
+    before = "".join(_apart(f(r)) for f, p in ((_header, 0.3), (_menu, 0.5), (_advert, 0.2)) if r.random() < p)
+    after = "".join(_apart(f(r)) for f, p in ((_related, 0.2), (_comments, 0.2), (_footer, 0.5)) if r.random() < p)
+    if kind < 2:
+        return f'<html><head data-content="0"><title>{_sentences(r, 3)}</title></head><body data-content="1">{before}{(parts, lines)[kind]}{after}</body></html>'
+    if kind == 2:
+        return f'<html><body>{before}<center data-content="1"><font size=2>{r.choice((parts, lines))}</font></center>{after}</body></html>'
+    if kind == 3:
+        side = f'<td data-content="0">{_list(r, 5)}</td>' * (r.random() < 0.5)
+        return f'<body>{before}<table><tr>{side}<td data-content="1">{r.choice((parts, lines))}</td></tr></table>{after}</body>'
+    return f'<html data-content="1">{r.choice((parts, lines, paragraphs[0]))}'
+
+
+def labelled_pages(spark: SparkSession, pages: int = PAGES, seed: int = SEED, frameless: int = FRAMELESS) -> DataFrame:
+    """(html): labelled pages, the same for the same seed; so many with a frame and so many without."""
+    drawn = [labelled_page(seed * 1_000_003 + k) for k in range(pages)] + [frameless_page(seed * 1_000_003 + k) for k in range(frameless)]
+    return spark.createDataFrame([(html,) for html in drawn], "html string")

@@ -5,7 +5,7 @@ import time
 import pytest
 
 from flowlens.llm import html_extract as H
-from flowlens.llm.labelled_pages import labelled_page, labelled_pages
+from flowlens.llm.labelled_pages import frameless_page, labelled_page, labelled_pages
 
 
 @pytest.fixture(scope="module")
@@ -110,3 +110,38 @@ def test_time_grows_with_the_page(pots, page):
 
     small = max(0.01, seconds(4000))
     assert seconds(40_000) < 30 * small
+
+
+PROSE = "The quick fox jumped over the lazy dog, and it was a fine day. "
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<html><body><p>A.</p><p>B.</p></body></html>", "A.\nB."),
+        (f"<html><body><p>{PROSE * 2}</p><p>{PROSE * 3}</p></body></html>", f"{(PROSE * 2).strip()}\n{(PROSE * 3).strip()}"),
+        (f"<html><body>{PROSE}<br><br>{PROSE * 2}</body></html>", (PROSE * 3).strip()),
+        (f"<html><body><nav><a href=/>Home</a> <a href=/b>About</a></nav><p>{PROSE * 2}</p><p>{PROSE}</p><footer>Copyright 2020.</footer></body></html>", f"{(PROSE * 2).strip()}\n{PROSE.strip()}"),
+        (f"<html><body><nav><a href=/>Home</a></nav>{PROSE}<br><br>{PROSE}<footer>Copyright 2020.</footer></body></html>", (PROSE * 2).strip()),
+        (f"<center><font>{PROSE * 3}</font></center>", (PROSE * 3).strip()),
+        (PROSE * 2, (PROSE * 2).strip()),
+        ("<body><nav><a href=/>Home</a></nav><form><p>Your name, please.</p></form></body>", ""),
+    ],
+)
+def test_pages_without_a_frame(pots, page, text):
+    assert H.main_text(page, pots) == text
+
+
+def test_accuracy_on_unseen_frameless_pages(pots):
+    """The marks are read from one tree, and the page without its marks is judged."""
+    right = blocks = 0
+    for seed in range(1, 151):
+        page = frameless_page(seed)
+        marked, bare = H.Tree(page), H.Tree(page.replace(' data-content="1"', "").replace(' data-content="0"', ""))
+        chance, label = H.marginals(bare, pots), {}
+        for m, n in zip(marked.nodes, bare.nodes, strict=True):
+            label[id(m)] = (label[id(m.parent)] if m.parent else 0) if m.mark is None else int(m.mark == "1")
+            if n.own:
+                blocks += 1
+                right += (chance[id(n)] > 0.5) == bool(label[id(m)])
+    assert right / blocks > 0.92
