@@ -210,8 +210,6 @@ def evidence(node: Node) -> list[str]:
     seen.append("links=" + ("none" if not node.size else str(min(3, int(4 * node.linked / node.size)))))
     seen.append("stops=" + ("none" if not node.size else str(min(3, int(math.log2(1 + 200 * node.stops / node.size))))))
     seen.append(f"leaf={not node.kids}")
-    if node.own and node.kids:
-        seen.append(f"own={min(5, int(math.log2(1 + node.own) / 2))}")
     return seen
 
 
