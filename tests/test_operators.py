@@ -75,7 +75,7 @@ LABELS = "address string, entity string, category string, tier string, kind stri
 
 def test_trace_follows_money_out_of_wallets(spark):
     rows = moves([(0, "O", "A", 1000), (1, "A", "X", 600), (2, "A", "B", 900), (-1, "A", "Y", 50_000), (3, "B", "X", 400), (9, "O", "B", 500), (10, "B", "B", 700), (11, "B", "C", 100)])
-    labels = spark.createDataFrame([("X", "Ex", "exchange", "curated", "hot")], LABELS)
+    labels = spark.createDataFrame([("X", "Ex", "exchange", "published_por", "hot")], LABELS)
     edges, holds, seen = flow.trace(spark.createDataFrame(rows, MOVES), spark.createDataFrame([("O",)], "origin string"), labels)
     drawn = {(r.hop, r.from_addr, r.to_addr): r.traced for r in edges.collect()}
     # what A paid before the money came isn't this money; B is reached twice and pays its own share each time
@@ -89,7 +89,7 @@ def test_trace_follows_money_out_of_wallets(spark):
 
 def test_hidden_labels_let_the_trace_go_on(spark):
     rows = spark.createDataFrame(moves([(0, "O", "X", 1000), (1, "X", "Z", 1000)]), MOVES)
-    labels = spark.createDataFrame([("X", "Ex", "exchange", "curated", "hot")], LABELS)
+    labels = spark.createDataFrame([("X", "Ex", "exchange", "published_por", "hot")], LABELS)
     origin = spark.createDataFrame([("O",)], "origin string")
     hidden = spark.createDataFrame([("O", "Ex")], "origin string, entity string")
     assert flow.trace(rows, origin, labels)[0].count() == 1 and flow.trace(rows, origin, labels, hidden=hidden)[0].count() == 2
