@@ -192,34 +192,6 @@ def fisher(a: Column, b: Column, c: Column, d: Column) -> Column:
     return F.pandas_udf(p, T.DoubleType())(a, b, c, d)
 
 
-def venn_abers(calibration: DataFrame, queries: DataFrame, bins: int = 500) -> DataFrame:
-    """queries (score) with p0, p1, p: what an isotonic fit gives a score if it were negative, or positive.
-
-    The calibration rows are summed by score in narrow bins, so what travels is bounded; distinct query scores are
-    fitted once each.
-    """
-    cells = calibration.groupBy(F.round(F.col("score") * bins).cast("long").alias("cell")).agg(F.sum("y").alias("pos"), F.count(F.lit(1)).alias("n"))
-    rows = sorted((r["cell"], r["pos"], r["n"]) for r in cells.collect())  # at most bins + 1 rows
-
-    def interval(score: pd.Series) -> pd.DataFrame:
-        out = []
-        for s in score:
-            cell = round(float(s) * bins)
-            pair = []
-            for y in (0, 1):
-                with_query = {c: [p, n] for c, p, n in rows}
-                own = with_query.setdefault(cell, [0, 0])
-                own[0], own[1] = own[0] + y, own[1] + 1
-                order = sorted(with_query)
-                fit = stats.isotonic([with_query[c][0] / with_query[c][1] for c in order], [with_query[c][1] for c in order])
-                pair.append(fit[order.index(cell)])
-            out.append((pair[0], pair[1], pair[1] / (1 - pair[0] + pair[1])))
-        return pd.DataFrame(out, columns=["p0", "p1", "p"])
-
-    kind = T.StructType([T.StructField(c, T.DoubleType()) for c in ("p0", "p1", "p")])
-    return queries.select("score").distinct().withColumn("v", F.pandas_udf(interval, kind)(F.col("score"))).select("score", "v.p0", "v.p1", "v.p")
-
-
 def time_split(rows: DataFrame, order: list[str], shares: tuple[float, float] = (0.6, 0.2), ranges: str = "day") -> DataFrame:
     """rows with split (train, validation, test) forward in time; ranges names the column of coarse time."""
     totals = rows.groupBy(ranges).agg(F.count(F.lit(1)).alias("rn"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowlens.operators import attributions, crossfit, flow, metrics, ml, views
+from flowlens.operators import attributions, crossfit, flow, ml, venn, views
 from flowlens.plans import binding as b
 from flowlens.session import cut, scratch_path
 from flowlens.streaming import state
@@ -55,7 +55,7 @@ def gbt_calibrated(spark, sf_dir):
     """Scores of held-out wallets as Venn-Abers intervals over the others."""
     scored = gbt_score(spark, sf_dir).select("wallet", "y", F.col("p").alias("score"))
     mark = F.crc32(F.col("wallet").cast("binary")) % 3
-    return metrics.venn_abers(scored.where(mark == 1), scored.where(mark == 2))
+    return venn.venn_abers(scored.where(mark == 1), scored.where(mark == 2))
 
 
 def novelty_score(spark, sf_dir):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowlens.operators import metrics
+from flowlens.operators import metrics, venn
 from flowlens.plans import binding as b
 from flowlens.session import cut
 
@@ -90,8 +90,21 @@ def em_prior(spark, sf_dir):
 
 
 def venn_abers(spark, sf_dir):
+    """The interval of each score of odd rows, over the even ones."""
     rows = _scored(spark, sf_dir)
-    return metrics.venn_abers(rows.where("idx % 2 = 0"), rows.where("idx % 2 = 1"))
+    found = venn.venn_abers(rows.where("idx % 2 = 0"), rows.where("idx % 2 = 1"))
+    return found.select("score", *[F.round(c, 9).alias(c) for c in ("p0", "p1", "p")])
+
+
+def venn_bins(spark, sf_dir):
+    """Whether the intervals of odd rows meet what is observed, in ten bins of equal size, at the share of the even rows
+    and moved to another."""
+    rows = _scored(spark, sf_dir)
+    known, asked = rows.where("idx % 2 = 0"), rows.where("idx % 2 = 1")
+    plain = cut(venn.intervals(known, asked))
+    moved = venn.moved(plain, 0.5, 0.3)
+    grid = lambda df: df.select("idx", "y", *[F.round(c, 9).alias(c) for c in ("p0", "p1", "p")])
+    return venn.report(grid(plain)).withColumn("shift", F.lit("none")).unionByName(venn.report(grid(moved)).withColumn("shift", F.lit("prior")))
 
 
 def _events(spark, sf_dir):
@@ -132,7 +145,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         pr_auc, roc_auc, precision_at_k, recall_at_precision, reliability, ece, adaptive_ece, mcc_sweep, risk_coverage, queue_order, brier_bins, wilson, clopper_pearson, fisher,
-        prior_adjust, em_prior, venn_abers, time_split, split_report, crossfit_folds, exchange_folds, leak_probe,
+        prior_adjust, em_prior, venn_abers, venn_bins, time_split, split_report, crossfit_folds, exchange_folds, leak_probe,
     )
 }
 
@@ -142,8 +155,24 @@ _SPLIT = """k as (select *, row_number() over (order by ts, event_id) as i, coun
     sp as (select *, case when i <= floor(n * 0.6) then 'train' when i <= floor(n * 0.8) then 'validation' else 'test' end as split from k)"""
 _AUC = """select '{p}' as probe, round(sum(pos * (below + (n - pos) / 2)) / (sum(pos) * (sum(n) - sum(pos))), 8) as roc_auc from (
     select *, sum(n - pos) over (order by v) - (n - pos) as below from (select {v} as v, sum((event_type = 'purchase')::int) as pos, count(*) as n from events group by 1))"""
+# the isotonic fit with one more row at s: the least rise from sums before s to sums from s on, moved by that row
+_VENN = """c as (select score, sum(y) as y, count(*) as n from scored where idx % 2 = 0 group by 1),
+    cum as (select score, sum(n) over (order by score) as n, sum(y) over (order by score) as y from c), q as (select distinct score as s from scored where idx % 2 = 1),
+    l as (select s, 0 as n, 0 as y from q union all select s, n, y from q join cum on score < s),
+    r as (select s, coalesce(max(n), 0) as n, coalesce(max(y), 0) as y from q left join cum on score <= s group by s union all select s, n, y from q join cum on score > s),
+    least as (select s, l.n, l.y, min((r.y - l.y) / (r.n - l.n + 1)) as f0, min((r.y - l.y + 1) / (r.n - l.n + 1)) as f1 from l join r using (s) group by all),
+    va as (select s as score, max(f0) as p0, max(f1) as p1 from least group by 1)"""
+_ODD = "a as (select idx, y, p0, p1 from scored join va using (score) where idx % 2 = 1)"
+_MOVED = "m as (select idx, y, " + ", ".join(f"{c}_ * 0.3::double / 0.5 / ({c}_ * 0.3::double / 0.5 + (1 - {c}_) * 0.7::double / 0.5) as {c}" for c in ("p0", "p1")) + " from (select *, " + ", ".join(f"least(greatest({c}, 1e-6), 1 - 1e-6) as {c}_" for c in ("p0", "p1")) + " from a))"
+_BINS = """select bin - 1 as bin, n, round(low, 4) as low, round(high, 4) as high, round(hits / n, 4) as observed, round(round(ci_low, 6), 4) as ci_low, round(round(ci_high, 6), 4) as ci_high,
+        high >= round(ci_low, 6) - 1e-9 and low <= round(ci_high, 6) + 1e-9 as inside, '{name}' as shift from (
+        select *, greatest((hits / n + 3.8416 / (2 * n)) / (1 + 3.8416 / n) - w, 0) as ci_low, least((hits / n + 3.8416 / (2 * n)) / (1 + 3.8416 / n) + w, 1) as ci_high from (
+        select *, 1.96::double / (1 + 3.8416 / n) * sqrt(hits / n * (1 - hits / n) / n + 3.8416 / (4.0 * n * n)) as w from (
+        select bin, count(*) as n, avg(round(p0, 9)) as low, avg(round(p1, 9)) as high, sum(y)::bigint as hits from (select *, ntile(10) over (order by round(p1 / (1 - p0 + p1), 9), idx) as bin from {rows}) group by 1)))"""
 
 ORACLES = {
+    "venn_abers": b.sql("scored", f"with {_VENN} select score, round(p0, 9) as p0, round(p1, 9) as p1, round(p1 / (1 - p0 + p1), 9) as p from va"),
+    "venn_bins": b.sql("scored", f"with {_VENN}, {_ODD}, {_MOVED} {_BINS.format(name='none', rows='a')} union all {_BINS.format(name='prior', rows='m')}"),
     "pr_auc": b.sql("scored", f"with {_STEPS} select round(sum(pos * tp / seen) / sum(pos), 8) as pr_auc from st"),
     "roc_auc": b.sql("scored", """with per as (select score, sum(y) as pos, count(*) as n from scored group by score), u as (select *, sum(n - pos) over (order by score) - (n - pos) as below from per)
         select round(sum(pos * (below + (n - pos) / 2)) / (sum(pos) * (sum(n) - sum(pos))), 8) as roc_auc from u"""),

@@ -154,14 +154,6 @@ def test_exact_intervals_and_tests():
     assert stats.isotonic([3, 1, 2], [1, 1, 2]) == [2, 2, 2]
 
 
-def test_venn_abers_brackets_the_share(spark):
-    r = random.Random(1)
-    rows = [(k, s := round(r.random(), 3), int(r.random() < s)) for k in range(400)]
-    df = spark.createDataFrame(rows, "idx long, score double, y int")
-    for row in metrics.venn_abers(df, df.limit(20)).collect():
-        assert 0 <= row.p0 <= row.p1 <= 1 and row.p0 <= row.p <= row.p1
-
-
 def test_em_finds_the_share(spark):
     r = random.Random(7)
     rows = []
