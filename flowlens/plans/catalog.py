@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-FAMILIES = ["q_features", "q_labels", "q_flow", "q_graph", "q_metrics", "q_views", "q_learn", "q_discovery", "q_rules", "q_more", "q_sources", "q_cases", "q_protocol"]
+FAMILIES = ["q_features", "q_labels", "q_flow", "q_graph", "q_metrics", "q_views", "q_learn", "q_discovery", "q_rules", "q_more", "q_sources", "q_cases", "q_protocol", "q_logs"]
 
 for _family in FAMILIES:
     _module = import_module(f"flowlens.plans.{_family}")
