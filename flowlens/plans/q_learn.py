@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowlens.operators import attributions, crossfit, flow, ml, venn, views
+from flowlens.operators import attributions, crossfit, density, flow, ml, venn, views
 from flowlens.plans import binding as b
 from flowlens.session import cut, scratch_path
 from flowlens.streaming import state
@@ -67,6 +67,12 @@ def novelty_clusters(spark, sf_dir):
     return ml.density_clusters(places, "vec_id", ["c1", "c2"])
 
 
+def novelty_archetypes(spark, sf_dir):
+    """The most stable density clusters of all scales."""
+    places = ml.projected(b.table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return density.hierarchical_clusters(places, "vec_id", ["c1", "c2"])
+
+
 def _stream(spark, sf_dir, columns):
     schema = b.table(spark, sf_dir, "events").schema
     # a stream reads folders: the one file is picked by its name
@@ -110,7 +116,7 @@ def stream_freeze_state(spark, sf_dir):
     return newest.where("since is not null").select("address", F.col("since").cast("timestamp_ntz").alias("since"))
 
 
-QUERIES = {f.__name__: f for f in (gbt_score, gbt_importance, tree_shap, shap_importance, crossfit_scores, gbt_calibrated, novelty_score, novelty_clusters, stream_tumbling, stream_dedup, stream_watch, stream_freeze_state)}
+QUERIES = {f.__name__: f for f in (gbt_score, gbt_importance, tree_shap, shap_importance, crossfit_scores, gbt_calibrated, novelty_score, novelty_clusters, novelty_archetypes, stream_tumbling, stream_dedup, stream_watch, stream_freeze_state)}
 
 ORACLES = {
     "stream_tumbling": "select time_bucket(interval 1 hour, ts) as start, event_type, count(*) as n, sum(round(value * 100)::bigint)::bigint as cents from events group by all",
