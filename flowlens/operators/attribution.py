@@ -160,14 +160,24 @@ def abstained(outcomes: DataFrame, candidates: DataFrame, stops: DataFrame) -> D
     return rows.select("origin", why.alias("why"), text.alias("text"), F.coalesce(_map(steps, F.col("reason")), F.lit("Look for more payments.")).alias("step"))
 
 
-def verdicts(counter: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
-    """origin, entity, verdict: what hiding a named service's label leaves: `holds` where another is named as surely,
-    `weaker` where another is named less surely, `gone` where none is. counter: origin, entity hidden; before, after:
-    candidates."""
-    was = before.join(counter, ["origin", "entity"]).select("origin", "entity", F.col("confidence").alias("was"))
-    now = after.where(F.col("confidence") >= NAMED_FROM).groupBy("origin").agg(F.max("confidence").alias("now"))
-    verdict = F.when(F.col("now").isNull(), "gone").when(F.col("now") >= F.col("was"), "holds").otherwise("weaker")
-    return was.join(now, "origin", "left").select("origin", "entity", verdict.alias("verdict"))
+#: Why traced money stopped without the trace having seen where it went.
+BLIND = ("depth_limit", "budget", "truncated", "small", "pooled", "coinjoin")
+
+
+def verdicts(counter: DataFrame, before: DataFrame, after: DataFrame, first: DataFrame, second: DataFrame) -> DataFrame:
+    """origin, entity, address, was, now, verdict: what hiding the label where a named service's money came in leaves.
+
+    `holds` where the same service is still named at the bar, `weaker` where it is reached below the bar, `gone` where it
+    isn't reached, and `not_checked` where it isn't and more money than before stopped unseen. counter: origin, entity and
+    the address whose label is hidden; before, after: candidates; first, second: holds of the two traces.
+    """
+    was = before.join(counter.select("origin", "entity", "address"), ["origin", "entity"]).select("origin", "entity", "address", F.col("confidence").alias("was"))
+    unseen = lambda h, name: h.where(F.col("reason").isin(*BLIND)).groupBy("origin", "reason").agg(F.sum("held").alias(name))
+    more = unseen(second, "later").join(unseen(first, "sooner"), ["origin", "reason"], "left").where(F.col("later") > F.coalesce("sooner", F.lit(0)))
+    now = after.select("origin", "entity", F.col("confidence").alias("now"))
+    rows = was.join(now, ["origin", "entity"], "left").join(more.select("origin", F.lit(True).alias("blind")).distinct(), "origin", "left")
+    verdict = F.when(F.col("now") >= NAMED_FROM, "holds").when(F.col("now").isNotNull(), "weaker").when(F.col("blind"), "not_checked").otherwise("gone")
+    return rows.select("origin", "entity", "address", "was", "now", verdict.alias("verdict"))
 
 
 def bridge_steps(out: DataFrame, labels: DataFrame) -> DataFrame:

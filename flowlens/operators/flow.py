@@ -154,7 +154,7 @@ def trace_across(
     """(edges, holds, seen, legs) of following each origin's payments of its main asset, all origins and wallets of a hop at once.
 
     moves: tx_hash, block_time, from_addr, to_addr, asset, amount, one row a payment. labels: address, entity, ... .
-    hidden (origin, entity): labels that don't exist for an origin. inbound: who funded the origin, back in time.
+    hidden (origin, entity; or origin, address): labels that don't exist for an origin. inbound: who funded the origin, back in time.
     edges: origin, hop, tx_hash, block_time, from_addr, to_addr, amount, traced.
     holds: origin, hop, wallet, received, reason (why it wasn't followed; `kept` for what stayed behind), held.
     seen: origin, hop, tx_hash, ...: the payments read for wallets that were followed.
@@ -208,8 +208,9 @@ def trace_across(
         reached = level.groupBy("origin", F.col("far").alias("wallet"), "asset").agg(F.sum("traced").alias("received"), F.min("at").alias("since"))
         reached = reached.join(totals, "origin").join(known, "wallet", "left")
         if hidden is not None:
-            gone = hidden.select("origin", "entity", F.lit(True).alias("gone"))
-            reached = reached.join(gone, ["origin", "entity"], "left").withColumn("entity", F.when(F.col("gone").isNull(), F.col("entity")))
+            by = "wallet" if "address" in hidden.columns else "entity"
+            gone = hidden.select("origin", F.col("address" if by == "wallet" else "entity").alias(by), F.lit(True).alias("gone")).distinct()
+            reached = reached.join(gone, ["origin", by], "left").withColumn("entity", F.when(F.col("gone").isNull(), F.col("entity")))
         before = reached.withColumn("again", F.lit(False)) if followed is None else reached.join(followed.withColumn("again", F.lit(True)), ["origin", "wallet"], "left").na.fill(False, ["again"])
         reason = (
             F.when(F.col("entity").isNotNull(), "labelled").when(F.col("wallet") == F.col("origin"), "origin").when(F.lit(hop == rules.hops), "depth_limit")
@@ -302,14 +303,24 @@ TIER_WEIGHT = {"published_por": 0.95, "curated": 0.85, "explorer_tag": 0.75, "de
 DECAY, FULL_SHARE, NAMED_FROM, ALERT_SHARE = 0.85, 0.25, 0.60, 0.01
 
 
-def candidates(edges: DataFrame, labels: DataFrame) -> DataFrame:
+def entries(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """origin, entity, address: of a service's labelled wallets the one that got most, the least on ties."""
+    into = edges.join(labels.where(F.col("category").isin("exchange", "swap")).select(F.col("address").alias("to_addr"), "entity"), "to_addr")
+    got = into.groupBy("origin", "entity", F.col("to_addr").alias("address")).agg(F.sum("traced").alias("got"))
+    return got.groupBy("origin", "entity").agg(F.min_by("address", F.struct(-F.col("got"), F.col("address"))).alias("address"))
+
+
+def candidates(edges: DataFrame, labels: DataFrame, hidden: DataFrame | None = None) -> DataFrame:
     """origin, entity, hops, received, share, confidence, first_time, rank: services that the money came to.
 
-    Confidence is the weight of the labels' tiers, less by each hop, in full from a quarter of the money on.
+    Confidence is the weight of the labels' tiers, less by each hop, in full from a quarter of the money on. hidden (origin,
+    address): labels that don't exist for an origin.
     """
     totals = edges.where("hop = 1").groupBy("origin").agg(F.sum("traced").alias("total"))
     weight = F.create_map(*[F.lit(x) for kv in TIER_WEIGHT.items() for x in kv])[F.col("tier")]
     into = edges.join(labels.where(F.col("category").isin("exchange", "swap")).select(F.col("address").alias("to_addr"), "entity", "tier"), "to_addr")
+    if hidden is not None:
+        into = into.join(hidden.select("origin", F.col("address").alias("to_addr")), ["origin", "to_addr"], "left_anti")
     strength = F.sum(weight * F.pow(F.lit(DECAY), F.col("hop") - 1) * F.col("traced"))
     found = into.groupBy("origin", "entity").agg(F.min("hop").alias("hops"), F.sum("traced").alias("received"), strength.alias("strength"), F.min("block_time").alias("first_time"))
     share = F.col("received") / F.col("total")

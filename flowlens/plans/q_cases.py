@@ -48,14 +48,14 @@ def abstain(spark, sf_dir):
 
 
 def counter_verdicts(spark, sf_dir):
-    """Named services with their label hidden: is another named as surely?"""
-    out = q_flow.traced(spark, sf_dir)[0]
+    """The nearest named service with the label hidden where most of its money came in: is it still named?"""
+    out, holds, _ = q_flow.traced(spark, sf_dir)
     names = cut(q_flow.trace_labels(spark, sf_dir))
     before = cut(flow.candidates(out, names))
-    top = cut(before.where("rank = 1").select("origin", "entity"))
-    again = q_flow.traced(spark, sf_dir, hidden=top)[0]
-    after = flow.candidates(again, names).join(top, ["origin", "entity"], "left_anti")
-    return attribution.verdicts(top, before, after)
+    named = before.where(F.col("confidence") >= flow.NAMED_FROM).groupBy("origin").agg(F.min_by("entity", "rank").alias("entity"))
+    top = cut(named.join(flow.entries(out, names), ["origin", "entity"]))
+    again, later, _ = q_flow.traced(spark, sf_dir, hidden=top)
+    return attribution.verdicts(top, before, flow.candidates(again, names, top), holds, later)
 
 
 def bridge_steps(spark, sf_dir):
@@ -147,12 +147,16 @@ ORACLES = {
             else 'The evidence for ' || be || ' is ' || floor(bc * 100 + 0.5)::bigint || '%, under the bar.' end as text,
             coalesce(case reason when 'depth_limit' then 'Trace further.' when 'hub' then 'Ask who runs the busy wallet.' when 'kept' then 'Watch the wallets that hold the money.' when 'small' then 'Lower the least share.'
                 when 'budget' then 'Follow more wallets.' when 'truncated' then 'Read more payments.' when 'origin' then 'Trace again from a later date.' end, 'Look for more payments.') as step from j"""),
-    "counter_verdicts": b.sql("transfers labels", f"""{q_flow._ALL}, {q_flow._CAND}, top as materialized (select origin, entity from cc where rank = 1), {q_flow._trace(hidden="top", p="q")},
-        xn as (select qe.origin, entity, min(hop)::int as hops, sum(traced)::bigint as received,
-            sum((case tier when 'published_por' then 0.95 when 'curated' then 0.85 when 'explorer_tag' then 0.75 else 0.6 end)::double * pow(0.85, hop - 1) * traced) as strength from qe join l on qe.to_addr = l.address where category in ('exchange', 'swap') group by qe.origin, entity),
-        xc as (select origin, entity, round(strength / received * least(1, received / total / 0.25), 4) as confidence from xn join qt using (origin)),
-        nw as (select origin, max(confidence) as now from xc x where confidence >= 0.6 and not exists (select 1 from top where top.origin = x.origin and top.entity = x.entity) group by origin)
-        select c.origin, c.entity, case when now is null then 'gone' when now >= c.confidence then 'holds' else 'weaker' end as verdict from cc c join top on top.origin = c.origin and top.entity = c.entity left join nw on nw.origin = c.origin"""),
+    "counter_verdicts": b.sql("transfers labels", f"""{q_flow._ALL}, {q_flow._CAND}, ent as (select e.origin, entity, to_addr as address, sum(traced) as got from e join l on e.to_addr = l.address where category in ('exchange', 'swap') group by all),
+        top as materialized (select c.origin, c.entity, address, confidence as was from (select * from cc where confidence >= 0.6 qualify row_number() over (partition by origin order by rank) = 1) c
+            join (select * from ent qualify row_number() over (partition by origin, entity order by got desc, address) = 1) n on n.origin = c.origin and n.entity = c.entity), {q_flow._trace(hidden="top", p="q", by="address")},
+        xn as (select qe.origin, l.entity, sum(traced)::bigint as received, sum((case tier when 'published_por' then 0.95 when 'curated' then 0.85 when 'explorer_tag' then 0.75 else 0.6 end)::double * pow(0.85, hop - 1) * traced) as strength
+            from qe join l on qe.to_addr = l.address join top on top.origin = qe.origin and top.entity = l.entity where category in ('exchange', 'swap') and qe.to_addr <> top.address group by all),
+        xc as (select origin, entity, round(strength / received * least(1, received / total / 0.25), 4) as now from xn join qt using (origin)),
+        seen1 as (select origin, reason, sum(held) as v from h group by all), seen2 as (select origin, reason, sum(held) as v from qh group by all),
+        blind as (select distinct seen2.origin from seen2 left join seen1 on seen1.origin = seen2.origin and seen1.reason = seen2.reason where seen2.reason in ('depth_limit', 'budget', 'truncated', 'small', 'pooled', 'coinjoin') and seen2.v > coalesce(seen1.v, 0))
+        select top.origin, top.entity, top.address, was, now, case when now >= 0.6 then 'holds' when now is not null then 'weaker' when top.origin in (select origin from blind) then 'not_checked' else 'gone' end as verdict
+        from top left join xc on xc.origin = top.origin and xc.entity = top.entity"""),
     "bridge_steps": b.sql("transfers labels", f"""{q_flow._ALL}, n as (select origin, entity, count(distinct tx_hash) as n from e join l on to_addr = address where category = 'bridge' group by all)
         select origin, entity, 'Ask ' || entity || ' where ' || n || case when n = 1 then ' deposit was paid out.' else ' deposits were paid out.' end as text from n"""),
     "crossing_words": """select 'D' || o_orderkey as tx_hash, case when o_orderkey % 5 = 0 then 'not followed: the bridge names no payout' when o_orderkey % 7 = 0 then 'not followed: the payout was not found' else 'crossed to b, paid to W' || o_custkey end as text from orders""",

@@ -262,7 +262,7 @@ _PICK = """og as (select distinct from_addr as origin from m),
     pk as (select origin, asset from (select *, row_number() over (partition by origin order by asset <> 'COIN' desc, paid desc, asset = 'USDT' desc) as n from ps) where n = 1)"""
 
 
-def _trace(hops: int = RULES.hops, hidden: str | None = None, p: str = "", inbound: bool = False, across: bool = False, many: bool = False) -> str:
+def _trace(hops: int = RULES.hops, hidden: str | None = None, p: str = "", inbound: bool = False, across: bool = False, many: bool = False, by: str = "entity") -> str:
     """The trace as common table expressions e1, r1, e2, ..., all edges e and holds h; p prefixes their names.
 
     across: over bridges (bw, mt), with w1, w2, ... for all edges that come to a hop and legs x1, x2, ...
@@ -271,7 +271,7 @@ def _trace(hops: int = RULES.hops, hidden: str | None = None, p: str = "", inbou
     w = "w" if across or many else "e"
     no_fee = " and to_addr not like 'fee:%'" if many else ""
     sink = "regexp_matches(far, '^(coinjoin|pooled|no-address|fee):')"
-    gone = f" and not exists (select 1 from {hidden} g where g.origin = r.origin and g.entity = l.entity)" if hidden else ""
+    gone = f" and not exists (select 1 from {hidden} g where g.origin = r.origin and g.{by} = l.{by})" if hidden else ""
     own, far, sign = ("to_addr", "from_addr", "-") if inbound else ("from_addr", "to_addr", "")
     cols = "tx_hash, block_time, from_addr, to_addr, own, far, asset, amount, tick"
     over = "over (partition by origin, wallet order by tick, is_in desc, tx_hash, case when is_in then own else far end, moved"
