@@ -16,6 +16,7 @@ from flowlens.session import cut
 POINTS = {
     "sanctioned_self": (100, 0), "sanctioned_contact": (75, 25), "sanctioned_funding": (55, 15), "mixer_self": (90, 0), "mixer_contact": (75, 15), "mixer_funding": (50, 15),
     "bridge_hop": (15, 15), "swap_service": (15, 0), "peel_chain": (20, 0), "fan_out": (10, 0), "fan_in": (5, 0), "round_amounts": (5, 0), "unlabelled_hub": (15, 0),
+    "threat_self": (95, 0), "threat_contact": (75, 20), "threat_funding": (55, 15), "scam_self": (85, 0), "scam_contact": (60, 0), "coinjoin_shape": (40, 0),
     "frozen_self": (60, 0), "frozen_contact": (35, 10), "frozen_funding": (25, 10),
 }
 DISTANCE = (1.0, 0.8, 0.6)
@@ -58,6 +59,28 @@ def contacts(out: DataFrame, into: DataFrame, labels: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def on_lists(out: DataFrame, into: DataFrame, labels: DataFrame, threats: DataFrame, scams: DataFrame) -> DataFrame:
+    """(origin, code, wallet, share, hops): wallets with a threat tag, or on a scam list, that a trace meets or starts from.
+
+    threats, scams: address. What is labelled as sanctioned or a mixer counts as that alone, and what has a threat tag
+    isn't looked for on scam lists. A tagged wallet on both sides is a contact; a scam list tells no side.
+    """
+    named = lambda df: df.select(F.col("address").alias("wallet")).distinct()
+    tagged = named(threats).join(named(labels.where("category in ('sanctioned', 'mixer')")), "wallet", "left_anti")
+    listed = named(scams).join(named(threats), "wallet", "left_anti")
+    share = F.col("amount") / F.col("total")
+    per = lambda e, end: e.groupBy("origin", F.col(end).alias("wallet")).agg(F.sum("traced").alias("amount"), F.min("hop").alias("hops")).where("wallet <> origin")
+    met, behind = per(out, "to_addr"), per(into, "from_addr")
+    contact = met.join(tagged, "wallet").join(_totals(out), "origin").select("origin", F.lit("threat_contact").alias("code"), "wallet", share.alias("share"), "hops")
+    only = behind.join(tagged, "wallet").join(met.select("origin", "wallet"), ["origin", "wallet"], "left_anti")
+    funding = only.join(_totals(into), "origin").select("origin", F.lit("threat_funding").alias("code"), "wallet", share.alias("share"), F.lit(1).alias("hops"))
+    alone = lambda rows, code: rows.select("origin", F.lit(code).alias("code"), "wallet", F.lit(0.0).alias("share"), F.lit(1).alias("hops"))
+    own = out.select("origin", F.col("origin").alias("wallet")).distinct()
+    both = met.select("origin", "wallet").unionByName(behind.select("origin", "wallet")).distinct()
+    parts = [contact, funding, alone(own.join(tagged, "wallet"), "threat_self"), alone(own.join(listed, "wallet"), "scam_self"), alone(both.join(listed, "wallet"), "scam_contact")]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def patterns(out: DataFrame, into: DataFrame) -> DataFrame:
     """(origin, code, wallet): wallets of a trace that fan out, merge, peel in a row; origins with many funders or round sums."""
     pair = F.concat_ws(">", "origin", "from_addr")
@@ -75,10 +98,11 @@ def patterns(out: DataFrame, into: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [fans, funders, merged, rounds, chain])
 
 
-def indicators(out: DataFrame, into: DataFrame, holds: DataFrame, labels: DataFrame, frozen: DataFrame) -> DataFrame:
+def indicators(out: DataFrame, into: DataFrame, holds: DataFrame, labels: DataFrame, frozen: DataFrame, threats: DataFrame | None = None, scams: DataFrame | None = None) -> DataFrame:
     """(origin, code, wallet, points, is_pattern): all that speaks against an origin.
 
-    out, into: edges of its traces in both directions. holds: where the first stopped. frozen: address.
+    out, into: edges of its traces in both directions. holds: where the first stopped; what entered a mix of many parties
+    is a `coinjoin_shape`. frozen, threats, scams: address.
     """
     ice = frozen.select(F.col("address").alias("wallet")).distinct()
     side = lambda e, end: e.groupBy("origin", F.col(end).alias("wallet")).agg(F.sum("traced").alias("amount"), F.min("hop").alias("hops")).join(ice, "wallet").join(_totals(e), "origin")
@@ -86,8 +110,12 @@ def indicators(out: DataFrame, into: DataFrame, holds: DataFrame, labels: DataFr
     cold = cold.unionByName(side(into, "from_addr").select("origin", F.lit("frozen_funding").alias("code"), "wallet", (F.col("amount") / F.col("total")).alias("share"), "hops"))
     cold = cold.where("wallet <> origin").unionByName(out.select("origin").distinct().join(ice.withColumnRenamed("wallet", "origin"), "origin").select("origin", F.lit("frozen_self").alias("code"), F.col("origin").alias("wallet"), F.lit(0.0).alias("share"), F.lit(1).alias("hops")))
     hub = holds.where("reason = 'hub'").groupBy("origin").agg(F.sum("held").alias("held")).join(_totals(out), "origin").where(F.col("held") >= HUB_SHARE * F.col("total"))
-    plain = patterns(out, into).unionByName(hub.select("origin", F.lit("unlabelled_hub").alias("code"), F.lit(None).cast("string").alias("wallet")))
+    mixed = holds.where("reason = 'coinjoin' and held > 0").select("origin", F.lit("coinjoin_shape").alias("code"), "wallet").distinct()
+    plain = patterns(out, into).unionByName(mixed).unionByName(hub.select("origin", F.lit("unlabelled_hub").alias("code"), F.lit(None).cast("string").alias("wallet")))
     rows = contacts(out, into, labels).unionByName(cold).unionByName(plain.withColumn("share", F.lit(0.0)).withColumn("hops", F.lit(1)))
+    nobody = labels.select("address").limit(0)
+    if threats is not None or scams is not None:
+        rows = rows.unionByName(on_lists(out, into, labels, nobody if threats is None else threats, nobody if scams is None else scams))
     return rows.select("origin", "code", "wallet", points(F.col("code"), F.col("share"), F.col("hops")).alias("points"), F.col("code").isin(*PATTERNS).alias("is_pattern"))
 
 
@@ -104,10 +132,16 @@ def case_risk(found: DataFrame) -> DataFrame:
     return score.withColumnRenamed("wallet", "origin").join(rows.groupBy("origin").agg(F.count(F.lit(1)).alias("n_indicators")), "origin")
 
 
-def wallet_risk(labels: DataFrame, frozen: DataFrame, cases: DataFrame) -> DataFrame:
-    """wallet, score, class over a wallet's own label, its freeze and its own case (origin, code, points, is_pattern)."""
+def wallet_risk(labels: DataFrame, frozen: DataFrame, cases: DataFrame, threats: DataFrame | None = None, scams: DataFrame | None = None) -> DataFrame:
+    """wallet, score, class over a wallet's own label, its freeze, what lists say of it and its own case (origin, code,
+    points, is_pattern)."""
     own = labels.where("category in ('sanctioned', 'mixer')").select(F.col("address").alias("wallet"), F.concat("category", F.lit("_self")).alias("code"))
     own = own.unionByName(frozen.select(F.col("address").alias("wallet"), F.lit("frozen_self").alias("code")).distinct())
+    grave = labels.where("category in ('sanctioned', 'mixer')").select("address")
+    for lists, code, counted in ((threats, "threat_self", grave), (scams, "scam_self", threats)):
+        if lists is not None:
+            new = lists.select("address").distinct() if counted is None else lists.select("address").distinct().join(counted.select("address"), "address", "left_anti")
+            own = own.unionByName(new.select(F.col("address").alias("wallet"), F.lit(code).alias("code")))
     rows = own.select("wallet", "code", points(F.col("code"), F.lit(0.0), F.lit(1)).alias("points"), F.lit(False).alias("is_pattern"))
     rows = rows.unionByName(cases.select(F.col("origin").alias("wallet"), "code", "points", "is_pattern"))
     return typologies.risk_total(rows.groupBy("wallet", "code").agg(F.max("points").alias("points"), F.max("is_pattern").alias("is_pattern")))

@@ -15,10 +15,16 @@ def _frozen(spark, sf_dir):
     return b.table(spark, sf_dir, "customer").where("c_acctbal < -900").select(F.concat(F.lit("W"), "c_custkey").alias("address"))
 
 
+def _lists(spark, sf_dir):
+    """Wallets with a threat tag, and those on a scam list: some of the customers."""
+    c = b.table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("W"), "c_custkey").alias("address"))
+    return cut(c.where("c_custkey % 23 = 3").select("address")), cut(c.where("c_custkey % 29 = 5").select("address"))
+
+
 def _found(spark, sf_dir):
     out, holds, _ = q_flow.traced(spark, sf_dir)
     into = q_flow.traced(spark, sf_dir, 1, inbound=True)[0]
-    return cut(attribution.indicators(out, into, holds, cut(q_flow.trace_labels(spark, sf_dir)), cut(_frozen(spark, sf_dir))))
+    return cut(attribution.indicators(out, into, holds, cut(q_flow.trace_labels(spark, sf_dir)), cut(_frozen(spark, sf_dir)), *_lists(spark, sf_dir)))
 
 
 def case_indicators(spark, sf_dir):
@@ -30,7 +36,7 @@ def case_risk(spark, sf_dir):
 
 
 def wallet_risk(spark, sf_dir):
-    return attribution.wallet_risk(q_flow.trace_labels(spark, sf_dir), _frozen(spark, sf_dir), _found(spark, sf_dir))
+    return attribution.wallet_risk(q_flow.trace_labels(spark, sf_dir), _frozen(spark, sf_dir), _found(spark, sf_dir), *_lists(spark, sf_dir))
 
 
 def self_candidates(spark, sf_dir):
@@ -98,12 +104,19 @@ _RISK = f"""{q_flow._ALL}, {_IN},
     pc as materialized (select m.origin, m.wallet, main from (select origin, wallet, count(*) as n, max(v) as v, arg_max(to_addr, row(v, to_addr)) as main from pv group by all) m join po on po.origin = m.origin and po.wallet = m.wallet
         where n >= 2 and v >= 0.7 * amount and m.wallet <> m.origin),
     oo as (select distinct origin from e),
+    threat_list as (select 'W' || c_custkey as wallet from customer where c_custkey % 23 = 3), scam_list as (select 'W' || c_custkey as wallet from customer where c_custkey % 29 = 5),
+    threat_only as (select wallet from threat_list where wallet not in (select wallet from kd where category in ('sanctioned', 'mixer'))), scam_only as (select wallet from scam_list where wallet not in (select wallet from threat_list)),
     fi as (select origin, case category when 'bridge' then 'bridge_hop' when 'swap' then 'swap_service' else category || '_contact' end as code, wallet, share, hops from mo
         union all select pi.origin, category || '_funding', pi.wallet, amount / total, 1 from pi join kd using (wallet) join it using (origin) where category in ('sanctioned', 'mixer') and not exists (select 1 from mo where mo.origin = pi.origin and mo.wallet = pi.wallet)
         union all select origin, category || '_self', origin, 0, 1 from oo join kd on kd.wallet = origin where category in ('sanctioned', 'mixer')
         union all select origin, 'frozen_contact', wallet, amount / total, hops from po join fz using (wallet) join t using (origin) where wallet <> origin
         union all select origin, 'frozen_funding', wallet, amount / total, hops from pi join fz using (wallet) join it using (origin) where wallet <> origin
         union all select origin, 'frozen_self', origin, 0, 1 from oo join fz on fz.wallet = origin
+        union all select origin, 'threat_contact', wallet, amount / total, hops from po join threat_only using (wallet) join t using (origin) where wallet <> origin
+        union all select pi.origin, 'threat_funding', pi.wallet, amount / total, 1 from pi join threat_only using (wallet) join it using (origin) where pi.wallet <> pi.origin and not exists (select 1 from po where po.origin = pi.origin and po.wallet = pi.wallet)
+        union all select origin, 'threat_self', origin, 0, 1 from oo join threat_only on wallet = origin
+        union all select origin, 'scam_self', origin, 0, 1 from oo join scam_only on wallet = origin
+        union all select origin, 'scam_contact', wallet, 0, 1 from (select origin, wallet from po union select origin, wallet from pi) join scam_only using (wallet) where wallet <> origin
         union all select origin, 'unlabelled_hub', null, 0, 1 from (select origin, sum(held) as held from h where reason = 'hub' group by 1) join t using (origin) where held >= 0.5 * total
         union all select origin, 'fan_out', wallet, 0, 1 from (select distinct x.origin, x.from_addr as wallet from (select x.origin, x.from_addr, x.block_time, count(distinct y.to_addr) as n from e x join e y on x.origin = y.origin and x.from_addr = y.from_addr
             and y.block_time between x.block_time - interval 24 hour and x.block_time group by all) x where n >= 5)
@@ -134,7 +147,7 @@ ORACLES = {
     "case_indicators": b.sql("transfers labels", f"{_RISK} select origin, code, points, is_pattern, nullif(wallet, '') as wallet, n from mg"),
     "case_risk": b.sql("transfers labels", f"""{_RISK}, sc as (select origin, {_SCORE} as score, count(*) as n_indicators from mg group by origin)
         select origin, score, {q_graph._CLASS} as class, n_indicators from sc"""),
-    "wallet_risk": b.sql("transfers labels", f"""{_RISK}, ow as (select address as wallet, category || '_self' as code from l where category in ('sanctioned', 'mixer') union all select wallet, 'frozen_self' from fz),
+    "wallet_risk": b.sql("transfers labels", f"""{_RISK}, ow as (select address as wallet, category || '_self' as code from l where category in ('sanctioned', 'mixer') union all select wallet, 'threat_self' from threat_only union all select wallet, 'scam_self' from scam_only union all select wallet, 'frozen_self' from fz),
         al as (select wallet, code, {_PTS} as points, false as is_pattern from ow union all select origin, code, points, is_pattern from fd), am as (select wallet, code, max(points) as points, bool_or(is_pattern) as is_pattern from al group by all),
         sc as (select wallet, {_SCORE} as score from am group by wallet) select wallet, score, {q_graph._CLASS} as class from sc"""),
     "self_candidates": b.sql("transfers labels", f"with {q_flow._MOVES}, {q_flow._OG} select origin, entity, (case tier when 'published_por' then 0.95 when 'curated' then 0.85 when 'explorer_tag' then 0.75 else 0.6 end)::double as confidence from og join labels_rel on origin = address where category in ('exchange', 'swap')"),
