@@ -45,6 +45,36 @@ def round_robin(rows: DataFrame, group: str, order: list[Column], quota: int) ->
     return deep.where(F.col("depth") <= quota).orderBy("depth", group).limit(quota)
 
 
+def page(rows: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
+    """(total, place, ...): so many rows in the order from the offset on, each with how many rows there are in all and its
+    place, from 1. A page beyond the end is one row with the total and nulls. The order should be total."""
+    found = rows.orderBy(*order).offset(offset).limit(limit)
+    placed = found.withColumn("place", (F.row_number().over(W.orderBy(*order)) + offset).cast("long"))  # of the page only
+    return rows.agg(F.count(F.lit(1)).alias("total")).join(placed, F.lit(True), "left").select("total", "place", *rows.columns)
+
+
+def search_frozen(frozen: DataFrame, text: str | None = None, chain: str | None = None) -> DataFrame:
+    """Rows of (address, chain, ...) of a chain whose address holds the text, case aside; without either, all."""
+    found = frozen if chain is None else frozen.where(F.col("chain") == chain)
+    return found if not text else found.where(F.contains(F.lower("address"), F.lit(text.lower())))
+
+
+def check_sample(frozen: DataFrame, gone: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """(address, expected): n addresses that are frozen and n that were, to ask the chain about; the same for the same seed."""
+    drawn = lambda df, told: df.select("address").distinct().orderBy(F.md5(F.concat(F.lit(f"{seed}-"), "address").cast("binary")), "address").limit(n).withColumn("expected", F.lit(told))
+    return drawn(frozen, True).unionByName(drawn(gone, False))
+
+
+def filter_cases(cases: DataFrame, outcome: str | None = None, status: str | None = None, threat: str | None = None) -> DataFrame:
+    """Cases (outcome, status, threats, an array) that are as asked; threat `any`: those that touch one at all. A case
+    without threats (null) touches none."""
+    for column, wanted in (("outcome", outcome), ("status", status)):
+        cases = cases if wanted is None else cases.where(F.col(column) == wanted)
+    if threat is None:
+        return cases
+    return cases.where(F.size(F.coalesce("threats", F.array().cast("array<string>"))) > 0 if threat == "any" else F.array_contains("threats", threat))
+
+
 def timeline(events: DataFrame, key: str) -> DataFrame:
     """events (key, ts, seq, kind) with seconds since the one before and since the first."""
     rows = events.select(key, "ts", "seq", "kind", micros("ts").alias("at"), week_of("ts").alias("span"))

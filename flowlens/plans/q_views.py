@@ -139,6 +139,26 @@ def deposit_features(spark, sf_dir):
     return views.deposit_features(e, flow.lifo_pairs(e))
 
 
+def freeze_search(spark, sf_dir):
+    """The second page of frozen addresses with a 1 in them."""
+    frozen = views.replay(_freezes(spark, sf_dir)).withColumn("chain", F.when(F.substring("address", -1, 1).isin("0", "2", "4", "6", "8"), "eth").otherwise("tron"))
+    return views.page(views.search_frozen(frozen, "1", "tron"), [F.col("chain"), F.col("address")], 20, 20)
+
+
+def freeze_check_sample(spark, sf_dir):
+    events = _freezes(spark, sf_dir)
+    return views.check_sample(views.replay(events), views.released(events), 40, 7)
+
+
+def case_page(spark, sf_dir):
+    """Open cases without a name that touch a threat, the newest first."""
+    key, by = F.col("case_id"), F.col("suspect")
+    touched = F.filter(F.array(F.when(by % 23 == 3, "ransomware"), F.when(by % 29 == 5, "scam")), lambda x: x.isNotNull())
+    cases = _cases(spark, sf_dir).select("case_id", "status", "opened", F.when(key % 3 == 0, "ATTRIBUTED").otherwise("INSUFFICIENT_EVIDENCE").alias("outcome"), touched.alias("threats"))
+    found = views.page(views.filter_cases(cases, "INSUFFICIENT_EVIDENCE", "O", "any"), [F.col("opened").desc(), F.col("case_id")], 25, 25)
+    return found.withColumn("threats", F.array_join("threats", ","))
+
+
 def address_extract(spark, sf_dir):
     """Names with digits in them, found in the texts of documents, in order and each once."""
     d = b.table(spark, sf_dir, "documents")
@@ -167,7 +187,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         dashboard_counts, top_exchanges, desk_rows, jurisdiction_rollup, write_order, follow_ups, timeline, linked_complaints, freeze_replay, freeze_released, watch_changes, page_diff,
-        round_robin_sample, latest_versions, gas_interval_join, gas_stations, audit_chain_check, deposit_features, address_extract, amounts_in_words, address_forms,
+        round_robin_sample, latest_versions, gas_interval_join, gas_stations, audit_chain_check, deposit_features, freeze_search, freeze_check_sample, case_page, address_extract, amounts_in_words, address_forms,
     )
 }
 
@@ -202,6 +222,14 @@ ORACLES = {
     "linked_complaints": b.sql("transfers", """select to_addr as address, count(distinct split_part(tx_hash, '-', 1)) as n_cases, count(distinct from_addr) as n_suspects, min(block_time) as first_ts, sum(amount)::bigint as amount
         from transfers group by 1 having count(distinct from_addr) >= 400"""),
     "freeze_replay": f"with {_FREEZE}, {_NOW} select * from z",
+    "freeze_search": f"""with {_FREEZE}, {_NOW}, c as (select *, case when right(address, 1) in ('0', '2', '4', '6', '8') then 'eth' else 'tron' end as chain from z),
+        w as (select count(*) over () as total, row_number() over (order by chain, address) as place, * from c where chain = 'tron' and contains(lower(address), '1')),
+        e as (select count(*) as total from c where chain = 'tron' and contains(lower(address), '1')) select e.total, place, address, since, chain from e left join (select * from w where place between 21 and 40) on true""",
+    "freeze_check_sample": f"""with {_FREEZE}, {_NOW}, g as (select distinct address from f where not added and address not in (select address from z))
+        select * from (select address, true as expected from z order by md5('7-' || address), address limit 40) union all select * from (select address, false from g order by md5('7-' || address), address limit 40)""",
+    "case_page": f"""with {_CASES}, k as (select case_id, status, opened, case when case_id % 3 = 0 then 'ATTRIBUTED' else 'INSUFFICIENT_EVIDENCE' end as outcome, concat_ws(',', case when suspect % 23 = 3 then 'ransomware' end, case when suspect % 29 = 5 then 'scam' end) as threats from cases_rel),
+        w as (select count(*) over () as total, row_number() over (order by opened desc, case_id) as place, * from k where outcome = 'INSUFFICIENT_EVIDENCE' and status = 'O' and threats <> ''),
+        e as (select count(*) as total from k where outcome = 'INSUFFICIENT_EVIDENCE' and status = 'O' and threats <> '') select e.total, w.* exclude (total) from e left join (select * from w where place between 26 and 50) w on true""",
     "freeze_released": f"with {_FREEZE}, {_NOW} select distinct address from f where not added and address not in (select address from z)",
     "watch_changes": b.sql("wallet_events", """with a as (select distinct wallet, far from wallet_events where ts < '2024-01-08'), n as (select distinct wallet, far from wallet_events where ts >= '2024-01-08')
         select *, 'new' as change from (from n except from a) union all select *, 'gone' from (from a except from n)"""),
