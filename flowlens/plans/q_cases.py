@@ -22,9 +22,10 @@ def _lists(spark, sf_dir):
 
 
 def _found(spark, sf_dir):
-    out, holds, _ = q_flow.traced(spark, sf_dir)
-    into = q_flow.traced(spark, sf_dir, 1, inbound=True)[0]
-    return cut(attribution.indicators(out, into, holds, cut(q_flow.trace_labels(spark, sf_dir)), cut(_frozen(spark, sf_dir)), *_lists(spark, sf_dir)))
+    read = q_flow.given(spark, sf_dir)
+    out, holds, _ = q_flow.traced(spark, sf_dir, read=read)
+    into = q_flow.traced(spark, sf_dir, 1, inbound=True, read=read)[0]
+    return cut(attribution.indicators(out, into, holds, read[1], cut(_frozen(spark, sf_dir)), *_lists(spark, sf_dir)))
 
 
 def case_indicators(spark, sf_dir):
@@ -55,12 +56,13 @@ def abstain(spark, sf_dir):
 
 def counter_verdicts(spark, sf_dir):
     """The nearest named service with the label hidden where most of its money came in: is it still named?"""
-    out, holds, _ = q_flow.traced(spark, sf_dir)
-    names = cut(q_flow.trace_labels(spark, sf_dir))
+    read = q_flow.given(spark, sf_dir)
+    out, holds, _ = q_flow.traced(spark, sf_dir, read=read)
+    names = read[1]
     before = cut(flow.candidates(out, names))
     named = before.where(F.col("confidence") >= flow.NAMED_FROM).groupBy("origin").agg(F.min_by("entity", "rank").alias("entity"))
     top = cut(named.join(flow.entries(out, names), ["origin", "entity"]))
-    again, later, _ = q_flow.traced(spark, sf_dir, hidden=top)
+    again, later, _ = q_flow.traced(spark, sf_dir, hidden=top, read=read)
     return attribution.verdicts(top, before, flow.candidates(again, names, top), holds, later)
 
 
