@@ -78,16 +78,39 @@ def append(kept: DataFrame | None, batch: DataFrame, order: list[str], key: byte
     return chained(written(numbered(batch, order, last), "log-rows"), key, step, last)
 
 
-def heads(rows: DataFrame, key: bytes = b"", step: int = 1000) -> DataFrame:
+def _in_one(rows: DataFrame, key: bytes) -> DataFrame:
+    """(log, seq, digest) of each log's last row, chained without segments: a log's rows pass a task in order, one batch at a time."""
+
+    def follow(batches):
+        log = seq = prev = None
+        for batch in batches:
+            done = []
+            for name, at, payload, begin in zip(batch["log"], batch["seq"], batch["payload"], batch["prev"]):
+                if name != log:
+                    if log is not None:
+                        done.append((log, seq, prev))
+                    log, prev = name, begin
+                seq, prev = at, link(prev, payload or "", key)
+            yield pd.DataFrame(done, columns=["log", "seq", "digest"])
+        if log is not None:
+            yield pd.DataFrame([(log, seq, prev)], columns=["log", "seq", "digest"])
+
+    begun = rows.select("log", "seq", "payload", genesis(F.col("log"), F.lit(0)).alias("prev"))
+    return begun.repartition("log").sortWithinPartitions("log", "seq").mapInPandas(follow, "log string, seq long, digest string")
+
+
+def heads(rows: DataFrame, key: bytes = b"", step: int = 1000, most: int | None = None) -> DataFrame:
     """(log, rows, levels, head): one digest that pins all rows of a log, to be noted elsewhere.
 
-    Each level chains the last digests of the level's segments below; a level has 1 / step of the rows of the one below."""
+    Each level chains the last digests of the level's segments below; a level has 1 / step of the rows of the one below.
+    most: so many levels at most, of which the last is chained in one, however long: with 2, of 1 / step of the rows."""
     level, levels = rows.select("log", "seq", "digest"), 1
     counts = rows.groupBy("log").agg(F.max("seq").alias("rows"))
-    while level.where(F.col("seq") > step).limit(1).count():
+    while (most is None or levels < most) and level.where(F.col("seq") > step).limit(1).count():
         segments = level.groupBy("log", _segment(step).alias("segment")).agg(F.max_by("digest", "seq").alias("payload"))
-        level = written(chained(segments.select("log", (F.col("segment") + 1).alias("seq"), "payload"), key, step), "log-heads").select("log", "seq", "digest")
+        above = segments.select("log", (F.col("segment") + 1).alias("seq"), "payload")
         levels += 1
+        level = written(_in_one(above, key) if levels == most else chained(above, key, step), "log-heads").select("log", "seq", "digest")
     return ends(level).join(counts, "log").select("log", "rows", F.lit(levels).cast("long").alias("levels"), F.col("digest").alias("head"))
 
 

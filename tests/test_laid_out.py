@@ -1,10 +1,11 @@
 """What isn't asked for isn't laid out, and long histories give what short ones do."""
 
+import hashlib
 import random
 
 import pytest
 
-from flowlens.operators import flow
+from flowlens.operators import chain_log, flow
 
 MOVES = "tx_hash string, block_time timestamp, from_addr string, to_addr string, asset string, amount long"
 
@@ -37,3 +38,16 @@ def test_only_payments_of_wallets_asked_for_are_read(spark, monkeypatch):
     monkeypatch.setattr(flow, "_busy", lambda near, *more: seen.append({r.tx_hash for r in near.collect()}) or busy(near, *more))
     flow.trace(moves, moves.selectExpr("from_addr origin").distinct(), spark.createDataFrame([("X", "X")], "address string, entity string"))
     assert seen[0] == {"t1"}
+
+
+def test_a_log_of_heads_is_chained_in_one_where_levels_end(spark):
+    rows = spark.range(23).selectExpr("'a' log", "id n", "cast(id as string) payload")
+    log = chain_log.append(None, rows, ["n"], step=2)
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    ends = {(r.seq - 1) // 2: r.digest for r in log.orderBy("seq").collect()}
+    head = sha("a|0")
+    for k in sorted(ends):
+        head = sha(head + ends[k])
+    found = chain_log.heads(log, step=2, most=2).collect()
+    assert [(r.rows, r.levels, r["head"]) for r in found] == [(23, 2, head)]
+    assert chain_log.heads(log, step=2).first().levels == 5
