@@ -5,7 +5,8 @@ import random
 
 import pytest
 
-from flowlens.operators import chain_log, flow
+from flowlens.operators import chain_log, flow, graph
+from flowlens.session import scratch_count
 
 MOVES = "tx_hash string, block_time timestamp, from_addr string, to_addr string, asset string, amount long"
 
@@ -51,3 +52,24 @@ def test_a_log_of_heads_is_chained_in_one_where_levels_end(spark):
     found = chain_log.heads(log, step=2, most=2).collect()
     assert [(r.rows, r.levels, r["head"]) for r in found] == [(23, 2, head)]
     assert chain_log.heads(log, step=2).first().levels == 5
+
+
+def test_small_components_are_found_at_once(spark):
+    stars = spark.range(60).selectExpr("id div 6 * 100 a", "id div 6 * 100 + id % 6 b")
+    begun = scratch_count()
+    found = {(r.node, r.root) for r in graph.components(stars).collect()}
+    assert found == {(k * 100 + j, k * 100) for k in range(10) for j in range(6)}
+    assert scratch_count() - begun <= 3
+
+
+def test_components_of_drawn_graphs(spark):
+    draw = random.Random(3)
+    pairs = [(draw.randrange(300), draw.randrange(300)) for _ in range(220)] + [(1000 + k, 1001 + k) for k in range(40)]
+    pairs = [p for p in pairs if p[0] != p[1]] + pairs[:9]
+    root = {x: x for p in pairs for x in p if p[0] != p[1]}
+    for _ in range(60):
+        for a, b in pairs:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    found = [(r.node, r.root) for r in graph.components(spark.createDataFrame(pairs, "a long, b long")).collect()]
+    assert sorted(found) == sorted(root.items())
