@@ -84,7 +84,11 @@ def on_lists(out: DataFrame, into: DataFrame, labels: DataFrame, threats: DataFr
 def patterns(out: DataFrame, into: DataFrame) -> DataFrame:
     """(origin, code, wallet): wallets of a trace that fan out, merge, peel in a row; origins with many funders or round sums."""
     pair = F.concat_ws(">", "origin", "from_addr")
-    fans = typologies.fan_out(out.select(pair.alias("sender"), F.col("block_time").alias("ts"), "to_addr")).where(F.col("most") >= typologies.FAN_OUT)
+    # so many in 24 hours are half as many payments at least in one of two days: the others' payments aren't laid out
+    day = F.floor(F.unix_micros(F.col("block_time").cast("timestamp")) / (24 * 3600 * 1_000_000)).alias("day")
+    crowded = out.groupBy("origin", "from_addr", day).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * 2 >= typologies.FAN_OUT)
+    some = out.join(cut(crowded.select("origin", "from_addr").distinct()), ["origin", "from_addr"], "left_semi")
+    fans = typologies.fan_out(some.select(pair.alias("sender"), F.col("block_time").alias("ts"), "to_addr")).where(F.col("most") >= typologies.FAN_OUT)
     fans = fans.select(F.substring_index("sender", ">", 1).alias("origin"), F.lit("fan_out").alias("code"), F.substring_index("sender", ">", -1).alias("wallet"))
     funders = into.where("hop = 1").groupBy("origin").agg(F.count_distinct("from_addr").alias("n")).where(F.col("n") >= typologies.FAN_IN).select("origin", F.lit("fan_in").alias("code"), F.col("origin").alias("wallet"))
     merged = out.where("from_addr <> origin and to_addr <> origin").groupBy("origin", F.col("to_addr").alias("wallet")).agg(F.count_distinct("from_addr").alias("n")).where(F.col("n") >= MERGE).select("origin", F.lit("fan_in").alias("code"), "wallet")

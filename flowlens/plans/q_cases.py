@@ -25,7 +25,7 @@ def _found(spark, sf_dir):
     read = q_flow.given(spark, sf_dir)
     out, holds, _ = q_flow.traced(spark, sf_dir, read=read)
     into = q_flow.traced(spark, sf_dir, 1, inbound=True, read=read)[0]
-    return cut(attribution.indicators(out, into, holds, read[1], cut(_frozen(spark, sf_dir)), *_lists(spark, sf_dir)))
+    return cut(attribution.indicators(q_flow.kept_edges(out), into, holds, read[1], cut(_frozen(spark, sf_dir)), *_lists(spark, sf_dir)))
 
 
 def case_indicators(spark, sf_dir):
