@@ -53,5 +53,25 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Bits of a sieve for each hash in it, and the power of two that it doesn't exceed: 16 MB.
+EACH_HASH, SIEVE = 16, 27
+
+
+def sieve(rows: DataFrame, hashed: Column, found: DataFrame, name: str = "sieve") -> tuple[DataFrame, DataFrame]:
+    """(those of rows whose hash may be in found, those whose hash surely isn't): found is a written table of one column of hashes.
+
+    found is laid out as a bitmap that is broadcast, so rows of the second kind needn't be shuffled to a join. Above
+    SIEVE the bitmap no longer grows, and more rows are of the first kind: each is yet to be joined with found.
+    """
+    bits = (1 << min(SIEVE, max(15, (EACH_HASH * found.count()).bit_length()))) - 1
+    place = F.col(found.columns[0]).bitwiseAND(F.lit(bits))
+    own, part, held = (fresh(rows, n) for n in ("__place", "__part", "__held"))
+    maps = found.groupBy(F.shiftright(place, 15).alias(part)).agg(F.bitmap_construct_agg(place.bitwiseAND(F.lit(32767))).alias(held))
+    marked = rows.withColumn(own, hashed.bitwiseAND(F.lit(bits))).join(F.broadcast(written(maps, name)), F.shiftright(own, 15) == F.col(part), "left")
+    byte = F.conv(F.hex(F.substring(F.col(held), F.shiftright(F.col(own).bitwiseAND(F.lit(32767)), 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    may = F.coalesce(F.getbit(byte, F.col(own).bitwiseAND(F.lit(7)).cast("int")) == 1, F.lit(False))
+    return marked.where(may).select(*rows.columns), marked.where(~may).select(*rows.columns)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowlens.llm.common import ASCII_LOWER, fresh, small_batches, written
+from flowlens.llm.common import ASCII_LOWER, fresh, sieve, small_batches, written
 from flowlens.operators.graph import components
 from flowlens.session import drop_scratch, scratch_count
 
@@ -86,17 +86,17 @@ def segments(fp: Column) -> list[Column]:
     return [F.shiftrightunsigned(fp, first).bitwiseAND(F.lit((1 << width) - 1)).bitwiseOR(F.lit(first << 22)) for first, width in SEGMENTS]
 
 
-def across(keyed: DataFrame, met: Column) -> DataFrame:
-    """(a, b) for the rows of keyed (key, fp, root, ...) that share a key and no root and are `met`, once for each key.
+def across(keyed: DataFrame, met: Column, *more: Column) -> DataFrame:
+    """(a, b, *more) for the rows of keyed (key, fp, root, ...) that share a key and no root and are `met`, once for each key.
 
-    met is an expression over rows a and b that holds for both orders of them.
+    met and more are expressions over rows a and b that are the same for both orders of them.
     """
     a, b = keyed.alias("a"), keyed.alias("b")
     on = (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & (F.col("a.fp") < F.col("b.fp")) & met
-    return a.join(b.hint("merge"), on).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+    return a.join(b.hint("merge"), on).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"), *more)
 
 
-def across_hot(keyed: DataFrame, met: Column) -> DataFrame:
+def across_hot(keyed: DataFrame, met: Column, *more: Column) -> DataFrame:
     """As across, for keys that many rows share.
 
     A key's largest root needn't meet itself, so the rows of its other roots go to all rows, in parts of the key.
@@ -108,7 +108,7 @@ def across_hot(keyed: DataFrame, met: Column) -> DataFrame:
     b = rows.withColumn("part", F.pmod(F.xxhash64("fp"), F.lit(PARTS)).cast("int")).alias("b")
     on = (F.col("a.key") == F.col("b.key")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.root") != F.col("b.root"))
     once = (F.col("b.root") == F.col("b.home")) | (F.col("a.fp") < F.col("b.fp"))
-    return a.join(b.hint("merge"), on & once & met).select(F.least("a.fp", "b.fp").alias("a"), F.greatest("a.fp", "b.fp").alias("b"))
+    return a.join(b.hint("merge"), on & once & met).select(F.least("a.fp", "b.fp").alias("a"), F.greatest("a.fp", "b.fp").alias("b"), *more)
 
 
 def stars(keyed: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
@@ -233,7 +233,9 @@ def least_of_each(docs: DataFrame, prints: DataFrame, rooted: DataFrame, id_col:
         gone = written(gone.select(F.col("id").alias(own_id), F.col("mark").alias(own_mark)), GONE)
         return rows.join(gone, spot.eqNullSafe(F.col(own_id)) & (mark == F.col(own_mark)), how)
 
-    kept = without(docs, placed.where("not stays"), "left_anti")
+    gone = written(placed.where("not stays").select("id", "mark"), "simhash-left")
+    some, rest = sieve(docs, mark, written(gone.select("mark").distinct(), "simhash-marks"), GONE)
+    kept = without(some, gone, "left_anti").unionByName(rest)
     repeated = placed.where("stays and count > 1")
     if repeated.isEmpty():
         return kept

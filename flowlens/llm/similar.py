@@ -23,10 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowlens.llm.common import small_batches, written
+from flowlens.llm.common import sieve, small_batches, written
 from flowlens.llm.simhash import GONE, HOT, across, across_hot, least_of_each, segments, shingles
 from flowlens.operators.graph import components
-from flowlens.session import drop_scratch, scratch_count
+from flowlens.session import drop_scratch, laid_out, scratch_count
 
 #: Words of a shingle, and the least Jaccard similarity of near copies as a fraction.
 WORDS, SIMILAR = 5, (4, 5)
@@ -34,8 +34,8 @@ WORDS, SIMILAR = 5, (4, 5)
 EACH = 25
 #: Pairs of least hashes under which a set meets representatives, and the differing bits from which on it doesn't.
 BANDS, APART = 4, 17
-#: Longs of a set's bitmap, and of the wider one that sets larger than LARGE have as well.
-LONGS, WIDE, LARGE = 4, 64, 400
+#: Longs of a set's bitmap, and of the wider one that sets larger than LARGE have as well; a pair's keys tell it of sets larger than LARGER.
+LONGS, WIDE, LARGE, LARGER = 16, 64, 400, 800
 #: Pairs of members of two groups from which on one pair is tried first.
 MANY = 16
 #: Texts sampled for common shingles, and the most shingles that the order takes from them.
@@ -126,13 +126,18 @@ def nearest(classes: DataFrame) -> DataFrame:
 
 
 def shared_keys(classes: DataFrame, roots: DataFrame) -> DataFrame:
-    """(key, pos, fp, hot, root, size, meet, b0, ...): the prefix keys that several roots share, with all their classes."""
+    """(key, fp, pos, weight, hot, root, size, meet): the prefix keys that several roots share, with all their classes.
+
+    Keys that the same classes have, as those of a passage have, are told of as one: weight is their number, pos the least place.
+    """
     keyed = classes.select(F.posexplode("prefix").alias("pos", "key"), "fp")
-    ends = keyed.join(roots, "fp").groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("root").alias("low"), F.max("root").alias("high"))
-    shared = written(ends.where("low <> high").select("key", (F.col("rows") >= HOT).alias("hot")), "similar-keys")
-    bits = [F.col("bits")[k].alias(f"b{k}") for k in range(LONGS)]
-    rows = keyed.join(shared, "key").join(classes.select("fp", "size", "meet", *bits).join(roots, "fp"), "fp")
-    return written(rows, "similar-rows")
+    ends = keyed.join(roots, "fp").groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    shared = written(ends.where("low <> high").select("key"), "similar-keys")
+    rows = written(keyed.join(shared, "key"), "similar-keyed")
+    own = F.xxhash64(F.bit_xor("fp"), F.bit_xor(F.xxhash64("fp")), F.count(F.lit(1)))
+    lists = rows.groupBy("key").agg(own.alias("list"), (F.count(F.lit(1)) >= HOT).alias("hot"))
+    each = rows.join(lists, "key").groupBy(F.col("list").alias("key"), "fp").agg(F.min("pos").alias("pos"), F.count(F.lit(1)).alias("weight"), F.bool_or("hot").alias("hot"))
+    return written(each.join(classes.select("fp", "size", "meet").join(roots, "fp"), "fp"), "similar-rows")
 
 
 def group_pairs(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -143,30 +148,36 @@ def group_pairs(rows: DataFrame, roots: DataFrame) -> DataFrame:
     sizes = written(roots.groupBy("root").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "similar-groups")
     # of two sizes whose product is MANY, one is its root at least: other keys have no such pair
     large = written(rows.join(sizes.where(F.col("members") * F.col("members") >= MANY), "root").select("key").distinct(), "similar-large")
-    heads = rows.join(large, "key", "left_semi").groupBy("key", "root").agg(F.min("fp").alias("head"), F.count(F.lit(1)).alias("n")).join(sizes, "root", "left").na.fill(1, ["members"])
+    heads = rows.join(large, "key", "left_semi").groupBy("key", "root").agg(F.min("fp").alias("head"), F.count(F.lit(1)).alias("n"), F.max("weight").alias("weight")).join(sizes, "root", "left").na.fill(1, ["members"])
     heads = written(heads, "similar-members")
     main = heads.groupBy("key").agg(F.max_by(F.struct("root", "head", "members"), F.struct("n", "head")).alias("main"))
     met = heads.join(main, "key").where((F.col("root") != F.col("main.root")) & (F.col("members") * F.col("main.members") >= MANY))
     pair = F.struct(F.least("head", "main.head").alias("a"), F.greatest("head", "main.head").alias("b")).alias("pair")
-    per = met.groupBy(F.least("root", "main.root").alias("r"), F.greatest("root", "main.root").alias("t"), pair).count()
+    per = met.groupBy(F.least("root", "main.root").alias("r"), F.greatest("root", "main.root").alias("t"), pair).agg(F.sum("weight").alias("count"))
     return per.groupBy("r", "t").agg(F.max_by("pair", F.struct("count", "pair")).alias("pair")).select("pair.a", "pair.b")
 
 
-def candidates(rows: DataFrame) -> DataFrame:
+def candidates(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """(a, b), a < b: the pairs of classes of different roots that share keys enough, at places that allow enough in
     common, and whose bitmaps allow it, from shared_keys."""
     least, most = SIMILAR
+    bits = [F.col("bits")[k].alias(f"b{k}") for k in range(LONGS)]
+    wide = F.when(F.col("size") > LARGER, F.col("wide")).otherwise(F.array().cast("array<bigint>")).alias("wide")
+    rows = laid_out(rows.join(classes.select("fp", *bits, wide), "fp"), "similar-mapped", "key")
     due = F.least("a.meet", "b.meet")
     rest = F.least(F.expr("a.size - a.pos"), F.expr("b.size - b.pos"))
     enough = (rest + due - 1) * (least + most) >= (F.col("a.size") + F.col("b.size")) * least
-    differ = reduce(add, (F.bit_count(F.col(f"a.b{k}").bitwiseXOR(F.col(f"b.b{k}"))) for k in range(LONGS)))
-    enough &= differ * (least + most) <= (F.col("a.size") + F.col("b.size")) * (most - least)
-    met = across(rows.where("not hot"), enough).unionByName(across_hot(rows.where("hot"), enough))
-    meets = written(rows.select("fp", "meet").distinct(), "similar-meets")
-    often = met.groupBy("a", "b").count()
-    for side in ("a", "b"):
-        often = often.join(meets.select(F.col("fp").alias(side), F.col("meet").alias(f"{side}_meet")), side)
-    return often.where(F.col("count") >= F.least("a_meet", "b_meet")).select("a", "b")
+    may = (F.col("a.size") + F.col("b.size")) * (most - least)
+    enough &= reduce(add, (F.bit_count(F.col(f"a.b{k}").bitwiseXOR(F.col(f"b.b{k}"))) for k in range(LONGS))) * (least + most) <= may
+    both = (F.size("a.wide") > 0) & (F.size("b.wide") > 0)
+    enough &= ~both | (_differing("a.wide", "b.wide") * (least + most) <= may)
+    more = (F.least("a.weight", "b.weight").alias("weight"), due.alias("due"))
+    met = across(rows.where("not hot"), enough, *more).unionByName(across_hot(rows.where("hot"), enough, *more))
+    return met.groupBy("a", "b").agg(F.sum("weight").alias("weight"), F.max("due").alias("due")).where("weight >= due").select("a", "b")
+
+def _differing(x: str, y: str):
+    """In how many bits two bitmaps differ."""
+    return F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda t, n: t + n)
 
 
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -174,12 +185,13 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str,
     least, most = SIMILAR
     for side, wide, size in (("a", "u", "m"), ("b", "v", "n")):
         pairs = pairs.join(classes.select(F.col("fp").alias(side), F.col("wide").alias(wide), F.col("size").alias(size)), side)
-    differ = F.aggregate(F.zip_with("u", "v", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
     small = (F.size("u") == 0) | (F.size("v") == 0)
-    pairs = written(pairs.where(small | (differ * (least + most) <= (F.col("m") + F.col("n")) * (most - least))).select("a", "b"), "similar-pairs")
+    pairs = written(pairs.where(small | (_differing("u", "v") * (least + most) <= (F.col("m") + F.col("n")) * (most - least))).select("a", "b"), "similar-pairs")
     nodes = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
     spots = written(classes.select("fp", F.col("id").alias("own_id"), F.col("mark").alias("own_mark")).join(nodes, "fp", "left_semi"), "similar-nodes")
-    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
+    # only texts that may be among them are laid out
+    some, _ = sieve(docs, F.xxhash64(text_col), written(spots.select("own_mark").distinct(), "similar-marks"))
+    texts = some.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
     texts = texts.join(spots, F.col("id").eqNullSafe(F.col("own_id")) & (F.col("mark") == F.col("own_mark")))
     sets = written(texts.select("fp", _sets(F.col("text")).alias("own")).dropDuplicates(["fp"]), "similar-sets")
     # sets that very many are compared with go by themselves: they are few, so most likely broadcast
@@ -218,7 +230,7 @@ def links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> Da
     if not groups.isEmpty():
         near = near.unionByName(groups)
         rows = rows.drop("root").join(_roots(classes.select("fp"), near, "similar-grown"), "fp")
-    return near.unionByName(check(candidates(rows), "similar-rest"))
+    return near.unionByName(check(candidates(rows, classes), "similar-rest"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -38,3 +38,16 @@ def test_labelled_sample_is_bounded_and_weighted(spark):
     for y, total in ((1, 200), (0, 1800)):
         mine = [r for r in rows if r.y == y]
         assert 60 < len(mine) < 140 and abs(sum(r.weight for r in mine) - total) < 0.5 * total
+
+
+def test_sieve_keeps_all_that_may_be_found(spark):
+    rows = spark.range(4000).selectExpr("id", "if(id = 7, null, concat('t', id)) as text")
+    hashed = F.xxhash64("text")
+    found = common.written(rows.where("id % 400 = 7").select(hashed.alias("h")), "found")
+    some, rest = common.sieve(rows, hashed, found)
+    some, rest = [r.id for r in some.collect()], [r.id for r in rest.collect()]
+    assert sorted(some + rest) == list(range(4000))
+    assert set(range(7, 4000, 400)) <= set(some) and len(some) < 1000
+    nothing = common.written(rows.where("false").select(hashed.alias("h")), "found")
+    some, rest = common.sieve(rows, hashed, nothing)
+    assert some.count() == 0 and rest.count() == 4000

@@ -1,5 +1,6 @@
 import random
 
+from pyspark.sql import functions as F
 from tests.llm.helpers import awkward, empty, lower
 
 import corpus_pipeline
@@ -86,3 +87,30 @@ def test_awkward_rows(spark):
     texts = [r.text for r in docs.collect()]
     assert kept.count() == len(set(brute(texts)))
     assert similar.keep_one(empty(spark)).count() == 0
+
+
+def classes_of(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    return docs.select("id", F.xxhash64("text").alias("mark"), F.lit(1).alias("n"), similar._signatures({})("text").alias("s")).select("id", "mark", "n", "s.*")
+
+
+def test_keys_of_one_passage_meet_once(spark):
+    """What two texts share is one key with a weight, so their pair is met once, not once for each shingle of the passage."""
+    passage = [f"p{j}" for j in range(300)]
+    texts = [" ".join([f"{own}{j}" for j in range(200)] + passage) for own in "xy"]
+    classes = classes_of(spark, texts).cache()
+    x, y = (set(r.prefix) for r in classes.collect())
+    assert len(x & y) > 20
+    rows = similar.shared_keys(classes, classes.select("fp", F.col("fp").alias("root"))).collect()
+    assert [r.weight for r in rows] == [len(x & y)] * 2 and len({r.key for r in rows}) == 1
+
+
+def test_pairs_of_large_sets_that_share_keys_but_differ_are_not_told_of(spark):
+    """Some 0.7 of two large sets is the same: enough keys, but their wider bitmaps differ by more than 0.8 allows."""
+    passage = [f"p{j}" for j in range(2500)]
+    texts = [" ".join([f"{own}{j}" for j in range(500)] + passage) for own in "xy"] + [" ".join([f"z{j}" for j in range(20)] + passage)]
+    classes = classes_of(spark, texts).cache()
+    one = {r.id: r.fp for r in classes.collect()}
+    rows = similar.shared_keys(classes, classes.select("fp", F.col("fp").alias("root")))
+    got = {(r.a, r.b) for r in similar.candidates(rows, classes).collect()}
+    assert got == {tuple(sorted((one[k], one[2]))) for k in (0, 1)}
