@@ -129,17 +129,17 @@ def with_roots(classes: DataFrame, linked: DataFrame) -> DataFrame:
     return classes.join(least, "fp", "left").withColumn("root", F.least("fp", "least")).drop("least")
 
 
-def links(classes: DataFrame, bits: int = BITS, hot: DataFrame | None = None) -> DataFrame:
-    """(a, b), a < b: the pairs of distinct fingerprints (fp) at `bits` or fewer differing bits, each once.
+def links(classes: DataFrame, bits: int = BITS, hot: DataFrame | None = None, sim: str = "fp") -> DataFrame:
+    """(a, b), a < b: the pairs of distinct rows (fp) whose fingerprints (sim) have `bits` or fewer differing bits, each once.
 
     Where classes have a root, pairs with one root are left out. hot has the keys (key) that many rows share.
     """
     assert 1 <= bits < 2 * len(SEGMENTS), "more bits than the segments can find"
     root = F.col("root" if "root" in classes.columns else "fp").alias("root")
-    keyed = classes.select(F.explode(variants(F.col("fp"))).alias("key"), "fp", root)
-    differ = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
+    keyed = classes.select(F.explode(variants(F.col(sim))).alias("key"), "fp", root, *[c for c in [sim] if c != "fp"])
+    differ = F.col(f"a.{sim}").bitwiseXOR(F.col(f"b.{sim}"))
     bit = F.expr("cast(shiftright(a.key, 22) as int)")
-    blanked = F.expr("(a.fp ^ b.fp) & shiftleft(1L, cast(shiftright(a.key, 22) as int))") != 0
+    blanked = F.expr(f"(a.{sim} ^ b.{sim}) & shiftleft(1L, cast(shiftright(a.key, 22) as int))") != 0
     masks = [((1 << width) - 1) << first for first, width in SEGMENTS]
     masks = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
     firsts = []
@@ -154,7 +154,7 @@ def links(classes: DataFrame, bits: int = BITS, hot: DataFrame | None = None) ->
     return across(keyed.join(hot, "key", "left_anti"), met).unionByName(across_hot(keyed.join(hot, "key", "left_semi"), met))
 
 
-def _hot_variants(shared: DataFrame) -> DataFrame | None:
+def hot_variants(shared: DataFrame) -> DataFrame | None:
     """The variants that may have HOT fingerprints or more: those of segments that half as many share."""
     crowded = shared.where(F.col("size") >= HOT // 2)
     if crowded.isEmpty():
@@ -173,7 +173,7 @@ def _classes(prints: DataFrame, bits: int) -> DataFrame:
     near, shared = stars(classes.select(F.explode(F.array(*segments(F.col("fp")))).alias("key"), "fp", "n"), "simhash")
     near = written(near.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits), "simhash-stars")
     rooted = written(with_roots(classes.select("fp"), near), "simhash-begun")
-    roots = components(near.unionByName(links(rooted, bits, _hot_variants(shared))))
+    roots = components(near.unionByName(links(rooted, bits, hot_variants(shared))))
     return classes.join(written(roots, "simhash-roots"), F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 

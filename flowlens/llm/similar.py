@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowlens.llm import simhash
 from flowlens.llm.common import sieve, small_batches, written
 from flowlens.llm.simhash import GONE, HOT, across, across_hot, least_of_each, segments, shingles
 from flowlens.operators.graph import components
@@ -125,6 +126,13 @@ def nearest(classes: DataFrame) -> DataFrame:
     return met.where(fitting).groupBy(F.col("fp").alias("b")).agg(F.min_by("head.fp", F.struct("bits", "head.fp")).alias("a")).select("a", "b")
 
 
+def within_bits(classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b): the pairs of classes of different roots whose SimHashes differ in few bits, by op7's deletion variants."""
+    sims = written(classes.where("size > 0").select("fp", "sim").join(roots, "fp"), "similar-sims")
+    keys = sims.select(F.explode(F.array(*segments(F.col("sim")))).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+    return simhash.links(sims, hot=simhash.hot_variants(written(keys, "similar-segments")), sim="sim")
+
+
 def shared_keys(classes: DataFrame, roots: DataFrame) -> DataFrame:
     """(key, fp, pos, weight, hot, root, size, meet): the prefix keys that several roots share, with all their classes.
 
@@ -224,6 +232,8 @@ def links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> Da
         return found
 
     near = check(nearest(classes), "similar-near")
+    close = check(within_bits(classes, _roots(classes.select("fp"), near, "similar-first")), "similar-close")
+    near = near.unionByName(close)
     roots = _roots(classes.select("fp"), near, "similar-begun")
     rows = shared_keys(classes, roots)
     groups = check(group_pairs(rows, roots), "similar-joined")

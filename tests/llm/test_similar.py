@@ -94,6 +94,17 @@ def classes_of(spark, texts):
     return docs.select("id", F.xxhash64("text").alias("mark"), F.lit(1).alias("n"), similar._signatures({})("text").alias("s")).select("id", "mark", "n", "s.*")
 
 
+def test_deletion_variants_find_all_within_four_bits(spark):
+    base = [f"a{j}" for j in range(400)]
+    texts = [" ".join(base[:k] + [f"b{k}"] + base[k + 1 :]) for k in (0, 1, 2, 200, 399)] + [" ".join(base), " ".join(base[::-1])]
+    classes = classes_of(spark, texts).cache()
+    sims = {r.fp: r.sim for r in classes.collect()}
+    expected = {(a, b) for a in sims for b in sims if a < b and ((sims[a] ^ sims[b]) & (1 << 64) - 1).bit_count() <= 4}
+    assert 3 < len(expected) < 21
+    got = [(r.a, r.b) for r in similar.within_bits(classes, classes.select("fp", F.col("fp").alias("root"))).collect()]
+    assert len(got) == len(set(got)) and set(got) == expected
+
+
 def test_keys_of_one_passage_meet_once(spark):
     """What two texts share is one key with a weight, so their pair is met once, not once for each shingle of the passage."""
     passage = [f"p{j}" for j in range(300)]
